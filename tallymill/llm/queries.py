@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, simhash, substring
 from .common import documents
 
 
@@ -23,8 +23,40 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=3)
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(documents(spark, sf_dir))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(0, len(words) - 19)) AS start,
+         unnest(list_transform(range(1, len(words) - 18), lambda i: array_to_string(words[i:i + 19], ' '))) AS content
+  FROM w WHERE len(words) >= 20
+), later AS (
+  SELECT doc_id, start FROM (
+    SELECT doc_id, start, min({'d': doc_id, 's': start}) OVER (PARTITION BY content) AS least FROM windows
+  ) WHERE {'d': doc_id, 's': start} > least
+), gone AS (
+  SELECT DISTINCT doc_id, start + k AS pos FROM later, range(0, 20) AS r(k)
+), each AS (
+  SELECT doc_id, unnest(range(0, len(words))) AS pos, unnest(words) AS word FROM w
+), kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.pos) AS n_removed,
+         coalesce(string_agg(e.word, ' ' ORDER BY e.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op6_substring": op6_substring,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_substring": OP6_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
