@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, substring
+from . import bpe, decontaminate, simhash, substring
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=3)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_substring": op6_substring,
 }
 ORACLE_SQL: dict[str, str] = {
