@@ -116,31 +116,50 @@ def _documents(window: int, gram: int):
     return batches(fn, pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64()))]))
 
 
-SEGMENT = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
+SEGMENT = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
 
 
 def _segments(window: int, gram: int):
-    """Of documents and those of their anchors that repeat: for each anchor the words of its windows; for a hot one a row for each window."""
+    """Of documents and those of their anchors that repeat: the words of each anchor's n windows. Those of hot anchors have a hash g of the words, others 0."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows: list[tuple] = []
             for doc_id, text, cold, hot in zip(*(c.to_pylist() for c in batch.columns)):
                 words = text.encode().split()
-                found, first, n, h = anchors(words, window, gram)
+                found, first, n, _ = anchors(words, window, gram)
                 found = found.view(np.int64)
-                for k in np.flatnonzero(np.isin(found, cold)):
-                    a = int(first[k])
-                    rows.append((int(found[k]), 0, doc_id, a, b" ".join(words[a : a + int(n[k]) + window - 1])))
-                if hot:
-                    one, two = (_rolling(h, window, f).view(np.int64) for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-                    for k in np.flatnonzero(np.isin(found, hot)):
-                        rows.extend((int(one[a]), int(two[a]), doc_id, a, None) for a in range(int(first[k]), int(first[k] + n[k])))
+                for k in np.flatnonzero(np.isin(found, cold + hot)):
+                    a, h = int(first[k]), int(found[k])
+                    segment = b" ".join(words[a : a + int(n[k]) + window - 1])
+                    rows.append((h, xxhash.xxh3_64_intdigest(segment) >> 2 | 1 if h in hot else 0, doc_id, a, int(n[k]), segment))
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SEGMENT)], schema=SEGMENT)
+                    yield _batch(rows, SEGMENT)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SEGMENT)], schema=SEGMENT)
+            yield _batch(rows, SEGMENT)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+PLACE = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
+
+
+def _windows(window: int):
+    """A 128-bit hash of each window of segments (doc_id, start, words)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for doc_id, start, segment in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, segment.split())), ">u8").astype(np.uint64)
+                one, two = (_rolling(h, window, f).view(np.int64).tolist() for f in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+                rows += [(x, y, doc_id, a) for a, (x, y) in enumerate(zip(one, two), start)]
+            yield _batch(rows, PLACE)
 
     return run
 
@@ -159,21 +178,21 @@ def _stream(window: int):
         here, known, seen = None, SuffixAutomaton(), {}
         for batch in it:
             out = []
-            for h, _, doc_id, start, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, doc_id, start, n, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != here:
                     here, known, seen = h, SuffixAutomaton(), {}
                 at = (doc_id, start)
                 if text in seen:
                     if seen[text] != at:  # a row that repeats is the same place
-                        out.append((doc_id, start, text.count(b" ") + 2 - window))
+                        out.append((doc_id, start, n))
                     continue
                 seen[text] = at
                 words = text.split(b" ")
-                covered = [i for i, n in enumerate(known.matching(words), 1 - window) if n >= window]
+                covered = [i for i, reach in enumerate(known.matching(words), 1 - window) if reach >= window]
                 out.extend((doc_id, start + i, 1) for i in covered)
-                if len(covered) < len(words) - window + 1:
+                if len(covered) < n:
                     known.add(words)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, schema=SPAN)
+            yield _batch(out, SPAN)
 
     return run
 
@@ -185,25 +204,29 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     document here. A text of the same words as a smaller doc_id's is one run; the least of each such group
     goes on. Windows of the same words share an anchor, so only segments around anchors found twice are
     looked at, and segments are sharded by anchor: the suffix automaton of a shard's segments so far is met
-    by the next. The windows of an anchor with over `hot` segments are grouped by a 128-bit hash instead, as
-    partial aggregation takes any group. A null id can't be ordered: its row has nothing removed.
+    by the next. The segments of an anchor with over `hot` of them are grouped by their words instead, and the
+    windows of the first of each group by a 128-bit hash, as partial aggregation takes any group. A null id can't be ordered: its row has nothing removed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     each = materialize(rows.mapInArrow(_documents(window, gram), "doc_id long, key binary, n_words long, anchors array<long>").where(F.col("n_words") >= window))
     first = each.groupBy("key").agg(F.min(F.struct("doc_id", "anchors")).alias("x")).select("key", "x.doc_id", "x.anchors")
     found = first.select("doc_id", F.explode("anchors").alias("h"))
-    again = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
-    lists = again.groupBy("doc_id").agg(*(F.collect_set(F.when(F.expr(c), F.col("h"))).alias(k) for k, c in (("cold", f"n <= {hot}"), ("hot", f"n > {hot}"))))
+    times = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = found.join(times, "h").groupBy("doc_id").agg(*(F.collect_set(F.when(F.expr(c), F.col("h"))).alias(k) for k, c in (("cold", f"n <= {hot}"), ("hot", f"n > {hot}"))))
     near = rows.join(lists, "doc_id").select("doc_id", "text", "cold", "hot")
-    segments = materialize(near.mapInArrow(_segments(window, gram), "h long, g long, doc_id long, start long, words binary"))
-    shards = segments.where("words is not null").repartition("h").sortWithinPartitions("h", "doc_id", "start")
+    segments = materialize(near.mapInArrow(_segments(window, gram), "h long, g long, doc_id long, start long, n long, words binary"))
+    shards = segments.where("g = 0").repartition("h").sortWithinPartitions("h", "doc_id", "start").select("h", "doc_id", "start", "n", "words")
     cold = shards.mapInArrow(_stream(window), "doc_id long, start long, n long")
-    single = segments.where("words is null").select("h", "g", "doc_id", "start")
-    least = single.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("least"))
-    later = single.join(least, ["h", "g"]).where(F.struct("doc_id", "start") > F.col("least")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
+    place = F.struct("doc_id", "start")
+    alike = segments.where("g != 0").select("h", "g", "doc_id", "start", "n")
+    leads = segments.where("g != 0").groupBy("h", "g").agg(F.min(F.struct("doc_id", "start", "words")).alias("lead"))
+    copied = alike.join(leads.select("h", "g", F.struct("lead.doc_id", "lead.start").alias("lead")), ["h", "g"]).where(place > F.col("lead")).select("doc_id", "start", "n")
+    single = materialize(leads.select("lead.*").mapInArrow(_windows(window), "one long, two long, doc_id long, start long"))
+    least = single.groupBy("one", "two").agg(F.min(place).alias("least"))
+    later = single.join(least, ["one", "two"]).where(place > F.col("least")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
     copies = each.join(first.select("key", F.col("doc_id").alias("least")), "key").where("doc_id > least")
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), (F.col("n_words") - window + 1).alias("n"))
-    spans = cold.unionByName(later).unionByName(whole)
+    spans = cold.unionByName(copied).unionByName(later).unionByName(whole)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
 
 
