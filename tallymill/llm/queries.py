@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, simhash, substring
+from . import bpe, decontaminate, quality, simhash, substring, toxicity
 from .common import documents
 
 
@@ -15,6 +15,10 @@ from .common import documents
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), TOKENIZER)
 
@@ -31,6 +35,14 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
@@ -61,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_substring": op6_substring,
+    "op7_toxicity": op7_toxicity,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_substring": OP6_SQL,
