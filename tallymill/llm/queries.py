@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, quality, simhash, substring, toxicity
+from . import bpe, decontaminate, language, licenses, quality, rules, simhash, substring, toxicity
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(documents(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -43,6 +47,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -76,11 +84,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_language": op3_language,
+    "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
     "op6_substring": op6_substring,
     "op7_toxicity": op7_toxicity,
+    "op8_rules": op8_rules,
     "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": licenses.oracle_sql(),
     "op6_substring": OP6_SQL,
+    "op8_rules": rules.oracle_sql(),
 }
