@@ -268,14 +268,15 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids array<int>) for each row of docs; as round_trip for odd rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """(doc_id, n_tokens, ids array<int>, decoded) for each row of docs; as round_trip for odd rows."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def fn(doc_ids: list, texts: list) -> dict:
-        ids = [np.frombuffer(load(path).encode(t or ""), np.int32) for t in texts]
-        return {"doc_id": doc_ids, "n_tokens": [len(x) for x in ids], "ids": ids}
+        bpe = load(path)
+        data = [bpe.encode(t or "") for t in texts]
+        return {"doc_id": doc_ids, "n_tokens": [len(x) // 4 for x in data], "ids": [np.frombuffer(x, np.int32) for x in data], "decoded": [bpe.decode(x) for x in data]}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches(fn, schema), "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches(fn, schema), "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

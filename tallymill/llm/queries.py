@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, licenses, quality, rules, simhash, substring, toxicity
-from .common import documents
+from . import bpe, decontaminate, language, licenses, quality, rules, simhash, substring, token_files, toxicity
+from .common import documents, scratch_path
 
 
 #: The tokenizer file, of the public vocabularies; it stays where it is.
@@ -55,6 +55,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
+    token_files.write(documents(spark, sf_dir), TOKENIZER, path)
+    return token_files.digests(spark, path)
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_rules": op8_rules,
     "op9_quality": op9_quality,
+    "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
