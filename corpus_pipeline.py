@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import simhash
+from tallymill.llm import bpe, decontaminate, simhash, substring, toxicity
 from tallymill.llm.common import documents, materialize
+from tallymill.llm.queries import TOKENIZER
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine rejects go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-copies stays.
+
+    Fingerprints are over five words. A radius of 3 bits in 64 is far above a similarity of 0.8, so four
+    fingerprints are taken; a pair is linked if any of them lies within it.
+    """
+    return simhash.keep_one(docs, words=5, radius=3, n=4)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that stand earlier go; the documents stay."""
+    return substring.cut(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or enough of one, go."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of each document."""
+    return bpe.encode(docs, TOKENIZER)
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("bpe_encoding", tokens),
 ]
 
 #: SQL has no XXH64, factorization machine or tokenizer; the tests hold each stage against plain Python.
@@ -22,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; between them the rows are written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
