@@ -1,0 +1,6 @@
+"""All queries of the library but those of the text operators."""
+
+from . import evidence
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence"]
