@@ -1,6 +1,6 @@
 """All queries of the library but those of the text operators."""
 
-from . import evidence
+from . import evidence, ledger
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "ledger"]
