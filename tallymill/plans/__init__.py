@@ -1,6 +1,6 @@
 """All queries of the library but those of the text operators."""
 
-from . import evidence, ledger
+from . import audit, evidence, ledger, ops
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evidence", "ledger"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "evidence", "ledger", "ops"]
