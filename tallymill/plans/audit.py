@@ -129,10 +129,10 @@ def first_claim_at_or_after(t):
 
 
 @query("""WITH g AS (SELECT run_id, (epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY run_id ORDER BY occurred_at, event_type, event_id)) / 1000000 AS gap FROM {audit_events} WHERE event_type IN ('run_claimed', 'run_yielded'))
-SELECT run_id, count(*) AS n, round(min(gap), 4) AS least, round(quantile_cont(gap, 0.5), 4) AS median, round(max(gap), 4) AS most FROM g WHERE gap IS NOT NULL GROUP BY run_id""")
+SELECT run_id, count(*) AS n, CAST(floor(min(gap)) AS BIGINT) AS least, CAST(floor(quantile_cont(gap, 0.5)) AS BIGINT) AS median, CAST(floor(max(gap)) AS BIGINT) AS most FROM g WHERE gap IS NOT NULL GROUP BY run_id""")
 def event_gaps(t):
     found = au.event_gaps(t.audit_events, ["run_claimed", "run_yielded"])
-    return found.withColumns({c: F.round(c, 4) for c in ("least", "median", "most")})
+    return found.withColumns({c: F.floor(c) for c in ("least", "median", "most")})
 
 
 @query(f"""WITH f AS (SELECT worker_id, min(occurred_at) AS t, count(*) AS claims FROM {{audit_events}} WHERE event_type = 'run_claimed' GROUP BY worker_id)
