@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Read back from the shared folder of spark.checkpoint.dir, so that both uses see the same partitions."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; only a local session may leave the setting out."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tallymill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{uuid.uuid4().hex}"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Read back from a table, so that both uses see the same partitions."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
