@@ -243,10 +243,14 @@ def run_responses_page(run_id: int, responses: DataFrame, questions: DataFrame,
 
 
 def estimate_cost(input_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column, *, ceiling: bool = False) -> Column:
-    """Cost in DECIMAL(20,8) from prices for a million tokens; null if any part is. Each product keeps its digits."""
-    part = lambda n, p: n.cast("decimal(12,0)") * p * F.lit("0.000001").cast("decimal(6,6)")
-    cost = part(input_tokens, input_price) + part(output_tokens, output_price)
-    return (F.ceil(cost, F.lit(8)) if ceiling else cost).cast("decimal(20,8)")
+    """Cost in DECIMAL(20,8) from prices for a million tokens; null if any part is. Rounded half up, or up, only at the end.
+
+    A millionth of the exact sum is counted in quanta of 8 places, which is the sum times 100, so no product loses digits.
+    """
+    part = lambda n, p: n.cast("decimal(12,0)") * p.cast("decimal(20,8)")
+    quanta = (part(input_tokens, input_price) + part(output_tokens, output_price)) * F.lit(100).cast("decimal(3,0)")
+    whole = (F.ceil(quanta) if ceiling else F.round(quanta, 0)).cast("decimal(20,0)")
+    return (whole * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(20,8)")
 
 
 def effective(requested: Column, field: str, model_default: Column, protocol_default: Column) -> Column:

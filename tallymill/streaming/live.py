@@ -66,7 +66,8 @@ def _alerts(hold_s: int):
                 fired = True
                 out.append((key[0], pd.Timestamp(since, unit="us"), at))
         state.update((since, fired))
-        yield pd.DataFrame(out, columns=["alert", "since", "fired_at"])
+        if out:
+            yield pd.DataFrame(out, columns=["alert", "since", "fired_at"])
 
     return step
 
@@ -94,7 +95,8 @@ def _stalls(stale_ms: int):
             last = max(last, state.get[0]) if state.exists else last
             state.update((last,))
             state.setTimeoutTimestamp(max(last + stale_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["worker_id", "status", "at"])
+        if out:
+            yield pd.DataFrame(out, columns=["worker_id", "status", "at"])
 
     return step
 
@@ -115,7 +117,8 @@ def _states(terminal: tuple[str, ...]):
             if (k in terminal and (not ended or here < (at, event_id))) or (k not in terminal and not ended and here > (at, event_id)):
                 at, event_id, kind = *here, k
         state.update((at, event_id, kind))
-        yield pd.DataFrame([(key[0], kind, pd.Timestamp(at, unit="us"))] if (at, event_id, kind) != before else [], columns=["run_id", "state", "since"])
+        if (at, event_id, kind) != before:
+            yield pd.DataFrame([(key[0], kind, pd.Timestamp(at, unit="us"))], columns=["run_id", "state", "since"])
 
     return step
 
