@@ -29,7 +29,7 @@ def event_issues(events: DataFrame, types: list[str]) -> DataFrame:
 
 def payload_issues(events: DataFrame, contract: DataFrame) -> DataFrame:
     """(event_id, missing, extra) where a payload's keys are not exactly those that the contract (event_type, keys) has for its type."""
-    rows = events.join(F.broadcast(contract.select("event_type", "keys")), "event_type")
+    rows = events.join(contract.select("event_type", "keys"), "event_type")
     have = F.map_keys("payload")
     out = rows.select("event_id", F.array_sort(F.array_except("keys", have)).alias("missing"), F.array_sort(F.array_except(have, "keys")).alias("extra"))
     return out.where("size(missing) > 0 OR size(extra) > 0")

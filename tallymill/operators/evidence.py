@@ -224,15 +224,29 @@ def metric_differences(stored: DataFrame, computed: DataFrame, fields: list[str]
     return a.join(b, "run_id").select("run_id", F.array_join(names, ",").alias("fields")).where("fields <> ''")
 
 
+def page(rows: DataFrame, filters: dict[str, object], order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the rows that match all filters (a null one is none), in the order given, each with the total of all that match."""
+    if not 0 < limit <= 100 or offset < 0:
+        raise ValueError("limit must be between 1 and 100 and offset not negative")
+    for column, wanted in filters.items():
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(total)
+
+
 def list_runs(runs: DataFrame, status: str | None = None, model_id: int | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """A page of runs, newest first, with the total of all that match."""
-    if not 0 < limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
-    found = runs
-    for column, value in (("status", status), ("model_id", model_id)):
-        found = found if value is None else found.where(F.col(column) == value)
-    page = found.orderBy(F.desc_nulls_last("started_at"), "run_id").offset(offset).limit(limit)
-    return page.select("run_id", "status", "model_id", "benchmark_id").crossJoin(found.agg(F.count(F.lit(1)).alias("total")))
+    """Newest first."""
+    columns = runs.select("run_id", "status", "model_id", "benchmark_id", "started_at")
+    return page(columns, {"status": status, "model_id": model_id}, [F.desc_nulls_last("started_at"), F.asc("run_id")], offset, limit).drop("started_at")
+
+
+def list_questions(questions: DataFrame, benchmark_id: int, category: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    return page(questions.select("question_id", "benchmark_id", "position", "category"), {"benchmark_id": benchmark_id, "category": category}, [F.asc("position")], offset, limit)
+
+
+def display(snapshot: Column, path: str, current: Column) -> Column:
+    """What a run's snapshot says, else the dimension's value of today."""
+    return F.coalesce(F.nullif(F.get_json_object(snapshot, path), F.lit("")), current)
 
 
 def run_responses_page(run_id: int, responses: DataFrame, questions: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:

@@ -103,11 +103,18 @@ def slo_verdicts(statistics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(cell, metric, value, passed) for thresholds (cell, metric, least, most); a null bound is none, an unknown value fails."""
     numbers = [c for c in statistics.columns if c != "cell"]
     long = statistics.select("cell", *(F.col(c).cast("double") for c in numbers)).unpivot(["cell"], numbers, "metric", "value")
-    rows = F.broadcast(thresholds).join(long, ["cell", "metric"], "left")
+    rows = thresholds.join(long, ["cell", "metric"], "left")
     ok = F.coalesce(F.col("value") >= F.col("least"), F.col("least").isNull()) & F.coalesce(F.col("value") <= F.col("most"), F.col("most").isNull())
     return rows.select("cell", "metric", "value", (ok & F.col("value").isNotNull()).alias("passed"))
 
 
+def paired_ratios(samples: DataFrame, above: str, below: str) -> DataFrame:
+    """(cell, trial, sample): of each trial the ratio of two cells' samples, for trial_statistics; trials without both are left out."""
+    side = lambda cell, name: samples.where(F.col("cell") == cell).select("trial", F.col("sample").alias(name))
+    both = side(above, "a").join(side(below, "b"), "trial")
+    return both.select(F.lit(f"{above}/{below}").alias("cell"), "trial", F.try_divide("a", "b").alias("sample"))
+
+
 def zero_event_bound(samples: DataFrame, confidence: float = 0.95) -> DataFrame:
     """(cell, n, bound): the highest error rate that n attempts without an error still allow; null where there was one."""
     rows = samples.groupBy("cell").agg(F.sum("sample").cast("long").alias("n"), F.sum("errors").alias("e"))

@@ -119,7 +119,7 @@ def upsert_benchmarks(t):
 
 @query("""WITH x AS (SELECT response_id % 10 AS l, CASE WHEN reference = 'D' THEN 'A' ELSE reference END AS ref FROM {responses} r JOIN {questions} q ON r.question_id = q.question_id),
 y AS (SELECT ref, CASE WHEN l < 6 THEN chr(CAST(65 + l % 4 AS INT)) END AS letter FROM x)
-SELECT CASE WHEN letter = ref THEN 1.0 ELSE 0.0 END AS score, CASE WHEN letter IS NULL THEN 'empty_response' WHEN letter = 'D' THEN 'invalid_choice' END AS parse_error, letter AS parsed_answer, count(*) AS n FROM y GROUP BY ALL""")
+SELECT CAST(CASE WHEN letter = ref THEN 1 ELSE 0 END AS DOUBLE) AS score, CASE WHEN letter IS NULL THEN 'empty_response' WHEN letter = 'D' THEN 'invalid_choice' END AS parse_error, letter AS parsed_answer, count(*) AS n FROM y GROUP BY ALL""")
 def score_responses(t):
     asked = t.questions.selectExpr("question_id", "'multiple_choice' AS type", "if(reference = 'D', 'A', reference) AS reference", "array('A', 'B', 'C') AS choices", "CAST(NULL AS MAP<STRING,STRING>) AS config")
     found = scoring.score_responses(t.responses, asked)
@@ -191,3 +191,15 @@ def summary_mismatch(t):
 def table_digests(t):
     """Digests of whole tables; tests hold them against changes of order, form and content."""
     return summaries(t, lambda name, df: df)
+
+
+@query("SELECT p_partkey AS part, substr(sha256('{\"size\":' || p_size || '}'), 1, 12) AS fingerprint FROM {part}")
+def transform_fingerprint(t):
+    canonical = F.expr("concat('{\"size\":', p_size, '}')")
+    return t.part.select(F.col("p_partkey").alias("part"), tx.fingerprint(canonical).alias("fingerprint"))
+
+
+@query("SELECT model_id AS policy_id, 'policy_hash_mismatch' AS code FROM {models} WHERE model_id % 4 = 0 UNION ALL SELECT NULL, 'active_policy_count' FROM {models} HAVING count(*) FILTER (model_id % 2 = 0) <> 1")
+def policy_issues(t):
+    stored = t.models.selectExpr("model_id AS policy_id", "sha2(concat(name, if(model_id % 4 = 0, '!', '')), 256) AS policy_hash", "model_id % 2 = 0 AS is_active", "name")
+    return it.policy_issues(stored, F.sha2("name", 256))

@@ -217,3 +217,25 @@ def render_messages(t):
 def freeze_run_snapshot(t):
     frozen = ev.freeze_run_snapshot(t.runs, t.models, t.benchmarks)
     return frozen.select("run_id", F.get_json_object("model_snapshot", "$.name").alias("model_name"), F.get_json_object("benchmark_snapshot", "$.slug").alias("slug"), F.get_json_object("model_snapshot", "$.input_price").cast("double").alias("input_price"))
+
+
+@query("""SELECT question_id, benchmark_id, position, category, (SELECT count(*) FROM {questions} WHERE benchmark_id = 2) AS total FROM {questions} WHERE benchmark_id = 2 ORDER BY position LIMIT 30 OFFSET 5""")
+def list_questions(t):
+    return ev.list_questions(t.questions, 2, offset=5, limit=30)
+
+
+@query("SELECT model_id, name, (SELECT count(*) FROM {models}) AS total FROM {models} ORDER BY name, model_id LIMIT 25")
+def list_models(t):
+    return ev.page(t.models.select("model_id", "name"), {}, [F.asc("name"), F.asc("model_id")], limit=25)
+
+
+@query("SELECT slug, version, question_count, CAST(1 AS BIGINT) AS total FROM {benchmarks} WHERE slug = 'bench-3'")
+def list_benchmarks(t):
+    return ev.page(t.benchmarks.select("slug", "version", "question_count"), {"slug": "bench-3", "version": None}, [F.asc("slug")])
+
+
+@query("SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'then-' || r.model_id ELSE name END AS model_name FROM {runs} r JOIN {models} m ON r.model_id = m.model_id")
+def leaderboard_display(t):
+    snapshot = F.expr("CASE run_id % 3 WHEN 0 THEN to_json(named_struct('name', concat('then-', model_id))) WHEN 1 THEN to_json(named_struct('name', '')) END")
+    rows = t.runs.withColumn("snapshot", snapshot).join(t.models.select("model_id", "name"), "model_id")
+    return rows.select("run_id", ev.display(F.col("snapshot"), "$.name", F.col("name")).alias("model_name"))

@@ -147,3 +147,8 @@ SELECT alert, CAST(epoch(since) AS BIGINT) AS since, CAST(epoch(min(moment)) AS
 def pending_alerts(t):
     samples = t.audit_events.groupBy(F.col("event_type").alias("alert"), F.date_trunc("hour", "occurred_at").alias("at")).agg((F.count(F.lit(1)) > 3).alias("value"))
     return ops.pending_alerts(samples, 7200).withColumns({c: F.unix_seconds(c) for c in ("since", "fired_at")})
+
+
+@query("""SELECT trial, 'click/view' AS cell, round(a.sample / b.sample, 6) AS sample FROM (SELECT trial, sample FROM {trials} WHERE cell = 'click') a JOIN (SELECT trial, sample FROM {trials} WHERE cell = 'view') b USING (trial)""")
+def paired_ratios(t):
+    return rounded(ops.paired_ratios(t.trials, "click", "view"), "sample")
