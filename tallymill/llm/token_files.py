@@ -22,7 +22,7 @@ from .bpe import SPACE
 #: Ids of a block, which is transposed as one; a chunk is closed at the end of the document that fills a block.
 BLOCK = 1 << 16
 #: Chunks of text whose ids a worker keeps; a full table starts anew.
-TABLE = 1_000_000
+TABLE = 1_500_000
 MAGIC, HEADER = b"IDPLANE1", struct.Struct("<8sIQ?")
 #: Documents whose unknown words are encoded together.
 TOGETHER = 256
@@ -42,7 +42,7 @@ class Encoder:
         self.library.no_padding()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.edge = re.compile(f"^[{SPACE}]|[{SPACE}]$|^$")
+        self.space = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
         self.newline = self._whole("\n")
         self.table: dict[str, bytes | None] = {}
 
@@ -54,7 +54,7 @@ class Encoder:
         lines, alone = [], []
         for p in pieces:
             body = p[1:] if p[:1] == "\n" else p
-            if self.edge.search(body):
+            if not body or body[0] in self.space or body[-1] in self.space:
                 self.table[p] = None
             else:
                 alone.append(p)
@@ -63,16 +63,17 @@ class Encoder:
             return
         ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ids == np.frombuffer(self.newline, np.uint32)[0])
-        for p, a, b in zip(alone, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-            self.table[p] = (self.newline if p[:1] == "\n" else b"") + ids[a:b].tobytes()
+        data = ids.tobytes()
+        for p, a, b in zip(alone, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]):
+            self.table[p] = self.newline + data[a:b] if p[0] == "\n" else data[a:b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as 32-bit unsigned integers for each text."""
         if len(self.table) > TABLE:
             self.table.clear()
         out: list[bytes | None] = [None] * len(texts)
-        parts: dict[int, tuple[list[str], list]] = {}
-        wanted: dict[str, None] = {}
+        parts: list[tuple[int, list[str], list, list[int]]] = []
+        wanted: set[str] = set()
         for k, text in enumerate(texts):
             if not text:
                 out[k] = b""
@@ -80,17 +81,14 @@ class Encoder:
                 pieces = text.replace("\n", " \n").split(" ")
                 pieces[0] = "\n" + pieces[0]
                 found = list(map(self.table.get, pieces))
-                if None in found:
-                    wanted.update(dict.fromkeys(p for p, x in zip(pieces, found) if x is None))
-                parts[k] = pieces, found
-        for p in list(wanted):
-            if p in self.table:  # known not to stand alone
-                del wanted[p]
-        self._learn(list(wanted))
-        for k, (pieces, found) in parts.items():
-            if None in found:
-                found = list(map(self.table.get, pieces))
-            if None not in found:
+                missing = [i for i, x in enumerate(found) if x is None]
+                wanted.update(pieces[i] for i in missing)
+                parts.append((k, pieces, found, missing))
+        self._learn([p for p in wanted if p not in self.table])  # those there are known not to stand alone
+        for k, pieces, found, missing in parts:
+            for i in missing:
+                found[i] = self.table[pieces[i]]
+            if not missing or None not in found:
                 out[k] = b"".join(found)[len(self.newline) :]
         return [self._whole(text) if x is None else x for text, x in zip(texts, out)]
 
