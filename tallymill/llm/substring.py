@@ -209,9 +209,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     each = materialize(rows.mapInArrow(_documents(window, gram), "doc_id long, key binary, n_words long, anchors array<long>").where(F.col("n_words") >= window))
-    first = each.groupBy("key").agg(F.min(F.struct("doc_id", "anchors")).alias("x")).select("key", "x.doc_id", "x.anchors")
+    first = materialize(each.groupBy("key").agg(F.min(F.struct("doc_id", "anchors")).alias("x")).select("key", "x.doc_id", "x.anchors"))
     found = first.select("doc_id", F.explode("anchors").alias("h"))
-    times = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own, so that the join's stage has no aggregation and AQE can split the partition of a hot anchor
+    times = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     lists = found.join(times, "h").groupBy("doc_id").agg(*(F.collect_set(F.when(F.expr(c), F.col("h"))).alias(k) for k, c in (("cold", f"n <= {hot}"), ("hot", f"n > {hot}"))))
     near = rows.join(lists, "doc_id").select("doc_id", "text", "cold", "hot")
     segments = materialize(near.mapInArrow(_segments(window, gram), "h long, g long, doc_id long, start long, n long, words binary"))
