@@ -17,10 +17,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies stays.
 
-    Fingerprints are over five words. A radius of 3 bits in 64 is far above a similarity of 0.8, so four
-    fingerprints are taken; a pair is linked if any of them lies within it.
+    Texts are linked from a similarity of 0.8 of their shingles of five words.
     """
-    return simhash.keep_one(docs, words=5, radius=3, n=4)
+    return simhash.keep_one(docs, words=5, share=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

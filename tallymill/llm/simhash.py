@@ -18,6 +18,8 @@ from .components import components
 SEED = 42
 #: Rows of a shard tree; a bucket with more is cut into shards, each pair of which is a task's work.
 SHARD = 4096
+#: Keys of a text where a similarity of shingles is asked for, and bits in which the fingerprints of such texts may differ.
+KEYS, WIDE = 12, 24
 
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
@@ -71,15 +73,17 @@ class BKTree:
         while at != new:
             at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
 
-    def within(self, value: int, radius: int) -> list[int]:
-        found, stack = [], [0] if self.values else []
+    def search(self, value: int, radius: int) -> Iterator[int]:
+        stack = [0] if self.values else []
         while stack:
             at = stack.pop()
             d = (self.values[at] ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             stack.extend(child for k, child in self.children[at].items() if d - radius <= k <= d + radius)
-        return found
+
+    def within(self, value: int, radius: int) -> list[int]:
+        return list(self.search(value, radius))
 
 
 def _shard_links(tree: list[int], probes: list[int], radius: int) -> list[tuple[int, int]]:
@@ -203,16 +207,146 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, n: int = 1
     return out.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 3, n: int = 4) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component that row stays whose doc_id is the component's.
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 values (seed 42), in order, of the shingles that fingerprints() counts; none if there is no word."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), ">u8").astype(np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of shingles of either set that both have."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def sketch(text: str | None, words: int, n: int) -> tuple[int, int, list[int]]:
+    """(name of the set of shingles, SimHash of the set, KEYS keys of its n least hashes), as signed integers."""
+    h = shingle_set(text, words)
+    if not len(h):
+        return 0, 0, []
+    bits, least = np.zeros(64, np.int64), np.full(KEYS * n, 2**64 - 1, np.uint64)
+    factors = _mix(np.arange(1, KEYS * n + 1, dtype=np.uint64), 1) | np.uint64(1)
+    for at in range(0, len(h), 1 << 12):
+        part = h[at : at + (1 << 12)]
+        bits += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        least = np.minimum(least, (part[:, None] * factors).min(axis=0))
+    fp = int(np.packbits(2 * bits > len(h)).view(">i8")[0])
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(KEYS, n))]
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)), fp, np.array(keys, np.uint64).view(np.int64).tolist()
 
-    Columns and rows that stay are unchanged. Rows that repeat an id and a fingerprint keep one of them.
+
+def row_key(docs: DataFrame) -> Column:
+    """A key for each row of docs, of its id and text: ids may be null or stand for several texts."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def _similar_links(tree: list[tuple], probes: list[tuple], words: int, radius: int, share: float) -> list[tuple[int, int]]:
+    """Links between rows (fp, node, text) of at least that similarity, as many as join what such links join.
+
+    Each component has a BK-tree of its own, so a row's search of one ends with the first link.
     """
-    found = near_duplicates(docs, words, radius, n)
-    keep = materialize(found.groupBy("component_id").agg(F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("copies")))
-    once, more = (keep.where(f"copies {op} 1").select(F.col("component_id").alias("__keep")) for op in ("<=", ">"))
-    match = lambda ids: docs["doc_id"].cast("long").eqNullSafe(ids["__keep"])
-    out = docs.join(once, match(once), "left_semi")
-    if more.isEmpty():
-        return out
-    return out.unionByName(docs.join(more, match(more), "left_semi").dropDuplicates(["doc_id"]))
+    sets: dict[int, np.ndarray] = {}
+
+    def hashes(row: tuple) -> np.ndarray:
+        if row[1] not in sets:
+            sets[row[1]] = shingle_set(row[2], words)
+        return sets[row[1]]
+
+    groups: list[tuple[BKTree, list[tuple]]] = []
+    links = []
+    same = probes is tree
+    for k, row in enumerate(tree if same else tree + probes):
+        met = []
+        for g in groups:
+            for at in g[0].search(row[0], radius):
+                if g[1][at][1] != row[1] and similarity(hashes(g[1][at]), hashes(row)) >= share:
+                    links.append((g[1][at][1], row[1]))
+                    met.append(g)
+                    break
+        met.sort(key=lambda g: len(g[1]))
+        into = met.pop() if met else (BKTree(), [])
+        rows = [r for g in met for r in g[1]] + ([row] if same or k < len(tree) else [])
+        for r in rows:
+            into[0].add(r[0])
+            into[1].append(r)
+        groups = [g for g in groups if not any(g is m for m in met) and g is not into]
+        if into[1]:
+            groups.append(into)
+    return links
+
+
+def _similar(words: int, radius: int, share: float):
+    """For mapInArrow over rows (key, a, b, shard, fp, node, text) in order of (key, a, b), as _links."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, tree, probes = None, [], []
+
+        def done() -> pa.RecordBatch:
+            pairs = _similar_links(tree, tree if here[1] == here[2] else probes, words, radius, share) if here else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in it:
+            for *group, shard, fp, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if group != here:
+                    yield done()
+                    here, tree, probes = group, [], []
+                (tree if shard == here[1] else probes).append((fp & 0xFFFFFFFFFFFFFFFF, node, text))
+        yield done()
+
+    return run
+
+
+def similar_links(texts: DataFrame, docs: DataFrame, words: int, share: float, radius: int = WIDE, shard: int = SHARD) -> DataFrame:
+    """(u, v): links that join all nodes of `texts` (node, row, fp, keys) whose shingles' similarity is at least `share`.
+
+    The trees are shards of a table keyed by least hashes, which texts of that similarity share in one of KEYS cases
+    or more; what is within `radius` there is compared shingle by shingle. Keys with the same nodes count once. `row`
+    is the row_key in docs of a text of the node.
+    """
+    keyed = texts.select("node", "row", "fp", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64(node, {k}))").alias(f"x{k}") for k in (1, 2)))
+    keys = materialize(sizes.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n"))
+    shards = F.ceil(F.col("n") / shard).cast("int")
+    own = materialize(keyed.join(keys, "key").select("key", "node", "row", "fp", shards.alias("shards"), F.pmod(F.xxhash64("node"), shards).cast("int").alias("shard")))
+    work = own.select("key", "node", "row", "fp", "shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
+    work = work.select("key", F.least("shard", "other").alias("a"), F.greatest("shard", "other").alias("b"), "shard", "fp", "node", "row")
+    needed = own.select(F.col("row").alias("needed")).distinct()
+    read = docs.select(row_key(docs).alias("row"), docs["text"].cast("string").alias("text"))
+    read = read.join(needed, F.col("row") == F.col("needed"), "left_semi").dropDuplicates(["row"])
+    work = work.join(read, "row").select("key", "a", "b", "shard", "fp", "node", "text")
+    return work.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_similar(words, radius, share), "u long, v long").distinct()
+
+
+def keep_one(docs: DataFrame, words: int = 5, n: int = 3, share: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays (null is last).
+
+    Texts are linked whose sets of `words`-word shingles have a similarity (Jaccard) of at least `share`; see
+    similar_links, whose keys are of n least hashes each. Columns and rows that stay are unchanged. Null and repeated
+    ids are no links; rows that repeat an id and a text keep one of them.
+    """
+    names = ["row", "id", "node", "fp"]
+    schema = pa.schema([(c, pa.int64()) for c in names] + [("keys", pa.list_(pa.int64()))])
+
+    def fn(rows: pa.StructArray, texts: list) -> dict:
+        node, fp, keys = zip(*(sketch(t, words, n) for t in texts))
+        return {"row": rows.field(0), "id": rows.field(1), "node": node, "fp": fp, "keys": keys}
+
+    read = docs.select(F.struct(row_key(docs).alias("row"), docs["doc_id"].cast("long").alias("id")), docs["text"].cast("string"))
+    each = materialize(read.mapInArrow(batches(fn, schema), ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
+    rows = each.groupBy("node", "row", "id").agg(F.count(F.lit(1)).alias("copies"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    # null ids last
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "copies")).alias("least")
+    texts = materialize(rows.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    links = similar_links(texts.select("node", F.col("least.row").alias("row"), "fp", "keys"), docs, words, share)
+    label = components(links)
+    named = texts.select("node", "least").join(label, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("least").alias("least"))
+    keep = materialize(named.select(F.col("least.row").alias("__keep"), F.col("least.copies").alias("copies")))
+    once, more = (keep.where(f"copies {op} 1").select("__keep") for op in ("=", ">"))
+    keyed = docs.withColumn("__row", row_key(docs))
+    out = keyed.join(once, F.col("__row") == F.col("__keep"), "left_semi")
+    if not more.isEmpty():
+        out = out.unionByName(keyed.join(more, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]))
+    return out.drop("__row")
