@@ -114,6 +114,19 @@ def overlap(doc: list[bytes], item: list[bytes], shift: int, place: int) -> tupl
     return (a + lo + shift, n, equal) if n and equal >= enough and equal >= SHARE * n else None
 
 
+def overlaps_at(doc: list[bytes], item: list[bytes], shift: int) -> Iterator[tuple[int, int, int]]:
+    """The overlaps at this shift: from each place of it that no overlap before it holds."""
+    a, b = max(0, -shift), min(len(item), len(doc) - shift)
+    equal = sum(x == y for x, y in zip(item[a:b], doc[a + shift : b + shift]))
+    if equal < min(MATCHES, SHARE * len(item)):
+        return
+    k = a
+    while k < b:
+        if got := overlap(doc, item, shift, k):
+            yield got
+        k = max(k + 1, got[0] + got[1] - shift) if got else k + 1
+
+
 def _verified():
     def fn(ids: list, texts: list, lists: list) -> list[tuple]:
         rows = []
@@ -121,10 +134,8 @@ def _verified():
             doc = words_of(text)
             best: dict[int, tuple] = {}
             for x in found:
-                if x["shift"] + x["place"] >= len(doc):
-                    continue  # a seed of another row with this id
-                got = overlap(doc, words_of(x["text"]), x["shift"], x["place"])
-                if got:
+                # none where the seed is of another row with this id
+                for got in overlaps_at(doc, words_of(x["text"]), x["shift"]):
                     best[x["item_id"]] = min(best.get(x["item_id"], (0, 0, 0, 0)), (-got[2], got[0], got[1], got[2]))
             rows += [(i, item, start, n, equal) for item, (_, start, n, equal) in best.items()]
         return rows
@@ -143,7 +154,7 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     A seed ignores the places its mask leaves out, so a passage is met though words of it were replaced.
     The seeds of documents are first looked up in a table of BITS bits that has a bit for each hash of the items (of a
     fixed size, however many they are; it only saves rows), then joined with the items' seeds; around
-    each hit the overlap is verified word by word. Items of fewer than LEAST words are left out, and so
+    each alignment with a hit all overlaps are verified word by word. Items of fewer than LEAST words are left out, and so
     are null texts, null ids of items and rows without an overlap. Of rows that repeat a doc_id each is
     looked at; equal results are given once. No documents or no items: no rows.
     """
@@ -157,9 +168,9 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     table = np.packbits(bits, bitorder="little").tobytes()
     hits = docs.mapInArrow(_hits(lengths, table), "doc_id long, hash long, at long")
     shift = F.col("at") - F.col("place")
-    found = materialize(hits.join(items, "hash").groupBy("doc_id", "item_id", shift.alias("shift")).agg(F.min("place").alias("place")))
+    found = materialize(hits.join(items, "hash").select("doc_id", "item_id", shift.alias("shift")).distinct())
     texts = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text")).where("item_text is not null")
-    lists = found.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "place", F.col("item_text").alias("text"))).alias("found"))
+    lists = found.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", F.col("item_text").alias("text"))).alias("found"))
     near = docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"])).select(docs["doc_id"], "text", "found")
     return near.mapInArrow(_verified(), "doc_id long, item_id long, start_word long, n_words long, n_equal long").distinct()
 
