@@ -15,8 +15,8 @@ from .common import batches, materialize
 #: The spaced seeds. 1 is a word that counts, 0 one that may differ.
 MASKS = ("111010010111", "110111001011", "101100111101", "111101011010")
 SPAN = len(MASKS[0])
-#: Items of fewer words can't be told from chance and are left out; those of fewer than SPAN words are met by the masks' first places.
-LEAST = 6
+#: Items of fewer words than EXACT must be equal as a whole; others of fewer than SPAN words are met by the masks' first places too.
+LEAST, EXACT = 1, 6
 #: Bits of the table that says which hashes the items have at all.
 BITS = 1 << 23
 #: An overlap counts from so many equal words (or the item's own, if fewer), so much of the aligned part and of an item this short.
@@ -32,6 +32,36 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(TO_WORDS).split()
 
 
+def run_length(n: int) -> int:
+    """The equal words in a row that each overlap with an item of n words has somewhere, if it counts."""
+    if n < EXACT:
+        return n
+    least = next(k for k in range(n + 1) if k >= min(MATCHES, SHARE * n))
+    # with m different words there are m + 1 runs, and at least 4 m equal words
+    return min(-(-max(least, 4 * m) // (m + 1)) for m in range(n // 5 + 1) if least + m <= n)
+
+
+def runs(words: list[bytes], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of all runs of each of the lengths."""
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for n in lengths:
+        if len(words) >= n:
+            out = np.full(len(h) - n + 1, 137 * n, np.uint64)
+            for j in range(n):
+                out = (out ^ h[j : j + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(32)
+            hashes.append(out)
+            places.append(np.arange(len(out)))
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def both_kinds(words: list[bytes], spans: list[int], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of the spans and the runs of the lengths."""
+    (a, b), (c, d) = seeds(words, spans), runs(words, lengths)
+    return np.concatenate((a, c)), np.concatenate((b, d))
+
+
 def seeds(words: list[bytes], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, places) of each mask at each place; a mask is cut to each of the lengths (SPAN among them, or not)."""
     h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
@@ -56,7 +86,8 @@ def item_seeds(bench: DataFrame) -> DataFrame:
         rows: dict = {"hash": [], "item_id": [], "place": [], "n": []}
         for i, text in zip(ids.to_pylist(), texts):
             words = words_of(text)
-            h, at = seeds(words, [min(SPAN, len(words))] if len(words) >= LEAST else [])
+            n = len(words)
+            h, at = both_kinds(words, [min(SPAN, n)] if n >= EXACT else [], [run_length(n)] if n >= LEAST else [])
             rows["hash"] += h.view(np.int64).tolist()
             rows["place"] += at.tolist()
             rows["item_id"] += [i] * len(h)
@@ -68,7 +99,7 @@ def item_seeds(bench: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches(fn, schema), "hash long, item_id long, place long, n long")
 
 
-def _hits(lengths: list[int], table: bytes):
+def _hits(spans: list[int], lengths: list[int], table: bytes):
     """The seeds of documents that the table of bits has."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +107,7 @@ def _hits(lengths: list[int], table: bytes):
         for batch in it:
             found: list = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, at = seeds(words_of(text), lengths)
+                h, at = both_kinds(words_of(text), spans, lengths)
                 slot = (h & np.uint64(BITS - 1)).astype(np.int64)
                 some = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 found.append((np.full(len(some), i), h[some].view(np.int64), at[some]))
@@ -110,7 +141,7 @@ def overlap(doc: list[bytes], item: list[bytes], shift: int, place: int) -> tupl
     same = np.array([x == y for x, y in zip(item[a:b], doc[a + shift : b + shift])], bool)
     lo, hi = _extend(same, place - a)
     n, equal = hi - lo, int(same[lo:hi].sum())
-    enough = min(MATCHES, SHARE * len(item))
+    enough = min(MATCHES, SHARE * len(item)) if len(item) >= EXACT else len(item)
     return (a + lo + shift, n, equal) if n and equal >= enough and equal >= SHARE * n else None
 
 
@@ -118,7 +149,7 @@ def overlaps_at(doc: list[bytes], item: list[bytes], shift: int) -> Iterator[tup
     """The overlaps at this shift: from each place of it that no overlap before it holds."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     equal = sum(x == y for x, y in zip(item[a:b], doc[a + shift : b + shift]))
-    if equal < min(MATCHES, SHARE * len(item)):
+    if equal < (min(MATCHES, SHARE * len(item)) if len(item) >= EXACT else len(item)):
         return
     k = a
     while k < b:
@@ -151,22 +182,24 @@ def _verified():
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, n_equal): the best overlap of each document with each item that it holds.
 
-    A seed ignores the places its mask leaves out, so a passage is met though words of it were replaced.
+    A seed ignores the places its mask leaves out, so a passage is met though words of it were replaced; besides,
+    each overlap that counts has run_length equal words in a row, so the runs of that length miss none.
     The seeds of documents are first looked up in a table of BITS bits that has a bit for each hash of the items (of a
     fixed size, however many they are; it only saves rows), then joined with the items' seeds; around
-    each alignment with a hit all overlaps are verified word by word. Items of fewer than LEAST words are left out, and so
+    each alignment with a hit all overlaps are verified word by word. Items without a word are left out, and so
     are null texts, null ids of items and rows without an overlap. Of rows that repeat a doc_id each is
     looked at; equal results are given once. No documents or no items: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     items = materialize(item_seeds(bench))
-    # both are small whatever the tables hold: at most BITS slots, at most SPAN - LEAST + 1 lengths
+    # both are small whatever the tables hold: at most BITS slots, at most 16 lengths (run_length is 4 from 16 words on)
     slots = np.array([r[0] for r in items.select(F.col("hash").bitwiseAND(BITS - 1)).distinct().toLocalIterator()], np.int64)
-    lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(SPAN))).distinct().collect())
+    sizes = {r[0] for r in items.select(F.least("n", F.lit(16))).distinct().collect()}
+    spans, lengths = sorted({min(SPAN, n) for n in sizes if n >= EXACT}), sorted({run_length(n) for n in sizes})
     bits = np.zeros(BITS, bool)
     bits[slots] = True
     table = np.packbits(bits, bitorder="little").tobytes()
-    hits = docs.mapInArrow(_hits(lengths, table), "doc_id long, hash long, at long")
+    hits = docs.mapInArrow(_hits(spans, lengths, table), "doc_id long, hash long, at long")
     shift = F.col("at") - F.col("place")
     found = materialize(hits.join(items, "hash").select("doc_id", "item_id", shift.alias("shift")).distinct())
     texts = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text")).where("item_text is not null")
