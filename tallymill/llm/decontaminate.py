@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize
+from .common import batches, materialize, row_key
 
 #: The spaced seeds. 1 is a word that counts, 0 one that may differ.
 MASKS = ("111010010111", "110111001011", "101100111101", "111101011010")
@@ -209,6 +209,7 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id has no overlap with an item; columns as they were."""
-    hit = overlaps(docs, bench).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__hit"]), "left_anti")
+    """The rows of docs that have no overlap with an item, whatever their doc_id; columns as they were."""
+    keyed = docs.withColumn("__row", row_key(docs))
+    hit = overlaps(keyed.select(F.col("__row").alias("doc_id"), "text"), bench).select(F.col("doc_id").alias("__hit")).distinct()
+    return keyed.join(hit, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")

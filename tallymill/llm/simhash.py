@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, materialize
+from .common import batches, materialize, row_key
 from .components import components
 
 SEED = 42
@@ -238,11 +238,6 @@ def sketch(text: str | None, words: int, n: int) -> tuple[int, int, list[int]]:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).astype(np.int64)), fp, np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A key for each row of docs, of its id and text: ids may be null or stand for several texts."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-
-
 def _similar_links(tree: list[tuple], probes: list[tuple], words: int, radius: int, share: float) -> list[tuple[int, int]]:
     """Links between rows (fp, node, text) of at least that similarity, as many as join what such links join.
 
