@@ -132,10 +132,22 @@ def plan_violations(runs: DataFrame, responses: DataFrame, questions: DataFrame,
     return rows.unionByName(full).unionByName(per_run)
 
 
-def group_value(value: Column) -> Column:
+def group_value(value: Column | None, kind: str = "string") -> Column:
+    """A metadata value as the name of a group: true and false for booleans, trimmed text for other scalars; `__ungrouped__` for
+    blank and nested values (`kind` is the column's type); `all` where there is no dimension to group by."""
+    if value is None:
+        return F.lit("all")
+    if kind.startswith(("struct", "array", "map", "binary")):
+        return F.lit(UNGROUPED)
     return F.coalesce(F.nullif(F.trim(value.cast("string")), F.lit("")), F.lit(UNGROUPED))
 
 
+def metadata_group(metadata: Column, field: str) -> Column:
+    """group_value of a field of JSON metadata: objects, arrays and null are no groups."""
+    value = F.get_json_object(metadata, f"$.{field}")
+    return F.when(F.trim(value).rlike(r"^[\[{]"), F.lit(UNGROUPED)).otherwise(group_value(value))
+
+
 def choose_group_field(questions: DataFrame, fields: list[str]) -> DataFrame:
     """(benchmark_id, field): the field with the most non-blank values; of equals the first of `fields`; null without any."""
     rank = [F.struct(F.count_if(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "").alias("n"), F.lit(-k).alias("k"), F.lit(f).alias("field")) for k, f in enumerate(fields)]
@@ -154,11 +166,13 @@ def report_groups(runs: DataFrame, responses: DataFrame, questions: DataFrame, f
 
 
 def report_summary(runs: DataFrame, responses: DataFrame, questions: DataFrame, field: str) -> DataFrame:
-    """The groups' sums and, with a null group, their run's, by one grouping of additive parts."""
+    """The groups' sums and, with a null group, their run's, by one grouping of additive parts; with the run's provenance. A run without a response has a row of zeros."""
     named = questions.select("question_id", group_value(F.col(field)).alias("group_value"))
     parts = sums(responses.join(named, "question_id"), "run_id", "group_value")
     both = parts.rollup("run_id", "group_value").agg(F.grouping("run_id").alias("g"), F.sum("responses").alias("responses"), F.bround(F.sum("score_sum"), 0).cast("long").alias("correct"), F.sum("errors").alias("errors"))
-    return both.where("g = 0").select("run_id", "group_value", "responses", "correct", "errors").join(runs.select("run_id", "protocol", "dataset_hash"), "run_id")
+    told = runs.select("run_id", "protocol", "benchmark_id", "benchmark_version", "dataset_hash", "prompt_template", "evaluator", "model_id")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return told.join(both.where("g = 0"), "run_id", "left").select("run_id", "group_value", *map(zero, ("responses", "correct", "errors")), *told.columns[1:])
 
 
 def usage_coverage(responses: DataFrame) -> DataFrame:
@@ -176,26 +190,48 @@ def leaderboard(runs: DataFrame, evidence: DataFrame, models: DataFrame, benchma
     return named.select("protocol", "slug", "benchmark_version", "dataset_hash", rank.cast("long").alias("rank"), "run_id", "model_name", "score", "completion_rate", "answered_accuracy", "average_latency_ms")
 
 
-def comparable_runs(runs: DataFrame) -> DataFrame:
-    """(run_id, comparison_key, peers): runs with the same protocol, data and settings may be compared."""
-    settings = F.to_json(F.struct("protocol", "benchmark_id", "benchmark_version", "dataset_hash", "temperature_setting", "total_questions"), {"ignoreNullFields": "false"})
-    keyed = runs.select("run_id", F.sha2(settings, 256).alias("comparison_key"))
+#: The orders of a leaderboard's page; runs that tie stand newest first, then by id.
+ORDERS = {"score_desc": ("score", False), "score_asc": ("score", True), "latency_asc": ("average_latency_ms", True), "newest": ("finished_at", False)}
+
+
+def leaderboard_page(runs: DataFrame, evidence: DataFrame, models: DataFrame, benchmarks: DataFrame, protocol: str, order: str = "score_desc", model_id: int | None = None, benchmark_id: int | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of one protocol's completed runs in one of ORDERS, with their rank inside (benchmark, version, hash) and the total of all that match.
+
+    What is unknown stands last.
+    """
+    column, rising = ORDERS[order]
+    rows = runs.where((F.col("protocol") == protocol) & (F.col("status") == "completed"))
+    ranked = leaderboard(rows, evidence, models, benchmarks).join(rows.select("run_id", "model_id", "benchmark_id", "finished_at"), "run_id")
+    by = F.asc_nulls_last(column) if rising else F.desc_nulls_last(column)
+    return page(ranked, {"model_id": model_id, "benchmark_id": benchmark_id}, [by, F.desc_nulls_last("finished_at"), F.asc("run_id")], offset, limit)
+
+
+#: What two runs must have in common to be compared.
+SETTINGS = ("protocol", "benchmark_id", "benchmark_version", "dataset_hash", "total_questions", "prompt_template", "evaluator", "temperature_setting", "max_tokens", "concurrency", "max_attempts")
+
+
+def comparable_runs(runs: DataFrame, settings: tuple[str, ...] = SETTINGS) -> DataFrame:
+    """(run_id, comparison_key, peers): runs with the same protocol, data, prompt, evaluator, generation and execution settings may be compared."""
+    keyed = runs.select("run_id", F.sha2(F.to_json(F.struct(*settings), {"ignoreNullFields": "false"}), 256).alias("comparison_key"))
     peers = keyed.groupBy("comparison_key").agg(F.count(F.lit(1)).alias("peers"))
     return keyed.join(peers, "comparison_key").select("run_id", "comparison_key", "peers")
 
 
-def dashboard_summary(runs: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row: counts, means over completed runs, and totals that are null unless every completed run has one."""
-    rows = runs.select("run_id", "status").join(evidence, "run_id", "left")
-    done = F.col("status") == "completed"
+def dashboard_summary(runs: DataFrame, evidence: DataFrame, models: DataFrame, benchmarks: DataFrame, protocol: str) -> DataFrame:
+    """One row: how many models, benchmarks and runs there are; of the protocol's runs those completed and failed, means over
+    the completed, and totals that are 0 without one and null unless every one has reported."""
+    rows = runs.select("run_id", "status", (F.col("protocol") == protocol).alias("mine")).join(evidence, "run_id", "left")
+    done = F.col("mine") & (F.col("status") == "completed")
     value = lambda c: F.when(done, F.col(c))
-    total = lambda c: F.when((F.count_if(done) > 0) & (F.count(value(c)) == F.count_if(done)), F.sum(value(c)))
+    total = lambda c: F.when(F.count(value(c)) == F.count_if(done), F.coalesce(F.sum(value(c)), F.lit(0)))
     mean = lambda c: F.sum(value(c).cast("decimal(30,10)")).cast("double") / F.nullif(F.count(value(c)), F.lit(0))
-    return rows.agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"),
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    out = rows.agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(done).alias("completed"), F.count_if(F.col("mine") & (F.col("status") == "failed")).alias("failed"),
         mean("score").alias("average_score"), mean("average_latency_ms").alias("average_latency_ms"),
         total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total("estimated_cost").alias("estimated_cost"),
     )
+    return n(models, "models").crossJoin(n(benchmarks, "benchmarks")).crossJoin(out)  # one row each
 
 
 def newest_runs(runs: DataFrame, k: int = 5) -> DataFrame:
@@ -280,7 +316,10 @@ def render_messages(template: Column, prompt: Column, choices: Column, system: C
     return F.when(F.trim(F.coalesce(system, F.lit(""))) == "", F.array(message("user", user))).otherwise(F.array(message("system", F.trim(system)), message("user", user)))
 
 
-def freeze_run_snapshot(runs: DataFrame, models: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Runs with what they ran on as it was then: one JSON of the model and one of the benchmark."""
+def freeze_run_snapshot(runs: DataFrame, models: DataFrame, benchmarks: DataFrame, prompts: DataFrame | None = None) -> DataFrame:
+    """Runs with what they ran on as it was then: one JSON each of the model, the benchmark and the prompt (prompt_template, ...)."""
     as_json = lambda df, key, name: df.select(F.col(key), F.to_json(F.struct(*(F.col(c) for c in df.columns if c != key))).alias(name))
-    return runs.join(as_json(models, "model_id", "model_snapshot"), "model_id", "left").join(as_json(benchmarks, "benchmark_id", "benchmark_snapshot"), "benchmark_id", "left")
+    frozen = runs.join(as_json(models, "model_id", "model_snapshot"), "model_id", "left").join(as_json(benchmarks, "benchmark_id", "benchmark_snapshot"), "benchmark_id", "left")
+    if prompts is not None:
+        frozen = frozen.join(as_json(prompts, "prompt_template", "prompt_snapshot"), "prompt_template", "left")
+    return frozen

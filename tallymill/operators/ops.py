@@ -23,7 +23,7 @@ def latencies(tasks: DataFrame) -> DataFrame:
 def latency_percentiles(tasks: DataFrame, start: Column, end: Column, cap: int | None = 10_000) -> DataFrame:
     """(kind, n, p50, p95, p99, truncated) of the tasks that finished in [start, end): exact, by linear interpolation.
 
-    With a cap the first rows by (finished_at, task_id) of each kind count, as a stated sample; null means all rows.
+    With a cap the first tasks by (finished_at, task_id) count, as a stated sample of all kinds; null means all tasks.
     """
     rows = latencies(tasks).where((F.col("finished_at") >= start) & (F.col("finished_at") < end))
     long = rows.select("task_id", "finished_at", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("queue", "execution", "end_to_end"))), F.array("queue", "execution", "end_to_end"))).alias("kind", "s")).where("s >= 0")
@@ -44,23 +44,40 @@ def distribution(df: DataFrame, value: str, *keys: str) -> DataFrame:
     )
 
 
-def task_gauges(tasks: DataFrame, now: Column, max_failures: int = 3) -> DataFrame:
-    """One row of counts and sums over all tasks as of `now`."""
-    running, pending = F.col("status") == "running", F.col("status") == "pending"
-    expired = running & (F.col("lease_expires_at") < now)
-    n = F.count_if
-    return tasks.agg(
-        F.count(F.lit(1)).alias("tasks"), n(pending).alias("pending"), n(running).alias("running"), n(F.col("status") == "completed").alias("completed"), n("cancel_requested").alias("cancel_requested"),
-        n(expired).alias("expired_leases"), n(F.col("failures") > 0).alias("retried"), n(F.col("failures") >= max_failures).alias("exhausted"), F.sum("failures").alias("failures"),
-        F.sum("planned").alias("planned"), F.sum(F.least("responded", "planned")).alias("responded"), F.coalesce(F.max(F.when(expired, seconds(F.col("lease_expires_at"), now))), F.lit(0.0)).alias("oldest_expired_lease_s"),
+def due(now: Column) -> Column:
+    """A pending task whose next attempt and budget may begin; a time that is not set is no bound, and one that is now has come."""
+    come = lambda c: F.coalesce(F.col(c) <= now, F.lit(True))
+    return (F.col("status") == "pending") & come("next_attempt_at") & come("not_before")
+
+
+def lease_expired(now: Column) -> Column:
+    """A running task whose lease ended at `now` or before; without a lease there is nothing to expire."""
+    return (F.col("status") == "running") & F.coalesce(F.col("lease_expires_at") <= now, F.lit(False))
+
+
+def task_gauges(tasks: DataFrame, ledger: DataFrame, scopes: DataFrame, now: Column) -> DataFrame:
+    """One row of counts and sums over all tasks as of `now`, with calls under way (ledger) and overdrawn scopes."""
+    pending, open_ = F.col("status") == "pending", F.col("status").isin("pending", "running")
+    expired, n = lease_expired(now), F.count_if
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    row = tasks.agg(
+        n(pending).alias("pending"), n(due(now)).alias("due_pending"), n(F.col("status") == "running").alias("running"), n(expired).alias("expired_running"),
+        n(F.col("cancel_requested") & open_).alias("active_cancel_requests"), n(pending & F.col("next_attempt_at").isNotNull()).alias("retry_scheduled"),
+        n(F.col("dead_lettered_at").isNotNull()).alias("dead_lettered"), n(F.col("last_error") == "queue_unavailable").alias("queue_errors"),
+        n(open_ & (F.col("budget_status") != "unmanaged")).alias("managed_backlog"), n(F.col("budget_status") == "delayed").alias("budget_delayed"), n(F.col("budget_status") == "exhausted").alias("budget_exhausted"),
+        total("attempts").alias("attempts"), total("failures").alias("failed_attempts"), total("dispatches").alias("dispatches"),
+        F.coalesce(F.max(F.when(expired, seconds(F.col("lease_expires_at"), now))), F.lit(0.0)).alias("oldest_expired_lease_s"),
     )
+    calls = ledger.agg(n(F.col("state").isin("reserved", "send_started")).alias("active_calls"))
+    return row.crossJoin(calls).crossJoin(scopes.agg(n("overdrawn").alias("overdrawn_scopes")))  # one row each
 
 
 def due_tasks(tasks: DataFrame, now: Column, limit: int, max_failures: int = 3) -> DataFrame:
-    """Tasks that may be taken: not cancelled, not out of attempts, not complete; pending, or running with an expired lease and one more failure allowed."""
-    expired = (F.col("status") == "running") & (F.col("lease_expires_at") < now)
-    may = ~F.col("cancel_requested") & (F.col("failures") < max_failures) & (F.col("responded") < F.col("planned"))
-    rows = tasks.where(may & (((F.col("status") == "pending") & (F.col("created_at") <= now)) | (expired & (F.col("failures") + 1 < max_failures))))
+    """Tasks that may be taken: not cancelled, not out of attempts or budget, not complete; due, or running with an expired
+    lease and one more failure allowed. Expired ones first, then those served least recently."""
+    expired = lease_expired(now)
+    may = ~F.col("cancel_requested") & (F.col("failures") < max_failures) & (F.col("budget_status") != "exhausted") & (F.col("responded") < F.col("planned"))
+    rows = tasks.where(may & (due(now) | (expired & (F.col("failures") + 1 < max_failures))))
     order = [F.when(expired, 0).otherwise(1), F.coalesce("started_at", "created_at"), F.col("task_id")]
     return rows.orderBy(*order).limit(limit).select("task_id", "status", expired.alias("expired"))
 
@@ -69,24 +86,29 @@ def retry_delay(failures: Column, base: float, cap: float) -> Column:
     return F.least(F.lit(base) * F.pow(F.lit(2.0), F.greatest(failures - 1, F.lit(0))), F.lit(cap))
 
 
-def worker_liveness(workers: DataFrame, now: Column, stale_s: int, wanted: int) -> DataFrame:
+def worker_liveness(workers: DataFrame, now: Column, stale_s: int, wanted: int, live: Column | None = None) -> DataFrame:
     """One row: registered, live (seen at or after now - stale), stalled, and how many of those wanted are short. Stopped workers don't count."""
-    active, live = F.col("stopped_at").isNull(), seconds(F.col("last_seen_at"), now) <= stale_s
+    active, live = F.col("stopped_at").isNull(), seconds(F.col("last_seen_at"), now) <= stale_s if live is None else live
     out = workers.agg(F.count_if(active).alias("registered"), F.count_if(active & live).alias("live"), F.max(F.when(active, F.col("last_claim_at"))).alias("newest_claim"), F.max(F.when(active, F.col("last_progress_at"))).alias("newest_progress"))
     return out.withColumns({"stalled": F.col("registered") - F.col("live"), "shortfall": F.greatest(F.lit(0).cast("long"), F.lit(wanted) - F.col("live"))})
 
 
 def worker_oldest_activity(workers: DataFrame, now: Column) -> DataFrame:
-    """(activity, age_s) of the oldest of each kind among workers that are not stopped; an age below 0 is a fault of the clocks."""
+    """(activity, age_s) of the oldest of each kind among workers that are not stopped; an age below 0 is a fault of the clocks. `now` is an aggregate or a constant."""
     kinds = ["last_seen_at", "last_claim_at", "last_progress_at"]
-    row = workers.where("stopped_at IS NULL").agg(*(F.min(k).alias(k) for k in kinds))
-    return row.unpivot([], kinds, "activity", "at").select("activity", seconds(F.col("at"), now).alias("age_s"))
+    row = workers.where("stopped_at IS NULL").agg(*(F.min(k).alias(k) for k in kinds), now.alias("now"))
+    return row.unpivot(["now"], kinds, "activity", "at").select("activity", seconds(F.col("at"), F.col("now")).alias("age_s"))
 
 
-def metrics_long(gauges: DataFrame) -> DataFrame:
-    """(metric, value): a row of gauges turned into rows; null, negative and non-finite values are left out."""
-    wide = gauges.select(*(F.col(c).cast("double").alias(c) for c in gauges.columns))
-    return wide.unpivot([], wide.columns, "metric", "value").where("value >= 0 AND value < double('infinity')")
+def metrics_long(gauges: DataFrame, at: Column, names: dict[str, tuple[str, dict[str, str]]] | None = None) -> DataFrame:
+    """(metric, labels, value, at): a row of gauges turned into rows; null, negative and non-finite values are left out.
+
+    `names` gives columns the metric and labels (from closed sets) that they stand for; others have their own name and no label.
+    """
+    names = names or {}
+    rows = [(F.lit(names.get(c, (c, {}))[0]), F.create_map(*(F.lit(x) for kv in names.get(c, (c, {}))[1].items() for x in kv)).cast("map<string,string>"), F.col(f"`{c}`").cast("double")) for c in gauges.columns]
+    each = F.array(*(F.struct(m.alias("metric"), labels.alias("labels"), v.alias("value")) for m, labels, v in rows))
+    return gauges.select(F.explode(each).alias("g")).select("g.*", at.alias("at")).where("value >= 0 AND value < double('infinity')")
 
 
 def trial_statistics(samples: DataFrame) -> DataFrame:
@@ -140,9 +162,22 @@ def events_in_windows(events: DataFrame, windows: DataFrame, at: str = "occurred
     return events.withColumn("day", day(at)).join(days, "day").where((F.col(at) >= F.col("start")) & (F.col(at) < F.col("end"))).drop("day")
 
 
-def alert_conditions(gauges: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """(alert, firing) for each named predicate over a row of gauges."""
-    rows = F.array(*(F.struct(F.lit(name).alias("alert"), F.coalesce(F.expr(cond), F.lit(False)).alias("firing")) for name, cond in rules))
+#: The alerts, when each is firing over a row of gauges, and for how many seconds it must be (see pending_alerts).
+ALERTS: list[tuple[str, str, int]] = [
+    ("metrics_unavailable", "up = 0", 120),
+    ("backlog_persistent", "due_pending > 0", 900),
+    ("dead_lettered", "dead_letter_events > 0", 0),
+    ("budget_integrity_error", "integrity_error_events > 0", 0),
+    ("budget_overdrawn", "overdrawn_scopes > 0", 0),
+    ("queue_degraded", "queue_configured = 1 AND queue_available = 0", 120),
+    ("worker_stalled", "shortfall > 0", 120),
+    ("lease_recovery_slow", "oldest_expired_lease_s > recovery_threshold_s", 60),
+]
+
+
+def alert_conditions(gauges: DataFrame, rules: list[tuple[str, str, int]] = ALERTS) -> DataFrame:
+    """(alert, hold_s, firing) for each named predicate over a row of gauges; one over an unknown value is not firing."""
+    rows = F.array(*(F.struct(F.lit(name).alias("alert"), F.lit(hold).alias("hold_s"), F.coalesce(F.expr(cond), F.lit(False)).alias("firing")) for name, cond, hold in rules))
     return gauges.select(F.explode(rows).alias("a")).select("a.*")
 
 

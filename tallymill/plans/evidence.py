@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
@@ -46,7 +49,8 @@ def rounded_sql(names: str) -> str:
 
 
 def firsts(t):
-    return ev.first_response_wins(t.responses)
+    """Without the answers' text: metrics ask only whether there is one, so its first character goes through the shuffle."""
+    return ev.first_response_wins(t.responses.withColumn("raw_response", F.substring("raw_response", 1, 1)))
 
 
 def evidence_of(t):
@@ -63,7 +67,7 @@ def run_evidence(t):
 
 @query(f"WITH {FIRST} SELECT run_id, question_id, response_id, raw_response, error_type, score, latency_ms, input_tokens, output_tokens FROM firsts")
 def first_response_wins(t):
-    return firsts(t).select("run_id", "question_id", "response_id", "raw_response", "error_type", "score", "latency_ms", "input_tokens", "output_tokens")
+    return ev.first_response_wins(t.responses).select("run_id", "question_id", "response_id", "raw_response", "error_type", "score", "latency_ms", "input_tokens", "output_tokens")
 
 
 @query("SELECT run_id, question_id, CAST(1 AS BIGINT) AS stored, count(*) - 1 AS already_present FROM {responses} GROUP BY run_id, question_id")
@@ -133,7 +137,7 @@ def report_groups(t):
 
 @query(f"""WITH {FIRST}, q AS (SELECT question_id, coalesce(nullif(trim(topic), ''), '__ungrouped__') AS group_value FROM {{questions}}),
 g AS (SELECT run_id, group_value, count(*) AS responses, CAST(round_even(sum(score), 0) AS BIGINT) AS correct, count(error_type) AS errors FROM firsts f JOIN q ON f.question_id = q.question_id GROUP BY GROUPING SETS ((run_id, group_value), (run_id)))
-SELECT g.*, protocol, dataset_hash FROM g JOIN {{runs}} r ON g.run_id = r.run_id""")
+SELECT r.run_id, group_value, coalesce(responses, 0) AS responses, coalesce(correct, 0) AS correct, coalesce(errors, 0) AS errors, protocol, benchmark_id, benchmark_version, dataset_hash, prompt_template, evaluator, model_id FROM {{runs}} r LEFT JOIN g ON g.run_id = r.run_id""")
 def report_summary(t):
     return ev.report_summary(t.runs, firsts(t), t.questions, "topic")
 
@@ -144,14 +148,38 @@ def usage_coverage(t):
     return rounded(ev.usage_coverage(t.responses), [])
 
 
-@query(f"""WITH {EVIDENCE} SELECT count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
-  round(avg(score) FILTER (status = 'completed'), 6) AS average_score, round(avg(average_latency_ms) FILTER (status = 'completed'), 6) AS average_latency_ms,
-  CAST(CASE WHEN count(input_tokens) FILTER (status = 'completed') = count(*) FILTER (status = 'completed') THEN sum(input_tokens) FILTER (status = 'completed') END AS BIGINT) AS input_tokens,
-  CAST(CASE WHEN count(output_tokens) FILTER (status = 'completed') = count(*) FILTER (status = 'completed') THEN sum(output_tokens) FILTER (status = 'completed') END AS BIGINT) AS output_tokens,
-  CAST(CASE WHEN count(estimated_cost) FILTER (status = 'completed') = count(*) FILTER (status = 'completed') THEN sum(estimated_cost) FILTER (status = 'completed') END AS DOUBLE) AS estimated_cost
+DONE = "status = 'completed' AND protocol = 'protocol-v1'"
+
+
+@query(f"""WITH {EVIDENCE} SELECT (SELECT count(*) FROM {{models}}) AS models, (SELECT count(*) FROM {{benchmarks}}) AS benchmarks, count(*) AS runs, count(*) FILTER ({DONE}) AS completed, count(*) FILTER (status = 'failed' AND protocol = 'protocol-v1') AS failed,
+  round(avg(score) FILTER ({DONE}), 6) AS average_score, round(avg(average_latency_ms) FILTER ({DONE}), 6) AS average_latency_ms,
+  CAST(CASE WHEN count(input_tokens) FILTER ({DONE}) = count(*) FILTER ({DONE}) THEN coalesce(sum(input_tokens) FILTER ({DONE}), 0) END AS BIGINT) AS input_tokens,
+  CAST(CASE WHEN count(output_tokens) FILTER ({DONE}) = count(*) FILTER ({DONE}) THEN coalesce(sum(output_tokens) FILTER ({DONE}), 0) END AS BIGINT) AS output_tokens,
+  CAST(CASE WHEN count(estimated_cost) FILTER ({DONE}) = count(*) FILTER ({DONE}) THEN coalesce(sum(estimated_cost) FILTER ({DONE}), 0) END AS DOUBLE) AS estimated_cost
 FROM {{runs}} r JOIN evidence e ON r.run_id = e.run_id""")
 def dashboard_summary(t):
-    return rounded(ev.dashboard_summary(t.runs, evidence_of(t)), ["average_score", "average_latency_ms"])
+    return rounded(ev.dashboard_summary(t.runs, evidence_of(t), t.models, t.benchmarks, "protocol-v1"), ["average_score", "average_latency_ms"])
+
+
+@query(f"""WITH {EVIDENCE} SELECT (SELECT count(*) FROM {{models}}) AS models, (SELECT count(*) FROM {{benchmarks}}) AS benchmarks, count(*) AS runs, CAST(0 AS BIGINT) AS completed, CAST(0 AS BIGINT) AS failed,
+  CAST(0 AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS output_tokens, CAST(0 AS DOUBLE) AS estimated_cost FROM {{runs}} r JOIN evidence e ON r.run_id = e.run_id""")
+def dashboard_without_runs(t):
+    """Of a protocol that no run has: totals are 0, not unknown."""
+    return rounded(ev.dashboard_summary(t.runs, evidence_of(t), t.models, t.benchmarks, "none such"), []).drop("average_score", "average_latency_ms")
+
+
+PAGES = {"score_desc": "score DESC NULLS LAST", "score_asc": "score ASC NULLS LAST", "latency_asc": "average_latency_ms ASC NULLS LAST", "newest": "finished_at DESC NULLS LAST"}
+PAGE = lambda name, by: f"(SELECT '{name}' AS page, run_id, rank, round(score, 6) AS score, (SELECT count(*) FROM ranked WHERE benchmark_id = 1) AS total FROM ranked WHERE benchmark_id = 1 ORDER BY {by}, finished_at DESC NULLS LAST, run_id LIMIT 20 OFFSET 3)"
+
+
+@query(f"""WITH {EVIDENCE}, ranked AS (SELECT r.run_id, r.benchmark_id, finished_at, score, average_latency_ms,
+  row_number() OVER (PARTITION BY r.benchmark_id ORDER BY score DESC NULLS LAST, average_latency_ms ASC NULLS LAST, finished_at DESC NULLS LAST, r.run_id) AS rank FROM {{runs}} r JOIN evidence e ON r.run_id = e.run_id WHERE {DONE})
+{" UNION ALL ".join(PAGE(name, by) for name, by in PAGES.items())}""")
+def leaderboard_page(t):
+    """One page in each of the orders."""
+    evidence = evidence_of(t)
+    pages = [ev.leaderboard_page(t.runs, evidence, t.models, t.benchmarks, "protocol-v1", order, benchmark_id=1, offset=3).select(F.lit(order).alias("page"), "run_id", "rank", F.round("score", 6).alias("score"), "total") for order in PAGES]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query("SELECT run_id, model_id, benchmark_id FROM {runs} WHERE status = 'completed' ORDER BY finished_at DESC NULLS LAST, run_id LIMIT 5")
@@ -159,12 +187,22 @@ def newest_runs(t):
     return ev.newest_runs(t.runs).select("run_id", "model_id", "benchmark_id")
 
 
-@query("""SELECT run_id, sha256('{{"protocol":"' || protocol || '","benchmark_id":' || benchmark_id || ',"benchmark_version":"' || benchmark_version || '","dataset_hash":"' || dataset_hash || '","temperature_setting":' || temperature_setting || ',"total_questions":' || total_questions || '}}') AS comparison_key,
-  count(*) OVER (PARTITION BY protocol, benchmark_id, benchmark_version, dataset_hash, temperature_setting, total_questions) AS peers FROM {runs}""".replace("{{", "{").replace("}}", "}"))
+TEXTS = ("protocol", "benchmark_version", "dataset_hash", "prompt_template", "evaluator")
+SETTINGS = " || ',' || ".join(f"""'"{c}":' || '"' || {c} || '"'""" if c in TEXTS else f"""'"{c}":' || {c}""" for c in ev.SETTINGS)
+
+
+@query(f"""SELECT run_id, sha256('{{{{' || {SETTINGS} || '}}}}') AS comparison_key, count(*) OVER (PARTITION BY {", ".join(ev.SETTINGS)}) AS peers FROM {{runs}}""".replace("{{'", "{'").replace("}}'", "}'"))
 def comparable_runs(t):
     return ev.comparable_runs(t.runs)
 
 
+@query("""SELECT question_id, CASE WHEN question_id % 5 = 0 THEN 'true' WHEN question_id % 5 = 1 THEN '__ungrouped__' WHEN question_id % 5 = 2 THEN '__ungrouped__' WHEN question_id % 5 = 3 THEN CAST(position AS VARCHAR) ELSE category END AS by_field, 'all' AS without_field FROM {questions}""")
+def group_value(t):
+    """Metadata as JSON has it: a boolean, an object, a blank, a number, a text between spaces."""
+    metadata = F.expr("""concat('{"g":', CASE question_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '{"x":1}' WHEN 2 THEN '"  "' WHEN 3 THEN CAST(position AS STRING) ELSE concat('" ', category, ' "') END, '}')""")
+    return t.questions.select("question_id", ev.metadata_group(metadata, "g").alias("by_field"), ev.group_value(None).alias("without_field"))
+
+
 @query("""SELECT r.run_id, q.question_id, q.position FROM {runs} r JOIN {questions} q ON r.benchmark_id = q.benchmark_id WHERE status = 'running'
 AND NOT EXISTS (SELECT 1 FROM {responses} x WHERE x.run_id = r.run_id AND x.question_id = q.question_id)""")
 def pending_questions(t):
@@ -213,10 +251,11 @@ def render_messages(t):
     return made.select("question_id", F.get(F.transform("m", lambda x: x["content"]), F.size("m") - 1).alias("content"), F.size("m").alias("n_messages"))
 
 
-@query("""SELECT run_id, name AS model_name, slug, CAST(m.input_price AS DOUBLE) AS input_price FROM {runs} r LEFT JOIN {models} m ON r.model_id = m.model_id LEFT JOIN {benchmarks} b ON r.benchmark_id = b.benchmark_id""")
+@query("""SELECT run_id, name AS model_name, slug, CAST(m.input_price AS DOUBLE) AS input_price, prompt_template || ': {{prompt}}' AS prompt FROM {runs} r LEFT JOIN {models} m ON r.model_id = m.model_id LEFT JOIN {benchmarks} b ON r.benchmark_id = b.benchmark_id""".replace("{{prompt}}", "' || chr(123) || 'prompt' || chr(125) || '"))
 def freeze_run_snapshot(t):
-    frozen = ev.freeze_run_snapshot(t.runs, t.models, t.benchmarks)
-    return frozen.select("run_id", F.get_json_object("model_snapshot", "$.name").alias("model_name"), F.get_json_object("benchmark_snapshot", "$.slug").alias("slug"), F.get_json_object("model_snapshot", "$.input_price").cast("double").alias("input_price"))
+    prompts = t.runs.select("prompt_template").distinct().withColumn("user", F.concat("prompt_template", F.lit(": {prompt}")))
+    frozen = ev.freeze_run_snapshot(t.runs, t.models, t.benchmarks, prompts)
+    return frozen.select("run_id", F.get_json_object("model_snapshot", "$.name").alias("model_name"), F.get_json_object("benchmark_snapshot", "$.slug").alias("slug"), F.get_json_object("model_snapshot", "$.input_price").cast("double").alias("input_price"), F.get_json_object("prompt_snapshot", "$.user").alias("prompt"))
 
 
 @query("""SELECT question_id, benchmark_id, position, category, (SELECT count(*) FROM {questions} WHERE benchmark_id = 2) AS total FROM {questions} WHERE benchmark_id = 2 ORDER BY position LIMIT 30 OFFSET 5""")

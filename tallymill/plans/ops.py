@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ops
+from ..operators import ledger, ops
+from . import ledger as lg
 from .registry import query
 
 NOW = "TIMESTAMP '1996-01-01 00:00:00'"
@@ -39,32 +40,61 @@ def distribution(t):
     return ops.distribution(t.responses, "latency_ms", "run_id")
 
 
-GAUGES = f"""SELECT count(*) AS tasks, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (cancel_requested) AS cancel_requested,
-  count(*) FILTER (status = 'running' AND lease_expires_at < {NOW}) AS expired_leases, count(*) FILTER (failures > 0) AS retried, count(*) FILTER (failures >= 3) AS exhausted, CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(planned) AS BIGINT) AS planned,
-  CAST(sum(least(responded, planned)) AS BIGINT) AS responded, coalesce(max(CASE WHEN status = 'running' AND lease_expires_at < {NOW} THEN (epoch_us({NOW}) - epoch_us(lease_expires_at)) / 1000000 END), 0.0) AS oldest_expired_lease_s FROM {{tasks}}"""
+DUE = f"status = 'pending' AND (next_attempt_at IS NULL OR next_attempt_at <= {NOW}) AND (not_before IS NULL OR not_before <= {NOW})"
+EXPIRED = f"status = 'running' AND lease_expires_at <= {NOW}"
+GAUGES = f"""{lg.FACTS}, scopes AS (SELECT scope_type, scope_id, coalesce(bool_or({lg.OVER}), false) AS overdrawn FROM facts GROUP BY scope_type, scope_id),
+g AS (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER ({DUE}) AS due_pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER ({EXPIRED}) AS expired_running,
+  count(*) FILTER (cancel_requested AND status IN ('pending', 'running')) AS active_cancel_requests, count(*) FILTER (status = 'pending' AND next_attempt_at IS NOT NULL) AS retry_scheduled,
+  count(dead_lettered_at) AS dead_lettered, count(*) FILTER (last_error = 'queue_unavailable') AS queue_errors, count(*) FILTER (status IN ('pending', 'running') AND budget_status <> 'unmanaged') AS managed_backlog,
+  count(*) FILTER (budget_status = 'delayed') AS budget_delayed, count(*) FILTER (budget_status = 'exhausted') AS budget_exhausted,
+  CAST(coalesce(sum(attempts), 0) AS BIGINT) AS attempts, CAST(coalesce(sum(failures), 0) AS BIGINT) AS failed_attempts, CAST(coalesce(sum(dispatches), 0) AS BIGINT) AS dispatches,
+  coalesce(max(CASE WHEN {EXPIRED} THEN (epoch_us({NOW}) - epoch_us(lease_expires_at)) / 1000000 END), 0.0) AS oldest_expired_lease_s,
+  (SELECT count(*) FROM {{ledger}} WHERE state IN ('reserved', 'send_started')) AS active_calls, (SELECT count(*) FROM scopes WHERE overdrawn) AS overdrawn_scopes FROM {{tasks}})"""
 
 
-@query(GAUGES)
+def gauges(t):
+    return ops.task_gauges(t.tasks, t.ledger, ledger.scope_rollup(lg.facts(t)), F.expr(NOW))
+
+
+@query(f"WITH {GAUGES} SELECT * FROM g")
 def task_gauges(t):
-    return ops.task_gauges(t.tasks, F.expr(NOW))
+    return gauges(t)
 
 
-@query(f"WITH g AS ({GAUGES}) SELECT metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM g) ON COLUMNS(*) INTO NAME metric VALUE value)")
+@query(f"""WITH {GAUGES} SELECT CASE WHEN k IN ('pending', 'running') THEN 'tasks' ELSE k END AS metric, CASE WHEN k IN ('pending', 'running') THEN 'status=' || k ELSE '' END AS labels, CAST(value AS DOUBLE) AS value, 820454400 AS moment
+FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM g) ON COLUMNS(*) INTO NAME k VALUE value)""")
 def metrics_long(t):
-    return ops.metrics_long(ops.task_gauges(t.tasks, F.expr(NOW)))
+    long = ops.metrics_long(gauges(t), F.expr(NOW), {s: ("tasks", {"status": s}) for s in ("pending", "running")})
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return long.select("metric", labels.alias("labels"), "value", F.unix_seconds("at").alias("moment"))
 
 
-@query(f"WITH g AS ({GAUGES}) SELECT 'expired_leases' AS alert, expired_leases > 10 AS firing FROM g UNION ALL SELECT 'backlog', pending > 1000000 FROM g UNION ALL SELECT 'exhausted', exhausted > 0 FROM g")
+@query(f"""WITH {GAUGES}, e AS (SELECT count(*) FILTER (event_type = 'run_dead_lettered') AS dead, count(*) FILTER (event_type = 'governance_integrity_error') AS integrity FROM {{audit_events}}),
+w AS (SELECT count(*) FILTER (stopped_at IS NULL) AS live FROM {{workers}})
+SELECT a.alert, CAST(a.hold_s AS INT) AS hold_s, a.firing FROM g, e, w, unnest([{{'alert': 'metrics_unavailable', 'hold_s': 120, 'firing': false}}, {{'alert': 'backlog_persistent', 'hold_s': 900, 'firing': due_pending > 0}}, {{'alert': 'dead_lettered', 'hold_s': 0, 'firing': dead > 0}},
+  {{'alert': 'budget_integrity_error', 'hold_s': 0, 'firing': integrity > 0}}, {{'alert': 'budget_overdrawn', 'hold_s': 0, 'firing': overdrawn_scopes > 0}}, {{'alert': 'queue_degraded', 'hold_s': 120, 'firing': queue_errors > 0}},
+  {{'alert': 'worker_stalled', 'hold_s': 120, 'firing': live < 100000}}, {{'alert': 'lease_recovery_slow', 'hold_s': 60, 'firing': oldest_expired_lease_s > 300}}]) AS u(a)""".replace("{{'", "{'").replace("}},", "},").replace("}}]", "}]"))
 def alert_conditions(t):
-    return ops.alert_conditions(ops.task_gauges(t.tasks, F.expr(NOW)), [("expired_leases", "expired_leases > 10"), ("backlog", "pending > 1000000"), ("exhausted", "exhausted > 0")])
+    events = t.audit_events.agg(F.count_if(F.col("event_type") == "run_dead_lettered").alias("dead_letter_events"), F.count_if(F.col("event_type") == "governance_integrity_error").alias("integrity_error_events"))
+    short = ops.worker_liveness(t.workers, F.lit(None).cast("timestamp"), 0, 100_000, live=F.lit(True)).select("shortfall")
+    row = gauges(t).crossJoin(events).crossJoin(short)  # one row each
+    return ops.alert_conditions(row.withColumns({"up": F.lit(1), "queue_configured": F.lit(1), "queue_available": F.expr("if(queue_errors > 0, 0, 1)"), "recovery_threshold_s": F.lit(300)}))
 
 
-@query(f"""SELECT task_id, status, status = 'running' AS expired FROM {{tasks}} WHERE NOT cancel_requested AND failures < 3 AND responded < planned
-AND ((status = 'pending' AND created_at <= {NOW}) OR (status = 'running' AND lease_expires_at < {NOW} AND failures + 1 < 3)) ORDER BY CASE WHEN status = 'running' THEN 0 ELSE 1 END, coalesce(started_at, created_at), task_id LIMIT 100""")
+@query(f"""SELECT task_id, status, status = 'running' AS expired FROM {{tasks}} WHERE NOT cancel_requested AND failures < 3 AND budget_status <> 'exhausted' AND responded < planned
+AND (({DUE}) OR ({EXPIRED} AND failures + 1 < 3)) ORDER BY CASE WHEN status = 'running' THEN 0 ELSE 1 END, coalesce(started_at, created_at), task_id LIMIT 100""")
 def due_runs(t):
     return ops.due_tasks(t.tasks, F.expr(NOW), 100)
 
 
+@query(f"SELECT task_id, lease_expires_at = {NOW} AS at_the_bound FROM {{tasks}} WHERE {EXPIRED} UNION ALL SELECT task_id, next_attempt_at = {NOW} OR not_before = {NOW} FROM {{tasks}} WHERE {DUE}")
+def due_at_the_bound(t):
+    """All that is due or expired, those at the very time too."""
+    now = F.expr(NOW)
+    at = F.when(F.col("status") == "running", F.col("lease_expires_at") == now).otherwise((F.col("next_attempt_at") == now) | (F.col("not_before") == now))
+    return t.tasks.where(ops.lease_expired(now) | ops.due(now)).select("task_id", at.alias("at_the_bound"))
+
+
 @query("SELECT task_id, least(2.0 * pow(2, greatest(failures - 1, 0)), 6.0) AS delay_s FROM {tasks}")
 def retry_delay(t):
     return t.tasks.select("task_id", ops.retry_delay(F.col("failures"), 2.0, 6.0).alias("delay_s"))
@@ -73,21 +103,22 @@ def retry_delay(t):
 LATEST = "(SELECT max(last_seen_at) FROM {workers})"
 
 
-def latest(t):
-    return F.lit(t.workers.agg(F.max("last_seen_at")).first()[0])
+def seen(t):
+    """Workers with the time at which the last of all was seen."""
+    return t.workers.crossJoin(t.workers.agg(F.max("last_seen_at").alias("latest")))  # one row
 
 
 @query(f"""SELECT count(*) FILTER (stopped_at IS NULL) AS registered, count(*) FILTER (stopped_at IS NULL AND epoch_us({LATEST}) - epoch_us(last_seen_at) <= 3600000000) AS live,
   count(*) FILTER (stopped_at IS NULL AND epoch_us({LATEST}) - epoch_us(last_seen_at) > 3600000000) AS stalled, greatest(0, 500 - count(*) FILTER (stopped_at IS NULL AND epoch_us({LATEST}) - epoch_us(last_seen_at) <= 3600000000)) AS shortfall FROM {{workers}}""")
 def worker_liveness(t):
-    return ops.worker_liveness(t.workers, latest(t), 3600, 500).select("registered", "live", "stalled", "shortfall")
+    return ops.worker_liveness(seen(t), F.col("latest"), 3600, 500).select("registered", "live", "stalled", "shortfall")
 
 
 @query("""SELECT activity, round((epoch_us(m) - epoch_us(moment)) / 1000000, 6) AS age_s FROM (
   SELECT 'last_seen_at' AS activity, min(last_seen_at) AS moment FROM {workers} WHERE stopped_at IS NULL UNION ALL SELECT 'last_claim_at', min(last_claim_at) FROM {workers} WHERE stopped_at IS NULL UNION ALL SELECT 'last_progress_at', min(last_progress_at) FROM {workers} WHERE stopped_at IS NULL),
   (SELECT max(last_seen_at) AS m FROM {workers})""")
 def worker_oldest_activity(t):
-    return rounded(ops.worker_oldest_activity(t.workers, latest(t)), "age_s")
+    return rounded(ops.worker_oldest_activity(seen(t), F.max("latest")), "age_s")
 
 
 STATS = "s AS (SELECT cell, count(*) AS n, avg(sample) AS mean, quantile_cont(sample, 0.5) AS median, stddev_samp(sample) AS deviation FROM few GROUP BY cell)"
@@ -116,6 +147,7 @@ def trial_statistics_all(t):
   coalesce(CASE k.metric WHEN 'mean' THEN mean WHEN 'cv' THEN deviation / mean END >= least, least IS NULL) AND coalesce(CASE k.metric WHEN 'mean' THEN mean WHEN 'cv' THEN deviation / mean END <= most, most IS NULL) AND s.cell IS NOT NULL AS passed
 FROM (VALUES ('click', 'mean', 1.0, NULL), ('click', 'cv', NULL, 0.01), ('view', 'mean', 1000000.0, NULL), ('nothing', 'cv', NULL, 1.0)) AS k(cell, metric, least, most) LEFT JOIN s ON k.cell = s.cell""")
 def slo_verdicts(t):
+    """Over the first eight trials of each cell, as trial_statistics."""
     limits = t.spark.createDataFrame([("click", "mean", 1.0, None), ("click", "cv", None, 0.01), ("view", "mean", 1e6, None), ("nothing", "cv", None, 1.0)], "cell STRING, metric STRING, least DOUBLE, most DOUBLE")
     return rounded(ops.slo_verdicts(ops.trial_statistics(few(t)), limits), "value")
 
@@ -132,13 +164,14 @@ def phase_throughput(t):
     return ops.phase_throughput(t.tasks)
 
 
-WINDOWS = "w AS (SELECT o_orderkey AS window_id, CAST(o_orderdate AS TIMESTAMP) AS start, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 60) * INTERVAL '1' HOUR AS stop FROM {orders} WHERE o_orderpriority LIKE '1%')"
+WINDOWS = "w AS (SELECT o_orderkey AS window_id, CAST(o_orderdate AS TIMESTAMP) AS start, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 60) * INTERVAL '1' HOUR AS stop FROM {orders})"
 
 
 @query(f"WITH {WINDOWS} SELECT window_id, count(*) AS n FROM w JOIN {{responses}} r ON r.created_at >= start AND r.created_at < stop GROUP BY window_id")
 def events_in_windows(t):
-    windows = t.orders.where("o_orderpriority LIKE '1%'").selectExpr("o_orderkey AS window_id", "CAST(o_orderdate AS TIMESTAMP) AS start", "CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 60) * INTERVAL '1' HOUR AS end")
-    return ops.events_in_windows(t.responses.select("created_at"), windows, "created_at").groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
+    windows = t.orders.selectExpr("o_orderkey AS window_id", "CAST(o_orderdate AS TIMESTAMP) AS start", "CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 60) * INTERVAL '1' HOUR AS end")
+    times = t.responses.groupBy("created_at").agg(F.count(F.lit(1)).alias("k"))
+    return ops.events_in_windows(times, windows, "created_at").groupBy("window_id").agg(F.sum("k").alias("n"))
 
 
 @query("""WITH s AS (SELECT event_type AS alert, date_trunc('hour', occurred_at) AS moment, count(*) > 3 AS value FROM {audit_events} GROUP BY ALL),

@@ -31,7 +31,8 @@ SELECT l_suppkey * 4 + p_size % 4 AS run_id, l_partkey AS question_id, l_orderke
        CAST(CASE WHEN l_orderkey % 89 = 0 THEN NULL ELSE l_linenumber END AS DECIMAL(20,8)) AS estimated_cost, CAST(l_shipdate AS TIMESTAMP) AS created_at
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "runs": """
-SELECT r.*, b.question_count AS total_questions, 'protocol-v1' AS protocol, 'v1' AS benchmark_version, concat('hash-', CAST(r.benchmark_id AS STRING)) AS dataset_hash,
+SELECT r.*, b.question_count AS total_questions, CASE WHEN r.run_id % 7 = 0 THEN 'protocol-v0' ELSE 'protocol-v1' END AS protocol, 'v1' AS benchmark_version,
+       CASE WHEN r.run_id % 2 = 0 THEN 'direct' ELSE 'five-shot' END AS prompt_template, 'multiple_choice_v1' AS evaluator, 512 + r.run_id % 2 * 512 AS max_tokens, r.run_id % 3 + 1 AS concurrency, 3 AS max_attempts, concat('hash-', CAST(r.benchmark_id AS STRING)) AS dataset_hash,
        CASE r.run_id % 5 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'completed' END AS status, r.run_id % 3 AS temperature_setting,
        CASE WHEN r.run_id % 2 = 0 THEN 100 END AS input_token_reservation
 FROM (SELECT run_id, run_id % 4 AS benchmark_id, CAST((run_id - run_id % 4) / 4 AS BIGINT) AS model_id, min(created_at) AS started_at, max(created_at) AS finished_at
@@ -59,7 +60,11 @@ SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN
        CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 7) * INTERVAL '1' HOUR END AS started_at,
        CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 7) * INTERVAL '1' HOUR + (o_custkey % 13) * INTERVAL '1' MINUTE END AS finished_at,
        CAST(o_orderkey % 4 AS INT) AS failures, o_orderkey % 17 = 0 AS cancel_requested, CAST(o_custkey % 20 AS BIGINT) AS planned, CAST(o_orderkey % 23 AS BIGINT) AS responded,
-       CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 100) * INTERVAL '1' DAY END AS lease_expires_at, o_orderpriority AS phase
+       CASE WHEN o_orderstatus = 'O' THEN CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 100) * INTERVAL '1' DAY END AS lease_expires_at, o_orderpriority AS phase,
+       CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 40) * INTERVAL '1' DAY END AS next_attempt_at,
+       CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 90) * INTERVAL '1' DAY END AS not_before,
+       CASE o_orderkey % 6 WHEN 0 THEN 'unmanaged' WHEN 1 THEN 'delayed' WHEN 2 THEN 'exhausted' ELSE 'active' END AS budget_status, CAST(o_orderkey % 4 + 1 AS INT) AS attempts, CAST(o_orderkey % 5 AS INT) AS dispatches,
+       CASE WHEN o_orderkey % 4 = 3 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY END AS dead_lettered_at, CASE WHEN o_orderkey % 19 = 0 THEN 'queue_unavailable' END AS last_error
 FROM {orders}""",
     "workers": """
 SELECT user_id AS worker_id, min(CAST(ts AS TIMESTAMP)) AS started_at, max(CAST(ts AS TIMESTAMP)) AS last_seen_at,
