@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,8 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A key for each row of docs, of its id and text: ids may be null or stand for several texts."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    """A key of 128 bits for each row of docs, of its id and text: ids may be null or stand for several texts."""
+    half = lambda k: F.lpad(F.hex(F.xxhash64(F.lit(k), docs["doc_id"].cast("long"), docs["text"].cast("string"))), 16, "0")
+    return F.concat(half(1), half(2))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it while df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,4 +67,16 @@ def batches(fn: Callable[[list, list], dict], schema: pa.Schema) -> Callable[[It
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(fn(batch.column(0), batch.column(1).to_pylist()), schema=schema)
 
-    return run
+    return released(run)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same, but a worker gives back to the system what memory is free when its task ends: workers are kept for other stages."""
+
+    def inner(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+            trim(0)
+
+    return inner

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     A round sends each node to the neighbour (or itself) that a hash of node and round ranks least and
     moves the edges along; so the edges that are left shrink by a constant factor in expectation,
     whatever the shape, and long chains take O(log n) rounds. A star is only ever aggregated (min), never
-    collected. The rounds' node tables are joined at the end. Loops and repeated edges do no harm;
-    an empty table gives an empty one.
+    collected. The rounds' node tables, each smaller than the one before, are folded from the last to the
+    first. Loops and repeated edges do no harm; an empty table gives an empty one.
     """
-    kind = edges.schema["u"].dataType
     left = materialize(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     rounds: list[DataFrame] = []
     while not left.isEmpty():
@@ -33,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     if not rounds:
         return edges.select(F.col("u").alias("node"), F.col("u").alias("label")).where(F.lit(False))
 
-    def follow(labels: DataFrame, step: DataFrame) -> DataFrame:
-        return labels.join(step.select(F.col("u").alias("label"), F.col("to")), "label", "left").select("node", F.coalesce("to", "label").cast(kind).alias("label"))
-
-    return reduce(follow, rounds[1:], rounds[0].select(F.col("u").alias("node"), F.col("to").alias("label")))
+    label = rounds.pop()
+    for step in reversed(rounds):
+        further = label.select(F.col("u").alias("to"), F.col("to").alias("end"))
+        label = materialize(step.join(further, "to", "left").select("u", F.coalesce("end", "to").alias("to")))
+    return label.select(F.col("u").alias("node"), F.col("to").alias("label"))

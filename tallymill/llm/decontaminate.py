@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, row_key
+from .common import batches, free_name, materialize, released, row_key
 
 #: The spaced seeds. 1 is a word that counts, 0 one that may differ.
 MASKS = ("111010010111", "110111001011", "101100111101", "111101011010")
@@ -99,26 +99,34 @@ def item_seeds(bench: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches(fn, schema), "hash long, item_id long, place long, n long")
 
 
+def _slots(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hash): one table of BITS bits with a bit for each."""
+    bits = np.zeros(BITS, bool)
+    for batch in it:
+        bits[batch.column(0).to_numpy() & (BITS - 1)] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()])], names=["bits"])
+
+
 def _hits(spans: list[int], lengths: list[int], table: bytes):
-    """The seeds of documents that the table of bits has."""
+    """The seeds of rows (key, text) that the table of bits has."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table, np.uint8)
         for batch in it:
-            found: list = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, hashes, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 h, at = both_kinds(words_of(text), spans, lengths)
                 slot = (h & np.uint64(BITS - 1)).astype(np.int64)
                 some = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                found.append((np.full(len(some), i), h[some].view(np.int64), at[some]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["doc_id", "hash", "at"]) if found else pa.RecordBatch.from_pylist([], schema=HIT)
+                rows.append(np.full(len(some), k))
+                hashes.append(h[some].view(np.int64))
+                places.append(at[some])
+            keys = batch.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], names=["key", "hash", "at"])
 
     return run
 
 
-HIT = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int64())])
-
-
 def _extend(same: np.ndarray, seed: int) -> tuple[int, int]:
     """The part [a, b) around `seed` of an alignment (equal or not, by place) that extensions reach."""
     score = np.where(same, 1, -2)
@@ -158,25 +166,45 @@ def overlaps_at(doc: list[bytes], item: list[bytes], shift: int) -> Iterator[tup
         k = max(k + 1, got[0] + got[1] - shift) if got else k + 1
 
 
-def _verified():
-    def fn(ids: list, texts: list, lists: list) -> list[tuple]:
-        rows = []
-        for i, text, found in zip(ids, texts, lists):
-            doc = words_of(text)
-            best: dict[int, tuple] = {}
-            for x in found:
-                # none where the seed is of another row with this id
-                for got in overlaps_at(doc, words_of(x["text"]), x["shift"]):
-                    best[x["item_id"]] = min(best.get(x["item_id"], (0, 0, 0, 0)), (-got[2], got[0], got[1], got[2]))
-            rows += [(i, item, start, n, equal) for item, (_, start, n, equal) in best.items()]
-        return rows
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = fn(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["doc_id", "item_id", "start_word", "n_words", "n_equal"])
-
-    return run
+def _verified(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, item_id, shifts, text, item_text), a document's beside each other: the best overlap of each, if one counts."""
+    here, doc = None, []
+    for batch in it:
+        rows, found = [], []
+        for k, (item, shifts, text, item_text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+            if text is not here:
+                here, doc = text, doc if text == here else words_of(text)
+            words = words_of(item_text)
+            # none where the seed is of another row with this key
+            best = min(((-got[2], got[0], got[1]) for shift in shifts for got in overlaps_at(doc, words, shift)), default=None)
+            if best:
+                rows.append(k)
+                found.append((item, best[1], best[2], -best[0]))
+        numbers = [pa.array(c, pa.int64()) for c in zip(*found)] if found else [pa.array([], pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *numbers], names=["key", "item_id", "start_word", "n_words", "n_equal"])
+
+
+def _overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """overlaps() for documents (key, text) with keys of any kind."""
+    kind = docs.schema["key"].dataType.simpleString()
+    docs = docs.where("text is not null")
+    items = materialize(item_seeds(bench))
+    # tables of a fixed size, one a task, are merged as they come, whatever the number of items
+    table = np.zeros(BITS // 8, np.uint8)
+    for r in items.select("hash").mapInArrow(_slots, "bits binary").toLocalIterator():
+        table |= np.frombuffer(r.bits, np.uint8)
+    # at most 16 lengths (run_length is 4 from 16 words on)
+    sizes = {r[0] for r in items.select(F.least("n", F.lit(16))).distinct().collect()}
+    spans, lengths = sorted({min(SPAN, n) for n in sizes if n >= EXACT}), sorted({run_length(n) for n in sizes})
+    hits = docs.select("key", "text").mapInArrow(released(_hits(spans, lengths, table.tobytes())), f"key {kind}, hash long, at long")
+    found = hits.join(items, "hash").groupBy("key", "item_id").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    found = materialize(found.select(F.col("key").alias("found"), "item_id", "shifts"))
+    texts = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text")).where("item_text is not null")
+    near = docs.join(found.join(texts, "item_id"), F.col("key").eqNullSafe(F.col("found"))).select("key", "item_id", "shifts", "text", "item_text")
+    done = near.mapInArrow(_verified, f"key {kind}, item_id long, start_word long, n_words long, n_equal long")
+    # of rows that repeat an item's id or a document's, the best overlap; equal ones once
+    best = F.min(F.struct(-F.col("n_equal"), "start_word", "n_words", "n_equal")).alias("best")
+    return done.groupBy("key", "item_id").agg(best).select("key", "item_id", "best.start_word", "best.n_words", "best.n_equal")
 
 
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -186,30 +214,17 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     each overlap that counts has run_length equal words in a row, so the runs of that length miss none.
     The seeds of documents are first looked up in a table of BITS bits that has a bit for each hash of the items (of a
     fixed size, however many they are; it only saves rows), then joined with the items' seeds; around
-    each alignment with a hit all overlaps are verified word by word. Items without a word are left out, and so
-    are null texts, null ids of items and rows without an overlap. Of rows that repeat a doc_id each is
-    looked at; equal results are given once. No documents or no items: no rows.
+    each alignment with a hit all overlaps are verified word by word, a row for each document and item. Items without a
+    word are left out, and so are null texts, null ids of items and pairs without an overlap. Of rows that repeat a doc_id
+    each is looked at; an id and an item give one row, the best. No documents or no items: no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    items = materialize(item_seeds(bench))
-    # both are small whatever the tables hold: at most BITS slots, at most 16 lengths (run_length is 4 from 16 words on)
-    slots = np.array([r[0] for r in items.select(F.col("hash").bitwiseAND(BITS - 1)).distinct().toLocalIterator()], np.int64)
-    sizes = {r[0] for r in items.select(F.least("n", F.lit(16))).distinct().collect()}
-    spans, lengths = sorted({min(SPAN, n) for n in sizes if n >= EXACT}), sorted({run_length(n) for n in sizes})
-    bits = np.zeros(BITS, bool)
-    bits[slots] = True
-    table = np.packbits(bits, bitorder="little").tobytes()
-    hits = docs.mapInArrow(_hits(spans, lengths, table), "doc_id long, hash long, at long")
-    shift = F.col("at") - F.col("place")
-    found = materialize(hits.join(items, "hash").select("doc_id", "item_id", shift.alias("shift")).distinct())
-    texts = bench.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text")).where("item_text is not null")
-    lists = found.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", F.col("item_text").alias("text"))).alias("found"))
-    near = docs.join(lists, docs["doc_id"].eqNullSafe(lists["doc_id"])).select(docs["doc_id"], "text", "found")
-    return near.mapInArrow(_verified(), "doc_id long, item_id long, start_word long, n_words long, n_equal long").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+    return _overlaps(rows, bench).withColumnRenamed("key", "doc_id")
 
 
 def without_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of docs that have no overlap with an item, whatever their doc_id; columns as they were."""
-    keyed = docs.withColumn("__row", row_key(docs))
-    hit = overlaps(keyed.select(F.col("__row").alias("doc_id"), "text"), bench).select(F.col("doc_id").alias("__hit")).distinct()
-    return keyed.join(hit, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")
+    row, hit = free_name(docs, "__row"), free_name(docs, "__hit")
+    keyed = docs.withColumn(row, row_key(docs))
+    found = _overlaps(keyed.select(F.col(row).alias("key"), docs["text"].cast("string").alias("text")), bench).select(F.col("key").alias(hit)).distinct()
+    return keyed.join(found, F.col(row) == F.col(hit), "left_anti").drop(row)

@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from tallymill.llm.components import components
-from tallymill.llm.simhash import BKTree, bucket_keys, fingerprints, keep_one, near_duplicates, near_links
+from tallymill.llm.simhash import BKTree, bucket_keys, fingerprint, keep_one, near_duplicates, near_links
 
 DOC = "doc_id long, text string, label string, fps string"
 
@@ -33,8 +33,15 @@ def classes(nodes, linked):
 
 def test_fingerprint_is_the_plain_one():
     for t in (None, "", " \n\t", "One", "A b", "Äb É c d", "a b c " * 7, "x y z\x1cw v"):
-        assert fingerprints(t, 3)[0] % 2**64 == plain(t)
-    assert len(fingerprints("a b", 5, 4)) == 4
+        assert fingerprint(t, 3) == plain(t)
+    long = " ".join(f"w{k * k % 9973}" for k in range(70_000))
+    assert fingerprint(long, 3) == plain(long)
+
+
+def test_radius_is_respected(spark):
+    df = spark.createDataFrame([(1,), (2,), (7,)], "fp long")  # two bits apart each
+    assert near_links(df, 0).count() == 0
+    assert {(r.u, r.v) for r in near_links(df, 2).collect()} and near_links(df, 1).count() == 0
 
 
 def test_tree_search_is_exact():
@@ -97,7 +104,7 @@ def test_near_duplicates_with_odd_rows(spark):
     least = {c: min((fps[k][0] for k in label if label[k] == c and fps[k][0] is not None), default=None) for c in label.values()}
     key = lambda x: str(x)
     assert sorted(got, key=key) == sorted([(i, f"{f:016x}", least[label[k]]) for k, (i, f) in enumerate(fps)], key=key)
-    kept = keep_one(df, words=3, n=4)
+    kept = keep_one(df, words=3)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 9]
     assert near_duplicates(df.limit(0)).count() == 0 == keep_one(df.limit(0)).count()
