@@ -10,12 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
-
-#: Hash slots of terms; labelled rows that the model is fitted on; slots that it uses, those that tell most; factors.
-SLOTS, ROWS, USED, FACTORS = 1 << 18, 6000, 1024, 8
-#: A term must be in so many of the fitted rows, and its toxic ones so many deviations from what chance gives; else it could only be learnt by heart.
-SEEN, TELLS = 5, 4.0
+from .common import held_out, materialize
+
+#: Hash slots of terms, those of words in the lower half; labelled rows that the model is fitted on; slots that it uses at most; factors.
+SLOTS, ROWS, USED, FACTORS = 1 << 18, 6000, 4096, 8
+#: A term must be in so many of the fitted rows, a pair of words in so many; else it could only be learnt by heart.
+SEEN, TOGETHER = 5, 12
+#: So many deviations from what chance gives are needed: of a term's toxic rows, and of a pair's from what its two words tell alone.
+TELLS, PAIR_TELLS = 4.0, 6.0
+#: Parts of the pairs, each a task's; bits of the hash that a part's pairs are counted by; a fitted row with more words than LONG has no pairs counted.
+PARTS, BITS, LONG = 8, 20, 3000
 THRESHOLD = 0.3
 
 LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
@@ -26,9 +30,11 @@ def terms(text: str | None) -> np.ndarray:
 
     The starts, of 4 and 5 bytes, stand for stems in languages that inflect.
     """
-    found = set((text or "").lower().encode().translate(LETTERS).split())
-    found |= {w[:k] + b"-" for w in found for k in (4, 5) if len(w) > k}
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(w) % SLOTS for w in found), np.int64, len(found)))
+    words = set((text or "").lower().encode().translate(LETTERS).split())
+    starts = {w[:k] for w in words for k in (4, 5) if len(w) > k}
+    half = SLOTS // 2
+    found = [xxhash.xxh3_64_intdigest(w) % half for w in words] + [half + xxhash.xxh3_64_intdigest(w) % half for w in starts]
+    return np.unique(np.array(found, np.int64))
 
 
 @dataclass
@@ -49,48 +55,133 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.w[at].sum() + pairs, -30, 30))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 2e-4, seed: int = 1) -> Machine:
-    """By AdaGrad on the logistic loss over the terms' slots. Without both labels the score is the share of label 1."""
+def deviations(n: np.ndarray, toxic: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    return np.abs(toxic - n * chance) / np.sqrt(n * chance * (1 - chance) + 1)
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The slots of pairs of words whose rows' labels are not what the two words tell alone (their log-odds added up).
+
+    Of all pairs one part is looked at, by the first word. They are counted by a hash first; those in buckets that
+    stand out then as they are.
+    """
+    y = np.asarray(labels, float)
+    words = [r[r < SLOTS // 2] for r in rows]
+    slots, place, seen = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    toxic = np.bincount(place, np.repeat(y, [len(w) for w in words]), len(slots))
+    often = seen >= TOGETHER
+    if not 0 < y.sum() < len(y) or not often.any():
+        return np.zeros(0, np.int64)
+    slots, seen, toxic, base = slots[often], seen[often], toxic[often], y.mean()
+    odds = (toxic + base) / (seen - toxic + 1 - base)
+    size, usual = len(slots), base / (1 - base)
+
+    def chance(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        both = odds[i] * odds[j] / usual
+        return both / (1 + both)
+
+    def bucket(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return ((i * size + j).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def pairs():
+        held, size_held = [], 0
+        for w, k in zip(words, y):
+            at = np.searchsorted(slots, w)
+            at = at[slots[np.minimum(at, size - 1)] == w]
+            if 2 <= len(at) <= LONG:
+                first = np.flatnonzero(at % parts == part)
+                n = len(at) - 1 - first
+                second = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(first + 1, n)
+                held.append((np.repeat(at[first], n), at[second], np.full(n.sum(), k)))
+                size_held += n.sum()
+            if size_held > 1_000_000:
+                yield map(np.concatenate, zip(*held))
+                held, size_held = [], 0
+        if held:
+            yield map(np.concatenate, zip(*held))
+
+    total, bad, expected = (np.zeros(1 << BITS) for _ in range(3))
+    for i, j, k in pairs():
+        at = bucket(i, j)
+        for sums, weights in ((total, None), (bad, k), (expected, chance(i, j))):
+            sums += np.bincount(at, weights, 1 << BITS)
+    stands_out = (total >= TOGETHER) & (deviations(total, bad, expected / np.maximum(total, 1)) >= TELLS)
+    found = [np.stack([i[some], j[some], k[some]]) for i, j, k in pairs() if (some := stands_out[bucket(i, j)]).any()]
+    if not found:
+        return np.zeros(0, np.int64)
+    i, j, k = np.concatenate(found, axis=1)
+    codes, which, n = np.unique((i * size + j).astype(np.int64), return_inverse=True, return_counts=True)
+    i, j = codes // size, codes % size
+    tells = (n >= TOGETHER) & (deviations(n, np.bincount(which, k), chance(i, j)) >= PAIR_TELLS)
+    return np.unique(slots[np.concatenate([i[tells], j[tells]])])
+
+
+def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The slots that tell alone, those that tell most first, USED at most."""
+    y = np.asarray(labels, float)
+    slots, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    toxic = np.bincount(place, np.repeat(y, [len(r) for r in rows]), len(slots))
+    tells = np.where(seen >= SEEN, deviations(seen, toxic, np.full(len(slots), y.mean())), 0)
+    best = np.argsort(-tells, kind="stable")[:USED]
+    return slots[best[tells[best] >= TELLS]]
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, paired: np.ndarray | None = None, epochs: int = 30, rate: float = 0.1, decay: float = 2e-4, batch: int = 8, seed: int = 1) -> Machine:
+    """By AdaGrad on the logistic loss over the slots that tell alone and the `paired` ones (by default all of telling_pairs).
+
+    Rows are taken in batches, each of them one sparse matrix. Without both labels the score is the share of label 1.
+    """
     y = np.asarray(labels, float)
     share = (y.sum() + 1) / (len(y) + 2)
-    machine = Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
+    bias = float(np.log(share / (1 - share)))
+    none = Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < y.sum() < len(y):
-        return machine
-    slots, seen = np.unique(np.concatenate(rows), return_counts=True)
-    toxic = np.zeros(len(slots))
-    ids, n = np.unique(np.concatenate([r for r, k in zip(rows, y) if k]), return_counts=True)
-    toxic[np.searchsorted(slots, ids)] = n
-    expected = seen * y.mean()
-    tells = np.where(seen >= SEEN, np.abs(toxic - expected) / np.sqrt(expected * (1 - y.mean()) + 1), 0)
-    best = np.argsort(-tells, kind="stable")[:USED]
-    slots = np.sort(slots[best[tells[best] >= TELLS]])
+        return none
+    paired = telling_pairs(rows, y) if paired is None else paired
+    slots = np.union1d(paired, telling_terms(rows, y)[: max(0, USED - len(paired))]).astype(np.int64)
     if not len(slots):
-        return machine
+        return none
+    places = [np.searchsorted(slots, r) for r in rows]
+    places = [at[slots[np.minimum(at, len(slots) - 1)] == r] for at, r in zip(places, rows)]
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(slots)), rng.normal(0, 0.01, (len(slots), FACTORS))
-    gw, gv, gb, bias = np.full(len(slots), 1e-6), np.full(v.shape, 1e-6), 1e-6, machine.bias
-    x = []
-    for r in rows:
-        at = np.searchsorted(slots, r)
-        x.append(at[slots[np.minimum(at, len(slots) - 1)] == r])
+    dealt = rng.permutation(len(places))
+    batches = []
+    for a in range(0, len(dealt), batch):
+        mine = dealt[a : a + batch]
+        n = np.array([len(places[k]) for k in mine])
+        used, local = np.unique(np.concatenate([places[k] for k in mine]), return_inverse=True)
+        order = np.argsort(local, kind="stable")
+        batches.append((y[mine], used, local, n, order, np.searchsorted(local[order], np.arange(len(used)))))
+    # a slot's row: its weight and its factors
+    weights = np.hstack([np.zeros((len(slots), 1)), rng.normal(0, 0.05, (len(slots), FACTORS))])
+    speed, bias_speed = np.full(weights.shape, 1e-6), 1e-6
     for _ in range(epochs):
-        for k in rng.permutation(len(x)):
-            at = x[k]
-            s = v[at].sum(0)
-            z = bias + w[at].sum() + 0.5 * ((s**2).sum() - (v[at] ** 2).sum())
-            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[k]
-            gb += e * e
-            bias -= rate * e / np.sqrt(gb)
-            dw, dv = e + decay * w[at], e * (s - v[at]) + decay * v[at]
-            gw[at] += dw * dw
-            gv[at] += dv * dv
-            w[at] -= rate * dw / np.sqrt(gw[at])
-            v[at] -= rate * dv / np.sqrt(gv[at])
-    return Machine(slots, bias, w, v)
+        for b in rng.permutation(len(batches)):
+            wanted, used, local, n, order, groups = batches[b]
+            here, filled = weights[used], n > 0
+            each, z = here[local], np.full(len(n), bias)
+            if len(each):
+                starts = (n.cumsum() - n)[filled]
+                sums = np.add.reduceat(each, starts, axis=0)
+                z[filled] += sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - np.add.reduceat((each[:, 1:] ** 2).sum(1), starts))
+            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - wanted
+            if len(each):
+                slope = np.repeat(sums, n[filled], axis=0) - each
+                slope[:, 0] = 1
+                slope *= np.repeat(e, n)[:, None]
+                slope = np.add.reduceat(slope[order], groups, axis=0) + decay * here
+                speed[used] += slope**2
+                weights[used] = here - rate * slope / np.sqrt(speed[used])
+            bias_speed += e.sum() ** 2
+            bias -= rate * e.sum() / np.sqrt(bias_speed)
+    return Machine(slots, float(bias), weights[:, 0].copy(), weights[:, 1:].copy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
-    """From labelled rows outside the held-out quarter: a sample of at most `rows` of them, by a hash of the id."""
+    """From labelled rows outside the held-out quarter: a sample of at most `rows` of them, by a hash of the id.
+
+    The sample is screened for pairs in PARTS tasks and the machine is trained in one; the driver gets the machine alone.
+    """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y"))
     some = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -99,8 +190,27 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     def slots(t: pd.Series) -> pd.Series:
         return t.map(terms)
 
-    got = some.join(texts, "doc_id").select("doc_id", "y", slots("text").alias("x")).toPandas().sort_values("doc_id", kind="stable")
-    return train([np.asarray(x, np.int64) for x in got["x"]] or [np.zeros(0, np.int64)], got["y"].to_numpy() if len(got) else np.zeros(1))
+    sample = materialize(some.join(texts, "doc_id").select("doc_id", "y", slots("text").alias("x")))
+
+    def unpacked(got: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+        got = got.sort_values("doc_id", kind="stable")
+        return [np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy()
+
+    def screen(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slot": telling_pairs(*unpacked(got), key[0], PARTS)})
+
+    parts = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    paired = np.array([r.slot for r in parts.groupBy("part").applyInPandas(screen, "slot long").distinct().limit(USED).collect()], np.int64)
+
+    def learn(got: pd.DataFrame) -> pd.DataFrame:
+        m = train(*unpacked(got), np.sort(paired))
+        return pd.DataFrame({"slot": [-1, *m.slots], "w": [m.bias, *m.w], "v": [np.zeros(FACTORS), *m.v]})
+
+    got = sample.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(learn, "slot long, w double, v array<double>").sort("slot").collect()
+    if not got:
+        return train([np.zeros(0, np.int64)], np.zeros(1))
+    bias, *each = got
+    return Machine(np.array([r.slot for r in each], np.int64), bias.w, np.array([r.w for r in each], float), np.array([r.v for r in each], float).reshape(-1, FACTORS))
 
 
 def score(machine: Machine, text: Column) -> Column:

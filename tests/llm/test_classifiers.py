@@ -83,3 +83,73 @@ def test_stage_keeps_columns(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     left = toxicity.without_toxic(docs, labels)
     assert left.columns == docs.columns and 0.8 * docs.count() < left.count() < docs.count()
+
+
+def accuracy(machine, rows, y):
+    """Of scores above a half, by the plain sum over all pairs of a row's slots."""
+    place = {int(s): k for k, s in enumerate(machine.slots)}
+    right = 0
+    for r, label in zip(rows, y):
+        at = [place[int(s)] for s in r if int(s) in place]
+        z = machine.bias + sum(machine.w[k] for k in at) + sum(machine.v[a] @ machine.v[b] for n, a in enumerate(at) for b in at[:n])
+        right += (z > 0) == bool(label)
+    return right / len(rows)
+
+
+def rows_of(rng, n, a, b, both):
+    """n rows of neutral slots, with slot 1 in a share of a, slot 2 in one of b and in addition both in one of `both`."""
+    x = np.stack([rng.random(n) < a, rng.random(n) < b], 1) | (rng.random(n) < both)[:, None]
+    return [np.unique(np.concatenate([rng.integers(100, 400, 15), np.flatnonzero(k) + 1])) for k in x], x
+
+
+def test_machine_learns_what_neither_word_tells_alone():
+    """Toxic is one of two words without the other: each alone says nothing."""
+    rows, x = rows_of(np.random.default_rng(3), 3000, 0.5, 0.5, 0)
+    y = x[:, 0] != x[:, 1]
+    assert set(toxicity.telling_pairs(rows, y).tolist()) == {1, 2}
+    machine = toxicity.train(rows[:2000], y[:2000])
+    assert accuracy(machine, rows[2000:], y[2000:]) > 0.98
+
+
+def test_machine_learns_a_rare_pair_of_neutral_words():
+    rng = np.random.default_rng(4)
+    rows, x = rows_of(rng, 6000, 0.1, 0.1, 0.004)
+    y = x.all(1) | (rng.random(6000) < 0.02)
+    machine = toxicity.train(rows[:4000], y[:4000])
+    late = [k for k in range(4000, 6000) if x[k].all()]
+    assert len(late) > 10 and accuracy(machine, [rows[k] for k in late], y[late]) > 0.9
+    assert accuracy(machine, rows[4000:], y[4000:]) > 0.97
+
+
+def test_pairs_in_parts_are_those_of_the_whole():
+    rng = np.random.default_rng(5)
+    rows, x = rows_of(rng, 2000, 0.3, 0.4, 0)
+    y = x.all(1)
+    whole = toxicity.telling_pairs(rows, y)
+    assert len(whole) and set(whole.tolist()) == set(np.concatenate([toxicity.telling_pairs(rows, y, k, 3) for k in range(3)]).tolist())
+
+
+def test_scores_are_the_plain_sums(spark):
+    """The query against a row-by-row sum over all pairs, with the machine that it learnt."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    machine = toxicity.fit(docs, labels)
+    place = {int(s): k for k, s in enumerate(machine.slots)}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.scored(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        at = [place[int(s)] for s in toxicity.terms(texts[r.doc_id]) if int(s) in place]
+        z = machine.bias + sum(machine.w[k] for k in at) + sum(machine.v[a] @ machine.v[b] for n, a in enumerate(at) for b in at[:n])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_worth_is_the_plain_weighted_sum(spark):
+    """Bradley-Terry: the logit of the preference of two documents is the difference of their worths."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    ranking = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.scored(docs, labels).collect():
+        x = quality.features(texts[r.doc_id])
+        worth = sum(w * min(8, max(-8, (a - m) / d)) for w, a, m, d in zip(ranking.w, x, ranking.mean, ranking.deviation))
+        z = worth - ranking.cut + np.log(0.7 / 0.3)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.7)
