@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, materialize
+from .common import batches, free_name, materialize, released
 
 #: Words of a window, and of the grams whose least hash in a window is its anchor.
 WINDOW, GRAM = 20, 8
@@ -215,14 +215,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     times = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     lists = found.join(times, "h").groupBy("doc_id").agg(*(F.collect_set(F.when(F.expr(c), F.col("h"))).alias(k) for k, c in (("cold", f"n <= {hot}"), ("hot", f"n > {hot}"))))
     near = rows.join(lists, "doc_id").select("doc_id", "text", "cold", "hot")
-    segments = materialize(near.mapInArrow(_segments(window, gram), "h long, g long, doc_id long, start long, n long, words binary"))
+    segments = materialize(near.mapInArrow(released(_segments(window, gram)), "h long, g long, doc_id long, start long, n long, words binary"))
     shards = segments.where("g = 0").repartition("h").sortWithinPartitions("h", "doc_id", "start").select("h", "doc_id", "start", "n", "words")
-    cold = shards.mapInArrow(_stream(window), "doc_id long, start long, n long")
+    cold = shards.mapInArrow(released(_stream(window)), "doc_id long, start long, n long")
     place = F.struct("doc_id", "start")
     alike = segments.where("g != 0").select("h", "g", "doc_id", "start", "n")
-    leads = segments.where("g != 0").groupBy("h", "g").agg(F.min(F.struct("doc_id", "start", "words")).alias("lead"))
+    # written out, so that AQE can split the join on a hot group: its stage has no aggregation
+    leads = materialize(segments.where("g != 0").groupBy("h", "g").agg(F.min(F.struct("doc_id", "start", "words")).alias("lead")))
     copied = alike.join(leads.select("h", "g", F.struct("lead.doc_id", "lead.start").alias("lead")), ["h", "g"]).where(place > F.col("lead")).select("doc_id", "start", "n")
-    single = materialize(leads.select("lead.*").mapInArrow(_windows(window), "one long, two long, doc_id long, start long"))
+    single = materialize(leads.select("lead.*").mapInArrow(released(_windows(window)), "one long, two long, doc_id long, start long"))
     least = single.groupBy("one", "two").agg(F.min(place).alias("least"))
     later = single.join(least, ["one", "two"]).where(place > F.col("least")).select("doc_id", "start", F.lit(1).cast("long").alias("n"))
     copies = each.join(first.select("key", F.col("doc_id").alias("least")), "key").where("doc_id > least")
@@ -250,10 +251,12 @@ def _cut(window: int):
     return cut
 
 
-def _with_cut(docs: DataFrame, window: int) -> DataFrame:
-    spans = repeated_windows(docs, window).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["__id"], "left")
-    return joined.withColumn("__cut", _cut(window)(docs["text"].cast("string"), F.col("__starts")))
+def _with_cut(docs: DataFrame, window: int, name: str) -> DataFrame:
+    """docs with a column `name`: (n_words, n_removed, kept)."""
+    ids, starts = free_name(docs, "__id"), free_name(docs, "__starts")
+    spans = repeated_windows(docs, window).select(F.col("doc_id").alias(ids), F.col("starts").alias(starts))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans[ids], "left")
+    return joined.withColumn(name, _cut(window)(docs["text"].cast("string"), F.col(starts)))
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -261,7 +264,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text has no words. Other columns play no part; an empty table gives an empty one.
     """
-    cut = _with_cut(docs.select("doc_id", "text"), window)
+    cut = _with_cut(docs.select("doc_id", "text"), window, "__cut")
     return cut.select(F.col("doc_id").cast("long"), "__cut.n_words", "__cut.n_removed", F.sha2(F.col("__cut.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -270,7 +273,8 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Rows in which nothing repeats stay as they are; a row whose every word goes stays with an empty text.
     """
-    done = _with_cut(docs, window)
-    some = F.col("__cut.n_removed") > 0
-    new = {"text": F.col("__cut.kept"), "n_chars": F.length("__cut.kept")}
+    name = free_name(docs, "__cut")
+    done = _with_cut(docs, window, name)
+    some = F.col(name)["n_removed"] > 0
+    new = {"text": F.col(name)["kept"], "n_chars": F.length(F.col(name)["kept"])}
     return done.select(*(F.when(some, new[c].cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c in new else docs[c] for c in docs.columns))
