@@ -20,7 +20,7 @@ from .common import batches
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each of a worker's tables; a full table starts anew.
-TABLE = 400_000
+TABLE = 200_000
 #: Bytes of a word up to which the states after its prefixes are kept.
 SHORT = 32
 
