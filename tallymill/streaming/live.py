@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.evidence import BLOCK, PARTS
@@ -51,20 +53,38 @@ def live_progress_stream(responses: DataFrame, at: str = "created_at", late: str
     return first.groupBy("run_id", F.expr(f"position div {block}").alias("block_index")).agg(*(F.expr(e).alias(k) for k, e in PARTS.items()))
 
 
+def rows_too_late(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators have turned away because they came after the watermark, so far."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy().astype("datetime64[us]").astype(np.int64)
+
+
+def stamp(us: int) -> pd.Timestamp:
+    return pd.Timestamp(us, unit="us")
+
+
 def _alerts(hold_s: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, fired = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        # a time and a bit for each sample of the micro-batch are all that is held to put them in order
+        parts = [(micros(b["at"]), b["value"].to_numpy(bool)) for b in batches]
+        at, value = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(at, kind="stable")
+        at, value = at[order], value[order]
         out = []
-        for at, value in zip(rows["at"], rows["value"]):
-            us = int(at.value // 1000)
-            if not value:
+        edges = np.flatnonzero(np.diff(value, prepend=not value[0]))
+        for a, b in zip(edges, [*edges[1:], len(at)]):  # stretches of one value
+            if not value[a]:
                 since, fired = None, False
-            elif since is None:
-                since = us
-            if value and not fired and us - since >= hold_s * 1_000_000:
+                continue
+            since = int(at[a]) if since is None else since
+            held = a + int(np.searchsorted(at[a:b], since + hold_s * 1_000_000))
+            if not fired and held < b:
                 fired = True
-                out.append((key[0], pd.Timestamp(since, unit="us"), at))
+                out.append((key[0], stamp(since), stamp(int(at[held]))))
         state.update((since, fired))
         if out:
             yield pd.DataFrame(out, columns=["alert", "since", "fired_at"])
@@ -73,52 +93,78 @@ def _alerts(hold_s: int):
 
 
 def alert_stream(samples: DataFrame, hold_s: int) -> DataFrame:
-    """(alert, since, fired_at) once a condition (alert, at, value) has held for hold_s. State: one row an alert."""
+    """(alert, since, fired_at) once a condition (alert, at, value) has held for hold_s. State: one row an alert.
+
+    Samples are put in order inside a micro-batch; of one that comes with a later batch the order of arrival counts.
+    """
     return samples.select("alert", "at", "value").groupBy("alert").applyInPandasWithState(_alerts(hold_s), "alert STRING, since TIMESTAMP, fired_at TIMESTAMP", "since LONG, fired BOOLEAN", "append", GroupStateTimeout.NoTimeout)
 
 
-def _stalls(stale_ms: int):
+def joined_stretches(stretches: list[tuple[int, int, bool]], times: np.ndarray, stopped: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
+    """Disjoint stretches (first, last, whether the last sign is a stop) with more signs: what lies at most `most` apart is one stretch."""
+    order = np.lexsort((stopped, times))
+    times, stopped = times[order], stopped[order]
+    cuts = np.flatnonzero(np.diff(times) > most) + 1
+    new = [(int(t[0]), int(t[-1]), bool(s[-1])) for t, s in zip(np.split(times, cuts), np.split(stopped, cuts)) if len(t)]
+    out: list[tuple[int, int, bool]] = []
+    for first, last, stop in sorted(stretches + new):
+        if out and first - out[-1][1] <= most:
+            last, stop = max(out[-1][1:], (last, stop))
+            first = out.pop()[0]
+        out.append((first, last, stop))
+    return out
+
+
+def _stalls(stale_us: int):
+    names = ["worker_id", "status", "at"]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = [(*state.get, False)] if state.exists else []
         if state.hasTimedOut:
-            (last,) = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], "stalled", pd.Timestamp(last, unit="ms"))], columns=["worker_id", "status", "at"])
+            yield pd.DataFrame([(key[0], "stalled", stamp(known[0][1]))], columns=names)
             return
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
-        last = int(rows["at"].iloc[-1].value // 1_000_000)
-        out = [] if state.exists else [(key[0], "live", rows["at"].iloc[0])]
-        if bool(rows["stopped"].iloc[-1]):
-            if state.exists:
-                state.remove()
-            out.append((key[0], "stopped", rows["at"].iloc[-1]))
-        else:
-            last = max(last, state.get[0]) if state.exists else last
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + stale_ms, state.getCurrentWatermarkMs() + 1))
+        stretches = known  # the signs fold into few stretches, batch by batch and in any order
+        for b in batches:
+            stretches = joined_stretches(stretches, micros(b["at"]), b["stopped"].to_numpy(bool), stale_us)
+        out = []
+        for k, (first, last, stop) in enumerate(stretches):
+            if not known or not first <= known[0][0] <= last:
+                out.append((key[0], "live", stamp(first)))
+            if stop or k < len(stretches) - 1:
+                out.append((key[0], "stopped" if stop else "stalled", stamp(last)))
+        first, last, stop = stretches[-1]
+        if not stop:
+            state.update((first, last))
+            state.setTimeoutTimestamp(max((last + stale_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         if out:
-            yield pd.DataFrame(out, columns=["worker_id", "status", "at"])
+            yield pd.DataFrame(out, columns=names)
 
     return step
 
 
 def stalled_workers_stream(beats: DataFrame, stale_s: int, late: str = LATE) -> DataFrame:
-    """(worker_id, status, at): live when first seen or seen again, stalled when event time passes stale_s after the last sign, stopped when it says so."""
+    """(worker_id, status, at) of each stretch of signs with no gap above stale_s: live at its first sign; at its last one stopped
+    if that says so, else stalled, once a later sign or the watermark is more than stale_s past it. State: one stretch a worker."""
     rows = beats.withWatermark("at", late).select("worker_id", "at", "stopped")
-    return rows.groupBy("worker_id").applyInPandasWithState(_stalls(stale_s * 1000), "worker_id LONG, status STRING, at TIMESTAMP", "last LONG", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("worker_id").applyInPandasWithState(_stalls(stale_s * 1_000_000), "worker_id LONG, status STRING, at TIMESTAMP", "first LONG, last LONG", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _states(terminal: tuple[str, ...]):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, event_id, kind = state.get if state.exists else (-1, -1, None)
-        rows = pd.concat(list(batches))
-        before = (at, event_id, kind)
-        for t, i, k in sorted(zip((x.value // 1000 for x in rows["occurred_at"]), rows["event_id"], rows["event_type"])):
-            here, ended = (int(t), int(i)), kind in terminal
-            if (k in terminal and (not ended or here < (at, event_id))) or (k not in terminal and not ended and here > (at, event_id)):
-                at, event_id, kind = *here, k
-        state.update((at, event_id, kind))
-        if (at, event_id, kind) != before:
-            yield pd.DataFrame([(key[0], kind, pd.Timestamp(at, unit="us"))], columns=["run_id", "state", "since"])
+        before = place = state.get if state.exists else (-1, -1, None)
+        for b in batches:  # the earliest terminal event, else the latest of all, is kept from batch to batch
+            rows = list(zip(micros(b["occurred_at"]).tolist(), b["event_id"].tolist(), b["event_type"].tolist()))
+            ends = [r for r in rows if r[2] in terminal]
+            if place[2] in terminal:
+                place = min([*ends, place])
+            else:
+                place = min(ends) if ends else max([*rows, place], key=lambda r: (r[0], r[1], r[2] or ""))
+        state.update(tuple(place))
+        if tuple(place) != tuple(before):
+            yield pd.DataFrame([(key[0], place[2], stamp(place[0]))], columns=["run_id", "state", "since"])
 
     return step
 
