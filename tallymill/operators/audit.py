@@ -13,6 +13,13 @@ from ..functions.numbering import number_rows
 #: Days that each retention class keeps at least.
 RETENTION_DAYS = {"operational": 90, "security": 365}
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
+#: The events of tasks.
+EVENT_TYPES = (
+    "governance_policy_bootstrapped", "governance_policy_applied", "run_admitted", "run_claimed", "run_cancel_requested", "run_deferred", "run_yielded", "run_terminal", "run_retry_scheduled",
+    "run_dead_lettered", "run_lease_reconciled", "provider_attempt_reserved", "provider_attempt_send_started", "provider_attempt_settled", "question_evidence_persisted", "queue_notification", "governance_integrity_error",
+)
+#: What a payload's value of each kind looks like as text.
+KINDS = {"int": r"^-?[0-9]+$", "bool": "^(true|false)$", "text": r"^[^\x00-\x1F]{0,256}$"}
 
 
 def event_issues(events: DataFrame, types: list[str]) -> DataFrame:
@@ -35,6 +42,34 @@ def payload_issues(events: DataFrame, contract: DataFrame) -> DataFrame:
     return out.where("size(missing) > 0 OR size(extra) > 0")
 
 
+def payload_json(payload: Column, kinds: Column) -> Column:
+    """Canonical JSON of a payload map<string,string>: names in order, text in quotes, null as null. Values are safe text (see KINDS)."""
+    quoted = lambda e: F.concat(F.lit('"'), F.replace(F.replace(e["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    one = lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.when(e["value"].isNull(), "null").when(F.element_at(kinds, e["key"]).isin("int", "bool"), e["value"]).otherwise(quoted(e)))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(payload)), one), ","), F.lit("}"))
+
+
+def payload_faults(events: DataFrame, contract: DataFrame) -> DataFrame:
+    """(event_id, code, field): fields of a payload (map<string,string>) that miss, are too many or of another kind than the contract
+    (event_type, kinds map<string,string>, of KINDS) says, and a payload_sha256 that is not that of the canonical JSON (field null).
+
+    An event whose type has no contract has one fault. The contract, a row for each type, is the small side.
+    """
+    rows = events.join(contract.select("event_type", "kinds"), "event_type", "left")
+    have, want = F.map_keys("payload"), F.map_keys("kinds")
+    fault = lambda code: lambda f: F.struct(F.lit(code).alias("code"), f.cast("string").alias("field"))
+    value = lambda f: F.element_at("payload", f)
+    is_of = lambda f: F.coalesce(*(F.when(F.element_at("kinds", f) == k, value(f).rlike(p)) for k, p in KINDS.items()), F.lit(True))
+    none = F.array().cast("array<struct<code:string,field:string>>")
+    faults = F.concat(
+        F.transform(F.array_except(want, have), fault("missing_field")), F.transform(F.array_except(have, want), fault("extra_field")),
+        F.transform(F.filter(F.array_intersect(have, want), lambda f: value(f).isNotNull() & ~is_of(f)), fault("wrong_kind")),
+        F.when(~F.equal_null(F.sha2(payload_json(F.col("payload"), F.col("kinds")), 256), F.col("payload_sha256")), F.array(fault("payload_hash_mismatch")(F.lit(None)))).otherwise(none),
+    )
+    unknown = F.array(fault("no_contract")(F.lit(None)))
+    return rows.select("event_id", F.explode(F.when(F.col("kinds").isNull(), unknown).otherwise(faults)).alias("f")).select("event_id", "f.*")
+
+
 def dedupe_events(events: DataFrame, facts: list[str]) -> DataFrame:
     """(event_key, event_id, replays, conflicts): the first event of each key, how many later ones say the same, and how many do not."""
     first = F.min(F.struct("occurred_at", "event_id", *facts)).alias("first")
@@ -49,18 +84,25 @@ def trail(events: DataFrame, run_ids: list[int]) -> DataFrame:
     return events.where(F.col("run_id").isin(run_ids)).orderBy("occurred_at", "event_id")
 
 
-def event_type_counts(events: DataFrame, types: DataFrame, start: Column, end: Column) -> DataFrame:
-    """(event_type, n, scanned) in [start, end), with zeros; scanned is the number of all events there."""
+def event_type_counts(events: DataFrame, types: DataFrame, start: Column, end: Column, most: int = 1_000_000) -> DataFrame:
+    """(event_type, n, scanned, over_limit) in [start, end), with zeros; scanned is the number of all events there. Nothing is cut off: more than `most` is only told."""
     inside = events.where((F.col("occurred_at") >= start) & (F.col("occurred_at") < end))
     counts = inside.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"))
-    return types.select("event_type").join(counts, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0).cast("long")).alias("n")).crossJoin(total)
+    return types.select("event_type").join(counts, "event_type", "left").select("event_type", F.coalesce("n", F.lit(0).cast("long")).alias("n")).crossJoin(total.withColumn("over_limit", F.col("scanned") > most))
 
 
 def expired_events(events: DataFrame, cutoff: Column) -> DataFrame:
     return events.where(F.col("expires_at") < cutoff)
 
 
+def expired_page(events: DataFrame, cutoff: Column, limit: int) -> DataFrame:
+    """The first `limit` expired events by (expires_at, event_id), each with has_more: whether there are others."""
+    some = expired_events(events, cutoff).orderBy("expires_at", "event_id").limit(limit + 1)
+    numbered = some.withColumn("k", F.row_number().over(Window.orderBy("expires_at", "event_id")))  # limit + 1 rows at most
+    return numbered.withColumn("has_more", F.max("k").over(Window.partitionBy()) > limit).where(F.col("k") <= limit).drop("k")
+
+
 def archive_chunks(events: DataFrame, cutoff: Column, size: int = 10_000) -> DataFrame:
     """Expired events with their archive's number and place, in the order of (expires_at, event_id)."""
     numbered = number_rows(expired_events(events, cutoff), ["expires_at", "event_id"], "place")
@@ -81,6 +123,7 @@ def archive_manifest(chunks: DataFrame, columns: list[str]) -> DataFrame:
     lines = F.transform(F.array_sort(F.collect_list(F.struct("place", record(columns).alias("line")))), lambda x: x["line"])
     return chunks.groupBy("archive_id").agg(
         F.count(F.lit(1)).alias("events"), *(F.count_if(F.col("retention_class") == k).alias(f"{k}_events") for k in RETENTION_DAYS),
+        F.map_from_arrays(F.array(*map(F.lit, EVENT_TYPES)), F.array(*(F.count_if(F.col("event_type") == k) for k in EVENT_TYPES))).alias("by_type"),
         F.min("occurred_at").alias("first_occurred"), F.max("occurred_at").alias("last_occurred"), F.min("expires_at").alias("first_expires"), F.max("expires_at").alias("last_expires"),
         F.sha2(F.array_join(lines, "\n"), 256).alias("content_sha256"),
     )
@@ -91,12 +134,12 @@ def verify_archives(chunks: DataFrame, stored: DataFrame, columns: list[str], cu
     order = Window.partitionBy("archive_id").orderBy("place")
     here = F.struct("expires_at", "event_id")
     checked = chunks.withColumn("unordered", here <= F.lag(here).over(order)).withColumn("not_expired", F.col("expires_at") >= cutoff)
-    faults = checked.groupBy("archive_id").agg(F.bool_or(F.coalesce("unordered", F.lit(False))).alias("unordered"), F.bool_or("not_expired").alias("not_expired"), (F.count(F.lit(1)) != F.count_distinct("event_id")).alias("duplicate_id"))
+    faults = checked.groupBy("archive_id").agg(F.bool_or(F.coalesce("unordered", F.lit(False))).alias("unordered"), F.bool_or("not_expired").alias("not_expired"), (F.count(F.lit(1)) != F.count_distinct("event_id")).alias("duplicate_id"), (F.count(F.lit(1)) != F.count_distinct("event_key")).alias("duplicate_key"))
     now = archive_manifest(chunks, columns).select("archive_id", "events", "content_sha256")
     was = stored.select("archive_id", F.col("events").alias("was_events"), F.col("content_sha256").alias("was_sha256"))
     both = now.join(faults, "archive_id").join(was, "archive_id", "full_outer")
     code = lambda broken, name: F.when(broken, F.lit(name))
-    codes = F.array_compact(F.array(code(F.col("events").isNull(), "archive_missing"), code(F.col("was_events").isNull(), "manifest_missing"), code(F.col("events") != F.col("was_events"), "event_count_mismatch"), code(F.col("content_sha256") != F.col("was_sha256"), "content_mismatch"), code(F.col("unordered"), "unordered"), code(F.col("not_expired"), "not_expired"), code(F.col("duplicate_id"), "duplicate_id")))
+    codes = F.array_compact(F.array(code(F.col("events").isNull(), "archive_missing"), code(F.col("was_events").isNull(), "manifest_missing"), code(F.col("events") != F.col("was_events"), "event_count_mismatch"), code(F.col("content_sha256") != F.col("was_sha256"), "content_mismatch"), code(F.col("unordered"), "unordered"), code(F.col("not_expired"), "not_expired"), code(F.col("duplicate_id"), "duplicate_id"), code(F.col("duplicate_key"), "duplicate_key")))
     return both.select("archive_id", F.array_join(codes, ",").alias("codes")).where("codes <> ''")
 
 
@@ -110,6 +153,14 @@ def reconcile_archive(archived: DataFrame, stored: DataFrame, columns: list[str]
     return rows.select("event_id", status.alias("status"))
 
 
+def archive_status(reconciled: DataFrame) -> DataFrame:
+    """(status, exact, absent, conflict): of reconcile_archive's rows as a whole; conflict if any is one, else exact or absent if all are, else partial."""
+    n = {k: F.count_if(F.col("status") == k) for k in ("exact", "absent", "conflict")}
+    out = reconciled.agg(*(c.alias(k) for k, c in n.items()))
+    status = F.when(F.col("conflict") > 0, "conflict").when(F.col("absent") == 0, "exact").when(F.col("exact") == 0, "absent").otherwise("partial")
+    return out.select(status.alias("status"), "exact", "absent", "conflict")
+
+
 def restore_set(archived: DataFrame, stored: DataFrame) -> DataFrame:
     """Archived events whose id and key the table has not."""
     return archived.join(stored.select("event_id"), "event_id", "left_anti").join(stored.select("event_key"), "event_key", "left_anti")

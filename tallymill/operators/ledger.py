@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,9 +51,10 @@ def scope_rollup(facts: DataFrame) -> DataFrame:
     return facts.groupBy("scope_type", "scope_id").agg(*usage())
 
 
-def minute_rollup(facts: DataFrame) -> DataFrame:
+def minute_rollup(facts: DataFrame, every: bool = False) -> DataFrame:
+    """What minutes store; with `every`, also what only scopes do, so that scopes can be added up from it."""
     minute = F.date_trunc("minute", "window_start")
-    return facts.groupBy("scope_type", "scope_id", "policy_id", minute.alias("minute")).agg(*usage()[1:9])
+    return facts.groupBy("scope_type", "scope_id", "policy_id", minute.alias("minute")).agg(*(usage() if every else usage()[1:9]))
 
 
 def overdrawn_scopes(facts: DataFrame) -> DataFrame:
@@ -91,17 +94,22 @@ def stale_counts(settled: DataFrame) -> DataFrame:
     return rows.groupBy("run_id", "lease_token").agg(F.count_if(F.col("state") == "released").alias("released"), F.count_if(F.col("state") == "settled_conservative").alias("settled_conservatively"))
 
 
-def limit_verdicts(scopes: DataFrame, minutes: DataFrame, policies: DataFrame, overrides: DataFrame, new_tokens: int, new_cost: str) -> DataFrame:
+def limit_verdicts(minutes: DataFrame, policies: DataFrame, overrides: DataFrame, new_tokens: int, new_cost: str) -> DataFrame:
     """(scope_type, scope_id, policy_id, minute, verdict): the first limit that one more call would break, in the order of the checks, or `ok`.
 
-    policies: (policy_id, scope_type, concurrency, rpm, tpm, request_budget, token_budget, cost_budget), a few rows.
+    minutes: minute_rollup's with every part; a scope's all-time usage is added up from its minutes, so the ledger's rows are
+    aggregated once. policies: (policy_id, scope_type, concurrency, rpm, tpm, request_budget, token_budget, cost_budget), a few rows.
     overrides: (scope_id, request_budget, token_budget, cost_budget) of runs, of which the stricter counts. A null limit is none.
     """
     own = overrides.select("scope_id", *(F.col(c).alias(f"own_{c}") for c in ("request_budget", "token_budget", "cost_budget")))
-    tokens = "reserved_input_tokens + reserved_output_tokens + consumed_input_tokens + consumed_output_tokens"
-    now = minutes.select("scope_type", "scope_id", "policy_id", "minute", F.expr("reserved_requests + consumed_requests").alias("minute_requests"), F.expr(tokens).alias("minute_tokens"))
-    all_time = scopes.select("scope_type", "scope_id", "overdrawn", "active_reservations", F.expr("reserved_requests + consumed_requests").alias("requests"), F.expr(tokens).alias("tokens"), F.expr("reserved_cost_usd + consumed_cost_usd").alias("cost"))
-    rows = now.join(all_time, ["scope_type", "scope_id"]).join(policies, ["policy_id", "scope_type"]).join(own, "scope_id", "left")
+    whole = Window.partitionBy("scope_type", "scope_id")
+    tokens = F.expr("reserved_input_tokens + reserved_output_tokens + consumed_input_tokens + consumed_output_tokens")
+    requests = F.expr("reserved_requests + consumed_requests")
+    now = minutes.select(
+        "scope_type", "scope_id", "policy_id", "minute", requests.alias("minute_requests"), tokens.alias("minute_tokens"), F.bool_or("overdrawn").over(whole).alias("overdrawn"),
+        F.sum("active_reservations").over(whole).alias("active_reservations"), F.sum(requests).over(whole).alias("requests"), F.sum(tokens).over(whole).alias("tokens"), F.sum(F.expr("reserved_cost_usd + consumed_cost_usd")).over(whole).alias("cost"),
+    )
+    rows = now.join(policies, ["policy_id", "scope_type"]).join(own, "scope_id", "left")
     budget = lambda c: F.when(F.col("scope_type") == "run", F.least(c, f"own_{c}")).when(F.col("scope_type") == "global", F.col(c))
     cost = F.lit(new_cost).cast("decimal(20,8)")
     checks = [
@@ -128,15 +136,21 @@ def backlog_admission(runs: DataFrame, limit: int) -> DataFrame:
 def cumulative_budget(facts: DataFrame, budget: int) -> DataFrame:
     """(scope_id, operation_id, running_tokens): for each scope the first ledger row at which reserved or used tokens pass the budget.
 
-    A scope's rows are never ordered in one task: minutes are summed first, the running total of the few
-    minutes says in which one the budget is passed, and only its rows are put in order.
+    A scope's rows are never ordered in one task: minutes and days are summed first, the running totals say in which
+    day and then in which minute the budget is passed, and only that minute's rows are put in order.
     """
     held = F.when(F.col("state").isin(*SETTLED), F.expr("coalesce(actual_input_tokens, 0) + coalesce(actual_output_tokens, 0)")).when(F.col("state").isin(*ACTIVE), F.expr("reserved_input_tokens + reserved_output_tokens")).otherwise(0)
-    rows = facts.select("scope_id", "operation_id", "window_start", held.alias("tokens"), F.date_trunc("day", "window_start").alias("day"))
-    days = rows.groupBy("scope_id", "day").agg(F.sum("tokens").alias("n"))
-    until = F.sum("n").over(Window.partitionBy("scope_id").orderBy("day"))
-    passed = days.withColumn("until", until).withColumn("before", F.col("until") - F.col("n")).where((F.col("until") > budget) & (F.col("before") <= budget))
-    inside = rows.join(passed.select("scope_id", "day", "before"), ["scope_id", "day"])
+    rows = facts.select("scope_id", "operation_id", "window_start", held.alias("tokens"), F.date_trunc("minute", "window_start").alias("minute"))
+    minutes = rows.groupBy("scope_id", "minute").agg(F.sum("tokens").alias("n")).withColumn("day", F.date_trunc("day", "minute"))
+
+    def passing(sums: DataFrame, by: str) -> DataFrame:
+        """Of rows (scope_id, before, n) in order of `by` the one in which the budget is passed, with the total before it."""
+        until = F.col("before") + F.sum("n").over(Window.partitionBy("scope_id").orderBy(by))
+        return sums.withColumn("until", until).where((F.col("until") > budget) & (F.col("until") - F.col("n") <= budget)).select("scope_id", by, (F.col("until") - F.col("n")).alias("before"))
+
+    day = passing(minutes.groupBy("scope_id", "day").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long")), "day")
+    minute = passing(minutes.join(day, ["scope_id", "day"]), "minute")
+    inside = rows.join(minute, ["scope_id", "minute"])
     order = Window.partitionBy("scope_id").orderBy("window_start", "operation_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = inside.withColumn("running_tokens", F.col("before") + F.sum("tokens").over(order)).where(F.col("running_tokens") > budget)
     first = running.groupBy("scope_id").agg(F.min(F.struct("running_tokens", "window_start", "operation_id")).alias("f"))
@@ -150,19 +164,37 @@ def policy_hash(values: dict[str, Column], money: tuple[str, ...]) -> Column:
     return F.sha2(F.concat(F.lit("{"), inner, F.lit("}")), 256)
 
 
-def reconciliation_report(runs: DataFrame, responses: DataFrame, ledger: DataFrame, scopes: DataFrame, stored_scopes: DataFrame) -> DataFrame:
-    """(check, n): counts of what there is, and of what must be zero (names that begin with `bad_`)."""
-    one = lambda df, *aggs: df.agg(*aggs)
+#: What must be zero in a reconciled ledger.
+ZERO = (
+    "active_reservations", "scope_active_reservations", "scope_reserved_requests", "scope_reserved_input_tokens", "scope_reserved_output_tokens",
+    "minute_reserved_requests", "minute_reserved_input_tokens", "minute_reserved_output_tokens", "overdrawn_scopes", "duplicate_operations", "duplicate_responses",
+    "duplicate_event_keys", "active_runs", "missing_scopes", "extra_scopes", "scope_fields", "missing_minutes", "extra_minutes", "minute_fields",
+)
+
+
+def reconciliation_report(runs: DataFrame, responses: DataFrame, ledger: DataFrame, events: DataFrame, scopes: DataFrame, stored_scopes: DataFrame, minutes: DataFrame, stored_minutes: DataFrame) -> DataFrame:
+    """(check, n, must_be_zero): counts of what there is, of states and event types, and of all that ZERO names.
+
+    scopes and minutes are what the ledger gives (scope_rollup, minute_rollup), the stored ones what is written down.
+    """
     count, when = F.count(F.lit(1)), lambda c: F.count_if(F.expr(c))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    again = lambda df, *keys: df.groupBy(*keys).agg(count.alias("n"))
+    kinds = lambda what: [when(f"kind = '{k}'").alias(name) for k, name in (("missing", f"missing_{what}s"), ("extra", f"extra_{what}s"), ("differs", f"{what}_fields"))]
+    held = ("reserved_requests", "reserved_input_tokens", "reserved_output_tokens")
     parts = [
-        one(runs, count.alias("runs"), when("status = 'completed'").alias("completed_runs"), when("finished_at < started_at").alias("bad_run_times")),
-        one(responses, count.alias("responses"), when("score NOT IN (0, 1)").alias("bad_scores"), when("error_type IS NOT NULL").alias("question_errors")),
-        one(responses.groupBy("run_id", "question_id").agg(count.alias("n")), count.alias("distinct_responses"), when("n > 1").alias("bad_duplicate_responses")),
-        one(ledger, count.alias("reservations"), *(when(f"state = '{s}'").alias(f"state_{s}") for s in (*ACTIVE, *SETTLED, "released")), when("reserved_input_tokens < 0 OR actual_input_tokens < 0").alias("bad_negative_tokens")),
-        one(ledger_drift(scopes, stored_scopes, ["scope_type", "scope_id"], FIELDS), when("kind = 'missing'").alias("bad_missing_scopes"), when("kind = 'extra'").alias("bad_extra_scopes"), when("kind = 'differs'").alias("bad_scope_fields")),
+        runs.agg(count.alias("runs"), when("status = 'completed'").alias("completed_runs"), when("status IN ('pending', 'running')").alias("active_runs")),
+        responses.agg(count.alias("responses"), F.count("error_type").alias("question_errors")),
+        again(responses, "run_id", "question_id").agg(count.alias("distinct_responses"), when("n > 1").alias("duplicate_responses")),
+        ledger.agg(F.count_distinct("policy_id").alias("policies"), count.alias("reservations"), when("state IN ('reserved', 'send_started')").alias("active_reservations")),
+        again(ledger, "operation_id").agg(when("n > 1").alias("duplicate_operations")),
+        again(events, "event_key").agg(when("n > 1").alias("duplicate_event_keys")),
+        stored_scopes.agg(*(total(c).alias(f"scope_{c}") for c in ("active_reservations", *held)), when("overdrawn").alias("overdrawn_scopes")),
+        stored_minutes.agg(*(total(c).alias(f"minute_{c}") for c in held)),
+        ledger_drift(scopes, stored_scopes, ["scope_type", "scope_id"], FIELDS).agg(*kinds("scope")),
+        ledger_drift(minutes, stored_minutes, ["scope_type", "scope_id", "policy_id", "minute"], FIELDS[1:9]).agg(*kinds("minute")),
     ]
     long = [p.unpivot([], p.columns, "check", "n") for p in parts]
-    out = long[0]
-    for x in long[1:]:
-        out = out.unionByName(x)
-    return out
+    long += [again(df, c).select(F.concat(F.lit(f"{name}_"), c).alias("check"), "n") for df, c, name in ((ledger, "state", "state"), (events, "event_type", "event"))]
+    out = reduce(DataFrame.unionByName, long)
+    return out.withColumn("must_be_zero", F.col("check").isin(*ZERO))

@@ -16,9 +16,9 @@ def at(text):
 
 
 def bounds(t):
-    """Two times within the events: a fifth and four fifths of the way."""
-    row = t.audit_events.agg(F.min("occurred_at").alias("a"), F.max("occurred_at").alias("b")).first()
-    return [F.lit(row.a + (row.b - row.a) * k / 5) for k in (1, 4)]
+    """Two times within the events, a fifth and four fifths of the way: scalar subqueries of one scan each."""
+    row = t.audit_events.agg(F.unix_micros(F.min("occurred_at")).alias("a"), F.unix_micros(F.max("occurred_at")).alias("b"))
+    return [row.select(F.timestamp_micros(F.floor(F.col("a") + (F.col("b") - F.col("a")) * k / 5).cast("long"))).scalar() for k in (1, 4)]
 
 
 BOUNDS = "bounds AS (SELECT min(occurred_at) + (max(occurred_at) - min(occurred_at)) / 5 AS a, min(occurred_at) + (max(occurred_at) - min(occurred_at)) * 4 / 5 AS b FROM {audit_events})"
@@ -52,10 +52,10 @@ def run_audit_trail(t):
 
 
 @query(f"""WITH {BOUNDS}, e AS (SELECT event_type FROM {{audit_events}}, bounds WHERE occurred_at >= a AND occurred_at < b)
-SELECT k.event_type, (SELECT count(*) FROM e WHERE e.event_type = k.event_type) AS n, (SELECT count(*) FROM e) AS scanned FROM (VALUES {", ".join(f"('{x}')" for x in TYPES)}) AS k(event_type)""")
+SELECT k.event_type, (SELECT count(*) FROM e WHERE e.event_type = k.event_type) AS n, (SELECT count(*) FROM e) AS scanned, (SELECT count(*) FROM e) > 5000 AS over_limit FROM (VALUES {", ".join(f"('{x}')" for x in au.EVENT_TYPES)}) AS k(event_type)""")
 def event_type_counts(t):
     start, end = bounds(t)
-    return au.event_type_counts(t.audit_events, t.spark.createDataFrame([(x,) for x in TYPES], "event_type STRING"), start, end)
+    return au.event_type_counts(t.audit_events, t.spark.createDataFrame([(x,) for x in au.EVENT_TYPES], "event_type STRING"), start, end, 5000)
 
 
 def chunks(t, size=500):
@@ -65,8 +65,9 @@ def chunks(t, size=500):
 COLUMNS = ["event_id", "event_key", "event_type", "retention_class", "worker_id"]
 LINE = "'{' || " + " || ',' || ".join(f"'\"{c}\":\"' || CAST({c} AS VARCHAR) || '\"'" for c in sorted(COLUMNS)) + " || '}'"
 CHUNKS = BOUNDS + ", x AS (SELECT e.*, row_number() OVER (ORDER BY expires_at, event_id) - 1 AS place FROM {audit_events} e, bounds WHERE expires_at < b + INTERVAL 90 DAY), chunks AS (SELECT *, place // 500 AS archive_id FROM x)"
+BY_TYPE = " || ',' || ".join(f"'{k}=' || count(*) FILTER (event_type = '{k}')" for k in sorted(au.EVENT_TYPES))
 MANIFEST = f"""SELECT archive_id, count(*) AS events, count(*) FILTER (retention_class = 'operational') AS operational_events, count(*) FILTER (retention_class = 'security') AS security_events,
-  {EPOCH('min(expires_at)')} AS first_expires, {EPOCH('max(expires_at)')} AS last_expires, sha256(string_agg({LINE.replace("{", "{").replace("}", "}")}, chr(10) ORDER BY place)) AS content_sha256 FROM chunks GROUP BY archive_id"""
+  {BY_TYPE} AS by_type, {EPOCH('min(expires_at)')} AS first_expires, {EPOCH('max(expires_at)')} AS last_expires, sha256(string_agg({LINE.replace("{", "{").replace("}", "}")}, chr(10) ORDER BY place)) AS content_sha256 FROM chunks GROUP BY archive_id"""
 
 
 @query(f"WITH {CHUNKS} SELECT event_id, place, archive_id FROM chunks")
@@ -77,10 +78,13 @@ def archive_chunks(t):
 @query(f"WITH {CHUNKS} {MANIFEST}")
 def archive_manifest(t):
     found = au.archive_manifest(chunks(t), COLUMNS)
-    return found.select("archive_id", "events", "operational_events", "security_events", F.unix_micros("first_expires").alias("first_expires"), F.unix_micros("last_expires").alias("last_expires"), "content_sha256")
+    by_type = F.array_join(F.transform(F.array_sort(F.map_entries("by_type")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return found.select("archive_id", "events", "operational_events", "security_events", by_type.alias("by_type"), F.unix_micros("first_expires").alias("first_expires"), F.unix_micros("last_expires").alias("last_expires"), "content_sha256")
 
 
-@query(f"WITH {CHUNKS} SELECT archive_id, CASE WHEN archive_id % 3 = 0 THEN 'event_count_mismatch,content_mismatch' ELSE 'content_mismatch' END AS codes FROM chunks GROUP BY archive_id HAVING archive_id % 3 < 2")
+@query(f"""WITH {CHUNKS}, f AS (SELECT archive_id, count(*) AS n, count(*) FILTER (NOT (archive_id % 3 = 0 AND place % 500 = 7)) AS was_n, count(DISTINCT event_key) < count(*) AS again,
+  sha256(string_agg({LINE}, chr(10) ORDER BY place)) AS sha, sha256(string_agg({LINE.replace("CAST(worker_id AS VARCHAR)", "CAST(CASE WHEN archive_id % 3 = 1 THEN worker_id + 1 ELSE worker_id END AS VARCHAR)")}, chr(10) ORDER BY place) FILTER (NOT (archive_id % 3 = 0 AND place % 500 = 7))) AS was FROM chunks GROUP BY archive_id)
+SELECT archive_id, array_to_string(list_filter([CASE WHEN n <> was_n THEN 'event_count_mismatch' END, CASE WHEN sha <> was THEN 'content_mismatch' END, CASE WHEN again THEN 'duplicate_key' END], lambda x: x IS NOT NULL), ',') AS codes FROM f WHERE n <> was_n OR sha <> was OR again""")
 def verify_archives(t):
     made = chunks(t)
     stored = au.archive_manifest(made.where("NOT (archive_id % 3 = 0 AND place % 500 = 7)").withColumn("worker_id", F.expr("CASE WHEN archive_id % 3 = 1 THEN worker_id + 1 ELSE worker_id END")), COLUMNS)
@@ -104,6 +108,30 @@ def reconcile_archive(t):
     return au.reconcile_archive(*archived_and_stored(t), FACTS)
 
 
+@query(f"""WITH {PAIR}, r AS (SELECT CASE WHEN i.event_id IS NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.event_key = a.event_key) THEN 'absent' WHEN i.worker_id = a.worker_id THEN 'exact' ELSE 'conflict' END AS k FROM a LEFT JOIN s i ON a.event_id = i.event_id),
+n AS (SELECT count(*) FILTER (k = 'exact') AS exact, count(*) FILTER (k = 'absent') AS absent, count(*) FILTER (k = 'conflict') AS conflict FROM r)
+SELECT CASE WHEN conflict > 0 THEN 'conflict' WHEN absent = 0 THEN 'exact' WHEN exact = 0 THEN 'absent' ELSE 'partial' END AS status, * FROM n""")
+def archive_status(t):
+    return au.archive_status(au.reconcile_archive(*archived_and_stored(t), FACTS))
+
+
+@query(f"WITH {BOUNDS} SELECT event_id, (SELECT count(*) FROM {{audit_events}}, bounds WHERE expires_at < b + INTERVAL 90 DAY) > 200 AS has_more FROM {{audit_events}}, bounds WHERE expires_at < b + INTERVAL 90 DAY ORDER BY expires_at, event_id LIMIT 200")
+def expired_page(t):
+    """The first of those that have expired: the limit is what is asked for."""
+    return au.expired_page(t.audit_events, bounds(t)[1] + F.expr("INTERVAL 90 DAYS"), 200).select("event_id", "has_more")
+
+
+@query(f"""SELECT event_id, 'no_contract' AS code, CAST(NULL AS VARCHAR) AS field FROM {{audit_events}} WHERE event_type = 'run_dead_lettered'
+UNION ALL SELECT event_id, 'missing_field', 'note' FROM {{audit_events}} WHERE event_type <> 'run_dead_lettered' AND event_id % 7 = 1 UNION ALL SELECT event_id, 'extra_field', 'more' FROM {{audit_events}} WHERE event_type <> 'run_dead_lettered' AND event_id % 7 = 2
+UNION ALL SELECT event_id, 'wrong_kind', 'attempt' FROM {{audit_events}} WHERE event_type <> 'run_dead_lettered' AND event_id % 7 = 3 UNION ALL SELECT event_id, 'payload_hash_mismatch', NULL FROM {{audit_events}} WHERE event_type <> 'run_dead_lettered' AND event_id % 7 IN (1, 2, 3, 4)""")
+def audit_payload_faults(t):
+    """Payloads with a field too few, too many or of another kind, and hashes that are not theirs."""
+    contract = t.spark.createDataFrame([(k, {"attempt": "int", "note": "text"}) for k in TYPES[:5] if k != "run_dead_lettered"], "event_type STRING, kinds MAP<STRING,STRING>")
+    payload = F.expr("map_filter(map('attempt', if(event_id % 7 = 3, 'x', CAST(attempt AS STRING)), 'note', concat('n', event_id % 9), 'more', '1'), (k, v) -> CASE k WHEN 'note' THEN event_id % 7 <> 1 WHEN 'more' THEN event_id % 7 = 2 ELSE true END)")
+    sent = F.expr("""concat('{"attempt":', coalesce(CAST(attempt AS STRING), 'null'), ',"note":"n', event_id % 9, if(event_id % 7 = 4, '!', ''), '"}')""")
+    return au.payload_faults(t.audit_events.withColumns({"payload": payload, "payload_sha256": F.sha2(sent, 256)}), contract)
+
+
 @query(f"WITH {PAIR} SELECT event_id, event_key FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.event_id = a.event_id) AND NOT EXISTS (SELECT 1 FROM s WHERE s.event_key = a.event_key)")
 def restore_set(t):
     return au.restore_set(*archived_and_stored(t)).select("event_id", "event_key")

@@ -90,7 +90,7 @@ FROM m JOIN s ON m.scope_type = s.scope_type AND m.scope_id = s.scope_id LEFT JO
 def limit_verdicts(t):
     f = facts(t)
     overrides = t.ledger.where("run_id % 3 = 0 AND run_scope_id IS NOT NULL").select(F.col("run_scope_id").alias("scope_id")).distinct().selectExpr("scope_id", "CAST(NULL AS LONG) AS request_budget", "5000L AS token_budget", "CAST(NULL AS DECIMAL(20,8)) AS cost_budget")
-    found = lg.limit_verdicts(lg.scope_rollup(f), lg.minute_rollup(f), t.spark.createDataFrame(LIMITS, POLICY), overrides, 50, "0")
+    found = lg.limit_verdicts(lg.minute_rollup(f, every=True), t.spark.createDataFrame(LIMITS, POLICY), overrides, 50, "0")
     return found.withColumn("minute", F.unix_seconds("minute"))
 
 
@@ -112,13 +112,33 @@ def policy_hash(t):
     return t.models.select("model_id", lg.policy_hash(values, ("cost_budget",)).alias("policy_hash"))
 
 
-@query(f"""WITH {FACTS}, k AS (SELECT count(*) AS n FROM (SELECT DISTINCT scope_type, scope_id FROM facts)), w AS (SELECT count(*) AS n FROM (SELECT DISTINCT scope_type, scope_id FROM facts WHERE scope_id <> 'p1')),
-d AS (SELECT run_id, question_id, count(*) AS n FROM {{responses}} GROUP BY ALL)
-SELECT 'runs' AS "check", count(*) AS n FROM {{runs}} UNION ALL SELECT 'completed_runs', count(*) FROM {{runs}} WHERE status = 'completed' UNION ALL SELECT 'bad_run_times', 0
-UNION ALL SELECT 'responses', count(*) FROM {{responses}} UNION ALL SELECT 'bad_scores', 0 UNION ALL SELECT 'question_errors', count(error_type) FROM {{responses}}
-UNION ALL SELECT 'distinct_responses', count(*) FROM d UNION ALL SELECT 'bad_duplicate_responses', count(*) FROM d WHERE n > 1 UNION ALL SELECT 'reservations', count(*) FROM {{ledger}}
-UNION ALL SELECT 'state_' || state, count(*) FROM {{ledger}} GROUP BY state UNION ALL SELECT 'bad_negative_tokens', count(*) FROM {{ledger}} WHERE reserved_input_tokens < 0 OR actual_input_tokens < 0
-UNION ALL SELECT 'bad_missing_scopes', k.n - w.n FROM k, w UNION ALL SELECT 'bad_extra_scopes', 0 UNION ALL SELECT 'bad_scope_fields', 0""")
+DAY = "CAST(epoch(minute) AS BIGINT) // 86400 % 5"
+CHANGED = lambda a, b, keys, fields: f"""SELECT count(*) FILTER (b.scope_id IS NULL) AS missing, count(*) FILTER (a.scope_id IS NULL) AS extra,
+  count(*) FILTER (a.scope_id IS NOT NULL AND b.scope_id IS NOT NULL AND ({" OR ".join(f"a.{f} IS DISTINCT FROM b.{f}" for f in fields)})) AS differs FROM {a} a FULL JOIN {b} b ON {" AND ".join(f"a.{k} = b.{k}" for k in keys)}"""
+COUNTS = {
+    "runs": "count(*) FROM {runs}", "completed_runs": "count(*) FROM {runs} WHERE status = 'completed'", "active_runs": "count(*) FROM {runs} WHERE status IN ('pending', 'running')",
+    "responses": "count(*) FROM {responses}", "question_errors": "count(error_type) FROM {responses}", "distinct_responses": "count(*) FROM d", "duplicate_responses": "count(*) FROM d WHERE n > 1",
+    "policies": "count(DISTINCT policy_id) FROM {ledger}", "reservations": "count(*) FROM {ledger}", "active_reservations": "count(*) FROM {ledger} WHERE state IN ('reserved', 'send_started')",
+    "duplicate_operations": "count(*) FROM (SELECT operation_id FROM {ledger} GROUP BY operation_id HAVING count(*) > 1)", "duplicate_event_keys": "count(*) FROM (SELECT event_key FROM {audit_events} GROUP BY event_key HAVING count(*) > 1)",
+    **{f"scope_{c}": f"sum({c}) FROM st" for c in ("active_reservations", "reserved_requests", "reserved_input_tokens", "reserved_output_tokens")}, "overdrawn_scopes": "count(*) FROM st WHERE overdrawn",
+    **{f"minute_{c}": f"sum({c}) FROM mt" for c in ("reserved_requests", "reserved_input_tokens", "reserved_output_tokens")},
+    "missing_scopes": "missing FROM sd", "extra_scopes": "extra FROM sd", "scope_fields": "differs FROM sd", "missing_minutes": "missing FROM md", "extra_minutes": "extra FROM md", "minute_fields": "differs FROM md",
+}
+
+
+@query(f"""WITH {FACTS}, s AS (SELECT scope_type, scope_id, {ACTIVE}, {USAGE}, coalesce(bool_or({OVER}), false) AS overdrawn FROM facts GROUP BY scope_type, scope_id),
+m AS (SELECT scope_type, scope_id, policy_id, date_trunc('minute', window_start) AS minute, {USAGE} FROM facts GROUP BY scope_type, scope_id, policy_id, date_trunc('minute', window_start)),
+sa AS (SELECT * FROM s WHERE scope_id <> 'm5'), st AS (SELECT * REPLACE (consumed_requests + CAST(scope_id = 'm3' AS INT) AS consumed_requests) FROM s WHERE scope_id <> 'p1'),
+ma AS (SELECT * FROM m WHERE {DAY} <> 2), mt AS (SELECT * REPLACE (reserved_requests + CAST({DAY} = 1 AS INT) AS reserved_requests) FROM m WHERE {DAY} <> 0),
+d AS (SELECT run_id, question_id, count(*) AS n FROM {{responses}} GROUP BY ALL),
+sd AS ({CHANGED("sa", "st", ("scope_type", "scope_id"), lg.FIELDS)}), md AS ({CHANGED("ma", "mt", ("scope_type", "scope_id", "policy_id", "minute"), lg.FIELDS[1:9])})
+SELECT * FROM (SELECT 'state_' || state AS "check", count(*) AS n, false AS must_be_zero FROM {{ledger}} GROUP BY state UNION ALL SELECT 'event_' || event_type, count(*), false FROM {{audit_events}} GROUP BY event_type
+{" ".join(f"UNION ALL SELECT '{k}', CAST((SELECT {v}) AS BIGINT), {str(k in lg.ZERO).lower()}" for k, v in COUNTS.items())})""")
 def reconciliation_report(t):
-    scopes = lg.scope_rollup(facts(t))
-    return lg.reconciliation_report(t.runs, t.responses, t.ledger, scopes, scopes.where("scope_id <> 'p1'"))
+    """Stored scopes and minutes lack some, have some more and say some otherwise."""
+    f = facts(t)
+    scopes, minutes = lg.scope_rollup(f), lg.minute_rollup(f)
+    day = F.floor(F.unix_seconds("minute") / 86400) % 5
+    stored = scopes.where("scope_id <> 'p1'").withColumn("consumed_requests", F.expr("consumed_requests + if(scope_id = 'm3', 1, 0)"))
+    stored_minutes = minutes.where(day != 0).withColumn("reserved_requests", F.col("reserved_requests") + F.when(day == 1, 1).otherwise(0))
+    return lg.reconciliation_report(t.runs, t.responses, t.ledger, t.audit_events, scopes.where("scope_id <> 'm5'"), stored, minutes.where(day != 2), stored_minutes)
