@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from ..functions.numbering import number_rows
+
 SHOTS = 5
 #: The instructions of the two prompt profiles.
 DIRECT = "Answer the following multiple choice question. Respond with only the correct option letter.\n\n"
@@ -111,7 +113,11 @@ def to_questions(rows: DataFrame, prefix: str, key: str, metadata: list[str]) ->
 
 
 def assign_positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("position", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    """rows with `position`, the place in their group from 0; ranges of rows are numbered, so a large group is no single task's."""
+    numbered = number_rows(rows, [group, *order], "__n")
+    first = numbered.groupBy(group).agg(F.min("__n").alias("__first")).withColumnRenamed(group, "__group")
+    out = numbered.join(first, F.col(group).eqNullSafe(F.col("__group")))
+    return out.withColumn("position", F.col("__n") - F.col("__first")).select(*rows.columns, "position")
 
 
 # -- canonical JSON and hashes -------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,39 @@ def rule_violations(df: DataFrame, key: list[str], rules: dict[str, str]) -> Dat
     return df.select(*key, F.explode(broken).alias("rule"))
 
 
+#: Rules of the rows of the evaluation tables, each the condition that must not be false.
+TABLE_RULES: dict[str, dict[str, str]] = {
+    "runs": {
+        "status_known": "status IN ('pending', 'running', 'completed', 'failed', 'cancelled')", "total_questions_positive": "total_questions > 0", "times_in_order": "finished_at >= started_at",
+        "max_attempts_positive": "max_attempts > 0", "concurrency_positive": "concurrency > 0", "max_tokens_positive": "max_tokens > 0", "temperature_not_negative": "temperature_setting >= 0", "reservation_positive": "input_token_reservation > 0",
+    },
+    "responses": {
+        "score_in_range": "score >= 0 AND score <= 1", "latency_not_negative": "latency_ms >= 0", "input_tokens_not_negative": "input_tokens >= 0", "output_tokens_not_negative": "output_tokens >= 0", "cost_not_negative": "estimated_cost >= 0",
+        "error_has_no_score": "error_type IS NULL OR score = 0", "answer_or_error": "raw_response IS NOT NULL OR error_type IS NOT NULL",
+    },
+    "ledger": {
+        "state_known": "state IN ('reserved', 'send_started', 'settled_actual', 'settled_conservative', 'released')", "reserved_not_negative": "reserved_input_tokens >= 0 AND reserved_output_tokens >= 0 AND reserved_cost_usd >= 0",
+        "actual_not_negative": "actual_input_tokens >= 0 AND actual_output_tokens >= 0 AND actual_cost_usd >= 0", "settled_has_actual": "state NOT IN ('settled_actual', 'settled_conservative') OR actual_output_tokens IS NOT NULL",
+        "unsettled_has_none": "state NOT IN ('reserved', 'send_started', 'released') OR actual_output_tokens IS NULL",
+    },
+    "audit_events": {"attempt_not_negative": "attempt >= 0", "kept_after_it_happened": "expires_at > occurred_at", "class_known": "retention_class IN ('operational', 'security')", "key_not_empty": "event_key <> ''"},
+    "workers": {"seen_after_start": "last_seen_at >= started_at", "claim_not_after_seen": "last_claim_at <= last_seen_at", "progress_not_after_seen": "last_progress_at <= last_seen_at", "stop_not_before_start": "stopped_at >= started_at"},
+    "tasks": {
+        "failures_in_range": "failures >= 0 AND failures <= attempts", "lease_only_while_running": "(lease_expires_at IS NOT NULL) = (status = 'running')", "started_unless_pending": "(started_at IS NULL) = (status = 'pending')",
+        "finished_only_if_completed": "(finished_at IS NOT NULL) = (status = 'completed')", "times_in_order": "finished_at >= started_at AND started_at >= created_at", "no_more_responses_than_planned": "responded <= planned",
+    },
+}
+
+
+def rule_counts(tables: dict[str, DataFrame], rules: dict[str, dict[str, str]] = TABLE_RULES) -> DataFrame:
+    """(table_name, rule, broken): how many rows of each table break each rule, 0 too; a pass over each table."""
+    frames = []
+    for table, own in rules.items():
+        each = F.array(*(F.struct(F.lit(table).alias("table_name"), F.lit(name).alias("rule"), F.count_if(F.expr(f"NOT ({cond})")).alias("broken")) for name, cond in own.items()))
+        frames.append(tables[table].agg(each.alias("x")).select(F.explode("x").alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -157,7 +157,18 @@ def cumulative_budget(facts: DataFrame, budget: int) -> DataFrame:
     return first.select("scope_id", "f.operation_id", "f.running_tokens")
 
 
-def policy_hash(values: dict[str, Column], money: tuple[str, ...]) -> Column:
+#: The limits that a policy's hash is over, and those that are money.
+POLICY_FIELDS = (
+    "global_concurrency_limit", "provider_concurrency_limit", "model_concurrency_limit", "run_concurrency_limit",
+    "global_requests_per_minute", "provider_requests_per_minute", "model_requests_per_minute", "run_requests_per_minute",
+    "global_tokens_per_minute", "provider_tokens_per_minute", "model_tokens_per_minute", "run_tokens_per_minute",
+    "global_lifetime_request_budget", "global_lifetime_token_budget", "global_lifetime_cost_budget_usd",
+    "run_lifetime_request_budget", "run_lifetime_token_budget", "run_lifetime_cost_budget_usd", "backlog_limit", "question_quantum",
+)
+MONEY = ("global_lifetime_cost_budget_usd", "run_lifetime_cost_budget_usd")
+
+
+def policy_hash(values: dict[str, Column], money: tuple[str, ...] = MONEY) -> Column:
     """SHA-256 of the canonical JSON of a policy's limits: names in order, money as text with eight places."""
     one = lambda name, v: F.coalesce(F.concat(F.lit('"'), v.cast("decimal(20,8)").cast("string"), F.lit('"')) if name in money else v.cast("string"), F.lit("null"))
     inner = F.concat_ws(",", *(F.concat(F.lit(f'"{name}":'), one(name, values[name])) for name in sorted(values)))

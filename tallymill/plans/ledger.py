@@ -106,10 +106,16 @@ def cumulative_budget(t):
     return lg.cumulative_budget(facts(t), 3000)
 
 
-@query("""SELECT model_id, sha256('{{"cost_budget":"' || CAST(CAST(model_id AS DECIMAL(20,8)) AS VARCHAR) || '","request_budget":' || CASE WHEN model_id % 2 = 0 THEN 'null' ELSE CAST(model_id * 10 AS VARCHAR) END || '}}') AS policy_hash FROM {models}""".replace("{{", "{").replace("}}", "}"))
+def field_sql(k: int, name: str) -> str:
+    money = f"""'"' || CAST(CAST(model_id + {k} AS DECIMAL(20,8)) AS VARCHAR) || '"'"""
+    return f"""'"{name}":' || """ + (money if name in lg.MONEY else f"CASE WHEN model_id % {k + 2} = 0 THEN 'null' ELSE CAST(model_id + {k} AS VARCHAR) END")
+
+
+@query(f"""SELECT model_id, sha256(chr(123) || {" || ',' || ".join(field_sql(lg.POLICY_FIELDS.index(n), n) for n in sorted(lg.POLICY_FIELDS))} || chr(125)) AS policy_hash FROM {{models}}""")
 def policy_hash(t):
-    values = {"request_budget": F.expr("CASE WHEN model_id % 2 = 1 THEN model_id * 10 END"), "cost_budget": F.col("model_id")}
-    return t.models.select("model_id", lg.policy_hash(values, ("cost_budget",)).alias("policy_hash"))
+    """All limits, some of them not set."""
+    values = {n: F.expr(f"model_id + {k}" if n in lg.MONEY else f"if(model_id % {k + 2} = 0, NULL, model_id + {k})") for k, n in enumerate(lg.POLICY_FIELDS)}
+    return t.models.select("model_id", lg.policy_hash(values).alias("policy_hash"))
 
 
 DAY = "CAST(epoch(minute) AS BIGINT) // 86400 % 5"
