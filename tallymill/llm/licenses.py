@@ -29,6 +29,17 @@ TEMPLATES: tuple[tuple[str, bool, str, str], ...] = (
     ("epl", False, "licensed under the eclipse public license", "eclipse public license"),
     ("isc", False, "released under the isc license", "isc license"),
     ("unlicense", False, "released into the public domain under the unlicense", "the unlicense"),
+    # from the licences' own texts and notices
+    ("mit", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "person obtaining a copy of this software and associated documentation files"),
+    ("bsd", False, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", False, "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "names of its contributors may be used to endorse or promote products"),
+    ("isc", False, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache-2.0", False, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "software distributed under the license is distributed on an as is basis"),
+    ("gpl-3.0-or-later", False, "either version 3 of the license or at your option any later version", "version 3 of the license or at your option any later version"),
+    ("gpl-2.0-or-later", False, "either version 2 of the license or at your option any later version", "version 2 of the license or at your option any later version"),
+    ("unlicense", False, "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    ("bsl-1.0", False, "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    ("zlib", False, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "versions must be plainly marked as such and must not be misrepresented"),
 )
 #: Words a template is looked up by: so many of its mandatory phrase, those of the highest IDF.
 RARE = 2
@@ -121,7 +132,7 @@ def scan(docs: DataFrame) -> DataFrame:
 def oracle_sql() -> str:
     """The same for DuckDB: phrases as text between single spaces."""
     has = lambda phrase: f"contains(line, ' {phrase} ')"
-    names = lambda ts: "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {has(t[3])} THEN '{t[0]}' END" for t in ts) + "], lambda x: x IS NOT NULL)), ',')"
+    names = lambda ts: "array_to_string(list_sort(list_distinct(list_filter([" + ", ".join(f"CASE WHEN {has(t[3])} THEN '{t[0]}' END" for t in ts) + "], lambda x: x IS NOT NULL))), ',')"
     starts = lambda phrase: f"list_filter(range(1, len(words) + 1), lambda i: array_to_string(words[i:i + {len(phrase.split()) - 1}], ' ') = '{phrase}')"
     base = [t for t in TEMPLATES if t[1]]
     shares = []

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.numbering import scratch_path
 from . import bpe, decontaminate, language, licenses, quality, rules, simhash, substring, token_files, toxicity
-from .common import documents, scratch_path
+from .common import documents, materialize
 
 
 #: The tokenizer file, of the public vocabularies; it stays where it is.
@@ -51,6 +54,13 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(documents(spark, sf_dir))
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of all documents is stored once; each policy is then applied to its bits."""
+    rows = materialize(rules.ledger(documents(spark, sf_dir)).select("doc_id", "failed"))
+    each = [rules.ablation(rows, policy).select(F.lit(policy).alias("policy"), "rule", "n_failed", "n_only") for policy in rules.POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -95,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring": op6_substring,
     "op7_toxicity": op7_toxicity,
     "op8_rules": op8_rules,
+    "rules_ablation": rules_ablation,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
 }
@@ -102,4 +113,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
     "op6_substring": OP6_SQL,
     "op8_rules": rules.oracle_sql(),
+    "rules_ablation": rules.ablation_sql(),
 }

@@ -136,3 +136,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        failed_bits & {mask(BASE) | mask(policy)} = 0 AS kept, failed_bits
 FROM f
 """
+
+
+def ablation_sql() -> str:
+    """ablation() of each policy for DuckDB."""
+    parts = []
+    for policy, names in POLICIES.items():
+        for r in names:
+            parts.append(f"SELECT '{policy}' AS policy, '{r}' AS rule, count(*) FILTER (failed_bits & {bit(r)} <> 0) AS n_failed, count(*) FILTER (failed_bits & {mask(policy)} = {bit(r)}) AS n_only FROM l")
+    return f"WITH l AS ({oracle_sql()})\n" + "\nUNION ALL ".join(parts)

@@ -52,3 +52,22 @@ def test_odd_tables_and_plan(spark):
     assert L.scan(df.limit(0)).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_licences_are_known_by_their_own_words(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
+    gpl = "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    apache = 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,'
+    texts = [mit, bsd, isc, gpl, apache, "permission is hereby granted to any person", mit + "\n" + bsd]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in L.scan(df).collect()}
+    assert [got[k][0] for k in range(7)] == ["mit", "bsd,bsd-3-clause", "isc", "gpl,gpl-3.0-or-later", "apache-2.0", "", "bsd,bsd-3-clause,mit"]
+    assert all(got[k][1] == 1.0 for k in (0, 1, 2, 3, 4)) and got[5][1] == 0.0
