@@ -165,12 +165,16 @@ def report_groups(runs: DataFrame, responses: DataFrame, questions: DataFrame, f
     return rows.select("run_id", "group_value", "planned", F.col("completed_questions").alias("responses"), "correct_questions", "error_questions", "score", "completion_rate", "answered_accuracy")
 
 
+#: What a report says of where its run came from, as far as the runs have it.
+PROVENANCE = ("protocol", "benchmark_id", "benchmark_version", "dataset_hash", "prompt_template", "evaluator", "model_id")
+
+
 def report_summary(runs: DataFrame, responses: DataFrame, questions: DataFrame, field: str) -> DataFrame:
     """The groups' sums and, with a null group, their run's, by one grouping of additive parts; with the run's provenance. A run without a response has a row of zeros."""
     named = questions.select("question_id", group_value(F.col(field)).alias("group_value"))
     parts = sums(responses.join(named, "question_id"), "run_id", "group_value")
     both = parts.rollup("run_id", "group_value").agg(F.grouping("run_id").alias("g"), F.sum("responses").alias("responses"), F.bround(F.sum("score_sum"), 0).cast("long").alias("correct"), F.sum("errors").alias("errors"))
-    told = runs.select("run_id", "protocol", "benchmark_id", "benchmark_version", "dataset_hash", "prompt_template", "evaluator", "model_id")
+    told = runs.select("run_id", *(c for c in PROVENANCE if c in runs.columns))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return told.join(both.where("g = 0"), "run_id", "left").select("run_id", "group_value", *map(zero, ("responses", "correct", "errors")), *told.columns[1:])
 
