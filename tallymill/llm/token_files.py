@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .bpe import SPACE
 
@@ -24,8 +26,52 @@ BLOCK = 1 << 16
 #: Chunks of text whose ids a worker keeps; a full table starts anew.
 TABLE = 1_500_000
 MAGIC, HEADER = b"IDPLANE1", struct.Struct("<8sIQ?")
-#: Documents whose unknown words are encoded together.
-TOGETHER = 256
+#: Latin letters, and a piece that is one word of them with ASCII signs after it: the usual pattern cuts it just there.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+WORD_AND_SIGNS = re.compile(rf"(\n?)([{LATIN}]+)([!-/:-@\[-`{{-~]*)")
+
+
+class Pieces(dict):
+    """The ids of each piece of text asked for so far, as 32-bit unsigned integers; None for one that can't stand alone.
+
+    A piece follows a space, or begins with the line end before it. One of a Latin word and signs goes to the
+    library's model at once, without its splitting of texts.
+    """
+
+    def __init__(self, library: Tokenizer):
+        super().__init__()
+        self.library = library
+        spec = json.loads(library.to_str())
+        cut = spec["pre_tokenizer"] or {}
+        self.usual = not spec["normalizer"] and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {ord(c): shown(c)[0][0] for c in map(chr, range(0x250)) if re.match(f"[{LATIN}]", c)}
+        self.signs = {"": b""}
+        self.space = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
+        self.newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if self.usual and (m := WORD_AND_SIGNS.fullmatch(piece)):
+            line, word, signs = m.groups()
+            if signs not in self.signs:
+                self.signs[signs] = self.whole(signs)
+            ids = [t.id for t in self.library.model.tokenize(("" if line else "\u0120") + word.translate(self.letters))]
+            data = (self.newline if line else b"") + struct.pack(f"={len(ids)}I", *ids) + self.signs[signs]
+        else:
+            body = piece.removeprefix("\n")
+            if not body or body[0] in self.space or body[-1] in self.space:
+                data = None
+            else:
+                data = self.whole(" " + piece) if body is piece else self.newline + self.whole(body)
+        self[piece] = data
+        return data
+
+    def clear(self) -> None:
+        super().clear()
+        self.signs = {"": b""}
 
 
 class Encoder:
@@ -37,60 +83,27 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        added = [t.content for t in library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.space = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
-        self.newline = self._whole("\n")
-        self.table: dict[str, bytes | None] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """The ids of pieces, in one text with a line for each; None for those that can't stand alone."""
-        lines, alone = [], []
-        for p in pieces:
-            body = p[1:] if p[:1] == "\n" else p
-            if not body or body[0] in self.space or body[-1] in self.space:
-                self.table[p] = None
-            else:
-                alone.append(p)
-                lines.append(body if body is not p else " " + p)
-        if not alone:
-            return
-        ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(ids == np.frombuffer(self.newline, np.uint32)[0])
-        data = ids.tobytes()
-        for p, a, b in zip(alone, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]):
-            self.table[p] = self.newline + data[a:b] if p[0] == "\n" else data[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as 32-bit unsigned integers for each text."""
-        if len(self.table) > TABLE:
-            self.table.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        parts: list[tuple[int, list[str], list, list[int]]] = []
-        wanted: set[str] = set()
-        for k, text in enumerate(texts):
-            if not text:
-                out[k] = b""
-            elif self.special is None or not self.special.search(text):
-                pieces = text.replace("\n", " \n").split(" ")
-                pieces[0] = "\n" + pieces[0]
-                found = list(map(self.table.get, pieces))
-                missing = [i for i, x in enumerate(found) if x is None]
-                wanted.update(pieces[i] for i in missing)
-                parts.append((k, pieces, found, missing))
-        self._learn([p for p in wanted if p not in self.table])  # those there are known not to stand alone
-        for k, pieces, found, missing in parts:
-            for i in missing:
-                found[i] = self.table[pieces[i]]
-            if not missing or None not in found:
-                out[k] = b"".join(found)[len(self.newline) :]
-        return [self._whole(text) if x is None else x for text, x in zip(texts, out)]
+        self.pieces = Pieces(library)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as 32-bit unsigned integers."""
+        if not text:
+            return b""
+        table = self.pieces
+        if self.special is None or not self.special.search(text):
+            if len(table) > TABLE:
+                table.clear()
+            found = list(map(table.__getitem__, ("\n" + text.replace("\n", " \n")).split(" ")))
+            try:
+                return b"".join(found)[len(table.newline) :]
+            except TypeError:  # a piece that can't stand alone
+                pass
+        return table.whole(text)
 
 
 @lru_cache(maxsize=2)
@@ -147,14 +160,14 @@ def _chunks(path: str, end: int, block: int, bits: bool):
 
         for batch in it:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(ids), TOGETHER):
-                for i, data in zip(ids[a : a + TOGETHER], encoder(path).encode([t or "" for t in texts[a : a + TOGETHER]])):
-                    docs.append(i)
-                    held.append(data + tail)
-                    size += len(data) // 4 + 1
-                    if size >= block:
-                        yield close()
-                        docs, held, size, chunk = [], [], 0, chunk + 1
+            for i, text in zip(ids, texts):
+                data = encoder(path).encode(text or "")
+                docs.append(i)
+                held.append(data + tail)
+                size += len(data) // 4 + 1
+                if size >= block:
+                    yield close()
+                    docs, held, size, chunk = [], [], 0, chunk + 1
         if docs:
             yield close()
 

@@ -34,12 +34,19 @@ def texts():
 
 def test_encoder_equals_the_library_on_whole_texts():
     library, ours = Tokenizer.from_file(PATH), K.Encoder(PATH)
-    all_texts = [t or "" for t in texts()]
+    rng = random.Random(5)
+    signs = ["".join(rng.choice("aBéñß×÷ſɏɐÖ's.,!#-_`~[\\1٣中 \n") for _ in range(rng.randrange(30))) for _ in range(2000)]
     for _ in range(2):  # again, from the table
-        for at in range(0, len(all_texts), 50):
-            part = all_texts[at : at + 50]
-            for t, got in zip(part, ours.encode(part)):
-                assert list(memoryview(got).cast("I")) == library.encode(t, add_special_tokens=False).ids, t
+        for t in [t or "" for t in texts()] + signs:
+            assert list(memoryview(ours.encode(t)).cast("I")) == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_table_starts_anew(monkeypatch):
+    monkeypatch.setattr(K, "TABLE", 3)
+    ours = K.Encoder(PATH)
+    for t in ("one two, three four!", "five two,", "one"):
+        assert list(memoryview(ours.encode(t)).cast("I")) == ours.pieces.library.encode(t, add_special_tokens=False).ids
+    assert len(ours.pieces) < 5
 
 
 @pytest.mark.parametrize(("block", "bits"), [(64, False), (1 << 16, True)])
