@@ -205,68 +205,165 @@ QUESTION_FIELDS = {
     "multiple_choice": (("id", "type", "prompt", "choices", "answer", "metadata"), ()),
     "numeric": (("id", "type", "prompt", "answer", "metadata"), ("evaluator_config",)),
 }
-ID = r"^[a-z0-9]+(-[a-z0-9]+)*$"
-QUESTION_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-
-
-def _keys(text: Column) -> Column:
-    return F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-
-
-def manifest_issues(manifests: DataFrame) -> DataFrame:
-    """(dataset_id, code, pointer) of manifests (dataset_id, value)."""
-    get = lambda p: F.get_json_object("value", f"$.{p}")
-    have = _keys(F.col("value"))
-    fields = F.array(*map(F.lit, MANIFEST_FIELDS))
-    issue = lambda code: lambda p: F.struct(F.lit(code).alias("code"), F.concat(F.lit("/"), p).alias("pointer"))
-    at = lambda code, pointer, broken: F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(pointer).alias("pointer")))
-    rules = F.array_compact(F.array(
-        at("pattern_mismatch", "/id", ~get("id").rlike(ID)), at("pattern_mismatch", "/version", ~get("version").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+(-[0-9A-Za-z.-]+)?$")),
-        at("pattern_mismatch", "/dimension", ~get("dimension").rlike("^[a-z][a-z0-9_-]*$")), at("question_count_out_of_range", "/question_count", ~F.coalesce(get("question_count").try_cast("long").between(1, 20_000), F.lit(False)) & get("question_count").isNotNull()),
-        at("required_prompt_placeholder_missing", "/prompt_template/user", ~F.contains(get("prompt_template.user"), F.lit("{prompt}"))),
-    ))
-    all_of = F.when(F.try_parse_json("value").isNull(), F.array(F.struct(F.lit("invalid_json").alias("code"), F.lit("").alias("pointer")))).otherwise(
-        F.concat(F.transform(F.array_except(fields, have), issue("required_field_missing")), F.transform(F.array_except(have, fields), issue("additional_field_not_allowed")), rules)
-    )
-    return manifests.select("dataset_id", F.explode(all_of).alias("i")).select("dataset_id", "i.code", "i.pointer")
+ID = r"^[a-z0-9]+(-[a-z0-9]+)*\z"
+QUESTION_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*\z"
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+#: Least and greatest length of each text of a manifest, and its form; the texts of a prompt template.
+MANIFEST_TEXTS = {
+    "id": (1, 80, ID),
+    "name": (1, 160, None),
+    "version": (1, 64, r"^[0-9]+\.[0-9]+\.[0-9]+(-[0-9A-Za-z.-]+)?\z"),
+    "description": (1, 4_000, None),
+    "dimension": (1, 64, r"^[a-z][a-z0-9_-]*\z"),
+    "language": (1, 35, r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*\z"),
+    "license": (1, 128, None),
+    "source": (1, 2_048, None),
+}
+TEMPLATE_TEXTS = {"system": (0, 4_000, None), "user": (1, 12_000, None)}
+MOST_QUESTIONS = 20_000
+#: The evaluator, its version, and the scorer of each question type.
+EVALUATOR, EVALUATOR_VERSION = "builtin-objective", "1.0"
+MAPPING = {"exact_match": "exact_match_v1", "multiple_choice": "multiple_choice_v1", "numeric": "numeric_v1"}
+#: Settings of a scorer that a question may carry.
+SWITCHES, TOLERANCES = ("case_sensitive", "normalize_whitespace"), ("absolute_tolerance", "relative_tolerance")
+
+
+class _Json:
+    """Rules over the JSON object in a column; each gives an array of (code, pointer), empty where the rule holds or the field is missing."""
+
+    def __init__(self, column: str):
+        self.column, self.value = column, F.try_parse_json(column)
+
+    @staticmethod
+    def issue(code: Column | str, pointer: Column | str) -> Column:
+        return F.struct((F.lit(code) if isinstance(code, str) else code).alias("code"), (F.lit(pointer) if isinstance(pointer, str) else pointer).alias("pointer"))
+
+    def at(self, code: Column | str, field: str, broken: Column | None = None) -> Column:
+        """broken may be left out where code is null unless the rule is broken."""
+        broken = code.isNotNull() if broken is None else F.coalesce(broken, F.lit(False))
+        return F.when(broken, F.array(self.issue(code, "/" + field.replace(".", "/"))))
+
+    def get(self, field: str, kind: str = "string") -> Column:
+        return F.try_variant_get(self.value, f"$.{field}", kind)
+
+    def kind(self, field: str = "") -> Column:
+        return F.schema_of_variant(F.try_variant_get(self.value, f"$.{field}" if field else "$", "variant"))
+
+    def is_object(self, field: str = "") -> Column:
+        return F.coalesce(F.startswith(self.kind(field), F.lit("OBJECT")), F.lit(False))
+
+    def is_number(self, field: str) -> Column:
+        return self.kind(field).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+
+    def fields(self, need: Column, may: Column, inside: str = "") -> Column:
+        """Fields that are missing, and those beside the allowed ones."""
+        have = F.coalesce(F.json_object_keys(F.get_json_object(self.column, f"$.{inside}") if inside else F.col(self.column)), F.array().cast("array<string>"))
+        base = f"/{inside.replace('.', '/')}/" if inside else "/"
+        each = lambda code: lambda k: self.issue(code, F.concat(F.lit(base), k))
+        both = F.concat(F.transform(F.array_except(need, have), each("required_field_missing")), F.transform(F.array_except(have, may), each("additional_field_not_allowed")))
+        return F.when(self.is_object(inside), both)
+
+    def an_object(self, field: str) -> Column:
+        return self.at("invalid_type", field, ~self.is_object(field) & self.kind(field).isNotNull())
+
+    def a_text(self, field: str, low: int, high: int, form: str | None = None) -> Column:
+        return self.at(text_fault(self.kind(field), self.get(field), low, high, form), field)
+
+
+def text_fault(kind: Column, text: Column, low: int, high: int, form: str | None = None) -> Column:
+    """The code of what is wrong with a text of a given kind; null if nothing is, or there is none."""
+    found = F.when(kind != "STRING", "invalid_type").when(~F.char_length(text).between(low, high), "string_length_out_of_range")
+    return found if form is None else found.when(~text.rlike(form), "pattern_mismatch")
+
+
+def _names(names) -> Column:
+    return F.array(*map(F.lit, names)).cast("array<string>")
+
+
+def _gather(parts: list[Column]) -> Column:
+    return F.concat(*(F.coalesce(p, F.array().cast("array<struct<code:string,pointer:string>>")) for p in parts))
+
+
+def manifest_issues(manifests: DataFrame, schema_version: str | None = None) -> DataFrame:
+    """(dataset_id, code, pointer) of manifests (dataset_id, value); schema_version is the one asked for, if any."""
+    j = _Json("value")
+    count = j.kind("question_count")
+    #  braces that stand for themselves are doubled; what is left must be fields
+    bare = F.regexp_replace(j.get("prompt_template.user"), r"\{\{|\}\}", "")
+    used = F.regexp_extract_all(bare, F.lit(r"\{([^{}]*)\}"), F.lit(1))
+    name = lambda x: F.regexp_extract(x, "^[^!:]*", 0)
+    known = lambda x: name(x).isin("prompt", "choices")
+    open_brace = F.regexp_replace(bare, r"\{[^{}]*\}", "").rlike(r"[{}]")
+    user = lambda code, broken: j.at(code, "prompt_template.user", broken & (j.kind("prompt_template.user") == "STRING"))
+    rules = [
+        j.fields(_names(MANIFEST_FIELDS), _names(MANIFEST_FIELDS)), *(j.a_text(f, *rule) for f, rule in MANIFEST_TEXTS.items()),
+        j.at("unsupported_schema_version", "schema_version", F.lit(False) if schema_version is None else j.kind("schema_version").isNotNull() & ~F.equal_null(j.get("schema_version"), F.lit(schema_version))),
+        j.at(F.when(count != "BIGINT", "invalid_type").when(~j.get("question_count", "long").between(1, MOST_QUESTIONS), "question_count_out_of_range"), "question_count"),
+        j.an_object("evaluator"), j.fields(_names(("name", "version", "mapping")), _names(("name", "version", "mapping")), "evaluator"),
+        j.at("unsupported_evaluator", "evaluator.name", j.kind("evaluator.name").isNotNull() & ~F.equal_null(j.get("evaluator.name"), F.lit(EVALUATOR))),
+        j.at("unsupported_evaluator_version", "evaluator.version", j.kind("evaluator.version").isNotNull() & ~((j.kind("evaluator.version") == "STRING") & F.equal_null(j.get("evaluator.version"), F.lit(EVALUATOR_VERSION)))),
+        j.an_object("evaluator.mapping"), j.fields(_names(MAPPING), _names(MAPPING), "evaluator.mapping"),
+        *(j.at("incompatible_evaluator_mapping", f"evaluator.mapping.{t}", j.kind(f"evaluator.mapping.{t}").isNotNull() & ~F.equal_null(j.get(f"evaluator.mapping.{t}"), F.lit(scorer))) for t, scorer in MAPPING.items()),
+        j.an_object("prompt_template"), j.fields(_names(TEMPLATE_TEXTS), _names(TEMPLATE_TEXTS), "prompt_template"), *(j.a_text(f"prompt_template.{f}", *rule) for f, rule in TEMPLATE_TEXTS.items()),
+        user("invalid_prompt_template", open_brace), user("unsupported_prompt_placeholder", F.exists(used, lambda x: ~known(x))), user("unsupported_prompt_expression", F.exists(used, lambda x: known(x) & (x != name(x)))),
+        user("required_prompt_placeholder_missing", ~open_brace & ~F.exists(used, lambda x: name(x) == "prompt")),
+    ]
+    one = lambda code: F.array(j.issue(code, ""))
+    whole = F.when(j.value.isNull(), one("invalid_json")).when(~j.is_object(), one("object_required")).otherwise(_gather(rules))
+    return manifests.select("dataset_id", F.explode(whole).alias("i")).select("dataset_id", "i.code", "i.pointer")
 
 
 def question_issues(questions: DataFrame) -> DataFrame:
     """(dataset_id, line, code, pointer) of question lines (dataset_id, line, value)."""
-    get = lambda p: F.get_json_object("value", f"$.{p}")
-    have, kind = _keys(F.col("value")), get("type")
-    pick = lambda k: F.coalesce(*(F.when(kind == t, F.array(*map(F.lit, spec[0] + spec[1] * k))) for t, spec in QUESTION_FIELDS.items()), F.array().cast("array<string>"))
-    issue = lambda code: lambda p: F.struct(F.lit(code).alias("code"), F.concat(F.lit("/"), p).alias("pointer"))
-    at = lambda code, pointer, broken: F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(pointer).alias("pointer")))
-    choices = _keys(get("choices"))
-    tolerance = lambda k: (kind == "numeric") & get(f"evaluator_config.{k}").isNotNull() & ~F.coalesce(get(f"evaluator_config.{k}").try_cast("double") >= 0, F.lit(False))
-    rules = F.array_compact(F.array(
-        at("pattern_mismatch", "/id", ~get("id").rlike(QUESTION_ID)), at("string_length_out_of_range", "/prompt", F.trim(get("prompt")) == ""),
-        at("choices_count_out_of_range", "/choices", (kind == "multiple_choice") & get("choices").isNotNull() & ~F.size(choices).between(2, 26)),
-        at("invalid_choice_key", "/choices", (kind == "multiple_choice") & F.exists(choices, lambda k: ~k.rlike("^[A-Z]$"))),
-        at("answer_not_in_choices", "/answer", (kind == "multiple_choice") & get("choices").isNotNull() & ~F.array_contains(choices, get("answer"))),
-        at("invalid_numeric_answer", "/answer", (kind == "numeric") & ~get("answer").rlike(NUMBER)),
-        at("invalid_tolerance", "/evaluator_config/absolute_tolerance", tolerance("absolute_tolerance")), at("invalid_tolerance", "/evaluator_config/relative_tolerance", tolerance("relative_tolerance")),
-    ))
-    known = kind.isin(*QUESTION_FIELDS)
-    by_kind = F.concat(F.transform(F.array_except(pick(0), have), issue("required_field_missing")), F.transform(F.array_except(have, pick(1)), issue("additional_field_not_allowed")), rules)
-    one = lambda code, pointer: F.array(F.struct(F.lit(code).alias("code"), F.lit(pointer).alias("pointer")))
-    error = jsonl_error("value")
-    rows = questions.select("dataset_id", "line", "value", error.alias("error"))
-    whole = F.when(F.col("error").isNotNull(), F.array(F.struct(F.col("error").alias("code"), F.lit("").alias("pointer")))).when(kind.isNull(), one("required_field_missing", "/type")).when(~known, one("unsupported_question_type", "/type")).otherwise(by_kind)
-    return rows.select("dataset_id", "line", F.explode(whole).alias("i")).select("dataset_id", "line", "i.code", "i.pointer")
+    j = _Json("value")
+    choices = F.map_entries(F.from_json(F.get_json_object("value", "$.choices"), "map<string,variant>"))
+    in_choice = lambda code: lambda e: j.issue(code(e), F.concat(F.lit("/choices/"), e["key"]))
+    bad = lambda e: text_fault(F.schema_of_variant(e["value"]), F.try_variant_get(e["value"], "$", "string"), 1, 4_000)
+    letter = r"^[A-Z]\z"
+    answer, is_number = j.get("answer"), j.is_number("answer")
+    number = F.when(is_number, F.abs(j.get("answer", "double")) < float("inf")).otherwise((j.kind("answer") == "STRING") & (F.char_length(answer) <= 128) & answer.rlike(NUMBER))
+    common = [j.a_text("id", 1, 128, QUESTION_ID), j.a_text("prompt", 1, 20_000), j.an_object("metadata")]
+    settings = lambda names: [j.an_object("evaluator_config"), j.fields(_names(()), _names(names), "evaluator_config")]
+    own = {
+        "exact_match": [j.a_text("answer", 0, 4_000), *settings(SWITCHES), *(j.at("invalid_type", f"evaluator_config.{k}", j.kind(f"evaluator_config.{k}") != "BOOLEAN") for k in SWITCHES)],
+        "multiple_choice": [
+            j.an_object("choices"), j.at("choices_count_out_of_range", "choices", j.is_object("choices") & ~F.size(choices).between(2, 26)),
+            F.transform(F.filter(choices, lambda e: ~e["key"].rlike(letter)), in_choice(lambda e: F.lit("invalid_choice_key"))), F.transform(F.filter(choices, lambda e: bad(e).isNotNull()), in_choice(bad)),
+            j.a_text("answer", 1, 1, letter), j.at("answer_not_in_choices", "answer", j.is_object("choices") & (j.kind("answer") == "STRING") & answer.rlike(letter) & ~F.exists(choices, lambda e: e["key"] == answer)),
+        ],
+        "numeric": [
+            j.at("invalid_numeric_answer", "answer", j.kind("answer").isNotNull() & ~F.coalesce(number, F.lit(False))), *settings(TOLERANCES),
+            *(j.at(F.when(~j.is_number(f"evaluator_config.{k}"), "invalid_type").when(~j.get(f"evaluator_config.{k}", "double").between(0, 1.7976931348623157e308), "invalid_tolerance"), f"evaluator_config.{k}") for k in TOLERANCES),
+        ],
+    }
+    one = lambda code, pointer: F.array(j.issue(code, pointer))
+    kind = F.get_json_object("value", "$.type")
+    error = F.col("error")
+    whole = F.when(error.isNotNull(), F.array(j.issue(error, ""))).when(kind.isNull(), one("required_field_missing", "/type"))
+    for t, (need, may) in QUESTION_FIELDS.items():
+        whole = whole.when(kind == t, _gather([j.fields(_names(need), _names(need + may)), *common, *own[t]]))
+    rows = questions.select("dataset_id", "line", "value", jsonl_error("value").alias("error"))
+    return rows.select("dataset_id", "line", F.explode(whole.otherwise(one("unsupported_question_type", "/type"))).alias("i")).select("dataset_id", "line", "i.code", "i.pointer")
 
 
 def cross_issues(manifests: DataFrame, questions: DataFrame) -> DataFrame:
-    """(dataset_id, line, code): a repeated question id (with the line of the first), and a count that is not the declared one (line null)."""
+    """(dataset_id, line, code, first_line): what questions and their manifest do not agree on.
+
+    A repeated question id (with the line of the first), a question type for which the manifest's mapping has another
+    scorer or none, and a count that is not the declared one (line null).
+    """
     ids = questions.select("dataset_id", "line", F.get_json_object("value", "$.id").alias("id")).where("id IS NOT NULL")
     first = ids.groupBy("dataset_id", "id").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = ids.join(first, ["dataset_id", "id"]).where("line > first_line").select("dataset_id", F.col("line").cast("long").alias("line"), F.lit("duplicate_question_id").alias("code"), F.col("first_line").cast("long").alias("first_line"))
     found = questions.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
     counts = manifests.select("dataset_id", F.get_json_object("value", "$.question_count").try_cast("long").alias("declared")).join(found, "dataset_id", "left")
     wrong = counts.where("declared <> coalesce(n, 0)").select("dataset_id", F.lit(None).cast("long").alias("line"), F.lit("question_count_mismatch").alias("code"), F.lit(None).cast("long").alias("first_line"))
-    return again.unionByName(wrong)
+    j = _Json("value")
+    bad = [F.when(~F.equal_null(j.get(f"evaluator.mapping.{t}"), F.lit(scorer)), F.lit(t)) for t, scorer in MAPPING.items()]
+    types = manifests.where(j.is_object("evaluator.mapping")).select("dataset_id", F.explode(F.array_compact(F.array(*bad))).alias("type"))
+    typed = questions.select("dataset_id", F.col("line").cast("long").alias("line"), F.get_json_object("value", "$.type").alias("type"))
+    unmapped = typed.join(types, ["dataset_id", "type"]).select("dataset_id", "line", F.lit("incompatible_evaluator_mapping").alias("code"), F.lit(None).cast("long").alias("first_line"))
+    return again.unionByName(unmapped).unionByName(wrong)
 
 
 def upsert_dispositions(loaded: DataFrame, stored: DataFrame) -> DataFrame:

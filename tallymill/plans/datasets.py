@@ -92,24 +92,48 @@ def dataset_hash(t):
     return ds.dataset_hash(manifests(t), clean)
 
 
-@query("""SELECT p_size % 5 AS dataset_id, p_partkey AS line, 'invalid_json' AS code, '' AS pointer FROM {part} WHERE p_partkey % 37 = 0 UNION ALL
-SELECT p_size % 5, p_partkey, 'additional_field_not_allowed', '/extra' FROM {part} WHERE p_partkey % 31 = 0 AND p_partkey % 37 > 0 UNION ALL
-SELECT p_size % 5, p_partkey, 'answer_not_in_choices', '/answer' FROM {part} WHERE p_size % 5 > 1 AND p_partkey % 37 > 0""")
+@query("""WITH q AS (SELECT p_size % 5 AS dataset_id, p_partkey AS line FROM {part} WHERE p_partkey % 37 > 0)
+SELECT p_size % 5 AS dataset_id, p_partkey AS line, 'invalid_json' AS code, '' AS pointer FROM {part} WHERE p_partkey % 37 = 0 UNION ALL
+SELECT dataset_id, line, 'additional_field_not_allowed', '/extra' FROM q WHERE line % 31 = 0 UNION ALL
+SELECT dataset_id, line, 'invalid_type', '/metadata' FROM q WHERE line % 41 = 0 UNION ALL
+SELECT dataset_id, line, unnest(['invalid_choice_key', 'string_length_out_of_range']), '/choices/b' FROM q WHERE line % 43 = 0 UNION ALL
+SELECT dataset_id, line, 'answer_not_in_choices', '/answer' FROM q WHERE dataset_id > CASE WHEN line % 43 = 0 THEN 0 ELSE 1 END""")
 def question_issues(t):
-    return ds.question_issues(lines(t))
-
-
-@query("""SELECT p_size % 5 AS dataset_id, unnest(['schema_version', 'name', 'version', 'description', 'dimension', 'language', 'license', 'source', 'evaluator', 'prompt_template']) AS f, 'required_field_missing' AS code FROM {part} GROUP BY 1 UNION ALL SELECT p_size % 5, 'id', 'pattern_mismatch' FROM {part} GROUP BY 1 HAVING p_size % 5 = 3 UNION ALL SELECT p_size % 5, 'question_count', 'question_count_out_of_range' FROM {part} GROUP BY 1 HAVING count(*) > 20000 OR p_size % 5 = 4""".replace(" AS f,", " AS pointer,"))
+    spoilt = F.expr("""CASE WHEN line % 41 = 0 THEN replace(value, '"metadata":{}', '"metadata":1') ELSE value END""")
+    choice = F.expr("""CASE WHEN line % 43 = 0 THEN replace(value, '"B":"y"', '"b":""') ELSE value END""")
+    return ds.question_issues(lines(t).withColumn("value", spoilt).withColumn("value", choice))
+
+
+#: A manifest with most faults that a field can have, and what is to be found in it.
+FAULTY = '{"question_count":"7","id":"set-2","name":"","version":"1.0","language":"e","license":5,"evaluator":{"name":"x","version":"1.0","mapping":{"numeric":"n","multiple_choice":"multiple_choice_v1"}},"prompt_template":{"system":"s","user":"{x} {choices!r}"},"schema_version":"v0"}'
+FOUND = {
+    "required_field_missing": ("description", "dimension", "source", "evaluator/mapping/exact_match"), "unsupported_schema_version": ("schema_version",), "string_length_out_of_range": ("name",),
+    "pattern_mismatch": ("version", "language"), "invalid_type": ("license", "question_count"), "unsupported_evaluator": ("evaluator/name",), "incompatible_evaluator_mapping": ("evaluator/mapping/numeric",),
+    "unsupported_prompt_placeholder": ("prompt_template/user",), "unsupported_prompt_expression": ("prompt_template/user",), "required_prompt_placeholder_missing": ("prompt_template/user",),
+}
+
+
+@query(
+    """WITH m AS (SELECT p_size % 5 AS dataset_id, count(*) AS n FROM {part} GROUP BY 1), v(pointer, code) AS (VALUES %s)
+SELECT dataset_id, unnest(['schema_version', 'name', 'version', 'description', 'dimension', 'language', 'license', 'source', 'evaluator', 'prompt_template']) AS pointer, 'required_field_missing' AS code FROM m WHERE dataset_id <> 2
+UNION ALL SELECT dataset_id, 'id', 'pattern_mismatch' FROM m WHERE dataset_id = 3 UNION ALL SELECT dataset_id, 'question_count', 'question_count_out_of_range' FROM m WHERE dataset_id <> 2 AND n > 20000 OR dataset_id = 4
+UNION ALL SELECT dataset_id, pointer, code FROM m, v WHERE dataset_id = 2""".replace("%s", ", ".join(f"('{p}', '{code}')" for code, at in FOUND.items() for p in at))
+)
 def manifest_issues(t):
-    """Most fields are missing; one id is no id, one count is none."""
+    """Most fields are missing; one id is no id, one count is none, and one manifest has most faults there are."""
     spoilt = F.expr("CASE dataset_id WHEN 3 THEN replace(value, 'set-', 'Set ') WHEN 4 THEN regexp_replace(value, ': [0-9]+', ': 0') ELSE value END")
-    return ds.manifest_issues(manifests(t).withColumn("value", spoilt)).withColumn("pointer", F.substring("pointer", 2, 100))
+    value = F.when(F.col("dataset_id") == 2, FAULTY).otherwise(spoilt)
+    return ds.manifest_issues(manifests(t).withColumn("value", value), schema_version="v1").withColumn("pointer", F.substring("pointer", 2, 100))
 
 
 @query("""WITH q AS (SELECT p_size % 5 AS dataset_id, p_partkey AS line, min(p_partkey) OVER (PARTITION BY p_size % 5, CASE WHEN p_partkey % 50 = 0 THEN 50 ELSE p_partkey END) AS first_line FROM {part} WHERE p_partkey % 37 > 0)
-SELECT dataset_id, line, 'duplicate_question_id' AS code, first_line FROM q WHERE line > first_line UNION ALL SELECT 0, NULL, 'question_count_mismatch', NULL""")
+SELECT dataset_id, line, 'duplicate_question_id' AS code, first_line FROM q WHERE line > first_line UNION ALL SELECT dataset_id, line, 'incompatible_evaluator_mapping', NULL FROM q WHERE dataset_id = 1
+UNION ALL SELECT p_size % 5, NULL, 'question_count_mismatch', NULL FROM {part} GROUP BY 1 HAVING p_size % 5 = 0""")
 def cross_issues(t):
-    return ds.cross_issues(manifests(t), lines(t))
+    """One set declares a question too many, one maps its type to another scorer."""
+    mapping = F.expr("""CASE dataset_id WHEN 1 THEN '"other"' ELSE '"multiple_choice_v1"' END""")
+    value = F.concat(F.rtrim("value", F.lit("}")), F.lit(', "evaluator":{"mapping":{"multiple_choice":'), mapping, F.lit("}}}"))
+    return ds.cross_issues(manifests(t).withColumn("value", value), lines(t))
 
 
 @query("SELECT slug, version, CASE benchmark_id WHEN 0 THEN 'created' WHEN 1 THEN 'conflict' ELSE 'unchanged' END AS disposition FROM {benchmarks}")
