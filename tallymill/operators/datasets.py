@@ -374,5 +374,16 @@ def upsert_dispositions(loaded: DataFrame, stored: DataFrame) -> DataFrame:
     return out.withColumn("disposition", what).drop("stored_hash")
 
 
+def created_questions(dispositions: DataFrame, questions: DataFrame, order: list[str]) -> DataFrame:
+    """The questions (slug, version, ...) of the sets that upsert_dispositions calls created, with their `position` from 0.
+
+    A load appends just these; sets that are unchanged or in conflict add nothing.
+    """
+    new = dispositions.where("disposition = 'created'").select("slug", "version").distinct()
+    whole = F.to_json(F.struct("slug", "version"))
+    placed = assign_positions(questions.join(new, ["slug", "version"], "left_semi").withColumn("__set", whole), "__set", order)
+    return placed.drop("__set")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -125,3 +125,19 @@ def policy_issues(policies: DataFrame, computed_hash: Column) -> DataFrame:
     wrong = policies.where(computed_hash != F.col("policy_hash")).select("policy_id", F.lit("policy_hash_mismatch").alias("code"))
     active = policies.agg(F.count_if("is_active").alias("n")).where("n <> 1").select(F.lit(None).cast(policies.schema["policy_id"].dataType).alias("policy_id"), F.lit("active_policy_count").alias("code"))
     return wrong.unionByName(active)
+
+
+def snapshot_issues(runs: DataFrame, policies: DataFrame, limits: list[str], overrides: list[str]) -> DataFrame:
+    """(run_id, code): managed runs whose frozen snapshot is not what their policy and their own settings say.
+
+    runs: (run_id, policy_id, managed, the override columns, snapshot: struct of the limits, provider_scope_key,
+    local_admission_only and run_overrides, a struct of the overrides); policies: (policy_id, limits). A run that is
+    not managed has no snapshot to keep; one without a policy or a snapshot is a mismatch.
+    """
+    limit = policies.select("policy_id", F.struct(*limits).alias("__limits"))
+    got = lambda f: F.col(f"snapshot.{f}")
+    same = [F.equal_null(got(c), F.col(f"__limits.{c}")) for c in limits] + [F.equal_null(got(f"run_overrides.{c}"), F.col(c)) for c in overrides]
+    whole = [F.col("__limits").isNotNull(), F.col("snapshot").isNotNull(), got("provider_scope_key").rlike(r"^[0-9a-f]{64}\z"), got("local_admission_only"), got("run_overrides").isNotNull()]
+    good = reduce(lambda a, b: a & b, (F.coalesce(x, F.lit(False)) for x in whole + same))
+    bad = runs.where("managed").join(limit, "policy_id", "left").where(~good)
+    return bad.select("run_id", F.lit("governance_run_snapshot_mismatch").alias("code"))

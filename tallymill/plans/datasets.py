@@ -143,6 +143,16 @@ def upsert_benchmarks(t):
     return ds.upsert_dispositions(loaded, stored).select("slug", "version", "disposition")
 
 
+@query("""WITH b AS (SELECT benchmark_id, slug, version FROM {benchmarks} WHERE benchmark_id % 2 = 0)
+SELECT slug, version, question_id, row_number() OVER (PARTITION BY benchmark_id ORDER BY question_id DESC) - 1 AS position FROM {questions} JOIN b USING (benchmark_id)""")
+def load_questions(t):
+    """Questions of the sets that are not stored yet, placed in their set."""
+    loaded = t.benchmarks.select("slug", "version", F.sha2("slug", 256).alias("dataset_hash"))
+    stored = t.benchmarks.where("benchmark_id % 2 > 0").select("slug", "version", F.expr("if(benchmark_id = 1, 'other', sha2(slug, 256))").alias("dataset_hash"))
+    asked = t.questions.join(t.benchmarks.select("benchmark_id", "slug", "version"), "benchmark_id").select("slug", "version", "question_id", (-F.col("question_id")).alias("last_first"))
+    return ds.created_questions(ds.upsert_dispositions(loaded, stored), asked, ["last_first"]).select("slug", "version", "question_id", "position")
+
+
 @query("""WITH x AS (SELECT response_id % 10 AS l, CASE WHEN reference = 'D' THEN 'A' ELSE reference END AS ref FROM {responses} r JOIN {questions} q ON r.question_id = q.question_id),
 y AS (SELECT ref, CASE WHEN l < 6 THEN chr(CAST(65 + l % 4 AS INT)) END AS letter FROM x)
 SELECT CAST(CASE WHEN letter = ref THEN 1 ELSE 0 END AS DOUBLE) AS score, CASE WHEN letter IS NULL THEN 'empty_response' WHEN letter = 'D' THEN 'invalid_choice' END AS parse_error, letter AS parsed_answer, count(*) AS n FROM y GROUP BY ALL""")
@@ -236,3 +246,13 @@ def transform_fingerprint(t):
 def policy_issues(t):
     stored = t.models.selectExpr("model_id AS policy_id", "sha2(concat(name, if(model_id % 4 = 0, '!', '')), 256) AS policy_hash", "model_id % 2 = 0 AS is_active", "name")
     return it.policy_issues(stored, F.sha2("name", 256))
+
+
+@query("SELECT run_id, 'governance_run_snapshot_mismatch' AS code FROM {runs} WHERE run_id % 5 > 0 AND (run_id % 7 = 0 OR run_id % 11 = 0 OR run_id % 13 = 0 OR model_id % 9 = 0)")
+def snapshot_issues(t):
+    """Of runs, four fifths of them managed, some have a limit, a scope or a setting that is not their own, or a model without a policy."""
+    policies = t.models.where("model_id % 9 > 0").selectExpr("model_id AS policy_id", "model_id * 10 AS rpm_limit", "CAST(NULL AS BIGINT) AS tpm_limit")
+    snapshot = """named_struct('rpm_limit', model_id * 10 + if(run_id % 7 = 0, 1, 0), 'tpm_limit', CAST(NULL AS BIGINT), 'provider_scope_key', if(run_id % 11 = 0, 'open', sha2('scope', 256)),
+        'local_admission_only', true, 'run_overrides', named_struct('max_tokens', max_tokens + if(run_id % 13 = 0, 1, 0)))"""
+    runs = t.runs.selectExpr("run_id", "model_id AS policy_id", "run_id % 5 > 0 AS managed", "max_tokens", f"{snapshot} AS snapshot")
+    return it.snapshot_issues(runs, policies, ["rpm_limit", "tpm_limit"], ["max_tokens"])

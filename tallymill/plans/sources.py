@@ -49,17 +49,20 @@ def assign_positions(t):
     return ds.assign_positions(t.part.select(F.col("p_partkey").alias("line"), F.col("p_brand").alias("category")), "category", ["line"])
 
 
-@query("""SELECT p_partkey AS line, p_brand AS dataset, '{"p":"' || p_name || '","z":' || p_size || '}' AS value FROM {part}""")
+@query("""SELECT p_partkey AS line, p_brand AS dataset, '{"p":"' || p_name || '","z":' || p_size || '}' AS value, count(*) OVER (PARTITION BY p_brand) AS question_count FROM {part}""")
 def write_dataset(t):
-    """Question lines written by dataset, in order, and read back line by line."""
+    """Question lines and manifests written by dataset, in order, and read back line by line."""
     path = scratch_path(t.spark)
     json = ds.canonical_json(F.expr("concat('{ \"z\": ', p_size, ', \"p\":\"', p_name, '\"}')"))
     placed = ds.assign_positions(t.part.select("p_brand", "p_partkey", json.alias("json")), "p_brand", ["p_partkey"]).withColumnRenamed("p_brand", "dataset_id")
-    files.write_dataset(placed, path)
-    lines = files.read_questions_jsonl(t.spark, f"{path}/*/part-*")
-    read = lines.select(F.url_decode(F.url_decode(F.regexp_extract("file", "dataset_id=([^/]+)/", 1))).alias("dataset"), "value").groupBy("dataset", "value").agg(F.count(F.lit(1)).alias("n"))
+    manifests = placed.groupBy("dataset_id").agg(F.to_json(F.struct(F.col("dataset_id").alias("id"), F.count(F.lit(1)).alias("question_count"))).alias("json"))
+    files.write_dataset(placed, path, manifests)
+    dataset = F.url_decode(F.url_decode(F.regexp_extract("file", "dataset_id=([^/]+)/", 1))).alias("dataset")
+    counts = files.read_manifests(t.spark, f"{path}/*/kind=manifest/part-*").select(dataset, F.get_json_object("value", "$.question_count").cast("long").alias("question_count"))
+    lines = files.read_questions_jsonl(t.spark, f"{path}/*/kind=questions/part-*")
+    read = lines.select(dataset, "value").groupBy("dataset", "value").agg(F.count(F.lit(1)).alias("n")).join(counts, "dataset")
     wanted = placed.select("p_partkey", F.col("dataset_id").alias("dataset"), F.col("json").alias("value"))
-    return wanted.join(read, ["dataset", "value"]).select(F.col("p_partkey").alias("line"), "dataset", "value")
+    return wanted.join(read, ["dataset", "value"]).select(F.col("p_partkey").alias("line"), "dataset", "value", "question_count")
 
 
 @query(f"WITH {audit.CHUNKS}, m AS (SELECT archive_id, count(*) AS events FROM chunks GROUP BY archive_id) SELECT event_id, archive_id, event_type, events, CAST(event_id AS DOUBLE) / 8 AS seconds FROM chunks JOIN m USING (archive_id)")

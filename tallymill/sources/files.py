@@ -46,10 +46,18 @@ def read_gpqa_csv(spark: SparkSession, path: str, expected: int | None = None) -
     return _expect(_require(df, GPQA_COLUMNS).select(*(f"`{c}`" for c in GPQA_COLUMNS)), expected)
 
 
-def write_dataset(questions: DataFrame, path: str) -> None:
-    """(dataset_id, position, json) as text, a folder for each dataset, lines in order."""
+def write_dataset(questions: DataFrame, path: str, manifests: DataFrame | None = None) -> None:
+    """(dataset_id, position, json) as text, a folder for each dataset, lines in order.
+
+    With manifests (dataset_id, json) the folder of a dataset has two, kind=questions and kind=manifest.
+    """
     dealt = questions.repartitionByRange("dataset_id", "position").sortWithinPartitions("dataset_id", "position")
-    dealt.select("dataset_id", F.col("json").alias("value")).write.mode("errorifexists").partitionBy("dataset_id").text(path)
+    rows = dealt.select("dataset_id", F.lit("questions").alias("kind"), F.col("json").alias("value"))
+    if manifests is None:
+        rows.drop("kind").write.mode("errorifexists").partitionBy("dataset_id").text(path)
+    else:
+        both = rows.unionByName(manifests.select("dataset_id", F.lit("manifest").alias("kind"), F.col("json").alias("value")))
+        both.write.mode("errorifexists").partitionBy("dataset_id", "kind").text(path)
 
 
 def write_run_reports(responses: DataFrame, groups: DataFrame, summary: DataFrame, path: str) -> None:

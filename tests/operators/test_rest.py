@@ -91,3 +91,13 @@ def test_line_errors_and_hash(spark):
 
     want = hashlib.sha256(('{"a":"é","b":1.5}\n' + "".join(f'{{"id":{k}}}\n' for k in range(50))).encode()).hexdigest()
     assert datasets.dataset_hash(m, q).first().dataset_hash == want
+
+
+def test_snapshot_issues(spark):
+    policies = spark.createDataFrame([("p", 5, None)], "policy_id string, rpm long, tpm long")
+    scope = "a" * 64
+    good = (5, None, scope, True, (7,))
+    cases = [("p", True, 7, good), ("p", False, 7, None), ("p", True, 7, None), ("q", True, 7, good), (None, True, 7, good), ("p", True, 8, good), ("p", True, 7, (5, 1, scope, True, (7,))), ("p", True, 7, (5, None, "x", True, (7,))), ("p", True, 7, (5, None, scope, None, (7,)))]
+    runs = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "run_id int, policy_id string, managed boolean, tokens long, snapshot struct<rpm:long,tpm:long,provider_scope_key:string,local_admission_only:boolean,run_overrides:struct<tokens:long>>")
+    got = integrity.snapshot_issues(runs, policies, ["rpm", "tpm"], ["tokens"]).collect()
+    assert sorted(r.run_id for r in got) == [2, 3, 4, 5, 6, 7, 8]
