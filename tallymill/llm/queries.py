@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import scratch_path
-from . import bpe, decontaminate, language, licenses, quality, rules, simhash, substring, token_files, toxicity
+from . import bpe, decontaminate, language, licenses, quality, rules, simhash, spelling, substring, token_files, toxicity
 from .common import documents, materialize
 
 
@@ -71,6 +71,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_ablation": rules_ablation,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
+    "op11_spelling": op11_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
