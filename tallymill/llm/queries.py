@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import scratch_path
-from . import bpe, decontaminate, language, licenses, quality, rules, simhash, spelling, substring, token_files, toxicity
+from . import bpe, collocations, decontaminate, language, licenses, quality, rules, simhash, spelling, substring, token_files, toxicity
 from .common import documents, materialize
 
 
@@ -75,6 +75,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
@@ -113,10 +117,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
     "op11_spelling": op11_spelling,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_licenses": licenses.oracle_sql(),
     "op6_substring": OP6_SQL,
     "op8_rules": rules.oracle_sql(),
     "rules_ablation": rules.ablation_sql(),
+    "op13_collocations": collocations.ORACLE_SQL,
 }
