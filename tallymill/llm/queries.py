@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import scratch_path
-from . import bpe, collocations, decontaminate, language, licenses, quality, rules, simhash, spelling, substring, token_files, toxicity
+from . import bpe, collocations, decontaminate, jaccard_join, language, licenses, quality, rules, simhash, spelling, substring, token_files, toxicity
 from .common import documents, materialize
 
 
@@ -75,6 +75,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(documents(spark, sf_dir))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
     "op11_spelling": op11_spelling,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -124,5 +129,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring": OP6_SQL,
     "op8_rules": rules.oracle_sql(),
     "rules_ablation": rules.ablation_sql(),
+    "op12_jaccard_join": jaccard_join.ORACLE_SQL,
     "op13_collocations": collocations.ORACLE_SQL,
 }
