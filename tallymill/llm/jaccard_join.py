@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, materialize, released, row_key
 from .components import components
-from .simhash import _mix, shingle_set
+from .simhash import SEED, _mix
 
 #: Cells that all shingles are counted in for the orders: a table of this size, whatever the input, is broadcast (4 MB of levels).
 CELLS = 1 << 22
@@ -25,6 +26,21 @@ SHARD, BESIDE = 2048, 1024
 STEPS = 8
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text in order, each as a 64-bit hash of its words' hashes; none if there is no word."""
+    w = (text or "").encode().lower().split()
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, w, repeat(SEED))), ">u8").astype(np.uint64)
+    size = min(words, len(h))
+    if not size:
+        return h
+    factors = _mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
+    total = np.zeros(len(h) - size + 1, np.uint64)
+    for k, f in enumerate(factors):
+        total += h[k : k + len(total)] * f
+    h = np.sort(_mix(total + np.uint64(size)))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
     """The smallest intersection of sets of a and b members at which 100 * intersection >= share * union."""
     return -(-share * (a + b) // (100 + share))
@@ -258,7 +274,7 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, share: int, level, shar
     those outside its largest component meet all others. So the comparisons of a large group of near copies grow with
     its size.
     """
-    each = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, node binary")
+    each = materialize(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, node binary"))
     # a shingle is of use if two nodes have it in their prefixes
     mark = F.xxhash64("node")
     shared = materialize(each.groupBy("shingle").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last").select("shingle"))
@@ -305,7 +321,7 @@ def joined(docs: DataFrame, words: int = 5, share: int = 80, shard: int = SHARD)
     shingle). Two texts are linked if 100 * intersection >= share * union; component_id is the least doc_id that links
     reach. Null, empty and blank texts have no shingle and are linked with nothing. Null ids take part, but are no component_id
     unless the component has nothing else; repeated rows give a row each; an empty table gives none; other columns
-    of docs play no part. Shingles are compared by XXH64 and sets named by 128 bits.
+    of docs play no part. Shingles are compared by 64 bits of their words' XXH64 and sets named by 128 bits.
     """
     kinds = {"row": (pa.string(), "string"), "doc_id": (pa.int64(), "long"), "node": (pa.binary(), "binary"), "size": (pa.int64(), "long"), "bits": (pa.binary(), "binary")}
 

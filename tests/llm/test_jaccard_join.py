@@ -5,7 +5,7 @@ import pytest
 from test_simhash import classes
 
 from tallymill.llm import jaccard_join as jj
-from tallymill.llm.simhash import shingle_set
+from tallymill.llm.jaccard_join import shingle_set
 
 SCHEMA = "doc_id long, text string"
 
