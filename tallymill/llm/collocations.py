@@ -19,8 +19,10 @@ BREAK = b"\n"
 CLEAN = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
 #: Bits of the filter of phrases that are frequent enough to be parts of others; it is broadcast (8 MB), whatever the input.
 BITS = 1 << 26
-#: Bits of a block while the filter is put together, bytes of a text that are split at once, and phrases that a task counts before it hands them on.
-BLOCK, SLICE, COUNTED = 1 << 16, 1 << 20, 1 << 19
+#: Bits of a block while the filter is put together, bytes of a text that are split at once.
+BLOCK, SLICE = 1 << 16, 1 << 20
+#: Phrases that a task counts before it hands them on, and those that a filter remembers for a lang.
+COUNTED, REMEMBERED = 1 << 18, 1 << 15
 
 
 def word_lists(text: str | None) -> Iterator[list[bytes]]:
@@ -42,7 +44,7 @@ class Known(dict):
         self.bits, self.lang = bits, lang
 
     def __missing__(self, phrase: bytes) -> bytes:
-        if len(self) > COUNTED:
+        if len(self) > REMEMBERED:
             self.clear()
         bit = zlib.crc32(phrase, self.lang) % BITS
         self[phrase] = kept = phrase if self.bits[bit >> 3] >> (bit & 7) & 1 else BREAK
