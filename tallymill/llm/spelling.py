@@ -18,7 +18,7 @@ from .common import materialize, released
 #: Runs of letters: A-Z, a-z and U+00C0 to U+00FF, whose UTF-8 is the byte C3 and one of 80 to BF.
 RUN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\xBF])+")
 #: Symbols that letters are hashed to: with more, neighbourhoods are larger and meet fewer wrong words.
-SYMBOLS = 6
+SYMBOLS = 5
 #: Words of more code points go through the join by a hash of theirs, so that long strings aren't repeated for each edit.
 LONG = 48
 #: Distinct words that a task counts before it hands them on, and edits in a batch of rows.
@@ -142,15 +142,15 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     made = lambda df, id, kind, whole: df.select(F.expr(id), "word").mapInArrow(released(_neighbourhoods(symbols, whole)), f"key long, id {kind}")
     # one code point more or less than LONG may still be near
     short, long = words.where(F.length("word") <= LONG + 1), words.where(F.length("word") >= LONG)
-    own = made(short, "word", "string", False).withColumnRenamed("id", "other")
-    pairs = made(short, "word", "string", True).withColumnRenamed("id", "word").join(own, "key").select("word", "other")
+    own = made(short, "struct(word, n)", "struct<word: string, n: long>", False).select("key", F.col("id.word").alias("other"), F.col("id.n").alias("other_n"))
+    pairs = made(short, "word", "string", True).withColumnRenamed("id", "word").join(own, "key").select("word", "other", "other_n")
     name = "xxhash64(word)"
     there = made(long, name, "long", True).join(made(long, name, "long", False).withColumnRenamed("id", "there"), "key").select("id", "there").distinct()
-    named = long.select(F.expr(name).alias("id"), "word")
-    far = there.join(named, "id").join(named.select(F.col("id").alias("there"), F.col("word").alias("other")), "there").select("word", "other")
+    named = long.select(F.expr(name).alias("id"), "word", "n")
+    others = named.select(F.col("id").alias("there"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+    far = there.join(named.drop("n"), "id").join(others, "there").select("word", "other", "other_n")
     one = F.levenshtein("word", "other", 1) == 1
-    both = pairs.where(one).unionByName(far.where(one)).distinct()
-    return both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
+    return pairs.where(one).unionByName(far.where(one)).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
