@@ -12,14 +12,14 @@ from ..functions.numbering import number_rows
 
 #: Days that each retention class keeps at least.
 RETENTION_DAYS = {"operational": 90, "security": 365}
-SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
+SAFE_ID = r"\A[A-Za-z0-9][A-Za-z0-9._:-]{0,127}\z"
 #: The events of tasks.
 EVENT_TYPES = (
     "governance_policy_bootstrapped", "governance_policy_applied", "run_admitted", "run_claimed", "run_cancel_requested", "run_deferred", "run_yielded", "run_terminal", "run_retry_scheduled",
     "run_dead_lettered", "run_lease_reconciled", "provider_attempt_reserved", "provider_attempt_send_started", "provider_attempt_settled", "question_evidence_persisted", "queue_notification", "governance_integrity_error",
 )
 #: What a payload's value of each kind looks like as text.
-KINDS = {"int": r"^-?[0-9]+$", "bool": "^(true|false)$", "text": r"^[^\x00-\x1F]{0,256}$"}
+KINDS = {"int": r"\A-?[0-9]+\z", "bool": r"\A(true|false)\z", "text": r"\A[^\x00-\x1F]{0,256}\z"}
 
 
 def event_issues(events: DataFrame, types: list[str]) -> DataFrame:
@@ -110,9 +110,8 @@ def archive_chunks(events: DataFrame, cutoff: Column, size: int = 10_000) -> Dat
 
 
 def record(columns: list[str]) -> Column:
-    """One line of text for a row: values with their names, in order."""
-    part = lambda c: F.concat(F.lit(f'"{c}":'), F.coalesce(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')), F.lit("null")))
-    return F.concat(F.lit("{"), F.concat_ws(",", *map(part, sorted(columns))), F.lit("}"))
+    """One line of JSON for a row: values as text with their names, in order; null as null."""
+    return F.to_json(F.struct(*(F.col(c).cast("string").alias(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
 
 
 def archive_manifest(chunks: DataFrame, columns: list[str]) -> DataFrame:
@@ -144,13 +143,17 @@ def verify_archives(chunks: DataFrame, stored: DataFrame, columns: list[str], cu
 
 
 def reconcile_archive(archived: DataFrame, stored: DataFrame, columns: list[str]) -> DataFrame:
-    """(event_id, status): an archived event is exact, absent or a conflict in the table, by its id and by its key (two equal-joins)."""
+    """(event_id, status): an archived event is exact, absent or a conflict in the table, by its id and by its key (two equal-joins).
+
+    Archived events with an archive_id keep it.
+    """
+    kept = [c for c in ("archive_id",) if c in archived.columns]
     facts = F.struct(*columns)
     by_id = stored.select(F.col("event_id"), facts.alias("same_id"))
     by_key = stored.groupBy("event_key").agg(F.min("event_id").alias("key_id"))
-    rows = archived.select("event_id", "event_key", facts.alias("own")).join(by_id, "event_id", "left").join(by_key, "event_key", "left")
+    rows = archived.select(*kept, "event_id", "event_key", facts.alias("own")).join(by_id, "event_id", "left").join(by_key, "event_key", "left")
     status = F.when(F.col("same_id").isNull() & F.col("key_id").isNull(), "absent").when(F.equal_null("same_id", "own"), "exact").otherwise("conflict")
-    return rows.select("event_id", status.alias("status"))
+    return rows.select(*kept, "event_id", status.alias("status"))
 
 
 def archive_status(reconciled: DataFrame) -> DataFrame:
@@ -161,16 +164,30 @@ def archive_status(reconciled: DataFrame) -> DataFrame:
     return out.select(status.alias("status"), "exact", "absent", "conflict")
 
 
-def restore_set(archived: DataFrame, stored: DataFrame) -> DataFrame:
-    """Archived events whose id and key the table has not."""
-    return archived.join(stored.select("event_id"), "event_id", "left_anti").join(stored.select("event_key"), "event_key", "left_anti")
+def archive_verdicts(archived: DataFrame, stored: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """(archive_id, exact, absent, conflict, status, may_delete, may_restore): archives go or come back whole or not at all.
+
+    An archive may be deleted if each of its events stands in the table as archived and has expired by `now`, and
+    restored if none is in conflict.
+    """
+    n = {k: F.count_if(F.col("status") == k).alias(k) for k in ("exact", "absent", "conflict")}
+    counts = reconcile_archive(archived, stored, columns).groupBy("archive_id").agg(*n.values())
+    ends = archived.groupBy("archive_id").agg((F.max("expires_at") < now).alias("expired"))
+    status = F.when(F.col("conflict") > 0, "conflict").when(F.col("absent") == 0, "exact").when(F.col("exact") == 0, "absent").otherwise("partial")
+    may = [((F.col("status") == "exact") & F.col("expired")).alias("may_delete"), (F.col("conflict") == 0).alias("may_restore")]
+    return counts.withColumn("status", status).join(ends, "archive_id").select("archive_id", *n, "status", *may)
+
+
+def restore_set(archived: DataFrame, stored: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """Events that the table lacks, of the archives (archive_id) without a conflict; of others none."""
+    whole = archive_verdicts(archived, stored, columns, now).where("may_restore").select("archive_id")
+    return archived.join(whole, "archive_id", "left_semi").join(stored.select("event_id"), "event_id", "left_anti")
 
 
-def after_delete(stored: DataFrame, archived: DataFrame, columns: list[str], cutoff: Column) -> DataFrame:
-    """The table without the archived events, if they are exact and expired; else those stay."""
-    exact = reconcile_archive(archived, stored, columns).where("status = 'exact'").select("event_id")
-    gone = stored.where(F.col("expires_at") < cutoff).join(exact, "event_id", "left_semi").select("event_id")
-    return stored.join(gone, "event_id", "left_anti")
+def after_delete(stored: DataFrame, archived: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """The table without the events of archives (archive_id) that are exact and expired as a whole; those of others stay."""
+    whole = archive_verdicts(archived, stored, columns, now).where("may_delete").select("archive_id")
+    return stored.join(archived.join(whole, "archive_id", "left_semi").select("event_id"), "event_id", "left_anti")
 
 
 def missing_ids(wanted: DataFrame, there: DataFrame, key: str) -> DataFrame:

@@ -132,15 +132,40 @@ def audit_payload_faults(t):
     return au.payload_faults(t.audit_events.withColumns({"payload": payload, "payload_sha256": F.sha2(sent, 256)}), contract)
 
 
-@query(f"WITH {PAIR} SELECT event_id, event_key FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.event_id = a.event_id) AND NOT EXISTS (SELECT 1 FROM s WHERE s.event_key = a.event_key)")
+LATER = F.expr("INTERVAL 90 DAYS")
+#: Five archives: one exact, one with absent events, one with conflicts and absent events, one absent, and one that has not expired as a whole.
+PLACED = f"""{BOUNDS}, a AS (SELECT *, event_id % 5 AS archive_id FROM {{audit_events}}, bounds WHERE event_id % 5 = 4 OR expires_at < b + INTERVAL 90 DAY),
+s AS (SELECT * REPLACE (CASE WHEN event_id % 10 = 2 THEN worker_id + 1 ELSE worker_id END AS worker_id) FROM {{audit_events}} WHERE NOT (event_id % 10 = 1 OR event_id % 20 = 7 OR event_id % 5 = 3)),
+j AS (SELECT a.archive_id, a.event_id, a.event_key, a.expires_at < b + INTERVAL 90 DAY AS gone, s.event_id IS NULL AS absent, s.worker_id IS DISTINCT FROM a.worker_id AS other FROM a LEFT JOIN s ON a.event_id = s.event_id),
+v AS (SELECT archive_id, count(*) FILTER (NOT absent AND NOT other) AS exact, count(*) FILTER (absent) AS absent, count(*) FILTER (NOT absent AND other) AS conflict, bool_and(gone) AS gone FROM j GROUP BY archive_id)"""
+
+
+def placed(t):
+    """(archived events, stored events, time) of PLACED."""
+    e, now = t.audit_events, bounds(t)[1] + LATER
+    stored = e.where("NOT (event_id % 10 = 1 OR event_id % 20 = 7 OR event_id % 5 = 3)").withColumn("worker_id", F.expr("CASE WHEN event_id % 10 = 2 THEN worker_id + 1 ELSE worker_id END"))
+    return e.where((F.col("event_id") % 5 == 4) | (F.col("expires_at") < now)).withColumn("archive_id", F.col("event_id") % 5), stored, now
+
+
+@query(f"""WITH {PLACED} SELECT archive_id, exact, absent, conflict, CASE WHEN conflict > 0 THEN 'conflict' WHEN absent = 0 THEN 'exact' WHEN exact = 0 THEN 'absent' ELSE 'partial' END AS status,
+  conflict = 0 AND absent = 0 AND gone AS may_delete, conflict = 0 AS may_restore FROM v""")
+def archive_verdicts(t):
+    archived, stored, now = placed(t)
+    return au.archive_verdicts(archived, stored, FACTS, now)
+
+
+@query(f"WITH {PLACED} SELECT event_id, event_key FROM j WHERE absent AND archive_id NOT IN (SELECT archive_id FROM v WHERE conflict > 0)")
 def restore_set(t):
-    return au.restore_set(*archived_and_stored(t)).select("event_id", "event_key")
+    """Nothing of an archive with a conflict comes back."""
+    archived, stored, now = placed(t)
+    return au.restore_set(archived, stored, FACTS, now).select("event_id", "event_key")
 
 
-@query(f"WITH {PAIR}, {BOUNDS} SELECT event_id FROM s, bounds WHERE NOT (event_id % 2 = 0 AND event_id % 7 > 0 AND expires_at < b + INTERVAL 90 DAY)")
+@query(f"WITH {PLACED} SELECT event_id FROM s WHERE event_id NOT IN (SELECT event_id FROM j JOIN v USING (archive_id) WHERE v.conflict = 0 AND v.absent = 0 AND v.gone)")
 def delete_set(t):
-    archived, stored = archived_and_stored(t)
-    return au.after_delete(stored, archived, FACTS, bounds(t)[1] + F.expr("INTERVAL 90 DAYS")).select("event_id")
+    """Only archives that are exact and expired as a whole go."""
+    archived, stored, now = placed(t)
+    return au.after_delete(stored, archived, FACTS, now).select("event_id")
 
 
 @query("SELECT DISTINCT run_id FROM {responses} WHERE run_id NOT IN (SELECT run_id FROM {audit_events} WHERE run_id IS NOT NULL)")
