@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,57 @@ def redact_map(values: Column, secrets: tuple[str, ...] = ()) -> Column:
     return F.transform_values(kept, lambda k, v: redact(v, secrets))
 
 
+class _Number(str):
+    """A JSON number as it was written."""
+
+
+def _masked(text: str, secrets: list[str], patterns: list[re.Pattern]) -> str:
+    for secret in secrets:
+        text = text.replace(secret, MASK)
+    for pattern in patterns:
+        text = pattern.sub(MASK, text)
+    return text
+
+
+def _walked(value: object, mask) -> str:
+    """JSON of a value with sensitive keys left out at any depth and strings masked; of keys that become equal the last one counts."""
+    if isinstance(value, dict):
+        kept = {mask(k): _walked(v, mask) for k, v in value.items() if re.sub("[^a-z0-9]", "", k.lower()) not in SENSITIVE_KEYS}
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{v}" for k, v in kept.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(_walked(v, mask) for v in value) + "]"
+    if isinstance(value, _Number):
+        return value
+    return json.dumps(mask(value) if isinstance(value, str) else value, ensure_ascii=False)
+
+
+def redact_json(text: Column, secrets: tuple[str, ...] = ()) -> Column:
+    """A JSON text with the entries of sensitive keys left out at any depth, and strings and other keys masked as redact() masks text.
+
+    Numbers, booleans and nulls stay as written, and what comes out is JSON. Of a key that stands twice in an object the
+    last entry counts. Text that is no JSON (or is nested deeper than Python's parser goes) is masked as plain text; null
+    stays null.
+    """
+    ordered = sorted(filter(None, secrets), key=lambda s: (-len(s), s))
+
+    @F.pandas_udf("string")
+    def walk(texts: pd.Series) -> pd.Series:
+        patterns = [re.compile(p, re.ASCII) for p in SECRET_PATTERNS]
+        mask = lambda t: _masked(t, ordered, patterns)
+
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            try:
+                return _walked(json.loads(t, parse_int=_Number, parse_float=_Number), mask)
+            except (ValueError, RecursionError):
+                return mask(t)
+
+        return texts.map(one, na_action="ignore")
+
+    return walk(text)
+
+
 def safe_csv_cell(text: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 

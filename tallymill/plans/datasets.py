@@ -172,6 +172,24 @@ def redact(t):
     return t.conversations.select("conv_id", "turn", F.sha2(tx.redact(dirty), 256).alias("redacted_sha"))
 
 
+#: JSON around the JSON text <>, at depth 0 to 5.
+NESTED = ("<>", '{"a":<>}', '[1.50,{"b":[<>,null]}]', '{"x":{"y":[true,<>]},"n":-0}', '[[[{"z":<>}]]]', '{"p":{"q":{"r":{"s":{"t":<>}}}}}')
+AROUND = "CASE conv_id % 6 " + " ".join(f"WHEN {k} THEN concat('{x.replace('<>', "', m, '")}')" for k, x in enumerate(NESTED)) + " END"
+NOTE = "concat(text, ' api_key=abc', turn, ' sk-abcdefgh', conv_id)"
+MASKED = NOTE
+for _p in PATTERNS:
+    MASKED = f"regexp_replace({MASKED}, '{_p}', '[REDACTED]', 'g')"
+
+
+@query("WITH x AS (SELECT conv_id, turn, concat('{\"note\":', to_json(" + MASKED + "), ',\"kept [REDACTED]\":', turn, '}') AS m FROM {conversations}) SELECT conv_id, turn, sha256(" + AROUND + ") AS redacted_sha FROM x")
+def redact_json(t):
+    """Objects with secrets at depth 0 to 5, in keys, strings and entries that are left out."""
+    note = F.regexp_extract(F.to_json(F.struct(F.expr(NOTE).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    inner = F.concat(F.lit('{"API-Key":["zzz",{"a":1}],"note":'), note, F.lit(',"kept sk-abcdefghij":'), F.col("turn").cast("string"), F.lit(',"Set_Cookie":null}'))
+    rows = t.conversations.withColumn("m", inner)
+    return rows.select("conv_id", "turn", F.sha2(tx.redact_json(F.expr(AROUND)), 256).alias("redacted_sha"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '''=' || role WHEN conv_id % 3 = 1 THEN '''-' || role ELSE role END AS cell, CASE WHEN conv_id % 2 = 0 THEN role || '-' || conv_id END AS token FROM {conversations}""")
 def safe_cells(t):
     cell = F.expr("concat(CASE conv_id % 3 WHEN 0 THEN '=' WHEN 1 THEN '-' ELSE '' END, role)")
