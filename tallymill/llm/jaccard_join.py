@@ -122,7 +122,14 @@ def set_name(h: np.ndarray) -> bytes:
 
 
 def _prefixes(words: int, share: int, level):
-    """For mapInArrow over (text): (shingle, node) of each shingle of the prefix under the first order."""
+    """For mapInArrow over (text): (shingle, node, head) of each shingle of the prefix under the first order, and of the first one under each order.
+
+    A head is told by a hash of the shingle and the order.
+    """
+
+    def of_set(h: np.ndarray) -> np.ndarray:
+        heads = [_mix(ordered(h, level.value, k)[:1] + np.uint64(k)) for k in range(ORDERS)]
+        return np.concatenate([*heads, ordered(h, level.value, 0)[: prefix_size(len(h), share)]])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -136,11 +143,12 @@ def _prefixes(words: int, share: int, level):
                 if len(seen) > 1 << 16:
                     seen.clear()
                 seen.add(name)
-                found.append((name, ordered(h, level.value, 0)[: prefix_size(len(h), share)]))
+                found.append((name, of_set(h)))
             if found:
                 of = pa.array(np.repeat(np.arange(len(found)), [len(x) for _, x in found]))
                 shingles, nodes = np.concatenate([x for _, x in found]), pa.array([name for name, _ in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), nodes.take(of)], names=["shingle", "node"])
+                head = np.concatenate([np.arange(len(x)) < ORDERS for _, x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), nodes.take(of), pa.array(head)], names=["shingle", "node", "head"])
 
     return run
 
@@ -265,53 +273,76 @@ def _verified(words: int, share: int, level):
     return run
 
 
-def links(nodes: DataFrame, docs: DataFrame, words: int, share: int, level, shard: int = SHARD) -> DataFrame:
-    """(u, v): pairs of similar nodes of `nodes` (node, row, size, bits) that join all that are similar.
-
-    Nodes meet that have a shingle in both prefixes under the first order. Where many do, their nodes are dealt into shards, of
-    which one meets every other, and of what size and parity leave possible only as many pairs are compared as could
-    join the nodes. A second round takes all possible pairs of nodes that are not joined by then: of each shingle
-    those outside its largest component meet all others. So the comparisons of a large group of near copies grow with
-    its size.
-    """
-    each = materialize(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, node binary"))
-    # a shingle is of use if two nodes have it in their prefixes
+def _met(each: DataFrame) -> DataFrame:
+    """The rows of `each` (shingle, node) whose shingle several nodes have."""
     mark = F.xxhash64("node")
     shared = materialize(each.groupBy("shingle").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last").select("shingle"))
-    met = materialize(each.join(shared, "shingle").distinct())
+    return materialize(each.join(shared, "shingle").distinct())
+
+
+def _own(met: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, n, node, label, size, bits) for the shingles of `met` whose nodes have several labels; those with the same nodes count once."""
+    named = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    sizes = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), *marks)
-    # shingles with the same nodes count once
-    keys = materialize(sizes.groupBy("n", "x1", "x2").agg(F.min("shingle").alias("key")).select("key", F.ceil(F.col("n") / shard).cast("int").alias("shards")))
-    own = materialize(met.join(keys, F.col("shingle") == F.col("key")).drop("shingle").join(nodes.select("node", "size", "bits"), "node"))
-    needed = nodes.select("node", "row").join(own.select("node").distinct(), "node")
+    sizes = named.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"), *marks)
+    keys = materialize(sizes.where("first <> last").groupBy("n", "x1", "x2").agg(F.min("shingle").alias("key")).select("key", "n"))
+    return materialize(named.join(keys, F.col("shingle") == F.col("key")).join(nodes.select("node", "size", "bits"), "node").select("key", "n", "node", "label", "size", "bits"))
+
+
+def _by_shards(own: DataFrame, shard: int) -> DataFrame:
+    """Work of a round that joins what it can: the nodes of a key are dealt into shards, of which the first meets each other one."""
+    shards = F.ceil(F.col("n") / shard).cast("int")
+    dealt = own.select("*", F.lit(0).alias("a"), shards.alias("shards"), F.pmod(F.xxhash64("node"), shards).cast("int").alias("b"))
+    one = dealt.where("shards > 1 AND b = 0").withColumn("b", F.explode(F.sequence(F.lit(1), F.col("shards") - 1)))
+    return dealt.withColumn("known", F.lit(False)).unionByName(one.withColumn("known", F.lit(True)))
+
+
+def _by_labels(own: DataFrame, shard: int) -> DataFrame:
+    """Work of a round that compares all nodes of different labels: those outside the largest one of a key meet all others."""
+    of_label = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    parts = lambda n: F.ceil(n / shard).cast("int")
+    main = materialize(main.select("key", F.col("main.label").alias("main"), parts(F.col("main.n")).alias("m"), parts(F.col("n") - F.col("main.n")).alias("r")))
+    part = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), "r")).cast("int")
+    dealt = own.join(main, "key").withColumn("part", part)
+    # each part of the rest meets all parts before it, those of the largest label first
+    later = dealt.withColumn("a", F.col("part")).withColumn("b", F.explode(F.filter(F.sequence(F.col("m"), F.col("m") + F.col("r") - 1), lambda b: b > F.col("part"))))
+    first = dealt.where("part >= m").withColumn("b", F.col("part")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("part") - 1)))
+    return later.withColumn("known", F.lit(True)).unionByName(first.withColumn("known", F.lit(False)))
+
+
+def links(nodes: DataFrame, docs: DataFrame, words: int, share: int, level, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(pairs of similar nodes, labels (node, label) of what they join) of `nodes` (node, row, size, bits); they join all that are similar.
+
+    Nodes meet that have a shingle in both prefixes under the first order, and of these what size and parity leave possible
+    is verified. Three rounds keep the work on large groups of near copies in proportion to their size: nodes with
+    the same first shingle under some order come first, and only as many pairs as could join them are verified; so
+    are, in the second round, those of the prefixes' shingles whose nodes are not joined by then. The third takes
+    all possible pairs of nodes that are still not joined.
+    """
+    each = materialize(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, node binary, head boolean"))
     read = docs.select(row_key(docs).alias("row"), docs["text"].cast("string").alias("text"))
-    texts = materialize(read.join(needed, "row").dropDuplicates(["node"]).select("node", "text"))
 
     def compared(work: DataFrame, forest: bool) -> DataFrame:
         rows = work.select("key", "a", "b", "known", "node", "label", "size", "bits").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
         pairs = materialize(rows.mapInArrow(released(_candidates(share, forest)), "u binary, v binary").distinct())
+        needed = nodes.select("node", "row").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node")
+        texts = materialize(read.join(needed, "row").dropDuplicates(["node"]).select("node", "text"))
         salts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("salts"))
         beside = pairs.join(salts, "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), "v").join(texts.withColumnRenamed("node", "v"), "v")
         hubs = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("v")).join(texts.withColumnRenamed("node", "u"), "u")
         both = hubs.unionByName(beside).select("u", "salt", "v", "text").repartition("u", "salt").sortWithinPartitions("u", "salt", "v")  # null comes first
         return materialize(both.mapInArrow(released(_verified(words, share, level)), "u binary, v binary"))
 
-    dealt = own.select("*", F.lit(0).alias("a"), F.pmod(F.xxhash64("node"), "shards").cast("int").alias("b"), F.col("node").alias("label"))
-    one = dealt.where("shards > 1 AND b = 0").withColumn("b", F.explode(F.sequence(F.lit(1), F.col("shards") - 1)))
-    found = compared(dealt.withColumn("known", F.lit(False)).unionByName(one.withColumn("known", F.lit(True))), True)
-
-    named = materialize(own.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")))
-    of_label = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
-    parts = lambda n: F.ceil(n / shard).cast("int")
-    main = materialize(main.select("key", F.col("main.label").alias("main"), parts(F.col("main.n")).alias("m"), parts(F.col("n") - F.col("main.n")).alias("r")))
-    part = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), "r")).cast("int")
-    dealt = named.join(main, "key").withColumn("part", part)
-    # each part of the rest meets all parts before it, those of the largest component first
-    later = dealt.withColumn("a", F.col("part")).withColumn("b", F.explode(F.filter(F.sequence(F.col("m"), F.col("m") + F.col("r") - 1), lambda b: b > F.col("part"))))
-    first = dealt.where("part >= m").withColumn("b", F.col("part")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("part") - 1)))
-    return found.unionByName(compared(later.withColumn("known", F.lit(True)).unionByName(first.withColumn("known", F.lit(False))), False))
+    by_head, by_prefix = (_met(each.where(when).select("shingle", "node")) for when in ("head", "NOT head"))
+    label = nodes.select("node", F.col("node").alias("label")).where(F.lit(False))
+    found = None
+    for met, forest in ((by_head, True), (by_prefix, True), (by_prefix, False)):
+        own = _own(met, label, nodes)
+        more = compared(_by_shards(own, shard) if forest else _by_labels(own, shard), forest)
+        found = more if found is None else found.unionByName(more)
+        label = components(found).select("node", "label")
+    return found, label
 
 
 def joined(docs: DataFrame, words: int = 5, share: int = 80, shard: int = SHARD) -> DataFrame:
@@ -338,7 +369,7 @@ def joined(docs: DataFrame, words: int = 5, share: int = 80, shard: int = SHARD)
     each = materialize(read.mapInArrow(batches(fn, pa.schema([(c, k) for c, (k, _) in kinds.items()])), ", ".join(f"{c} {k}" for c, (_, k) in kinds.items())))
     nodes = materialize(each.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bits").alias("bits")))
     level = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
-    label = components(links(nodes, docs, words, share, level, shard))
+    _, label = links(nodes, docs, words, share, level, shard)
     named = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     component = materialize(named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id"))
     out = each.select("doc_id", "node", F.col("size").alias("n_shingles")).join(component, "node", "left")
