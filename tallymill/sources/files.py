@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MMLU_COLUMNS = ["question_id", "question", "options", "answer", "answer_index", "cot_content", "category", "src"]
 GPQA_COLUMNS = ["Question", "Correct Answer", "Incorrect Answer 1", "Incorrect Answer 2", "Incorrect Answer 3", "Subdomain", "Record ID", "High-level domain"]
@@ -17,10 +18,20 @@ def _require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_questions_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): each physical line of JSONL files, numbered from 1 within its file; a final empty line is none."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line", "value"))
-    return lines.select("file", (F.col("line") + 1).cast("long").alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+    """(file, line, value): each physical line of JSONL files, numbered from 1 within its file; a final empty line is none.
+
+    A file is read by as many tasks as it has splits. Lines are numbered within their split; the splits' sizes, one row each,
+    give what comes before. A byte order mark and the carriage return of a CRLF are no part of a line; an empty file has no lines.
+    """
+    text = spark.read.option("lineSep", "\n").text(path)
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    rows = text.select(*at, F.monotonically_increasing_id().alias("id"), "value")
+    sizes = text.select(*at).groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"))
+    before = sizes.select("file", "split", (F.sum("lines").over(Window.partitionBy("file").orderBy("split")) - F.col("lines")).alias("before"))
+    inside = rows.withColumn("line", F.row_number().over(Window.partitionBy("file", "split").orderBy("id")))
+    line = (F.col("before") + F.col("line")).cast("long")
+    value = F.regexp_replace(F.when(line == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), "\r$", "")
+    return inside.join(before, ["file", "split"]).select("file", line.alias("line"), value.alias("value"))
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:

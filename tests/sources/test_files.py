@@ -11,6 +11,26 @@ def test_lines_keep_their_numbers(spark, tmp_path):
     assert files.read_manifests(spark, str(tmp_path / "q.jsonl")).count() == 1
 
 
+def test_lines_of_a_file_that_many_tasks_read(spark, tmp_path):
+    """Splits of a few hundred bytes cut lines, CRLF and letters of several bytes anywhere."""
+    lines = [f'{{"n":{k},"t":"{"é" * (k % 40)}"}}' if k % 7 else "" for k in range(3000)] + ["a\rb"]
+    (tmp_path / "a.jsonl").write_bytes(b"\xef\xbb\xbf" + "\r\n".join(lines).encode() + b"\n")
+    (tmp_path / "b.jsonl").write_bytes("\n".join(lines[::-1]).encode() + b"\n\n")
+    (tmp_path / "c.jsonl").write_bytes(b"")
+    conf = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = files.read_questions_jsonl(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 100
+        got = sorted((r.file[-7:], r.line, r.value) for r in found.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == [("a.jsonl", k, v) for k, v in enumerate(lines, 1)] + [("b.jsonl", k, v) for k, v in enumerate([*lines[::-1], ""], 1)]
+
+
 def test_csv_source(spark, tmp_path):
     head = ",".join(f'"{c}"' for c in [*files.GPQA_COLUMNS, "Question Writer"])
     (tmp_path / "g.csv").write_text("﻿" + head + '\n"What, ""really""?\nyes",a,b,c,d,s,r1,dom,someone\n', encoding="utf-8")
