@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.evidence import BLOCK, PARTS
@@ -53,9 +55,39 @@ def live_progress_stream(responses: DataFrame, at: str = "created_at", late: str
     return first.groupBy("run_id", F.expr(f"position div {block}").alias("block_index")).agg(*(F.expr(e).alias(k) for k, e in PARTS.items()))
 
 
-def rows_too_late(query: StreamingQuery) -> int:
-    """Rows that the query's stateful operators have turned away because they came after the watermark, so far."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Adds up, over every micro-batch, the rows that stateful operators turn away because they come after the watermark.
+
+    For use around a query: `with LateRows(spark) as late: ...`; late.of(query) waits until the query's end has been told.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows, self.ended = spark, Counter(), defaultdict(threading.Event)
+
+    def __enter__(self) -> LateRows:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: object) -> None:
+        self.rows[str(event.progress.runId)] += sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        self.ended[str(event.runId)].set()
+
+    def of(self, query: StreamingQuery, wait: float = 60.0) -> int:
+        """Of a query that has ended."""
+        if not self.ended[str(query.runId)].wait(wait):
+            raise TimeoutError("the query's end has not been told")
+        return self.rows[str(query.runId)]
 
 
 def micros(times: pd.Series) -> np.ndarray:
