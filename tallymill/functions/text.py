@@ -102,9 +102,15 @@ def attempt_count(n: Column) -> Column:
 
 
 def provider_scope_key(provider: Column, url: Column) -> Column:
-    """SHA-256 of the provider and the origin of its address."""
-    part = lambda name: F.lower(F.coalesce(F.try_parse_url(url, F.lit(name)), F.lit("")))
-    return F.sha2(F.concat(F.lower(F.trim(provider)), F.lit("\u0000"), part("PROTOCOL"), F.lit("://"), part("AUTHORITY")), 256)
+    """SHA-256 of the provider and the origin of its address; the origin of `mock` is `offline`.
+
+    Null where the address is missing or is no absolute HTTP(S) address of a host, without a user's name or password.
+    """
+    name = F.lower(F.trim(provider))
+    part = lambda k: F.try_parse_url(url, F.lit(k))
+    safe = F.lower(part("PROTOCOL")).isin("http", "https") & part("HOST").isNotNull() & part("USERINFO").isNull()
+    origin = F.when(name == "mock", F.lit("offline")).when(safe, F.lower(F.concat(part("PROTOCOL"), F.lit("://"), part("AUTHORITY"))))
+    return F.sha2(F.concat(name, F.lit("\u0000"), origin), 256)
 
 
 def fingerprint(canonical: Column) -> Column:

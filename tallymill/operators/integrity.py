@@ -17,8 +17,8 @@ def rule_violations(df: DataFrame, key: list[str], rules: dict[str, str]) -> Dat
 #: Rules of the rows of the evaluation tables, each the condition that must not be false.
 TABLE_RULES: dict[str, dict[str, str]] = {
     "runs": {
-        "status_known": "status IN ('pending', 'running', 'completed', 'failed', 'cancelled')", "total_questions_positive": "total_questions > 0", "times_in_order": "finished_at >= started_at",
-        "max_attempts_positive": "max_attempts > 0", "concurrency_positive": "concurrency > 0", "max_tokens_positive": "max_tokens > 0", "temperature_not_negative": "temperature_setting >= 0", "reservation_positive": "input_token_reservation > 0",
+        "status_known": "status IN ('pending', 'running', 'completed', 'failed', 'cancelled')", "total_questions_not_negative": "total_questions >= 0", "times_in_order": "finished_at >= started_at",
+        "max_attempts_positive": "max_attempts > 0", "concurrency_positive": "concurrency > 0", "max_tokens_positive": "max_tokens > 0", "temperature_not_negative": "temperature_setting >= 0", "reservation_not_negative": "input_token_reservation >= 0",
     },
     "responses": {
         "score_in_range": "score >= 0 AND score <= 1", "latency_not_negative": "latency_ms >= 0", "input_tokens_not_negative": "input_tokens >= 0", "output_tokens_not_negative": "output_tokens >= 0", "cost_not_negative": "estimated_cost >= 0",

@@ -102,13 +102,13 @@ def limit_verdicts(minutes: DataFrame, policies: DataFrame, overrides: DataFrame
     overrides: (scope_id, request_budget, token_budget, cost_budget) of runs, of which the stricter counts. A null limit is none.
     """
     own = overrides.select("scope_id", *(F.col(c).alias(f"own_{c}") for c in ("request_budget", "token_budget", "cost_budget")))
-    whole = Window.partitionBy("scope_type", "scope_id")
     tokens = F.expr("reserved_input_tokens + reserved_output_tokens + consumed_input_tokens + consumed_output_tokens")
     requests = F.expr("reserved_requests + consumed_requests")
-    now = minutes.select(
-        "scope_type", "scope_id", "policy_id", "minute", requests.alias("minute_requests"), tokens.alias("minute_tokens"), F.bool_or("overdrawn").over(whole).alias("overdrawn"),
-        F.sum("active_reservations").over(whole).alias("active_reservations"), F.sum(requests).over(whole).alias("requests"), F.sum(tokens).over(whole).alias("tokens"), F.sum(F.expr("reserved_cost_usd + consumed_cost_usd")).over(whole).alias("cost"),
+    whole = minutes.groupBy("scope_type", "scope_id").agg(
+        F.bool_or("overdrawn").alias("overdrawn"), F.sum("active_reservations").alias("active_reservations"), F.sum(requests).alias("requests"),
+        F.sum(tokens).alias("tokens"), F.sum(F.expr("reserved_cost_usd + consumed_cost_usd")).alias("cost"),
     )
+    now = minutes.select("scope_type", "scope_id", "policy_id", "minute", requests.alias("minute_requests"), tokens.alias("minute_tokens")).join(whole, ["scope_type", "scope_id"])
     rows = now.join(policies, ["policy_id", "scope_type"]).join(own, "scope_id", "left")
     budget = lambda c: F.when(F.col("scope_type") == "run", F.least(c, f"own_{c}")).when(F.col("scope_type") == "global", F.col(c))
     cost = F.lit(new_cost).cast("decimal(20,8)")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbering import exact_percentiles
+
 #: Two-sided 95 % and one-sided 95 % points of Student's t for 3 to 10 samples.
 STUDENT_T = [(3, 4.302653, 2.919986), (4, 3.182446, 2.353363), (5, 2.776445, 2.131847), (6, 2.570582, 2.015048), (7, 2.446912, 1.94318), (8, 2.364624, 1.894579), (9, 2.306004, 1.859548), (10, 2.262157, 1.833113)]
 
@@ -31,17 +33,21 @@ def latency_percentiles(tasks: DataFrame, start: Column, end: Column, cap: int |
     if cap is not None:
         firsts = rows.where("queue >= 0 OR execution >= 0").orderBy("finished_at", "task_id").limit(cap).select("task_id", F.lit(True).alias("first"))
         long = long.join(firsts, "task_id", "left_semi")
-    stats = long.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.percentile("s", F.array(*map(F.lit, (0.5, 0.95, 0.99)))).alias("p"))
+    stats = exact_percentiles(long, ["kind"], "s", (0.5, 0.95, 0.99))
     out = stats.join(total, "kind")
     return out.select("kind", "n", *(F.round(F.get("p", F.lit(k)), 6).alias(f"p{q}") for k, q in enumerate((50, 95, 99))), (F.col("total") > F.col("n")).alias("truncated"))
 
 
 def distribution(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """n, least, mean, p50, p95, p99 and most of each group's values, exact; no task holds a group."""
     v = F.col(value)
     mean = F.sum(v.cast("decimal(30,8)")).cast("double") / F.count(v)
-    return df.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count(v).alias("n"), F.min(v).alias("least"), F.round(mean, 6).alias("mean"), F.round(F.percentile(v, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(v, F.lit(0.95)), 6).alias("p95"), F.round(F.percentile(v, F.lit(0.99)), 6).alias("p99"), F.max(v).alias("most")
-    )
+    sums = df.where(v.isNotNull()).groupBy(*keys).agg(F.min(v).alias("least"), F.round(mean, 6).alias("mean"), F.max(v).alias("most"))
+    quantiles = exact_percentiles(df, list(keys), value, (0.5, 0.95, 0.99))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"q.{c}")) for c in keys]
+    both = sums.alias("s").join(quantiles.alias("q"), same) if keys else sums.alias("s").crossJoin(quantiles.alias("q"))
+    p = [F.round(F.get("p", F.lit(k)), 6).alias(f"p{q}") for k, q in enumerate((50, 95, 99))]
+    return both.select(*(f"s.{c}" for c in keys), "n", "least", "mean", *p, "most")
 
 
 def due(now: Column) -> Column:

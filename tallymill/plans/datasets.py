@@ -197,9 +197,13 @@ def safe_cells(t):
     return t.conversations.select("conv_id", "turn", tx.safe_csv_cell(cell).alias("cell"), tx.safe_token(token, 64).alias("token"))
 
 
-@query("SELECT page_id, sha256('web' || chr(0) || lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))) AS scope_key FROM {pages}")
+@query("""SELECT page_id, CASE WHEN page_id % 6 = 1 THEN sha256('mock' || chr(0) || 'offline') WHEN page_id % 6 IN (2, 3, 4) THEN NULL
+  ELSE sha256('web' || chr(0) || lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))) END AS scope_key FROM {pages}""")
 def provider_scope_key(t):
-    return t.pages.select("page_id", tx.provider_scope_key(F.lit(" Web"), F.col("url")).alias("scope_key"))
+    """Also of a mock provider, and of addresses that are missing, none, or hold a user's name."""
+    provider = F.when(F.col("page_id") % 6 == 1, "Mock ").otherwise(" Web")
+    url = F.expr("CASE page_id % 6 WHEN 2 THEN null WHEN 3 THEN 'not a url' WHEN 4 THEN replace(url, '://', '://user:word@') ELSE url END")
+    return t.pages.select("page_id", tx.provider_scope_key(provider, url).alias("scope_key"))
 
 
 @query("SELECT rule, count(*) AS n FROM (SELECT 'latency_positive' AS rule FROM {responses} WHERE latency_ms < 25 UNION ALL SELECT 'error_without_score' FROM {responses} WHERE error_type IS NULL AND score = 0 UNION ALL SELECT 'tokens_known' FROM {responses} WHERE input_tokens IS NULL) GROUP BY rule")

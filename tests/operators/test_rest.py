@@ -101,3 +101,54 @@ def test_snapshot_issues(spark):
     runs = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "run_id int, policy_id string, managed boolean, tokens long, snapshot struct<rpm:long,tpm:long,provider_scope_key:string,local_admission_only:boolean,run_overrides:struct<tokens:long>>")
     got = integrity.snapshot_issues(runs, policies, ["rpm", "tpm"], ["tokens"]).collect()
     assert sorted(r.run_id for r in got) == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_nested_json_loses_its_secrets_and_stays_json(spark):
+    import json
+
+    rows = [
+        ('{"a":{"api_key":"zzz","note":"x"}}', {"a": {"note": "x"}}),
+        ('{"l":[{"Client-Secret":{"deep":[1]},"n":1.0},["Bearer abc","own pass"]],"own pass":2}', {"l": [{"n": 1.0}, ["[REDACTED]", "[REDACTED]"]], "[REDACTED]": 2}),
+        ('["secret=abc",null,true,-0.10e5,"\\u00e9\\n\\"q\\""]', ["[REDACTED]", None, True, -0.10e5, 'é\n"q"']),
+        ('{"sk-aaaaaaaaaa":1,"sk-bbbbbbbbbb":2}', {"[REDACTED]": 2}),
+        ("[" * 30 + '{"cookie":1,"k":"sk-abcdefgh1"}' + "]" * 30, None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)] + [(10, None), (11, "no json api_key=abc"), (12, "")], "k INT, t STRING")
+    got = {r.k: r.t for r in df.select("k", tx.redact_json(F.col("t"), ("own pass",)).alias("t")).collect()}
+    for k, (_, want) in enumerate(rows[:4]):
+        assert json.loads(got[k]) == want
+    assert "-0.10e5" in got[2] and got[4] == "[" * 30 + '{"k":"[REDACTED]"}' + "]" * 30
+    assert got[10] is None and got[11] == "no json [REDACTED]" and got[12] == ""
+
+
+def test_records_are_json_and_ids_end_with_their_text(spark):
+    import json
+
+    df = spark.createDataFrame([('a"b\\\n', None), ("x", 'y","w":"z')], "w STRING, v STRING")
+    got = [json.loads(r[0]) for r in df.select(audit.record(["w", "v"])).collect()]
+    assert got == [{"v": None, "w": 'a"b\\\n'}, {"v": 'y","w":"z', "w": "x"}]
+    ids = spark.createDataFrame([("abc",), ("abc\n",), ("-a",), ("a" * 129,)], "id STRING")
+    assert [r[0] for r in ids.select(F.col("id").rlike(audit.SAFE_ID)).collect()] == [True, False, False, False]
+
+
+def test_archives_go_and_come_back_whole_or_not_at_all(spark):
+    archived = spark.createDataFrame([(k, f"k{k}", k // 3, 1, 5) for k in range(12)], "event_id INT, event_key STRING, archive_id INT, w INT, expires_at INT")
+    # 0: exact; 1: one absent; 2: one in conflict and one absent; 3: absent, but for a key that another event has
+    stored = spark.createDataFrame([(k, f"k{k}", 9 if k == 6 else 1, 5) for k in (0, 1, 2, 4, 5, 6, 8)] + [(99, "k9", 1, 5)], "event_id INT, event_key STRING, w INT, expires_at INT")
+    verdicts = {r.archive_id: (r.status, r.may_delete, r.may_restore) for r in audit.archive_verdicts(archived, stored, ["event_key", "w"], F.lit(6)).collect()}
+    assert verdicts == {0: ("exact", True, True), 1: ("partial", False, True), 2: ("conflict", False, False), 3: ("conflict", False, False)}
+    assert sorted(r.event_id for r in audit.restore_set(archived, stored, ["event_key", "w"], F.lit(6)).collect()) == [3]
+    assert sorted(r.event_id for r in audit.after_delete(stored, archived, ["event_key", "w"], F.lit(6)).collect()) == [4, 5, 6, 8, 99]
+    assert audit.after_delete(stored, archived, ["event_key", "w"], F.lit(5)).count() == 8
+
+
+def test_percentiles_of_hot_groups_are_those_of_the_engine(spark):
+    from tallymill.functions.numbering import exact_percentiles
+
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 3 = 2 AND id < 30 THEN null ELSE concat('k', id % 50) END AS g", "CASE WHEN id % 11 = 0 THEN null WHEN id % 7 < 3 THEN 1.5D ELSE pmod(hash(id), 5000) / 8D END AS x", "1 AS n")
+    fractions = (0.0, 0.1, 0.5, 0.95, 0.99, 1.0)
+    want = {r.g: (r.n, r.p) for r in df.where("x IS NOT NULL").groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.array(*map(F.lit, fractions))).alias("p")).collect()}
+    got = {r.g: (r.n, r.p) for r in exact_percentiles(df, ["g"], "x", fractions).collect()}
+    assert {k: (n, [round(x, 9) for x in p]) for k, (n, p) in got.items()} == {k: (n, [round(x, 9) for x in p]) for k, (n, p) in want.items()}
+    assert exact_percentiles(df, [], "x", (0.5,)).first().n == sum(n for n, _ in want.values())
+    assert exact_percentiles(df.where("false"), ["g"], "x", (0.5,)).count() == 0
