@@ -132,7 +132,7 @@ def audit_payload_faults(t):
     return au.payload_faults(t.audit_events.withColumns({"payload": payload, "payload_sha256": F.sha2(sent, 256)}), contract)
 
 
-LATER = F.expr("INTERVAL 90 DAYS")
+LATER = "INTERVAL 90 DAYS"
 #: Five archives: one exact, one with absent events, one with conflicts and absent events, one absent, and one that has not expired as a whole.
 PLACED = f"""{BOUNDS}, a AS (SELECT *, event_id % 5 AS archive_id FROM {{audit_events}}, bounds WHERE event_id % 5 = 4 OR expires_at < b + INTERVAL 90 DAY),
 s AS (SELECT * REPLACE (CASE WHEN event_id % 10 = 2 THEN worker_id + 1 ELSE worker_id END AS worker_id) FROM {{audit_events}} WHERE NOT (event_id % 10 = 1 OR event_id % 20 = 7 OR event_id % 5 = 3)),
@@ -142,7 +142,7 @@ v AS (SELECT archive_id, count(*) FILTER (NOT absent AND NOT other) AS exact, co
 
 def placed(t):
     """(archived events, stored events, time) of PLACED."""
-    e, now = t.audit_events, bounds(t)[1] + LATER
+    e, now = t.audit_events, bounds(t)[1] + F.expr(LATER)
     stored = e.where("NOT (event_id % 10 = 1 OR event_id % 20 = 7 OR event_id % 5 = 3)").withColumn("worker_id", F.expr("CASE WHEN event_id % 10 = 2 THEN worker_id + 1 ELSE worker_id END"))
     return e.where((F.col("event_id") % 5 == 4) | (F.col("expires_at") < now)).withColumn("archive_id", F.col("event_id") % 5), stored, now
 
