@@ -42,6 +42,37 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> Da
     return inside.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__inside")).cast("long")).drop("__range", "__inside", "__before")
 
 
+def dealt_by_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df read back from a table, with the `__range` of (keys, order) in which each row lies, for with_previous and with_latest."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _kept(df.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
+
+
+def _stitched(dealt: DataFrame, keys: list[str], inside: Column, last: Column, carried: Column, name: str) -> DataFrame:
+    """dealt with `name`: what is found inside a row's range, else what `carried` makes of the `last` of the key's earlier ranges, one row each."""
+    ends = dealt.groupBy("__range", *keys).agg(last.alias("__last"))
+    before = ends.select("__range", *keys, carried.alias("__carried")).alias("b")
+    rows = dealt.withColumn("__inside", inside).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__range", *keys)]
+    return rows.join(before, same).select(*(f"d.{c}" for c in dealt.columns), F.coalesce("__inside", "__carried").getField("x").alias(name))
+
+
+def with_previous(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """With the value of the row before, in the order of the row's key; null for a key's first row. No task holds more than a range."""
+    x = F.struct(F.col(value).alias("x"))
+    here, own = Window.partitionBy("__range", *keys).orderBy(*order), Window.partitionBy(*keys).orderBy("__range")
+    return _stitched(dealt, keys, F.lag(x).over(here), F.max_by(x, F.struct(*order)), F.lag("__last").over(own), name)
+
+
+def with_latest(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """With the latest value that is not null, of the row itself or one before it in its key's order. No task holds more than a range."""
+    known = F.col(value).isNotNull()
+    x = F.when(known, F.struct(F.col(value).alias("x")))
+    here = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return _stitched(dealt, keys, F.last(x, True).over(here), F.max_by(x, F.when(known, F.struct(*order))), F.last("__last", True).over(own), name)
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: tuple[float, ...]) -> DataFrame:
     """(keys..., n, p): the exact percentiles of each group's values (nulls left out) by linear interpolation, without a task that holds a group.
 

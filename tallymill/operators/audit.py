@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbering import number_rows
+from ..functions.numbering import dealt_by_ranges, exact_percentiles, number_rows, with_previous
 
 #: Days that each retention class keeps at least.
 RETENTION_DAYS = {"operational": 90, "security": 365}
@@ -202,11 +202,14 @@ def first_at_or_after(events: DataFrame, thresholds: DataFrame, event_type: str)
 
 
 def event_gaps(events: DataFrame, types: list[str]) -> DataFrame:
-    """(run_id, n, least, median, most): seconds between a run's consecutive events of the types."""
-    order = Window.partitionBy("run_id").orderBy("occurred_at", "event_type", "event_id")
-    gap = (F.unix_micros("occurred_at") - F.unix_micros(F.lag("occurred_at").over(order))) / 1_000_000
-    rows = events.where(F.col("event_type").isin(types)).withColumn("gap", gap).where("gap IS NOT NULL")
-    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("least"), F.percentile("gap", F.lit(0.5)).alias("median"), F.max("gap").alias("most"))
+    """(run_id, n, least, median, most): seconds between a run's consecutive events of the types; a run's events are many tasks' work."""
+    keys, order = ["run_id"], ["occurred_at", "event_type", "event_id"]
+    dealt = dealt_by_ranges(events.where(F.col("event_type").isin(types)).select(*keys, *order), keys, order)
+    gap = (F.unix_micros("occurred_at") - F.unix_micros("before")) / 1_000_000
+    gaps = with_previous(dealt, keys, order, "occurred_at", "before").select("run_id", gap.alias("gap")).where("gap IS NOT NULL")
+    ends = gaps.groupBy("run_id").agg(F.min("gap").alias("least"), F.max("gap").alias("most"))
+    middle = exact_percentiles(gaps, keys, "gap", (0.5,)).select(F.col("run_id").alias("of"), "n", F.get("p", F.lit(0)).alias("median"))
+    return ends.join(middle, F.col("run_id").eqNullSafe(F.col("of"))).select("run_id", "n", "least", "median", "most")
 
 
 def first_claims(events: DataFrame, by: str) -> DataFrame:

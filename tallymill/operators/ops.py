@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.numbering import exact_percentiles
+from ..functions.numbering import dealt_by_ranges, exact_percentiles, with_latest, with_previous
 
 #: Two-sided 95 % and one-sided 95 % points of Student's t for 3 to 10 samples.
 STUDENT_T = [(3, 4.302653, 2.919986), (4, 3.182446, 2.353363), (5, 2.776445, 2.131847), (6, 2.570582, 2.015048), (7, 2.446912, 1.94318), (8, 2.364624, 1.894579), (9, 2.306004, 1.859548), (10, 2.262157, 1.833113)]
@@ -188,10 +187,14 @@ def alert_conditions(gauges: DataFrame, rules: list[tuple[str, str, int]] = ALER
 
 
 def pending_alerts(samples: DataFrame, hold_s: int) -> DataFrame:
-    """(alert, since, fired_at): stretches of samples (alert, at, value) with a true value that lasted for hold_s; the first sample at which they had."""
-    w = Window.partitionBy("alert").orderBy("at")
-    starts = samples.withColumn("starts", F.col("value") & ~F.coalesce(F.lag("value").over(w), F.lit(False)))
-    runs = starts.withColumn("island", F.sum(F.col("starts").cast("long")).over(w)).where("value")
-    since = runs.groupBy("alert", "island").agg(F.min("at").alias("since"))
-    held = runs.join(since, ["alert", "island"]).where(seconds(F.col("since"), F.col("at")) >= hold_s)
+    """(alert, since, fired_at): stretches of samples (alert, at, value) with a true value that lasted for hold_s; the first sample at which they had.
+
+    An unknown value is not true; of samples of one time the true ones come last. Samples are dealt by ranges of time
+    and stretches are stitched at the ranges' borders, so one alert with all samples is many tasks' work.
+    """
+    keys, order = ["alert"], ["at", "value"]
+    dealt = dealt_by_ranges(samples.select("alert", "at", F.coalesce("value", F.lit(False)).alias("value")), keys, order)
+    before = with_previous(dealt, keys, order, "value", "before")
+    starts = before.withColumn("start", F.when(F.col("value") & ~F.coalesce("before", F.lit(False)), F.col("at")))
+    held = with_latest(starts, keys, order, "start", "since").where(F.col("value") & (seconds(F.col("since"), F.col("at")) >= hold_s))
     return held.groupBy("alert", "since").agg(F.min("at").alias("fired_at"))

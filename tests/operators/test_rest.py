@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymill.functions import text as tx
-from tallymill.functions.numbering import number_rows
+from tallymill.functions.numbering import dealt_by_ranges, number_rows, with_latest, with_previous
 from tallymill.operators import audit, datasets, integrity, ledger, ops
 from tallymill.operators.evidence import effective, estimate_cost
 
@@ -152,3 +152,31 @@ def test_percentiles_of_hot_groups_are_those_of_the_engine(spark):
     assert {k: (n, [round(x, 9) for x in p]) for k, (n, p) in got.items()} == {k: (n, [round(x, 9) for x in p]) for k, (n, p) in want.items()}
     assert exact_percentiles(df, [], "x", (0.5,)).first().n == sum(n for n, _ in want.values())
     assert exact_percentiles(df.where("false"), ["g"], "x", (0.5,)).count() == 0
+
+
+def test_neighbours_are_found_over_the_borders_of_ranges(spark):
+    """One key with most rows, null keys and values, and a range's first rows, against a walk."""
+    rows = [("hot", k, None if k % 5 else k) for k in range(300)] + [(None, k, k if k == 1 else None) for k in range(4)] + [("one", 7, None)]
+    df = spark.createDataFrame(rows, "key STRING, at INT, value INT").repartition(5)
+    dealt = dealt_by_ranges(df, ["key"], ["at"])
+    assert dealt.where("key = 'hot'").select("__range").distinct().count() > 1
+    got = with_latest(with_previous(dealt, ["key"], ["at"], "value", "before"), ["key"], ["at"], "value", "latest").collect()
+    want, before, latest = {}, {}, {}
+    for key, at, value in rows:
+        latest[key] = latest.get(key) if value is None else value
+        want[key, at] = (before.get(key), latest[key])
+        before[key] = value
+    assert {(r.key, r.at): (r.before, r.latest) for r in got} == want and len(got) == len(rows)
+
+
+def test_alerts_and_gaps_of_one_key_are_many_tasks_work(spark):
+    """All samples belong to one alert, all events to one run; no range has most of them."""
+    from datetime import timedelta
+
+    start = datetime(2026, 1, 1)
+    samples = spark.createDataFrame([("a", start + timedelta(minutes=k), None if k % 50 == 0 else k % 50 != 20) for k in range(400)], "alert STRING, at TIMESTAMP, value BOOLEAN")
+    got = sorted((int((r.since - start).total_seconds()) // 60, int((r.fired_at - start).total_seconds()) // 60) for r in ops.pending_alerts(samples, 1200).collect())
+    assert got == [(50 * k + 21, 50 * k + 41) for k in range(8)]
+    events = samples.select(F.lit(1).alias("run_id"), F.col("at").alias("occurred_at"), F.lit("x").alias("event_type"), F.xxhash64("at").alias("event_id"))
+    assert [tuple(r) for r in audit.event_gaps(events, ["x"]).collect()] == [(1, 399, 60.0, 60.0, 60.0)]
+    assert audit.event_gaps(events, ["y"]).count() == 0 and ops.pending_alerts(samples.where("false"), 1200).count() == 0
