@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.evidence import BLOCK, PARTS
+from ..operators.evidence import BLOCK, PARTS, first_response_wins
 
 LATE = "10 minutes"
 
@@ -55,6 +55,42 @@ def live_progress_stream(responses: DataFrame, at: str = "created_at", late: str
     return first.groupBy("run_id", F.expr(f"position div {block}").alias("block_index")).agg(*(F.expr(e).alias(k) for k, e in PARTS.items()))
 
 
+class FirstResponses:
+    """For foreachBatch over responses: a table in `path` of the first response of each (run, question), and what each epoch adds to the blocks' sums.
+
+    The first epoch wins, inside it the first by time and id. The table takes the place of the stream's state, so a repeat is turned
+    away however late it comes, and a first response is never too late. An epoch that is run again, after a loss
+    between two micro-batches or in one, overwrites its own folders and sees earlier epochs alone, so it adds
+    the same rows. Of the table only the buckets of the runs in the batch are read. The folder belongs to one query's checkpoint.
+    """
+
+    def __init__(self, path: str, buckets: int = 64, block: int = BLOCK):
+        self.path, self.buckets, self.block = path, buckets, block
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark, keys = batch.sparkSession, ["run_id", "question_id"]
+        bucket = F.pmod(F.xxhash64("run_id"), F.lit(self.buckets)).cast("int")
+        rows = first_response_wins(batch).withColumn("bucket", bucket).persist()
+        new = rows
+        if epoch:
+            here = [r.bucket for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+            stored = spark.read.schema(rows.withColumn("epoch", F.lit(0).cast("long")).schema).parquet(f"{self.path}/responses")
+            known = stored.where((F.col("epoch") < epoch) & F.col("bucket").isin(here)).select(*(F.col(k).alias(f"known_{k}") for k in keys))
+            new = rows.join(known, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys], "left_anti")
+        mine = f"{self.path}/responses/epoch={epoch}"
+        # few files a bucket, and still several tasks for the bucket of a hot run
+        dealt = new.repartition("bucket", F.pmod(F.xxhash64("question_id"), F.lit(8)))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(mine)
+        rows.unpersist()
+        added = spark.read.schema(rows.schema).parquet(mine)
+        sums = added.groupBy("run_id", F.expr(f"position div {self.block}").alias("block_index")).agg(*(F.expr(e).alias(k) for k, e in PARTS.items()))
+        sums.write.mode("overwrite").parquet(f"{self.path}/blocks/epoch={epoch}")
+
+    def progress(self, spark: SparkSession) -> DataFrame:
+        """The sums of each run's blocks over the epochs that have come."""
+        return spark.read.parquet(f"{self.path}/blocks").groupBy("run_id", "block_index").agg(*(F.sum(k).alias(k) for k in PARTS))
+
+
 class LateRows(StreamingQueryListener):
     """Adds up, over every micro-batch, the rows that stateful operators turn away because they come after the watermark.
 
@@ -98,38 +134,59 @@ def stamp(us: int) -> pd.Timestamp:
     return pd.Timestamp(us, unit="us")
 
 
-def _alerts(hold_s: int):
+def _alerts(hold_us: int, forget_us: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, fired = state.get if state.exists else (None, False)
-        # a time and a bit for each sample of the micro-batch are all that is held to put them in order
-        parts = [(micros(b["at"]), b["value"].to_numpy(bool)) for b in batches]
-        at, value = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(at, kind="stable")
-        at, value = at[order], value[order]
+        since, fired, seen, waiting = state.get if state.exists else (None, False, None, b"")
+        # a sample is one number, twice its time and its value, so their order is that of time, false before true
+        parts = [np.frombuffer(bytes(waiting), np.int64)]
+        if not state.hasTimedOut:
+            parts += [micros(b["at"]) * 2 + b["value"].to_numpy(bool) for b in batches]
+        samples, mark = np.sort(np.concatenate(parts)), state.getCurrentWatermarkMs()
+        settled = int(np.searchsorted(samples, (mark - 1) * 2000 + 1, "right"))
+        at, value, rest = samples[:settled] >> 1, (samples[:settled] & 1).astype(bool), samples[settled:]
         out = []
-        edges = np.flatnonzero(np.diff(value, prepend=not value[0]))
-        for a, b in zip(edges, [*edges[1:], len(at)]):  # stretches of one value
-            if not value[a]:
-                since, fired = None, False
-                continue
-            since = int(at[a]) if since is None else since
-            held = a + int(np.searchsorted(at[a:b], since + hold_s * 1_000_000))
-            if not fired and held < b:
-                fired = True
-                out.append((key[0], stamp(since), stamp(int(at[held]))))
-        state.update((since, fired))
+        if len(at):
+            apart = np.diff(at, prepend=at[0] if seen is None else seen) > (forget_us if forget_us is not None else np.iinfo(np.int64).max - 1)
+            edges = np.flatnonzero(np.diff(value, prepend=not value[0]) | apart)
+            for a, b in zip(edges, [*edges[1:], len(at)]):  # stretches of one value
+                if apart[a] or not value[a]:
+                    since, fired = None, False
+                if not value[a]:
+                    continue
+                since = int(at[a]) if since is None else since
+                held = a + int(np.searchsorted(at[a:b], since + hold_us))
+                if not fired and held < b:
+                    fired = True
+                    out.append((key[0], stamp(since), stamp(int(at[held]))))
+            seen = int(at[-1])
+        over = None if forget_us is None or seen is None else (seen + forget_us) // 1000 + 1
+        if over is not None and over < mark:
+            since, fired = None, False
+        if since is None and not len(rest):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((since, fired, seen, rest.tobytes()))
+            due = -(-int(rest[0] >> 1) // 1000) if len(rest) else over
+            if due is not None:
+                state.setTimeoutTimestamp(max(due, mark + 1))
         if out:
             yield pd.DataFrame(out, columns=["alert", "since", "fired_at"])
 
     return step
 
 
-def alert_stream(samples: DataFrame, hold_s: int) -> DataFrame:
-    """(alert, since, fired_at) once a condition (alert, at, value) has held for hold_s. State: one row an alert.
+def alert_stream(samples: DataFrame, hold_s: int, late: str = LATE, forget_s: int | None = None) -> DataFrame:
+    """(alert, since, fired_at) once a condition (alert, at, value) has held for hold_s, in the order of the samples' times, whatever the order they come in.
 
-    Samples are put in order inside a micro-batch; of one that comes with a later batch the order of arrival counts.
+    Samples wait in the state until the watermark has passed them, timers see to alerts without new ones, and what comes
+    later than `late` is turned away. An unknown value is not true; of samples of one time the true ones come last; a
+    sample without a time is left out. With forget_s a stretch is over when no sample came for so long. State: the waiting
+    samples of each alert, 8 bytes each, and a row for each alert that holds.
     """
-    return samples.select("alert", "at", "value").groupBy("alert").applyInPandasWithState(_alerts(hold_s), "alert STRING, since TIMESTAMP, fired_at TIMESTAMP", "since LONG, fired BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+    rows = samples.where("at IS NOT NULL").withWatermark("at", late).select("alert", "at", F.coalesce("value", F.lit(False)).alias("value"))
+    step = _alerts(hold_s * 1_000_000, None if forget_s is None else forget_s * 1_000_000)
+    return rows.groupBy("alert").applyInPandasWithState(step, "alert STRING, since TIMESTAMP, fired_at TIMESTAMP", "since LONG, fired BOOLEAN, seen LONG, waiting BINARY", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def joined_stretches(stretches: list[tuple[int, int, bool]], times: np.ndarray, stopped: np.ndarray, most: int) -> list[tuple[int, int, bool]]:
