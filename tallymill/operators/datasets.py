@@ -228,6 +228,11 @@ MAPPING = {"exact_match": "exact_match_v1", "multiple_choice": "multiple_choice_
 SWITCHES, TOLERANCES = ("case_sensitive", "normalize_whitespace"), ("absolute_tolerance", "relative_tolerance")
 
 
+def pointer_part(name: Column) -> Column:
+    """A name as a part of a JSON pointer."""
+    return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
 class _Json:
     """Rules over the JSON object in a column; each gives an array of (code, pointer), empty where the rule holds or the field is missing."""
 
@@ -259,7 +264,7 @@ class _Json:
         """Fields that are missing, and those beside the allowed ones."""
         have = F.coalesce(F.json_object_keys(F.get_json_object(self.column, f"$.{inside}") if inside else F.col(self.column)), F.array().cast("array<string>"))
         base = f"/{inside.replace('.', '/')}/" if inside else "/"
-        each = lambda code: lambda k: self.issue(code, F.concat(F.lit(base), k))
+        each = lambda code: lambda k: self.issue(code, F.concat(F.lit(base), pointer_part(k)))
         both = F.concat(F.transform(F.array_except(need, have), each("required_field_missing")), F.transform(F.array_except(have, may), each("additional_field_not_allowed")))
         return F.when(self.is_object(inside), both)
 
@@ -317,7 +322,7 @@ def question_issues(questions: DataFrame) -> DataFrame:
     """(dataset_id, line, code, pointer) of question lines (dataset_id, line, value)."""
     j = _Json("value")
     choices = F.map_entries(F.from_json(F.get_json_object("value", "$.choices"), "map<string,variant>"))
-    in_choice = lambda code: lambda e: j.issue(code(e), F.concat(F.lit("/choices/"), e["key"]))
+    in_choice = lambda code: lambda e: j.issue(code(e), F.concat(F.lit("/choices/"), pointer_part(e["key"])))
     bad = lambda e: text_fault(F.schema_of_variant(e["value"]), F.try_variant_get(e["value"], "$", "string"), 1, 4_000)
     letter = r"^[A-Z]\z"
     answer, is_number = j.get("answer"), j.is_number("answer")

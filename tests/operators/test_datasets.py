@@ -55,3 +55,12 @@ def test_cross_rules(spark):
     lines = [(d, i, json.dumps(changed(q, "id", f"q{i}"))) for d in (1, 2) for i, q in enumerate((CHOICE, NUMERIC, EXACT))] + [(2, 3, json.dumps(changed(CHOICE, "id", "q0")))]
     got = ds.cross_issues(manifests, spark.createDataFrame(lines, "dataset_id int, line int, value string")).collect()
     assert sorted(map(tuple, got), key=str) == [(1, 1, "incompatible_evaluator_mapping", None), (2, 3, "duplicate_question_id", 0), (2, None, "question_count_mismatch", None)]
+
+
+def test_names_are_escaped_in_pointers(spark):
+    """A name with / or ~ is one part of the pointer."""
+    value = '{"id": "q", "type": "exact_match", "prompt": "p", "answer": "a", "metadata": {}, "a/b": 1, "c~d": 2}'
+    choice = '{"id": "q", "type": "multiple_choice", "prompt": "p", "answer": "A", "metadata": {}, "choices": {"A": "x", "B/~": "y"}}'
+    questions = spark.createDataFrame([("d", 1, value), ("d", 2, choice)], "dataset_id STRING, line INT, value STRING")
+    got = {(r.line, r.code, r.pointer) for r in ds.question_issues(questions).collect()}
+    assert got == {(1, "additional_field_not_allowed", "/a~1b"), (1, "additional_field_not_allowed", "/c~0d"), (2, "invalid_choice_key", "/choices/B~1~0")}
