@@ -18,8 +18,8 @@ SLOTS, ROWS, USED, FACTORS = 1 << 18, 6000, 4096, 8
 SEEN, TOGETHER = 5, 12
 #: So many deviations from what chance gives are needed: of a term's toxic rows, and of a pair's from what its two words tell alone.
 TELLS, PAIR_TELLS = 4.0, 6.0
-#: Parts of the pairs, each a task's; bits of the hash that a part's pairs are counted by; a fitted row with more words than LONG has no pairs counted.
-PARTS, BITS, LONG = 8, 20, 3000
+#: Parts of the pairs, each a task's; bits of the hash that a part's pairs are counted by; pairs that are held at a time (a long row's in pieces).
+PARTS, BITS, HELD = 8, 20, 1_000_000
 THRESHOLD = 0.3
 
 LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
@@ -60,18 +60,24 @@ def deviations(n: np.ndarray, toxic: np.ndarray, chance: np.ndarray) -> np.ndarr
 
 
 def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, part: int = 0, parts: int = 1) -> np.ndarray:
-    """The slots of pairs of words whose rows' labels are not what the two words tell alone (their log-odds added up).
+    """The slots of pair_strengths."""
+    return pair_strengths(rows, labels, part, parts)[0]
+
+
+def pair_strengths(rows: list[np.ndarray], labels: np.ndarray, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of pairs of words whose rows' labels are not what the two words tell alone (their log-odds added up), and how far off the furthest pair of each is.
 
     Of all pairs one part is looked at, by the first word. They are counted by a hash first; those in buckets that
-    stand out then as they are.
+    stand out then as they are. Rows of any length count.
     """
+    none = np.zeros(0, np.int64), np.zeros(0)
     y = np.asarray(labels, float)
     words = [r[r < SLOTS // 2] for r in rows]
     slots, place, seen = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
     toxic = np.bincount(place, np.repeat(y, [len(w) for w in words]), len(slots))
     often = seen >= TOGETHER
     if not 0 < y.sum() < len(y) or not often.any():
-        return np.zeros(0, np.int64)
+        return none
     slots, seen, toxic, base = slots[often], seen[often], toxic[often], y.mean()
     odds = (toxic + base) / (seen - toxic + 1 - base)
     size, usual = len(slots), base / (1 - base)
@@ -88,15 +94,16 @@ def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, part: int = 0, par
         for w, k in zip(words, y):
             at = np.searchsorted(slots, w)
             at = at[slots[np.minimum(at, size - 1)] == w]
-            if 2 <= len(at) <= LONG:
-                first = np.flatnonzero(at % parts == part)
+            mine = np.flatnonzero(at % parts == part)
+            pieces = np.flatnonzero(np.diff((len(at) - 1 - mine).cumsum() // HELD)) + 1
+            for first in np.split(mine, pieces):
                 n = len(at) - 1 - first
                 second = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(first + 1, n)
                 held.append((np.repeat(at[first], n), at[second], np.full(n.sum(), k)))
                 size_held += n.sum()
-            if size_held > 1_000_000:
-                yield map(np.concatenate, zip(*held))
-                held, size_held = [], 0
+                if size_held > HELD:
+                    yield map(np.concatenate, zip(*held))
+                    held, size_held = [], 0
         if held:
             yield map(np.concatenate, zip(*held))
 
@@ -108,12 +115,14 @@ def telling_pairs(rows: list[np.ndarray], labels: np.ndarray, part: int = 0, par
     stands_out = (total >= TOGETHER) & (deviations(total, bad, expected / np.maximum(total, 1)) >= TELLS)
     found = [np.stack([i[some], j[some], k[some]]) for i, j, k in pairs() if (some := stands_out[bucket(i, j)]).any()]
     if not found:
-        return np.zeros(0, np.int64)
+        return none
     i, j, k = np.concatenate(found, axis=1)
     codes, which, n = np.unique((i * size + j).astype(np.int64), return_inverse=True, return_counts=True)
     i, j = codes // size, codes % size
-    tells = (n >= TOGETHER) & (deviations(n, np.bincount(which, k), chance(i, j)) >= PAIR_TELLS)
-    return np.unique(slots[np.concatenate([i[tells], j[tells]])])
+    far = deviations(n, np.bincount(which, k), chance(i, j))
+    tells = (n >= TOGETHER) & (far >= PAIR_TELLS)
+    best = pd.Series(np.tile(far[tells], 2)).groupby(slots[np.concatenate([i[tells], j[tells]])]).max()
+    return best.index.to_numpy(np.int64), best.to_numpy(float)
 
 
 def telling_terms(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -181,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     """From labelled rows outside the held-out quarter: a sample of at most `rows` of them, by a hash of the id.
 
     The sample is screened for pairs in PARTS tasks and the machine is trained in one; the driver gets the machine alone.
+    Of more than USED slots of pairs those whose pairs tell most are used, ties by slot.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y"))
     some = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -197,10 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
         return [np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy()
 
     def screen(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"slot": telling_pairs(*unpacked(got), key[0], PARTS)})
+        return pd.DataFrame(dict(zip(("slot", "far"), pair_strengths(*unpacked(got), key[0], PARTS))))
 
     parts = sample.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    paired = np.array([r.slot for r in parts.groupBy("part").applyInPandas(screen, "slot long").distinct().limit(USED).collect()], np.int64)
+    slots_of_pairs = parts.groupBy("part").applyInPandas(screen, "slot long, far double").groupBy("slot").agg(F.max("far").alias("far"))
+    paired = np.array([r.slot for r in slots_of_pairs.orderBy(F.desc("far"), "slot").limit(USED).collect()], np.int64)
 
     def learn(got: pd.DataFrame) -> pd.DataFrame:
         m = train(*unpacked(got), np.sort(paired))

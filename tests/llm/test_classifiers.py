@@ -129,6 +129,37 @@ def test_pairs_in_parts_are_those_of_the_whole():
     assert len(whole) and set(whole.tolist()) == set(np.concatenate([toxicity.telling_pairs(rows, y, k, 3) for k in range(3)]).tolist())
 
 
+def test_pairs_of_long_rows_are_screened():
+    """Toxic is one of two words without the other, in rows with 3,100 other words of 3,200, taken in pieces."""
+    rng = np.random.default_rng(6)
+    x = np.array([(a, b) for a in (0, 1) for b in (0, 1)] * 60, bool)
+    rows = [np.unique(np.concatenate([np.flatnonzero(k) + 1, 100 + rng.permutation(3200)[:3100]])) for k in x]
+    slots, far = toxicity.pair_strengths(rows, x[:, 0] != x[:, 1], 0, 64)  # the part of the first word
+    assert {1, 2} == set(slots[far > 6].tolist())
+
+
+def test_pieces_of_long_rows_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows, x = rows_of(rng, 2000, 0.3, 0.4, 0)
+    whole = toxicity.pair_strengths(rows, x.all(1))
+    monkeypatch.setattr(toxicity, "HELD", 7)
+    pieces = toxicity.pair_strengths(rows[:2000], x.all(1))
+    assert len(whole[0]) and all(np.allclose(a, b) for a, b in zip(whole, pieces))
+
+
+def test_slots_beyond_the_limit_are_chosen_alike(spark, monkeypatch):
+    """With room for one of the two slots of a pair, the smaller is used, however the rows are dealt."""
+    monkeypatch.setattr(toxicity, "USED", 1)  # on the driver, which chooses
+    rng = np.random.default_rng(8)
+    texts = [" ".join([*(w for w, k in zip(("alpha", "omega"), rng.random(2) < 0.5) if k), *(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in rng.integers(0, 200, 20))]) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(("alpha" in t) != ("omega" in t))) for k, t in enumerate(texts)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(docs.repartition(n), labels.repartition(n)) for n in (1, 7))
+    assert a.slots.tolist() == b.slots.tolist() and np.array_equal(a.w, b.w)
+    pair = [int(toxicity.terms(w)[0]) for w in ("alpha", "omega")]
+    assert min(pair) in a.slots and max(pair) not in a.slots
+
+
 def test_scores_are_the_plain_sums(spark):
     """The query against a row-by-row sum over all pairs, with the machine that it learnt."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
