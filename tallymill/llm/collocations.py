@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +22,8 @@ CLEAN = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\
 BITS = 1 << 26
 #: Bits of a block while the filter is put together, bytes of a text that are split at once.
 BLOCK, SLICE = 1 << 16, 1 << 20
-#: Phrases that a task counts before it hands them on, and those that a filter remembers for a lang.
-COUNTED, REMEMBERED = 1 << 18, 1 << 15
+#: Bytes of words whose phrases a task counts at a time.
+COUNTED = 1 << 23
 
 
 def word_lists(text: str | None) -> Iterator[list[bytes]]:
@@ -36,65 +37,77 @@ def word_lists(text: str | None) -> Iterator[list[bytes]]:
         at = end
 
 
-class Known(dict):
-    """Phrase to itself if the filter has it, else to BREAK; what was asked before is remembered, up to a bound."""
+def _lang(lang: str) -> int:
+    return zlib.crc32(lang.encode() + b" ")
 
-    def __init__(self, bits: bytes, lang: int):
-        super().__init__()
-        self.bits, self.lang = bits, lang
 
-    def __missing__(self, phrase: bytes) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        bit = zlib.crc32(phrase, self.lang) % BITS
-        self[phrase] = kept = phrase if self.bits[bit >> 3] >> (bit & 7) & 1 else BREAK
-        return kept
+def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(a, b, pa.scalar(b" ", pa.binary()))
 
 
-def _lang(lang: str) -> int:
-    return zlib.crc32(lang.encode() + b" ")
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of codes, and the place of each code's among them."""
+    found = pa.array(codes, pa.int64()).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
 
 
-def phrases(words: list[bytes], size: int, known: list[Known]) -> list[bytes]:
-    """The phrases of `size` words in a list of words, whose shorter parts the filters know; none goes over a BREAK."""
+def _known(bits: np.ndarray, lang: int, phrases: pa.Array) -> np.ndarray:
+    """Which phrases a filter has."""
+    at = np.fromiter((zlib.crc32(p, lang) for p in phrases.to_pylist()), np.int64, len(phrases)) % BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def phrases(words: pa.Array, size: int, filters: list[np.ndarray], lang: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct phrases of `size` words in an array of words, whose shorter parts the filters know, and their counts; none goes over a BREAK.
+
+    Words are numbered in the array; a pair is the numbers of its two words, a phrase of three those of its pair and its last word.
+    """
+    coded = words.dictionary_encode()
+    each, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    a_word = pc.not_equal(each, pa.scalar(BREAK, pa.binary())).to_numpy(zero_copy_only=False)
     if size == 1:
-        return [w for w in words if w != BREAK]
-    each = [known[0][w] if w != BREAK else BREAK for w in words]
-    pairs = [a + b" " + b if a != BREAK and b != BREAK else BREAK for a, b in zip(each, each[1:])]
+        return each.filter(pa.array(a_word)), np.bincount(ids, minlength=len(each))[a_word]
+    frequent = (a_word & _known(filters[0], lang, each))[ids]
+    first = np.flatnonzero(frequent[:-1] & frequent[1:])
+    pairs, which = _numbered(ids[first] * len(each) + ids[first + 1])
+    text = _joined(each.take(pa.array(pairs // max(len(each), 1))), each.take(pa.array(pairs % max(len(each), 1))))
     if size == 2:
-        return [p for p in pairs if p != BREAK]
-    frequent = [known[1][p] if p != BREAK else BREAK for p in pairs]
-    return [p + b" " + c for p, q, c in zip(frequent, frequent[1:], each[2:]) if p != BREAK and q != BREAK]
+        return text, np.bincount(which, minlength=len(pairs))
+    frequent = _known(filters[1], lang, text)[which]
+    both = np.flatnonzero(frequent[:-1] & frequent[1:] & (np.diff(first) == 1))
+    threes, which = _numbered(which[both] * np.int64(len(each)) + ids[first[both] + 2])
+    return _joined(text.take(pa.array(threes // max(len(each), 1))), each.take(pa.array(threes % max(len(each), 1)))), np.bincount(which, minlength=len(threes))
 
 
 def _counted(size: int, filters: list):
     """For mapInArrow over (lang, text): (lang, phrase, n); of single words also (lang, null, number of all)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        known: dict[str, list[Known]] = {}
+        held: dict[str, list[pa.Array]] = {}
+        bits = [np.frombuffer(f.value, np.uint8) for f in filters]
+        n_held = 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            for lang, c in counts.items():
-                phrase, n = list(c.keys()), list(c.values())
+            for lang, parts in list(held.items()):
+                words = pa.concat_arrays(parts)
+                phrase, n = phrases(words, size, bits, _lang(lang))
                 if size == 1:
-                    phrase, n = [*phrase, None], [*n, sum(n)]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "phrase": pa.array(phrase, pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
-            counts.clear()
+                    phrase, n = pa.concat_arrays([phrase, pa.nulls(1, pa.binary())]), np.append(n, n.sum())
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "phrase": phrase.cast(pa.string()), "n": pa.array(n, pa.int64())})
+                # a text that goes on needs its last words again
+                held[lang] = [pa.concat_arrays([words.slice(max(0, len(words) - size + 1))])]
+                if size == 1 or words[-1].as_py() == BREAK:
+                    del held[lang]
 
         for batch in it:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang not in counts:
-                    counts[lang] = Counter()
-                if lang not in known:
-                    known[lang] = [Known(f.value, _lang(lang)) for f in filters]
-                before: list[bytes] = []
-                for words in word_lists(text):
-                    words = before + words
-                    counts[lang].update(phrases(words, size, known[lang]))
-                    before = words[len(words) - size + 1 :] if size > 1 else []
-                if sum(map(len, counts.values())) > COUNTED:
-                    yield from done()
+                for words in chain(word_lists(text), [[BREAK]]):
+                    part = pa.array(words, pa.binary())
+                    held.setdefault(lang, []).append(part)
+                    n_held += part.nbytes
+                    if n_held > COUNTED:
+                        yield from done()
+                        n_held = 0
         yield from done()
 
     return run
