@@ -23,7 +23,7 @@ BITS = 1 << 26
 #: Bits of a block while the filter is put together, bytes of a text that are split at once.
 BLOCK, SLICE = 1 << 16, 1 << 20
 #: Bytes of words whose phrases a task counts at a time.
-COUNTED = 1 << 23
+COUNTED = 1 << 21
 
 
 def word_lists(text: str | None) -> Iterator[list[bytes]]:
@@ -100,7 +100,8 @@ def _counted(size: int, filters: list):
                     del held[lang]
 
         for batch in it:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*batch.columns):
+                lang, text = (x.as_py() for x in row)
                 for words in chain(word_lists(text), [[BREAK]]):
                     part = pa.array(words, pa.binary())
                     held.setdefault(lang, []).append(part)
