@@ -73,6 +73,18 @@ def with_latest(dealt: DataFrame, keys: list[str], order: list[str], value: str,
     return _stitched(dealt, keys, F.last(x, True).over(here), F.max_by(x, F.when(known, F.struct(*order))), F.last("__last", True).over(own), name)
 
 
+def with_running_sum(dealt: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """With the sum of the values up to the row in its key's order (nulls count as 0). No task holds more than a range."""
+    here = Window.partitionBy("__range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__range", *keys).agg(F.sum(value).alias("__sum"))
+    before = sums.select("__range", *keys, F.sum("__sum").over(own).alias("__before")).alias("b")
+    rows = dealt.withColumn("__inside", F.sum(value).over(here)).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("__range", *keys)]
+    whole = F.coalesce("__before", F.lit(0)) + F.coalesce("__inside", F.lit(0))
+    return rows.join(before, same).select(*(f"d.{c}" for c in dealt.columns), whole.alias(name))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, fractions: tuple[float, ...]) -> DataFrame:
     """(keys..., n, p): the exact percentiles of each group's values (nulls left out) by linear interpolation, without a task that holds a group.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import dealt_by_ranges, exact_percentiles, with_latest, with_previous
+from ..functions.numbering import dealt_by_ranges, exact_percentiles, with_latest, with_previous, with_running_sum
 
 #: Two-sided 95 % and one-sided 95 % points of Student's t for 3 to 10 samples.
 STUDENT_T = [(3, 4.302653, 2.919986), (4, 3.182446, 2.353363), (5, 2.776445, 2.131847), (6, 2.570582, 2.015048), (7, 2.446912, 1.94318), (8, 2.364624, 1.894579), (9, 2.306004, 1.859548), (10, 2.262157, 1.833113)]
@@ -135,6 +135,39 @@ def slo_verdicts(statistics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return rows.select("cell", "metric", "value", (ok & F.col("value").isNotNull()).alias("passed"))
 
 
+def drain_times(events: DataFrame, bursts: DataFrame) -> DataFrame:
+    """(cell, trial, drain_s) for bursts (cell, trial, end): seconds from a burst's end to the first time from then on at which no task is open.
+
+    events: (cell, trial, at, change), 1 where a task comes and -1 where it goes; those of one time count together, those
+    without a time not at all. 0 if no task is open at the end, null if that time does not come. Open tasks are a running
+    sum over ranges of (cell, trial, at), so one trial with all events is many tasks' work.
+    """
+    keys = ["cell", "trial"]
+    changes = events.where("at IS NOT NULL").groupBy(*keys, "at").agg(F.sum("change").alias("change"))
+    depth = with_running_sum(dealt_by_ranges(changes, keys, ["at"]), keys, ["at"], "change", "depth").alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    both = bursts.select(*keys, "end").alias("b").join(depth, same, "left")
+    at, before = F.col("d.at"), F.col("d.at") <= F.col("b.end")
+    found = both.groupBy("b.cell", "b.trial", "b.end").agg(F.max_by(F.when(before, F.col("depth")), F.when(before, at)).alias("open"), F.min(F.when(~before & (F.col("depth") <= 0), at)).alias("empty"))
+    return found.select(*keys, F.when(F.coalesce("open", F.lit(0)) <= 0, 0.0).otherwise(seconds(F.col("end"), F.col("empty"))).alias("drain_s"))
+
+
+def trial_percentile(samples: DataFrame, fraction: float = 0.95) -> DataFrame:
+    """(cell, metric, trial, value): the exact percentile of each trial's samples (cell, metric, trial, value)."""
+    keys = ["cell", "metric", "trial"]
+    return exact_percentiles(samples, keys, "value", (fraction,)).select(*keys, F.get("p", F.lit(0)).alias("value"))
+
+
+def trial_verdicts(values: DataFrame, limits: DataFrame) -> DataFrame:
+    """(cell, metric, trials, worst, passed) for limits (cell, metric, most): passed if each trial's value (cell, metric, trial, value) is known and within the limit.
+
+    A limit that no trial has a value for fails.
+    """
+    rows = limits.join(values, ["cell", "metric"], "left").groupBy("cell", "metric", "most")
+    within = F.coalesce(F.col("value") <= F.col("most"), F.lit(False))
+    return rows.agg(F.count("trial").alias("trials"), F.max("value").alias("worst"), F.bool_and(within).alias("passed")).drop("most")
+
+
 def paired_ratios(samples: DataFrame, above: str, below: str) -> DataFrame:
     """(cell, trial, sample): of each trial the ratio of two cells' samples, for trial_statistics; trials without both are left out."""
     side = lambda cell, name: samples.where(F.col("cell") == cell).select("trial", F.col("sample").alias(name))

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -180,3 +180,37 @@ def test_alerts_and_gaps_of_one_key_are_many_tasks_work(spark):
     events = samples.select(F.lit(1).alias("run_id"), F.col("at").alias("occurred_at"), F.lit("x").alias("event_type"), F.xxhash64("at").alias("event_id"))
     assert [tuple(r) for r in audit.event_gaps(events, ["x"]).collect()] == [(1, 399, 60.0, 60.0, 60.0)]
     assert audit.event_gaps(events, ["y"]).count() == 0 and ops.pending_alerts(samples.where("false"), 1200).count() == 0
+
+
+def test_drains_are_those_of_a_plain_sweep(spark):
+    import random
+
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    after = lambda m: start + timedelta(minutes=m)
+    events, bursts, want = [], [], {}
+    for trial in ("a", "b", "c", "d", None):
+        mine = []
+        for _ in range(60):
+            a = rng.randrange(200)
+            mine += [(a, 1), (a + rng.randrange(1, 9), -1)]
+        if trial == "d":
+            mine.append((0, 1))  # never goes
+        events += [("x", trial, after(m), k) for m, k in mine] + [("x", trial, None, 1)]
+        bursts.append(("x", trial, after(100)))
+        depth = lambda m: sum(k for n, k in mine if n <= m)  # noqa: B023, E731
+        want[trial] = next((60.0 * (m - 100) for m in range(100, 400) if depth(m) == 0), None)
+    bursts.append(("x", "none", after(1)))
+    want["none"] = 0.0
+    e = spark.createDataFrame(events, "cell STRING, trial STRING, at TIMESTAMP, change INT").repartition(7)
+    b = spark.createDataFrame(bursts, "cell STRING, trial STRING, end TIMESTAMP")
+    assert {r.trial: r.drain_s for r in ops.drain_times(e, b).collect()} == want
+    assert want["d"] is None and any(want.values())
+    assert ops.drain_times(e.limit(0), b.limit(0)).count() == 0
+
+
+def test_one_trial_beyond_its_limit_fails_the_cell(spark):
+    values = spark.createDataFrame([("x", "m", "1", 1.0), ("x", "m", "2", 2.0), ("y", "m", "1", None), ("z", "m", "1", 2.0)], "cell STRING, metric STRING, trial STRING, value DOUBLE")
+    limits = spark.createDataFrame([("x", "m", 1.5), ("y", "m", 9.0), ("z", "m", 2.0), ("w", "m", 9.0)], "cell STRING, metric STRING, most DOUBLE")
+    got = {r.cell: (r.trials, r.worst, r.passed) for r in ops.trial_verdicts(values, limits).collect()}
+    assert got == {"x": (2, 2.0, False), "y": (1, None, False), "z": (1, 2.0, True), "w": (0, None, False)}
