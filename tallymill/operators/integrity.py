@@ -38,6 +38,18 @@ TABLE_RULES: dict[str, dict[str, str]] = {
 }
 
 
+#: Rules of a run's counters and rates, beside its plan (see evidence.run_evidence); a rate that is not known yet passes.
+COUNTER_RULES: dict[str, str] = {
+    "completed_within_total": "completed_questions >= 0 AND completed_questions <= total_questions",
+    "correct_within_completed": "correct_questions >= 0 AND correct_questions <= completed_questions",
+    "errors_within_completed": "error_questions >= 0 AND error_questions <= completed_questions",
+    "score_in_range": "score >= 0 AND score <= 100",
+    "completion_rate_in_range": "completion_rate >= 0 AND completion_rate <= 100",
+    "answered_accuracy_in_range": "answered_accuracy >= 0 AND answered_accuracy <= 100",
+    "usage_not_negative": "input_tokens >= 0 AND output_tokens >= 0 AND estimated_cost >= 0",
+}
+
+
 def rule_counts(tables: dict[str, DataFrame], rules: dict[str, dict[str, str]] = TABLE_RULES) -> DataFrame:
     """(table_name, rule, broken): how many rows of each table break each rule, 0 too; a pass over each table."""
     frames = []

@@ -218,6 +218,21 @@ def table_rule_counts(t):
     return it.rule_counts({name: getattr(t, name) for name in it.TABLE_RULES})
 
 
+@query("""SELECT 'run_metrics' AS table_name, 'completed_within_total' AS rule, count(*) FILTER (run_id % 5 = 0) AS broken FROM {runs} UNION ALL SELECT 'run_metrics', 'correct_within_completed', count(*) FILTER (run_id % 7 = 0) FROM {runs}
+UNION ALL SELECT 'run_metrics', 'errors_within_completed', count(*) FILTER (run_id % 3 = 0) FROM {runs} UNION ALL SELECT 'run_metrics', 'score_in_range', count(*) FILTER (run_id % 11 = 0) FROM {runs}
+UNION ALL SELECT 'run_metrics', 'completion_rate_in_range', count(*) FILTER (run_id % 13 = 0) FROM {runs} UNION ALL SELECT 'run_metrics', 'answered_accuracy_in_range', count(*) FILTER (run_id % 4 > 0 AND run_id % 17 = 0) FROM {runs}
+UNION ALL SELECT 'run_metrics', 'usage_not_negative', count(*) FILTER (run_id % 19 = 0) FROM {runs}""")
+def counter_rule_counts(t):
+    """Counters and rates made up from each run's plan, some of them beyond their bounds, some rates not known."""
+    completed = F.expr("total_questions + if(run_id % 5 = 0, 1, 0)")
+    made = t.runs.select("run_id", "total_questions", completed.alias("completed_questions")).selectExpr(
+        "*", "if(run_id % 7 = 0, completed_questions + 1, 0) AS correct_questions", "if(run_id % 3 = 0, -1, completed_questions) AS error_questions",
+        "CASE WHEN run_id % 11 = 0 THEN 100.5 WHEN run_id % 2 = 0 THEN null ELSE 100 END AS score", "if(run_id % 13 = 0, -0.5, 0) AS completion_rate",
+        "CASE WHEN run_id % 4 = 0 THEN null WHEN run_id % 17 = 0 THEN 101 ELSE 50 END AS answered_accuracy", "if(run_id % 19 = 0, -1, 0) AS input_tokens", "0 AS output_tokens", "0 AS estimated_cost",
+    )
+    return it.rule_counts({"run_metrics": made}, {"run_metrics": it.COUNTER_RULES})
+
+
 @query("SELECT run_id, question_id, count(*) AS n FROM {responses} GROUP BY run_id, question_id HAVING count(*) > 1")
 def duplicate_keys(t):
     return it.duplicate_keys(t.responses, ["run_id", "question_id"])
