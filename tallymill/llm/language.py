@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import exact_percentiles
 from .common import held_out, materialize, released, row_key
 
 #: An n-gram's code has 16 bits for each of its ORDER characters.
@@ -23,8 +24,10 @@ DISCOUNT = 0.75
 CELLS = 4_000_000
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1_000_000
-#: Rows of known language that the rejection is calibrated on; the share of them that it may turn away; letters from which more evidence hardly counts.
-CALIBRATED, TURNED_AWAY, ENOUGH = 4000, 0.005, 2000
+#: The share of a language's training rows that the rejection may turn away; letters from which more evidence hardly counts.
+TURNED_AWAY, ENOUGH = 0.005, 2000
+#: Weights of the evidence to choose from.
+SLOPES = tuple(2.0**k for k in range(-10, 2))
 
 
 @lru_cache(maxsize=1)
@@ -196,23 +199,37 @@ class Calibration:
     cut: list[float]
 
 
-def calibrate(h: np.ndarray, y: np.ndarray, n: np.ndarray) -> Calibration:
-    """h: entropies (texts x languages); y: the known language of each; n: letters. The slope is that under which the known languages are likeliest."""
+def shares(slope: float) -> Column:
+    """Of a text's entropies h each language's likelihood in proportion to the best one's."""
+    return F.transform("h", lambda x: F.exp(-beyond(slope, x)))
 
-    def loss(slope: float) -> float:
-        z = -np.clip(slope * evidence(n)[:, None] * (h - h.min(1, keepdims=True)), 0, 60)
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]))
 
-    cut = [float(np.quantile(h[y == k, k], 1 - TURNED_AWAY)) if (y == k).any() else float("inf") for k in range(h.shape[1])]
-    return Calibration(min((2.0**k for k in range(-10, 2)), key=loss), cut)
+def beyond(slope: float, x: Column) -> Column:
+    """By how much an entropy x of a text speaks against its language, beside the least of the text's."""
+    return F.least(F.lit(60.0), slope * evidence(F.col("n")) * (x - F.array_min("h")))
+
+
+def summed(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def calibrated(known: DataFrame, langs: list[str]) -> Calibration:
+    """From all rows of known (lang, n, h) that have a letter; the slope is that under which their languages are likeliest.
+
+    The losses are sums over the table, the cuts exact percentiles by ranges, so no task and no driver holds a language's rows.
+    """
+    rows = known.where("n > 0").withColumn("own", F.get("h", F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1))
+    losses = rows.agg(*(F.avg(F.log(summed(shares(s))) + beyond(s, F.col("own"))) for s in SLOPES)).first()
+    cuts = {r.lang: r.p[0] for r in exact_percentiles(rows, ["lang"], "own", (1 - TURNED_AWAY,)).collect()}
+    return Calibration(min(zip(losses, SLOPES))[1], [cuts.get(x, float("inf")) for x in langs])
 
 
 def predicted(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for each row of docs (doc_id, text, lang, ...).
 
-    The models are learnt from all rows outside the held-out quarter that have a language; rejection and the score's
-    weight from a sample of CALIBRATED of them. lang_pred is the language of the least cross-entropy a letter, `und` for a
-    null text or one without a letter (or if no row teaches a language), with score 0; of equals the first by name.
+    The models, the rejection and the score's weight are learnt from all rows outside the held-out quarter that have a
+    language; the entropies of all texts are written out once, for the learning and the result. lang_pred is the
+    language of the least cross-entropy a letter, `und` for a null text or one without a letter (or if no row teaches a language), with score 0; of equals the first by name.
     The score is the calibrated share of the best among all languages; rejected tells that the entropy is above what
     training texts of that language have. Rows without lang, without id or with repeats give a row each; texts are read whole.
     """
@@ -225,14 +242,8 @@ def predicted(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     if not langs:
         return rows.select("doc_id", held.alias("held_out"), *(v.alias(c) for c, v in none.items()))
     model = materialize(probabilities(counts, langs))
-    known = teaching.where("lang is not null")
-    some = known.select("doc_id", F.col("lang").alias("known")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATED).dropDuplicates(["doc_id"])
-    sample = known.join(some, "doc_id").select("doc_id", "text", "known")
-    got = entropies(sample, model, langs, cells).select("known", "n", "h").toPandas()
-    got = got[got["n"] > 0]
-    fitted = calibrate(np.array(got["h"].tolist()).reshape(-1, len(langs)), np.array([langs.index(x) for x in got["known"]], int), got["n"].to_numpy(float))
-    each = entropies(rows.drop("lang"), model, langs, cells)
+    each = materialize(entropies(teaching, model, langs, cells).select("doc_id", "lang", "n", "h"))
+    fitted = calibrated(each.where("lang is not null"), langs)
     least, place = F.array_min("h"), (F.array_position("h", F.array_min("h")) - 1).cast("int")
-    shares = F.transform("h", lambda x: F.exp(-F.least(F.lit(60.0), fitted.slope * evidence(F.col("n")) * (x - least))))
-    found = {"lang_pred": F.get(F.lit(langs), place), "score": 1 / F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), "rejected": least > F.get(F.lit(fitted.cut), place)}
+    found = {"lang_pred": F.get(F.lit(langs), place), "score": 1 / summed(shares(fitted.slope)), "rejected": least > F.get(F.lit(fitted.cut), place)}
     return each.select("doc_id", held.alias("held_out"), *(F.when(F.col("h").isNull(), none[c]).otherwise(v).alias(c) for c, v in found.items()))

@@ -142,3 +142,24 @@ def test_tables_without_rows_or_languages(spark):
     df = spark.createDataFrame(corpus(), ROW)
     assert L.predicted(df.limit(0)).count() == 0
     assert {(r.lang_pred, r.score) for r in L.predicted(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
+
+
+def test_calibration_is_over_all_training_rows(spark):
+    """More rows than any sample had, and rows without an id, which a sample joined by id had lost."""
+    df = spark.createDataFrame(corpus(7000, seed=2) + [(None, "aa", f"ba {'abba ' * k}été") for k in range(300)], ROW).repartition(3)
+    got = L.predicted(df).toPandas()
+    counts = L.gather(df.withColumn("lang", F.when(~L.held_out(F.col("doc_id")), F.col("lang"))).select("lang", "text"))
+    langs = sorted(r.lang for r in counts.where("lang is not null").select("lang").distinct().collect())
+    each = L.entropies(df, L.probabilities(counts, langs), langs).where(~L.held_out(F.col("doc_id"))).toPandas()
+    h, n, y = np.array(each["h"].tolist()), each["n"].to_numpy(float), np.array([langs.index(x) for x in each["lang"]])
+    cut = [np.quantile(h[y == k, k], 1 - L.TURNED_AWAY) for k in range(len(langs))]
+
+    def loss(slope):
+        z = -np.clip(slope * L.evidence(n)[:, None] * (h - h.min(1, keepdims=True)), 0, 60)
+        return np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y])
+
+    mine = got[~got["held_out"]]
+    assert mine["rejected"].sum() == (h.min(1) > np.array(cut)[h.argmin(1)]).sum() > 0
+    known = spark.createDataFrame(each[["lang", "n", "h"]], "lang string, n long, h array<double>")
+    fitted = L.calibrated(known, langs)
+    assert fitted.slope == min(L.SLOPES, key=loss) and fitted.cut == pytest.approx(cut, rel=1e-12)
