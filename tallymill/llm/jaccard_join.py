@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, released, row_key
+from .common import materialize, released, row_key
 from .components import components
 from .simhash import SEED, _mix
 
@@ -22,6 +22,8 @@ CELLS = 1 << 22
 ORDERS = 3
 #: Sets of a shard where a shingle is in many prefixes, and sets compared with one other set in a task.
 SHARD, BESIDE = 2048, 1024
+#: Nodes of a shingle from which a pair must pass the finer tables of odd codes too, and the largest sets that have one.
+FINE, CODED = 64, 8192
 #: Steps of a level while the load of a cell doubles.
 STEPS = 8
 
@@ -55,19 +57,31 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(42)).astype(np.int64)
 
 
-def _loads(words: int):
-    """For mapInArrow over (text): (block, counts) of the cells of a task's shingles."""
+def _sets(words: int):
+    """For mapInArrow over (struct (row, doc_id), text): a row of each text's set, then the task's rows (block, loads) of how many sets have a shingle in each cell."""
+    names = ["row", "doc_id", "node", "size", "bits", "block", "loads"]
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def rows(columns: list) -> pa.RecordBatch:
+        n = len(next(c for c in columns if c is not None))
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(CELLS, np.int64)
         for batch in it:
-            for text in batch.column(0).to_pylist():
-                np.add.at(loads, _cell(shingle_set(text, words)), 1)  # distinct within a text
+            node, size, bits = [], [], []
+            for text in batch.column(1).to_pylist():
+                h = shingle_set(text, words)
+                np.add.at(loads, _cell(h), 1)  # distinct within a text
+                node.append(set_name(h))
+                size.append(len(h))
+                bits.append(parity(h) if len(h) else b"")
+            yield rows([*(batch.column(0).field(k).to_pylist() for k in (0, 1)), node, size, bits, None, None])
         for k, block in enumerate(loads.reshape(64, -1)):
             if block.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(block.tobytes())], pa.binary())], names=["block", "loads"])
+                yield rows([None] * 5 + [[k], [zstandard.compress(block.tobytes())]])
 
-    return run
+    return run, ", ".join(f"{c} {k}" for c, k in zip(names, ("string", "long", "binary", "long", "binary", "int", "binary")))
 
 
 def _levels(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +95,12 @@ def _levels(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([int(loads.sum())], pa.int64()), pa.array([level.tobytes()], pa.binary())], names=["block", "total", "levels"])
 
 
-def levels(docs: DataFrame, words: int) -> np.ndarray:
-    """For each cell how frequent its shingles may be, from the counts of all texts; levels that the mean explains are level.
+def levels(loads: DataFrame) -> np.ndarray:
+    """For each cell how frequent its shingles may be, from the counts (block, loads) of all texts; levels that the mean explains are level.
 
     Any order is right; this one only has the most frequent shingles last, so that few prefixes hold them.
     """
-    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(_loads(words)), "block int, loads binary")
-    rows = each.repartition(64, "block").mapInArrow(_levels, "block int, total long, levels binary").collect()
+    rows = loads.repartition(64, "block").mapInArrow(_levels, "block int, total long, levels binary").collect()
     out = np.zeros(CELLS, np.uint8)
     for r in rows:
         out[r.block * CELLS // 64 : (r.block + 1) * CELLS // 64] = np.frombuffer(r.levels, np.uint8)
@@ -117,6 +130,12 @@ def folded(tables: np.ndarray) -> np.ndarray:
     return tables[..., :half] ^ tables[..., half:]
 
 
+def odd_codes(h: np.ndarray) -> bytes:
+    """A parity table of 2^16 cells as the sorted numbers of its odd ones: small beside its cells for sets up to CODED."""
+    codes, n = np.unique(h.astype(np.uint16), return_counts=True)
+    return codes[n % 2 == 1].tobytes()
+
+
 def set_name(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
@@ -171,7 +190,7 @@ class Forest:
 
 
 class Bucket:
-    """Sets with a common prefix shingle, as rows (known, node, label, size, bits); their parity tables are kept by size."""
+    """Sets with a common prefix shingle, as rows (known, node, label, size, bits, codes); their parity tables are kept by size."""
 
     def __init__(self, rows: list[tuple], share: int):
         self.rows, self.share = rows, share
@@ -180,6 +199,8 @@ class Bucket:
         self.widths = np.array([len(t) for t in tables])
         self.of = {width: np.nonzero(self.widths == width)[0] for width in set(self.widths.tolist())}
         self.tables = {width: np.stack([tables[k] for k in at]) for width, at in self.of.items()}
+        self.codes = [None if r[5] is None else np.frombuffer(r[5], np.uint16) for r in rows]
+        self.odd = np.zeros(1 << 16, bool)
 
     def possible(self, k: int, upto: int) -> list[int]:
         """The rows before `upto` that size and parity let be similar to row k; sets that may be have tables within a factor of two."""
@@ -199,17 +220,34 @@ class Bucket:
                 out.extend(at[enough].tolist())
         return sorted(out)
 
+    def likely(self, k: int, at: list[int]) -> list[int]:
+        """Those of the rows `at` that the odd codes let be similar to row k too; a set without codes is let through."""
+        own = self.codes[k]
+        tested = [] if own is None else [j for j in at if self.codes[j] is not None]
+        if not tested:
+            return at
+        self.odd[own] = True
+        ends = np.cumsum([0, *(len(self.codes[j]) for j in tested)])
+        common = np.concatenate(([0], np.cumsum(self.odd[np.concatenate([self.codes[j] for j in tested])])))
+        self.odd[own] = False
+        both = self.sizes[tested] + self.sizes[k]
+        apart = len(own) + np.diff(ends) - 2 * np.diff(common[ends])
+        far = both - apart < 2 * least_overlap(self.sizes[tested], self.sizes[k], self.share)
+        dropped = {j for j, x in zip(tested, far.tolist()) if x}
+        return [j for j in at if j not in dropped]
+
 
 def _bucket_pairs(rows: list[tuple], share: int, inner: bool, forest: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of nodes of rows (known, node, label, size, bits), known ones first, that may be similar and have other labels.
+    """Pairs of nodes of rows (known, node, label, size, bits, codes), known ones first, that may be similar and have other labels.
 
     Known rows are not compared with each other, the rest with itself only if `inner`. With `forest` only as many pairs come
     out as keep joined what all of them join.
     """
     bucket, joined, n_known = Bucket(rows, share), Forest(), sum(r[0] for r in rows)
     for k in range(n_known, len(rows)):
-        for j in bucket.possible(k, k if inner else n_known):
-            if rows[j][2] != rows[k][2] and (not forest or joined.join(rows[j][2], rows[k][2])):
+        apart = [j for j in bucket.possible(k, k if inner else n_known) if rows[j][2] != rows[k][2] and (not forest or joined.root(rows[j][2]) != joined.root(rows[k][2]))]
+        for j in bucket.likely(k, apart):
+            if not forest or joined.join(rows[j][2], rows[k][2]):
                 yield rows[j][1], rows[k][1]
 
 
@@ -218,7 +256,7 @@ def _pairs(names: list[str], pairs: list[tuple]) -> pa.RecordBatch:
 
 
 def _candidates(share: int, forest: bool):
-    """For mapInArrow over rows (key, a, b, known, node, label, size, bits) in order of (key, a, b): pairs (u, v)."""
+    """For mapInArrow over rows (key, a, b, known, node, label, size, bits, codes) in order of (key, a, b): pairs (u, v)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, rows = None, []
@@ -234,16 +272,27 @@ def _candidates(share: int, forest: bool):
             yield _pairs(["u", "v"], out)
 
         for batch in it:
-            for *group, known, node, label, size, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            for *group, known, node, label, size, bits, codes in zip(*(c.to_pylist() for c in batch.columns)):
                 if group != here:
                     yield from done()
                     here, rows = group, []
-                rows.append((known, node, label, size, bits))
+                rows.append((known, node, label, size, bits, codes))
         yield from done()
 
     return run
 
 
+def _coded(words: int):
+    """For mapInArrow over (node, text): (node, codes)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            codes = [odd_codes(shingle_set(text, words)) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(codes, pa.binary())], names=["node", "codes"])
+
+    return run
+
+
 def similar(a: list[np.ndarray], b: list[np.ndarray], share: int) -> bool:
     """Whether two sets, each given as itself and its prefixes under the further orders, are similar: first all filters, then the sets."""
     if not all(np.isin(x, y).any() for x, y in zip(a[1:], b[1:])):
@@ -274,19 +323,24 @@ def _verified(words: int, share: int, level):
 
 
 def _met(each: DataFrame) -> DataFrame:
-    """The rows of `each` (shingle, node) whose shingle several nodes have."""
+    """(key, n, node) of `each` (shingle, node): the nodes of each shingle that n nodes, several, have; shingles with the same nodes count once.
+
+    What is counted and what it is joined with are one shuffle.
+    """
+    dealt = each.repartition("shingle")
     mark = F.xxhash64("node")
-    shared = materialize(each.groupBy("shingle").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last").select("shingle"))
-    return materialize(each.join(shared, "shingle").distinct())
+    shared = dealt.groupBy("shingle").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last").select(F.col("shingle").alias("key"))
+    met = materialize(dealt.join(shared, F.col("shingle") == F.col("key")).select("key", "node").distinct())
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks)
+    return met.join(materialize(sizes.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")), "key").select("key", "n", "node")
 
 
-def _own(met: DataFrame, label: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, n, node, label, size, bits) for the shingles of `met` whose nodes have several labels; those with the same nodes count once."""
+def _own(met: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of `met` (key, n, node, size, bits, codes) with the node's label, for the keys whose nodes have several."""
     named = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    sizes = named.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"), *marks)
-    keys = materialize(sizes.where("first <> last").groupBy("n", "x1", "x2").agg(F.min("shingle").alias("key")).select("key", "n"))
-    return materialize(named.join(keys, F.col("shingle") == F.col("key")).join(nodes.select("node", "size", "bits"), "node").select("key", "n", "node", "label", "size", "bits"))
+    several = named.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("key")
+    return materialize(named.join(materialize(several), "key"))
 
 
 def _by_shards(own: DataFrame, shard: int) -> DataFrame:
@@ -315,7 +369,7 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, share: int, level, shar
     """(pairs of similar nodes, labels (node, label) of what they join) of `nodes` (node, row, size, bits); they join all that are similar.
 
     Nodes meet that have a shingle in both prefixes under the first order, and of these what size and parity leave possible
-    is verified. Three rounds keep the work on large groups of near copies in proportion to their size: nodes with
+    is verified; where over FINE nodes meet, odd codes must leave it possible too. Three rounds keep the work on large groups of near copies in proportion to their size: nodes with
     the same first shingle under some order come first, and only as many pairs as could join them are verified; so
     are, in the second round, those of the prefixes' shingles whose nodes are not joined by then. The third takes
     all possible pairs of nodes that are still not joined.
@@ -323,22 +377,30 @@ def links(nodes: DataFrame, docs: DataFrame, words: int, share: int, level, shar
     each = materialize(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, node binary, head boolean"))
     read = docs.select(row_key(docs).alias("row"), docs["text"].cast("string").alias("text"))
 
+    def texts_of(some: DataFrame) -> DataFrame:
+        needed = materialize(nodes.select("node", "row").join(some.distinct(), "node"))  # a table has a known size: while it is small the texts are not shuffled
+        return read.join(needed, "row").dropDuplicates(["node"]).select("node", "text")
+
     def compared(work: DataFrame, forest: bool) -> DataFrame:
-        rows = work.select("key", "a", "b", "known", "node", "label", "size", "bits").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        rows = work.select("key", "a", "b", "known", "node", "label", "size", "bits", "codes").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
         pairs = materialize(rows.mapInArrow(released(_candidates(share, forest)), "u binary, v binary").distinct())
-        needed = nodes.select("node", "row").join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node")
-        texts = materialize(read.join(needed, "row").dropDuplicates(["node"]).select("node", "text"))
+        texts = materialize(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))))
         salts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("salts"))
         beside = pairs.join(salts, "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), "v").join(texts.withColumnRenamed("node", "v"), "v")
         hubs = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("v")).join(texts.withColumnRenamed("node", "u"), "u")
         both = hubs.unionByName(beside).select("u", "salt", "v", "text").repartition("u", "salt").sortWithinPartitions("u", "salt", "v")  # null comes first
         return materialize(both.mapInArrow(released(_verified(words, share, level)), "u binary, v binary"))
 
-    by_head, by_prefix = (_met(each.where(when).select("shingle", "node")) for when in ("head", "NOT head"))
+    both = [_met(each.where(when).select("shingle", "node")) for when in ("head", "NOT head")]
+    crowd = both[0].unionByName(both[1]).where(F.col("n") > FINE).select("node").join(nodes.where(F.col("size") <= CODED).select("node"), "node")
+    codes = materialize(texts_of(crowd).mapInArrow(released(_coded(words)), "node binary, codes binary"))
+    by_head, by_prefix = (
+        materialize(m.join(nodes.select("node", "size", "bits"), "node").join(codes, "node", "left").withColumn("codes", F.when(F.col("n") > FINE, F.col("codes")))) for m in both
+    )
     label = nodes.select("node", F.col("node").alias("label")).where(F.lit(False))
     found = None
     for met, forest in ((by_head, True), (by_prefix, True), (by_prefix, False)):
-        own = _own(met, label, nodes)
+        own = _own(met, label)
         more = compared(_by_shards(own, shard) if forest else _by_labels(own, shard), forest)
         found = more if found is None else found.unionByName(more)
         label = components(found).select("node", "label")
@@ -354,21 +416,12 @@ def joined(docs: DataFrame, words: int = 5, share: int = 80, shard: int = SHARD)
     unless the component has nothing else; repeated rows give a row each; an empty table gives none; other columns
     of docs play no part. Shingles are compared by 64 bits of their words' XXH64 and sets named by 128 bits.
     """
-    kinds = {"row": (pa.string(), "string"), "doc_id": (pa.int64(), "long"), "node": (pa.binary(), "binary"), "size": (pa.int64(), "long"), "bits": (pa.binary(), "binary")}
-
-    def fn(rows: pa.StructArray, texts: list) -> dict:
-        out: dict = {"row": rows.field(0), "doc_id": rows.field(1), "node": [], "size": [], "bits": []}
-        for t in texts:
-            h = shingle_set(t, words)
-            out["node"].append(set_name(h))
-            out["size"].append(len(h))
-            out["bits"].append(parity(h) if len(h) else b"")
-        return out
-
     read = docs.select(F.struct(row_key(docs).alias("row"), docs["doc_id"].cast("long").alias("id")), docs["text"].cast("string"))
-    each = materialize(read.mapInArrow(batches(fn, pa.schema([(c, k) for c, (k, _) in kinds.items()])), ", ".join(f"{c} {k}" for c, (_, k) in kinds.items())))
+    run, schema = _sets(words)
+    rows = materialize(read.mapInArrow(released(run), schema))
+    each = rows.where("block IS NULL").select("row", "doc_id", "node", "size", "bits")
     nodes = materialize(each.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bits").alias("bits")))
-    level = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
+    level = docs.sparkSession.sparkContext.broadcast(levels(rows.where("block IS NOT NULL").select("block", "loads")))
     _, label = links(nodes, docs, words, share, level, shard)
     named = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     component = materialize(named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id"))

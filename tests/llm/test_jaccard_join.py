@@ -115,3 +115,46 @@ def test_each_order_has_a_common_prefix_shingle():
             for k in range(jj.ORDERS):
                 x, y = (set(jj.ordered(h, level, k)[: jj.prefix_size(len(h), 80)].tolist()) for h in (a, b))
                 assert x & y
+
+
+def edited(rng, words, n, k):
+    """n copies of a text, in each of which k words are others."""
+    for _ in range(n):
+        w = words[:]
+        for at in rng.sample(range(len(w)), k):
+            w[at] = f"e{rng.randrange(10**9)}"
+        yield " ".join(w)
+
+
+def test_odd_codes_never_show_more_than_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 64, 500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(n * 0.9)], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
+        x, y = (np.frombuffer(jj.odd_codes(h), np.uint16) for h in (a, b))
+        apart = len(np.setxor1d(a, b))
+        assert 0.8 * apart <= len(np.setxor1d(x, y)) <= apart
+
+
+def test_a_crowd_a_little_under_the_threshold_makes_few_pairs():
+    """Texts of a large group that are not similar to each other, but near it: their pairs are turned away where they meet."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    sets = [shingle_set(t, 5) for t in edited(rng, base, 150, 1)] + [shingle_set(t, 5) for t in edited(rng, base, 150, 2)]
+    rows = [(False, jj.set_name(h), jj.set_name(h), len(h), jj.parity(h), jj.odd_codes(h)) for h in sets]
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    wanted = {(rows[j][1], rows[k][1]) for k in range(len(sets)) for j in range(k) if share(sets[j], sets[k]) >= 0.8}
+    possible = set(jj._bucket_pairs([(*r[:5], None) for r in rows], 80, True, False))
+    got = set(jj._bucket_pairs(rows, 80, True, False))
+    assert wanted <= got <= possible and len(got) < 1.1 * len(wanted) + 50 and len(possible) > len(got) + 1000
+
+
+def test_components_of_a_crowd_are_those_of_brute_force(spark, monkeypatch):
+    """Groups of more than FINE nodes, with sets that have codes and larger ones that have none."""
+    rng = random.Random(10)
+    group = [f"g{i}" for i in range(90)]
+    rows = [*enumerate(t for k in (1, 2, 3) for t in edited(rng, group, 60, k))]
+    assert len(rows) > jj.FINE
+    for coded in (jj.CODED, 84):
+        monkeypatch.setattr(jj, "CODED", coded)
+        assert found(spark, rows) == plain(rows)
