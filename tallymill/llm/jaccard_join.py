@@ -11,6 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, released, row_key
 from .components import components
@@ -24,6 +25,8 @@ ORDERS = 3
 SHARD, BESIDE = 2048, 1024
 #: Nodes of a shingle from which a pair must pass the finer tables of odd codes too, and the largest sets that have one.
 FINE, CODED = 64, 8192
+#: Words of 64 bits in the filter that tells which texts are fetched: a table of at most this many rows, whatever the input, is broadcast.
+WORDS = 1 << 19
 #: Steps of a level while the load of a cell doubles.
 STEPS = 8
 
@@ -59,7 +62,7 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 def _sets(words: int):
     """For mapInArrow over (struct (row, doc_id), text): a row of each text's set, then the task's rows (block, loads) of how many sets have a shingle in each cell."""
-    names = ["row", "doc_id", "node", "size", "bits", "block", "loads"]
+    names = ["row", "doc_id", "name", "size", "bits", "block", "loads"]
     kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def rows(columns: list) -> pa.RecordBatch:
@@ -69,14 +72,14 @@ def _sets(words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(CELLS, np.int64)
         for batch in it:
-            node, size, bits = [], [], []
+            name, size, bits = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text, words)
                 np.add.at(loads, _cell(h), 1)  # distinct within a text
-                node.append(set_name(h))
+                name.append(set_name(h))
                 size.append(len(h))
                 bits.append(parity(h) if len(h) else b"")
-            yield rows([*(batch.column(0).field(k).to_pylist() for k in (0, 1)), node, size, bits, None, None])
+            yield rows([*(batch.column(0).field(k).to_pylist() for k in (0, 1)), name, size, bits, None, None])
         for k, block in enumerate(loads.reshape(64, -1)):
             if block.any():
                 yield rows([None] * 5 + [[k], [zstandard.compress(block.tobytes())]])
@@ -96,7 +99,7 @@ def _levels(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def levels(loads: DataFrame) -> np.ndarray:
-    """For each cell how frequent its shingles may be, from the counts (block, loads) of all texts; levels that the mean explains are level.
+    """For each cell how frequent its shingles may be, from the counts (block, loads) of all texts; levels that chance around the mean explains are level.
 
     Any order is right; this one only has the most frequent shingles last, so that few prefixes hold them.
     """
@@ -105,7 +108,7 @@ def levels(loads: DataFrame) -> np.ndarray:
     for r in rows:
         out[r.block * CELLS // 64 : (r.block + 1) * CELLS // 64] = np.frombuffer(r.levels, np.uint8)
     mean = sum(r.total for r in rows) / CELLS
-    return np.maximum(out, np.uint8(min(255, STEPS * np.log2(1.0 + mean + 8 * mean**0.5 + 16))))
+    return np.maximum(out, np.uint8(min(255, STEPS * np.log2(1.0 + mean + 3 * mean**0.5 + 2))))
 
 
 def ordered(h: np.ndarray, level: np.ndarray, order: int) -> np.ndarray:
@@ -141,9 +144,9 @@ def set_name(h: np.ndarray) -> bytes:
 
 
 def _prefixes(words: int, share: int, level):
-    """For mapInArrow over (text): (shingle, node, head) of each shingle of the prefix under the first order, and of the first one under each order.
+    """For mapInArrow over (text): (shingle, mark, head) of each shingle of the prefix under the first order, and of the first one under each order.
 
-    A head is told by a hash of the shingle and the order.
+    A head is told by a hash of the shingle and the order, a set by the XXH64 of its name, which a shuffle carries at half the size.
     """
 
     def of_set(h: np.ndarray) -> np.ndarray:
@@ -162,12 +165,11 @@ def _prefixes(words: int, share: int, level):
                 if len(seen) > 1 << 16:
                     seen.clear()
                 seen.add(name)
-                found.append((name, of_set(h)))
+                found.append((xxhash.xxh64_intdigest(name, SEED), of_set(h)))
             if found:
-                of = pa.array(np.repeat(np.arange(len(found)), [len(x) for _, x in found]))
-                shingles, nodes = np.concatenate([x for _, x in found]), pa.array([name for name, _ in found], pa.binary())
+                shingles, marks = np.concatenate([x for _, x in found]), np.repeat(np.array([m for m, _ in found], np.uint64), [len(x) for _, x in found])
                 head = np.concatenate([np.arange(len(x)) < ORDERS for _, x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), nodes.take(of), pa.array(head)], names=["shingle", "node", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(marks.view(np.int64)), pa.array(head)], names=["shingle", "mark", "head"])
 
     return run
 
@@ -237,7 +239,7 @@ class Bucket:
         return [j for j in at if j not in dropped]
 
 
-def _bucket_pairs(rows: list[tuple], share: int, inner: bool, forest: bool) -> Iterator[tuple[bytes, bytes]]:
+def _bucket_pairs(rows: list[tuple], share: int, inner: bool, forest: bool) -> Iterator[tuple]:
     """Pairs of nodes of rows (known, node, label, size, bits, codes), known ones first, that may be similar and have other labels.
 
     Known rows are not compared with each other, the rest with itself only if `inner`. With `forest` only as many pairs come
@@ -252,11 +254,11 @@ def _bucket_pairs(rows: list[tuple], share: int, inner: bool, forest: bool) -> I
 
 
 def _pairs(names: list[str], pairs: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=names)
 
 
-def _candidates(share: int, forest: bool):
-    """For mapInArrow over rows (key, a, b, known, node, label, size, bits, codes) in order of (key, a, b): pairs (u, v)."""
+def _candidates(share: int):
+    """For mapInArrow over rows (key, a, b, forest, known, node, label, size, bits, codes) in order of (key, a, b): pairs (u, v)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, rows = None, []
@@ -264,7 +266,7 @@ def _candidates(share: int, forest: bool):
         def done() -> Iterator[pa.RecordBatch]:
             out = []
             if len(rows) > 1:
-                for pair in _bucket_pairs(sorted(rows, key=lambda r: (not r[0], r[1])), share, here[1] == 0, forest):
+                for pair in _bucket_pairs(sorted(rows, key=lambda r: (not r[0], r[1])), share, here[1] == 0, here[3]):
                     out.append(pair)
                     if len(out) > 10_000:
                         yield _pairs(["u", "v"], out)
@@ -288,7 +290,7 @@ def _coded(words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             codes = [odd_codes(shingle_set(text, words)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(codes, pa.binary())], names=["node", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], names=["node", "codes"])
 
     return run
 
@@ -322,31 +324,39 @@ def _verified(words: int, share: int, level):
     return run
 
 
-def _met(each: DataFrame) -> DataFrame:
-    """(key, n, node) of `each` (shingle, node): the nodes of each shingle that n nodes, several, have; shingles with the same nodes count once.
+def _met(each: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(head, key, n, node, size) of `each` (shingle, mark, head): the nodes of each shingle that n nodes, several, have; shingles with the same nodes count once.
 
-    What is counted and what it is joined with are one shuffle.
+    All of a shingle is one shuffle, and what is left of it another one, which brings it to the nodes of its marks.
     """
     dealt = each.repartition("shingle")
-    mark = F.xxhash64("node")
-    shared = dealt.groupBy("shingle").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last").select(F.col("shingle").alias("key"))
-    met = materialize(dealt.join(shared, F.col("shingle") == F.col("key")).select("key", "node").distinct())
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks)
-    return met.join(materialize(sizes.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key", "n")), "key").select("key", "n", "node")
-
-
-def _own(met: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows of `met` (key, n, node, size, bits, codes) with the node's label, for the keys whose nodes have several."""
+    by_shingle = dealt.groupBy("shingle", "head")  # with head, so that both sides of the join read the same columns: one shuffle
+    shared = by_shingle.agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last").select(F.col("shingle").alias("key"))
+    met = dealt.join(shared, F.col("shingle") == F.col("key")).select("key", "mark", "head").distinct()
+    of_key = Window.partitionBy("key")
+    marks = [F.bit_xor(F.xxhash64("mark", F.lit(k))).over(of_key).alias(f"x{k}") for k in (1, 2)]
+    met = met.select("mark", "head", F.count(F.lit(1)).over(of_key).alias("n"), *marks)
+    met = met.select("mark", "head", "n", F.xxhash64("head", "n", "x1", "x2").alias("key")).repartition("mark").distinct()
+    return materialize(met.join(nodes.select("mark", "node", "size"), "mark").select("head", "key", "n", "node", "size"))
+
+
+def _own(met: DataFrame, label: DataFrame, share: int) -> DataFrame:
+    """The rows of `met` (key, n, node, size) with the node's label, for the keys whose nodes have several, without nodes of a size that is similar to no other's."""
     named = met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("key")
-    return materialize(named.join(materialize(several), "key"))
+    of_key = Window.partitionBy("key")
+    by_size = of_key.orderBy("size")
+    near = [F.coalesce(100 * a >= share * b, F.lit(False)) for a, b in ((F.lag("size").over(by_size), F.col("size")), (F.col("size"), F.lead("size").over(by_size)))]
+    several = F.min("label").over(of_key) != F.max("label").over(of_key)
+    return materialize(named.withColumn("several", several).withColumn("near", near[0] | near[1]).where("several AND near").select("key", "n", "node", "size", "label"))
 
 
-def _by_shards(own: DataFrame, shard: int) -> DataFrame:
-    """Work of a round that joins what it can: the nodes of a key are dealt into shards, of which the first meets each other one."""
-    shards = F.ceil(F.col("n") / shard).cast("int")
-    dealt = own.select("*", F.lit(0).alias("a"), shards.alias("shards"), F.pmod(F.xxhash64("node"), shards).cast("int").alias("b"))
+def _by_shards(own: DataFrame, shard: int, small: int) -> DataFrame:
+    """Work of a round that joins what it can: the nodes of a key are dealt into shards, of which the first meets each other one.
+
+    Where at most `small` nodes meet, all are compared with all.
+    """
+    shards = F.when(F.col("n") > small, F.ceil(F.col("n") / shard)).otherwise(1).cast("int")
+    dealt = own.select("*", F.lit(0).alias("a"), shards.alias("shards"), F.pmod(F.xxhash64("node"), shards).cast("int").alias("b"), (F.col("n") > small).alias("forest"))
     one = dealt.where("shards > 1 AND b = 0").withColumn("b", F.explode(F.sequence(F.lit(1), F.col("shards") - 1)))
     return dealt.withColumn("known", F.lit(False)).unionByName(one.withColumn("known", F.lit(True)))
 
@@ -356,55 +366,60 @@ def _by_labels(own: DataFrame, shard: int) -> DataFrame:
     of_label = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     main = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
     parts = lambda n: F.ceil(n / shard).cast("int")
-    main = materialize(main.select("key", F.col("main.label").alias("main"), parts(F.col("main.n")).alias("m"), parts(F.col("n") - F.col("main.n")).alias("r")))
+    main = materialize(main.select("key", F.col("main.label").alias("main"), parts(F.col("main.n")).alias("m"), parts(F.col("n") - F.col("main.n")).alias("r")).where("r > 0"))
     part = F.when(F.col("label") == F.col("main"), F.pmod(F.xxhash64("node"), "m")).otherwise(F.col("m") + F.pmod(F.xxhash64("node"), "r")).cast("int")
-    dealt = own.join(main, "key").withColumn("part", part)
+    dealt = own.join(main, "key").withColumn("part", part).withColumn("forest", F.lit(False))
     # each part of the rest meets all parts before it, those of the largest label first
     later = dealt.withColumn("a", F.col("part")).withColumn("b", F.explode(F.filter(F.sequence(F.col("m"), F.col("m") + F.col("r") - 1), lambda b: b > F.col("part"))))
     first = dealt.where("part >= m").withColumn("b", F.col("part")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("part") - 1)))
     return later.withColumn("known", F.lit(True)).unionByName(first.withColumn("known", F.lit(False)))
 
 
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `wanted` (row, ...) with the text of that row of docs.
+
+    A filter of bits, of bounded size, is asked before texts are shuffled; what it lets through in error, the join drops.
+    """
+    word, at = F.expr(f"xxhash64(row) & {WORDS - 1}L"), "CAST(shiftright(xxhash64(row), 32) & 63 AS INT)"
+    held = materialize(wanted.groupBy(word.alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, {at}))").alias("held")))
+    read = docs.select(row_key(docs).alias("row"), docs["text"].cast("string").alias("text"))
+    some = read.join(F.broadcast(held), word == F.col("word")).where(F.expr(f"getbit(held, {at}) = 1")).select("row", "text")
+    return some.dropDuplicates(["row"]).join(wanted, "row")
+
+
 def links(nodes: DataFrame, docs: DataFrame, words: int, share: int, level, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """(pairs of similar nodes, labels (node, label) of what they join) of `nodes` (node, row, size, bits); they join all that are similar.
+    """(pairs of similar nodes, labels (node, label) of what they join) of `nodes` (node, mark, row, size, bits); they join all that are similar.
 
     Nodes meet that have a shingle in both prefixes under the first order, and of these what size and parity leave possible
     is verified; where over FINE nodes meet, odd codes must leave it possible too. Three rounds keep the work on large groups of near copies in proportion to their size: nodes with
     the same first shingle under some order come first, and only as many pairs as could join them are verified; so
     are, in the second round, those of the prefixes' shingles whose nodes are not joined by then. The third takes
-    all possible pairs of nodes that are still not joined.
+    all possible pairs of nodes that are still not joined. Where few nodes meet the second round already takes all possible pairs.
     """
-    each = materialize(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, node binary, head boolean"))
-    read = docs.select(row_key(docs).alias("row"), docs["text"].cast("string").alias("text"))
-
-    def texts_of(some: DataFrame) -> DataFrame:
-        needed = materialize(nodes.select("node", "row").join(some.distinct(), "node"))  # a table has a known size: while it is small the texts are not shuffled
-        return read.join(needed, "row").dropDuplicates(["node"]).select("node", "text")
-
-    def compared(work: DataFrame, forest: bool) -> DataFrame:
-        rows = work.select("key", "a", "b", "known", "node", "label", "size", "bits", "codes").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-        pairs = materialize(rows.mapInArrow(released(_candidates(share, forest)), "u binary, v binary").distinct())
-        texts = materialize(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))))
+    each = materialize(docs.select(docs["text"].cast("string").alias("text")).mapInArrow(released(_prefixes(words, share, level)), "shingle long, mark long, head boolean"))
+    met, small = _met(each, nodes), min(FINE, shard)
+    crowd = met.where(F.col("n") > FINE).select("node").distinct().join(nodes.where(F.col("size") <= CODED).select("node", "row"), "node")
+    codes = materialize(fetched(docs, materialize(crowd)).select("node", "text").mapInArrow(released(_coded(words)), "node long, codes binary"))
+
+    def compared(work: DataFrame) -> DataFrame:
+        full = work.join(nodes.select("node", "bits"), "node").join(codes, "node", "left").withColumn("codes", F.when(F.col("n") > FINE, F.col("codes")))
+        rows = full.select("key", "a", "b", "forest", "known", "node", "label", "size", "bits", "codes").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        pairs = materialize(rows.mapInArrow(released(_candidates(share)), "u long, v long").distinct())
         salts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("salts"))
-        beside = pairs.join(salts, "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), "v").join(texts.withColumnRenamed("node", "v"), "v")
-        hubs = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("v")).join(texts.withColumnRenamed("node", "u"), "u")
-        both = hubs.unionByName(beside).select("u", "salt", "v", "text").repartition("u", "salt").sortWithinPartitions("u", "salt", "v")  # null comes first
-        return materialize(both.mapInArrow(released(_verified(words, share, level)), "u binary, v binary"))
-
-    both = [_met(each.where(when).select("shingle", "node")) for when in ("head", "NOT head")]
-    crowd = both[0].unionByName(both[1]).where(F.col("n") > FINE).select("node").join(nodes.where(F.col("size") <= CODED).select("node"), "node")
-    codes = materialize(texts_of(crowd).mapInArrow(released(_coded(words)), "node binary, codes binary"))
-    by_head, by_prefix = (
-        materialize(m.join(nodes.select("node", "size", "bits"), "node").join(codes, "node", "left").withColumn("codes", F.when(F.col("n") > FINE, F.col("codes")))) for m in both
-    )
+        beside = pairs.join(salts, "u").select("u", F.pmod(F.xxhash64("v"), "salts").cast("int").alias("salt"), "v", F.col("v").alias("node"))
+        hubs = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("v"), F.col("u").alias("node"))
+        wanted = materialize(hubs.unionByName(beside).join(nodes.select("node", "row"), "node").drop("node"))
+        both = fetched(docs, wanted).select("u", "salt", "v", "text").repartition("u", "salt").sortWithinPartitions("u", "salt", "v")  # null comes first
+        return materialize(both.mapInArrow(released(_verified(words, share, level)), "u long, v long"))
+
     label = nodes.select("node", F.col("node").alias("label")).where(F.lit(False))
-    found = None
-    for met, forest in ((by_head, True), (by_prefix, True), (by_prefix, False)):
-        own = _own(met, label)
-        more = compared(_by_shards(own, shard) if forest else _by_labels(own, shard), forest)
-        found = more if found is None else found.unionByName(more)
-        label = components(found).select("node", "label")
-    return found, label
+    heads, prefixes = met.where("head"), met.where("NOT head")
+    found = compared(_by_shards(_own(heads, label, share), shard, 1))
+    label = components(found)
+    found = found.unionByName(compared(_by_shards(_own(prefixes, label, share), shard, small)))
+    label = components(found)
+    found = found.unionByName(compared(_by_labels(_own(prefixes.where(F.col("n") > small), label, share), shard)))
+    return found, components(found)
 
 
 def joined(docs: DataFrame, words: int = 5, share: int = 80, shard: int = SHARD) -> DataFrame:
@@ -419,13 +434,14 @@ def joined(docs: DataFrame, words: int = 5, share: int = 80, shard: int = SHARD)
     read = docs.select(F.struct(row_key(docs).alias("row"), docs["doc_id"].cast("long").alias("id")), docs["text"].cast("string"))
     run, schema = _sets(words)
     rows = materialize(read.mapInArrow(released(run), schema))
-    each = rows.where("block IS NULL").select("row", "doc_id", "node", "size", "bits")
-    nodes = materialize(each.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bits").alias("bits")))
+    each = rows.where("block IS NULL").select("row", "doc_id", "name", "size", "bits")
+    nodes = each.where("size > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    nodes = materialize(nodes.select("*", F.xxhash64("name").alias("mark"), F.monotonically_increasing_id().alias("node")))
     level = docs.sparkSession.sparkContext.broadcast(levels(rows.where("block IS NOT NULL").select("block", "loads")))
     _, label = links(nodes, docs, words, share, level, shard)
-    named = nodes.select("node", "least").join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    component = materialize(named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id"))
-    out = each.select("doc_id", "node", F.col("size").alias("n_shingles")).join(component, "node", "left")
+    named = nodes.select("name", "node", "least").join(label, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
+    component = materialize(named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("name", "component_id"))
+    out = each.select("doc_id", "name", F.col("size").alias("n_shingles")).join(component, "name", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -2,6 +2,8 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from test_simhash import classes
 
 from tallymill.llm import jaccard_join as jj
@@ -158,3 +160,34 @@ def test_components_of_a_crowd_are_those_of_brute_force(spark, monkeypatch):
     for coded in (jj.CODED, 84):
         monkeypatch.setattr(jj, "CODED", coded)
         assert found(spark, rows) == plain(rows)
+
+
+def test_a_shingle_of_some_tens_of_texts_comes_after_rarer_ones(spark):
+    """Cells have a load of 28 by chance; one whose shingle has 30 texts more must stand out, or each such crowd is compared."""
+    loads = np.random.default_rng(11).poisson(28, jj.CELLS)
+    loads[77] = 28 + 30
+    level = jj.levels(spark.createDataFrame([(k, zstandard.compress(b.tobytes())) for k, b in enumerate(loads.reshape(64, -1))], "block int, loads binary"))
+    assert level[77] > np.median(level) and (level == level.min()).mean() > 0.99
+
+
+def test_nodes_of_a_size_that_no_other_has_are_not_compared(spark):
+    met = spark.createDataFrame([(1, 4, 0, 100), (1, 4, 1, 80), (1, 4, 2, 63), (1, 4, 3, 126), (2, 2, 4, 50), (2, 2, 5, 50), (3, 2, 6, 8), (3, 2, 7, 10)], "key long, n long, node long, size long")
+    label = spark.createDataFrame([(4, 5)], "node long, label long")
+    assert sorted((r.key, r.node) for r in jj._own(met, label, 80).collect()) == [(1, 0), (1, 1), (3, 6), (3, 7)]
+
+
+def test_shingles_with_the_same_nodes_count_once(spark):
+    each = spark.createDataFrame([(s, m, h) for s in range(40) for m in range(s % 4) for h in (False,)] + [(-s, m, True) for s in range(1, 9) for m in (7, 8, 7)], "shingle long, mark long, head boolean")
+    nodes = spark.createDataFrame([(m, m + 100, 10) for m in range(9)], "mark long, node long, size long")
+    got = sorted((r.head, r.n, r.node, r.size) for r in jj._met(each, nodes).collect())
+    assert got == sorted([(False, 2, 100, 10), (False, 2, 101, 10), *((False, 3, k, 10) for k in (100, 101, 102)), (True, 2, 107, 10), (True, 2, 108, 10)])
+
+
+def test_texts_are_fetched_for_the_wanted_rows_alone(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(5, "text 5")] * 3, SCHEMA)
+    row = jj.row_key(docs)
+    wanted = docs.where("doc_id % 100 = 5").select(row.alias("row"), F.col("doc_id").alias("node")).distinct()
+    wanted = wanted.unionByName(wanted.where("node = 105").withColumn("node", F.lit(-1).cast("long")))
+    got = jj.fetched(docs, wanted)
+    assert sorted((r.node, r.text) for r in got.collect()) == sorted([(-1, "text 105"), *((i, f"text {i}") for i in range(5, 3000, 100))])
+    assert "getbit" in got._jdf.queryExecution().optimizedPlan().toString()
