@@ -98,11 +98,23 @@ def progress_blocks(runs: DataFrame, responses: DataFrame, questions: DataFrame,
 
 
 def progress_index(runs: DataFrame, responses: DataFrame, questions: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Metrics of each run, from one scan of the responses by blocks, with the blocks' response counts in order."""
-    blocks = progress_blocks(runs, responses, questions, block)
-    counts = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "responses"))), lambda x: x["responses"])
-    per_run = blocks.groupBy("run_id").agg(*(F.sum(k).alias(k) for k in PARTS), counts.alias("block_counts"))
-    return metrics(runs.select("run_id", "total_questions").join(per_run, "run_id", "left")).select("run_id", *METRICS, "block_counts")
+    """Metrics of each run, from one scan of the responses by blocks, with the blocks' response counts in order.
+
+    A run's blocks are only listed in its own row, so that blocks without a response are never rows. Responses go once
+    through a shuffle, by their run; a run has a question's response once, so its rows are bounded by its plan.
+    """
+    rows = placed(responses, questions).withColumn("block_index", F.expr(f"position div {block}"))
+    found = sums(rows.repartition("run_id"), "run_id", "block_index")
+    inside = F.expr(f"total_questions > 0 AND block_index BETWEEN 0 AND (total_questions - 1) div {block}")
+    listed = F.array_sort(F.collect_list(F.when(inside, F.struct("block_index", "responses"))))
+    blocks = runs.select("run_id", "total_questions").join(found, "run_id", "left")
+    per_run = blocks.groupBy("run_id", "total_questions").agg(*(F.sum(F.when(inside, F.col(k))).alias(k) for k in PARTS), listed.alias("listed"))
+    index = lambda k: F.coalesce(F.get("listed", k)["block_index"], F.lit(-1).cast("long"))
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    known = F.transform("listed", lambda x, k: F.concat(zeros(x["block_index"] - index(k - 1) - 1), F.array(x["responses"])))
+    after = zeros(F.expr(f"(total_questions - 1) div {block}") - index(F.size("listed") - 1))
+    counts = F.when(F.col("total_questions") > 0, F.flatten(F.concat(known, F.array(after))))
+    return metrics(per_run).select("run_id", *METRICS, counts.alias("block_counts"))
 
 
 def progress_cells(runs: DataFrame, responses: DataFrame, questions: DataFrame) -> DataFrame:

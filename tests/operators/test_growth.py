@@ -41,3 +41,19 @@ def test_pending_questions_are_not_shuffled(spark):
     want = {(r, q, 7 if q is None else q) for r in range(10, 39) for q in (*range(4000), None) if (r, q) not in given or q is None} | {(39, 9000, 0)}
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
     assert shuffled < 20_000  # of some 112,000 that are pending
+
+
+def test_blocks_without_a_response_are_no_rows(spark):
+    questions = spark.range(20_000).selectExpr("id AS question_id", "1L AS benchmark_id", "id AS position").unionByName(spark.createDataFrame([(20_000, 1, None)], "question_id LONG, benchmark_id LONG, position LONG"))
+    runs = spark.range(30).selectExpr("id AS run_id", "CASE id WHEN 3 THEN 0L WHEN 4 THEN 9L ELSE 20000L END AS total_questions")
+    given = [(1, 0), (1, 19_999), (1, 640), (1, 641), (2, 64), (3, 5), (4, 8), (4, 9), (4, 70), (5, 20_000)]
+    responses = spark.createDataFrame(given, "run_id LONG, question_id LONG").selectExpr(
+        "*", "'a' AS raw_response", "CAST(NULL AS STRING) AS error_type", "1D AS score", "2D AS latency_ms", "3L AS input_tokens", "CAST(NULL AS LONG) AS output_tokens", "CAST(1 AS DECIMAL(20,8)) AS estimated_cost",
+    )
+    rows, shuffled = collected(spark, lambda: ev.progress_index(runs, responses, questions, block=8))
+    index = {r.run_id: r for r in rows}
+    blocks = {k: {i: n for i, n in enumerate(r.block_counts or []) if n} for k, r in index.items()}
+    assert blocks == {k: {} for k in range(30)} | {1: {0: 1, 80: 2, 2499: 1}, 2: {8: 1}, 4: {1: 2}}
+    assert {k: r.block_counts and len(r.block_counts) for k, r in index.items()} == {k: 2500 for k in range(30)} | {3: None, 4: 2}
+    assert (index[1].completed_questions, index[1].input_tokens, index[1].output_tokens) == (4, 12, None) and (index[3].completed_questions, index[4].completed_questions, index[5].completed_questions) == (0, 2, 0)
+    assert shuffled < 25_000  # questions and responses, not 30 times 2,500 blocks
