@@ -14,32 +14,59 @@ CONSUMED = ("send_started", *SETTLED)
 SCOPES = ("global", "provider", "model", "run")
 
 
-def overdrawn_row(explicit_only: bool = True) -> Column:
-    """A settled row above what it reserved. Input and cost count only where the run set a bound itself, unless told otherwise."""
-    explicit = F.col("explicit") if explicit_only else F.lit(True)
-    above = lambda x: F.coalesce(F.col(f"actual_{x}") > F.col(f"reserved_{x}"), F.lit(False))
-    return F.col("state").isin(*SETTLED) & ((explicit & above("input_tokens")) | above("output_tokens") | (explicit & above("cost_usd")))
+#: Cells of scopes by a hash, and the rows from which a cell is hot; it is too only with over a thousandth of all rows.
+CELLS, HOT = 1 << 16, 1_000_000
+
+AMOUNTS = ("input_tokens", "output_tokens", "cost_usd")
+
+
+def by_scope(rows: DataFrame, *keep: str) -> DataFrame:
+    """Each row once for each of its three or four scopes, with the columns to keep and what it holds or has used up (AMOUNTS; null after a release)."""
+    state = F.col("state")
+    amounts = [F.when(state.isin(*ACTIVE), F.col(f"reserved_{c}")).when(state.isin(*SETTLED), F.col(f"actual_{c}")).alias(c) for c in AMOUNTS]
+    scopes = F.array(*(F.struct(F.lit(s).alias("scope_type"), F.col(f"{s}_scope_id").alias("scope_id")) for s in SCOPES))
+    keep = ("operation_id", "policy_id", "state", "window_start", *keep)
+    return rows.select(*keep, *amounts, F.explode(F.filter(scopes, lambda x: x["scope_id"].isNotNull())).alias("s")).select("s.scope_type", "s.scope_id", *keep, *AMOUNTS)
 
 
 def scope_facts(ledger: DataFrame, runs: DataFrame) -> DataFrame:
-    """Each ledger row once for each of its three or four scopes, from one scan."""
+    """by_scope with `above`, a settled row above what it reserved, and `overdrawn`, the same where input and cost count only if the run set a bound itself.
+
+    Only rows whose flag hangs on that bound are joined with the runs.
+    """
+    over = lambda x: F.coalesce(F.col(f"actual_{x}") > F.col(f"reserved_{x}"), F.lit(False))
+    settled, own = F.coalesce(F.col("state").isin(*SETTLED), F.lit(False)), over("input_tokens") | over("cost_usd")
+    sure = settled & (over("output_tokens") | (own & F.col("run_id").isNull()))
+    rows = ledger.withColumns({"above": settled & (own | over("output_tokens")), "sure": sure})
     bounds = runs.select("run_id", F.col("input_token_reservation").isNotNull().alias("bounded"))
-    rows = ledger.join(bounds, "run_id", "left").withColumn("explicit", F.col("run_id").isNull() | F.coalesce("bounded", F.lit(False)))
-    scopes = F.array(*(F.struct(F.lit(s).alias("scope_type"), F.col(f"{s}_scope_id").alias("scope_id")) for s in SCOPES))
-    keep = ["operation_id", "policy_id", "state", "window_start", "explicit", *(f"{a}_{b}" for a in ("reserved", "actual") for b in ("input_tokens", "output_tokens", "cost_usd"))]
-    return rows.select(*keep, F.explode(F.filter(scopes, lambda x: x["scope_id"].isNotNull())).alias("s")).select("s.scope_type", "s.scope_id", *keep)
+    told = rows.where("above AND NOT sure").join(bounds, "run_id", "left").withColumn("overdrawn", F.coalesce("bounded", F.lit(False)))
+    rest = rows.where("NOT above OR sure").withColumn("overdrawn", F.col("sure"))
+    return by_scope(rest, "above", "overdrawn").unionByName(by_scope(told, "above", "overdrawn"))
 
 
-def usage(explicit_only: bool = True) -> list[Column]:
+def by_load(facts: DataFrame, ledger: DataFrame, hot: int = HOT) -> list[DataFrame]:
+    """The facts of hot scopes, if there are any, and those of the others, of which a scope's are in one partition.
+
+    Partial sums take the former, however many rows a scope has. The latter are too few of a scope for partial sums to
+    help, so they go once through a shuffle, as they are, after which all sums and windows of a scope are at hand.
+    """
+    cell = F.pmod(F.xxhash64("scope_id"), F.lit(CELLS))
+    loads = by_scope(ledger).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest(F.lit(hot), F.floor(F.sum("n").over(Window.partitionBy()) / 1000))  # a row for each cell
+    crowded = [r.cell for r in loads.withColumn("most", most).where("n > most").select("cell").collect()]  # under 1,000
+    spread = lambda df: df.repartition("scope_id")
+    return [facts.where(cell.isin(crowded)), spread(facts.where(~cell.isin(crowded)))] if crowded else [spread(facts)]
+
+
+def usage() -> list[Column]:
     """What scopes and minutes have in common."""
     state, zero = F.col("state"), F.lit(0)
     while_in = lambda states, c: F.coalesce(F.sum(F.when(state.isin(*states), F.col(c)).otherwise(zero)), zero).alias
     count = lambda *states: F.count_if(state.isin(*states)).alias
     return [
         count(*ACTIVE)("active_reservations"), count("reserved")("reserved_requests"), count(*CONSUMED)("consumed_requests"),
-        *(while_in(ACTIVE, f"reserved_{c}")(f"reserved_{c}") for c in ("input_tokens", "output_tokens", "cost_usd")),
-        *(while_in(SETTLED, f"actual_{c}")(f"consumed_{c}") for c in ("input_tokens", "output_tokens", "cost_usd")),
-        F.bool_or(overdrawn_row(explicit_only)).alias("overdrawn"),
+        *(while_in(ACTIVE, c)(f"reserved_{c}") for c in AMOUNTS), *(while_in(SETTLED, c)(f"consumed_{c}") for c in AMOUNTS),
+        F.bool_or("overdrawn").alias("overdrawn"),
     ]
 
 
@@ -59,7 +86,7 @@ def minute_rollup(facts: DataFrame, every: bool = False) -> DataFrame:
 
 def overdrawn_scopes(facts: DataFrame) -> DataFrame:
     """(scope_type, scope_id, before, after): the flag without and with the rule of explicit bounds, where either is set."""
-    both = facts.groupBy("scope_type", "scope_id").agg(F.bool_or(overdrawn_row(False)).alias("before"), F.bool_or(overdrawn_row()).alias("after"))
+    both = facts.groupBy("scope_type", "scope_id").agg(F.bool_or("above").alias("before"), F.bool_or("overdrawn").alias("after"))
     return both.where("before OR after")
 
 
@@ -133,14 +160,26 @@ def backlog_admission(runs: DataFrame, limit: int) -> DataFrame:
     return runs.agg(active.alias("active_runs")).select("active_runs", F.lit(limit).cast("long").alias("backlog_limit"), (F.col("active_runs") < limit).alias("accepted"))
 
 
-def cumulative_budget(facts: DataFrame, budget: int) -> DataFrame:
+def cumulative_budget(ledger: DataFrame, budget: int, hot: int = HOT) -> DataFrame:
     """(scope_id, operation_id, running_tokens): for each scope the first ledger row at which reserved or used tokens pass the budget.
 
-    A scope's rows are never ordered in one task: minutes and days are summed first, the running totals say in which
-    day and then in which minute the budget is passed, and only that minute's rows are put in order.
+    The rows of a hot scope are never ordered in one task: minutes and days are summed first, the running totals say in which
+    day and then in which minute the budget is passed, and only that minute's rows are put in order. Those of other scopes
+    go through one shuffle.
     """
-    held = F.when(F.col("state").isin(*SETTLED), F.expr("coalesce(actual_input_tokens, 0) + coalesce(actual_output_tokens, 0)")).when(F.col("state").isin(*ACTIVE), F.expr("reserved_input_tokens + reserved_output_tokens")).otherwise(0)
-    rows = facts.select("scope_id", "operation_id", "window_start", held.alias("tokens"), F.date_trunc("minute", "window_start").alias("minute"))
+    parts = by_load(by_scope(ledger), ledger, hot)
+    passed = [_first_past(_tokens(parts[-1]).withColumn("before", F.lit(0).cast("long")), budget)]
+    return reduce(DataFrame.unionByName, passed + [_first_past(_passing_minutes(_tokens(p), budget), budget) for p in parts[:-1]])
+
+
+def _tokens(facts: DataFrame) -> DataFrame:
+    held = F.when(F.col("state").isin(*SETTLED), F.expr("coalesce(input_tokens, 0) + coalesce(output_tokens, 0)")).when(F.col("state").isin(*ACTIVE), F.expr("input_tokens + output_tokens")).otherwise(0)
+    return facts.select("scope_id", "operation_id", "window_start", held.alias("tokens"))
+
+
+def _passing_minutes(rows: DataFrame, budget: int) -> DataFrame:
+    """The rows of the minute in which each scope's budget is passed, with the total before it."""
+    rows = rows.withColumn("minute", F.date_trunc("minute", "window_start"))
     minutes = rows.groupBy("scope_id", "minute").agg(F.sum("tokens").alias("n")).withColumn("day", F.date_trunc("day", "minute"))
 
     def passing(sums: DataFrame, by: str) -> DataFrame:
@@ -150,9 +189,12 @@ def cumulative_budget(facts: DataFrame, budget: int) -> DataFrame:
 
     day = passing(minutes.groupBy("scope_id", "day").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long")), "day")
     minute = passing(minutes.join(day, ["scope_id", "day"]), "minute")
-    inside = rows.join(minute, ["scope_id", "minute"])
+    return rows.join(F.broadcast(minute), ["scope_id", "minute"])  # a row for each scope in under 1,000 of CELLS
+
+
+def _first_past(rows: DataFrame, budget: int) -> DataFrame:
     order = Window.partitionBy("scope_id").orderBy("window_start", "operation_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = inside.withColumn("running_tokens", F.col("before") + F.sum("tokens").over(order)).where(F.col("running_tokens") > budget)
+    running = rows.withColumn("running_tokens", F.col("before") + F.sum("tokens").over(order)).where(F.col("running_tokens") > budget)
     first = running.groupBy("scope_id").agg(F.min(F.struct("running_tokens", "window_start", "operation_id")).alias("f"))
     return first.select("scope_id", "f.operation_id", "f.running_tokens")
 

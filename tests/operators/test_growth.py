@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 
 from tallymill.operators import evidence as ev
+from tallymill.operators import ledger as lg
 
 
 @contextmanager
@@ -57,3 +58,33 @@ def test_blocks_without_a_response_are_no_rows(spark):
     assert {k: r.block_counts and len(r.block_counts) for k, r in index.items()} == {k: 2500 for k in range(30)} | {3: None, 4: 2}
     assert (index[1].completed_questions, index[1].input_tokens, index[1].output_tokens) == (4, 12, None) and (index[3].completed_questions, index[4].completed_questions, index[5].completed_questions) == (0, 2, 0)
     assert shuffled < 25_000  # questions and responses, not 30 times 2,500 blocks
+
+
+LEDGER = """run_id LONG, global_scope_id STRING, provider_scope_id STRING, model_scope_id STRING, run_scope_id STRING, operation_id LONG, policy_id STRING, state STRING, window_start TIMESTAMP,
+reserved_input_tokens LONG, reserved_output_tokens LONG, reserved_cost_usd DECIMAL(20,8), actual_input_tokens LONG, actual_output_tokens LONG, actual_cost_usd DECIMAL(20,8)"""
+
+
+def calls(spark, n=3000):
+    """A ledger of 60 runs, each of them with calls at many minutes."""
+    return spark.range(n).selectExpr(
+        "id % 60 AS run_id", "'global' AS global_scope_id", "concat('p', id % 2) AS provider_scope_id", "concat('m', id % 30) AS model_scope_id", "if(id % 11 = 0, NULL, concat('r', id % 60)) AS run_scope_id",
+        "id * 7919 % 100003 AS operation_id", "'policy' AS policy_id", "CASE id % 4 WHEN 0 THEN 'reserved' WHEN 1 THEN 'settled_actual' WHEN 2 THEN 'released' ELSE 'send_started' END AS state",
+        "timestamp_seconds(1700000000 + id * 7919 % 100003 * 11) AS window_start", "10L + id % 3 AS reserved_input_tokens", "id % 5 AS reserved_output_tokens", "CAST(1 AS DECIMAL(20,8)) AS reserved_cost_usd",
+        "if(id % 4 = 1, 9L + id % 7, NULL) AS actual_input_tokens", "if(id % 4 = 1, 0L, NULL) AS actual_output_tokens", "CAST(NULL AS DECIMAL(20,8)) AS actual_cost_usd",
+    ).to(spark.createDataFrame([], LEDGER).schema)
+
+
+def test_a_budget_takes_one_shuffle_and_no_other_way_for_hot_scopes(spark):
+    ledger, want = calls(spark), {}
+    rows = sorted(ledger.collect(), key=lambda r: (r.window_start, r.operation_id))
+    for scope in ("global_scope_id", "provider_scope_id", "model_scope_id", "run_scope_id"):
+        running = {}
+        for r in rows:
+            used = {"settled_actual": (r.actual_input_tokens or 0) + (r.actual_output_tokens or 0), "released": 0}.get(r.state, r.reserved_input_tokens + r.reserved_output_tokens)
+            if (s := r[scope]) and running.get(s, 0) <= 300:
+                running[s] = running.get(s, 0) + used
+                want |= {s: (r.operation_id, running[s])} if running[s] > 300 else {}
+    for hot in (10**6, 100, 40, 0):  # no scope, the shared ones, most and all are hot
+        got, shuffled = collected(spark, lambda: lg.cumulative_budget(ledger, 300, hot=hot))
+        assert {r.scope_id: (r.operation_id, r.running_tokens) for r in got} == want
+        assert hot < 10**6 or shuffled < 4 * 3000  # once each row for each of its scopes, some without a run
