@@ -124,19 +124,24 @@ def stale_counts(settled: DataFrame) -> DataFrame:
 def limit_verdicts(minutes: DataFrame, policies: DataFrame, overrides: DataFrame, new_tokens: int, new_cost: str) -> DataFrame:
     """(scope_type, scope_id, policy_id, minute, verdict): the first limit that one more call would break, in the order of the checks, or `ok`.
 
-    minutes: minute_rollup's with every part; a scope's all-time usage is added up from its minutes, so the ledger's rows are
-    aggregated once. policies: (policy_id, scope_type, concurrency, rpm, tpm, request_budget, token_budget, cost_budget), a few rows.
-    overrides: (scope_id, request_budget, token_budget, cost_budget) of runs, of which the stricter counts. A null limit is none.
+    minutes: minute_rollup's with every part; a scope's all-time usage is added up over its minutes, of which there is a row
+    each, so nothing but these sums is put together by scope. policies: (policy_id, scope_type, concurrency, rpm, tpm, request_budget,
+    token_budget, cost_budget), a few rows. overrides: (scope_id, request_budget, token_budget, cost_budget) of runs, of which the
+    stricter counts. A null limit is none. Minutes that come by scope_id (by_load) are not shuffled again.
     """
     own = overrides.select("scope_id", *(F.col(c).alias(f"own_{c}") for c in ("request_budget", "token_budget", "cost_budget")))
     tokens = F.expr("reserved_input_tokens + reserved_output_tokens + consumed_input_tokens + consumed_output_tokens")
     requests = F.expr("reserved_requests + consumed_requests")
-    whole = minutes.groupBy("scope_type", "scope_id").agg(
-        F.bool_or("overdrawn").alias("overdrawn"), F.sum("active_reservations").alias("active_reservations"), F.sum(requests).alias("requests"),
-        F.sum(tokens).alias("tokens"), F.sum(F.expr("reserved_cost_usd + consumed_cost_usd")).alias("cost"),
+    used = minutes.select(
+        "scope_type", "scope_id", "policy_id", "minute", "overdrawn", "active_reservations", requests.alias("minute_requests"), tokens.alias("minute_tokens"),
+        F.expr("reserved_cost_usd + consumed_cost_usd").alias("minute_cost"),
     )
-    now = minutes.select("scope_type", "scope_id", "policy_id", "minute", requests.alias("minute_requests"), tokens.alias("minute_tokens")).join(whole, ["scope_type", "scope_id"])
-    rows = now.join(policies, ["policy_id", "scope_type"]).join(own, "scope_id", "left")
+    scope = Window.partitionBy("scope_id", "scope_type")
+    now = used.withColumns({
+        "overdrawn": F.bool_or("overdrawn").over(scope), "active_reservations": F.sum("active_reservations").over(scope), "requests": F.sum("minute_requests").over(scope),
+        "tokens": F.sum("minute_tokens").over(scope), "cost": F.sum("minute_cost").over(scope),
+    })
+    rows = now.join(F.broadcast(policies), ["policy_id", "scope_type"]).join(own, "scope_id", "left")
     budget = lambda c: F.when(F.col("scope_type") == "run", F.least(c, f"own_{c}")).when(F.col("scope_type") == "global", F.col(c))
     cost = F.lit(new_cost).cast("decimal(20,8)")
     checks = [

@@ -88,3 +88,19 @@ def test_a_budget_takes_one_shuffle_and_no_other_way_for_hot_scopes(spark):
         got, shuffled = collected(spark, lambda: lg.cumulative_budget(ledger, 300, hot=hot))
         assert {r.scope_id: (r.operation_id, r.running_tokens) for r in got} == want
         assert hot < 10**6 or shuffled < 4 * 3000  # once each row for each of its scopes, some without a run
+
+
+def test_verdicts_take_one_shuffle_and_no_other_way_for_hot_scopes(spark):
+    ledger = calls(spark)
+    runs = spark.range(60).selectExpr("id AS run_id", "if(id % 3 = 0, 100L, NULL) AS input_token_reservation")
+    policies = spark.createDataFrame([("policy", "global", 10**6, None, 60, None, None, None), ("policy", "provider", None, 1, None, None, None, None), ("policy", "model", 60, None, 24, None, None, None), ("policy", "run", None, None, None, 60, 700, None)], "policy_id STRING, scope_type STRING, concurrency LONG, rpm LONG, tpm LONG, request_budget LONG, token_budget LONG, cost_budget DECIMAL(20,8)")
+    overrides = spark.range(0, 60, 3).selectExpr("concat('r', id) AS scope_id", "CAST(NULL AS LONG) AS request_budget", "200L AS token_budget", "CAST(NULL AS DECIMAL(20,8)) AS cost_budget")
+    found = {}
+    for hot in (10**6, 100, 0):
+        parts = lg.by_load(lg.scope_facts(ledger, runs), ledger, hot)
+        assert len(parts) == (1 if hot == 10**6 else 2)
+        made = [collected(spark, lambda f=f: lg.limit_verdicts(lg.minute_rollup(f, every=True), policies, overrides, 5, "0")) for f in parts]
+        found[hot] = sorted(tuple(r) for rows, _ in made for r in rows)
+        assert hot < 10**6 or made[0][1] < 4 * 3000 + 1000  # once each row for each of its scopes, few with their runs
+    assert found[10**6] == found[100] == found[0]
+    assert {(r[0], r[4]) for r in found[0]} >= {("run", "overdrawn"), ("run", "ok"), ("run", "token_budget_exhausted"), ("provider", "overdrawn")}
