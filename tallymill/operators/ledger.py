@@ -84,24 +84,38 @@ def minute_rollup(facts: DataFrame, every: bool = False) -> DataFrame:
     return facts.groupBy("scope_type", "scope_id", "policy_id", minute.alias("minute")).agg(*(usage() if every else usage()[1:9]))
 
 
+def add_up(minutes: DataFrame) -> DataFrame:
+    """The scopes' roll-up from that of minutes with every part."""
+    return minutes.groupBy("scope_type", "scope_id").agg(*(F.sum(c).alias(c) for c in FIELDS[:9]), F.bool_or("overdrawn").alias("overdrawn"))
+
+
 def overdrawn_scopes(facts: DataFrame) -> DataFrame:
     """(scope_type, scope_id, before, after): the flag without and with the rule of explicit bounds, where either is set."""
     both = facts.groupBy("scope_type", "scope_id").agg(F.bool_or("above").alias("before"), F.bool_or("overdrawn").alias("after"))
     return both.where("before OR after")
 
 
+def paired(derived: DataFrame, stored: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, d, s): the fields of both tables' rows with a key, null where a table has none."""
+    a, b = (df.select(*keys, F.struct(*fields).alias(name)) for df, name in ((derived, "d"), (stored, "s")))
+    return a.join(b, keys, "full_outer")
+
+
 def ledger_drift(derived: DataFrame, stored: DataFrame, keys: list[str], fields: list[str], extra_as_zero: bool = False) -> DataFrame:
     """(keys, kind, fields): rows that are missing in the stored table, extra in it, or differ in fields.
 
     With extra_as_zero a stored row without ledger facts is compared with zeros instead of being extra.
     """
-    a = derived.select(*keys, F.lit(True).alias("derived"), F.struct(*fields).alias("d"))
-    b = stored.select(*keys, F.lit(True).alias("stored"), F.struct(*fields).alias("s"))
-    both = a.join(b, keys, "full_outer")
-    value = lambda f: F.when(F.col("derived").isNull(), F.lit(0).cast(derived.schema[f].dataType)).otherwise(F.col(f"d.{f}")) if extra_as_zero and f != "overdrawn" else F.coalesce(F.col(f"d.{f}"), F.lit(False)) if extra_as_zero else F.col(f"d.{f}")
+    return drift_of(paired(derived, stored, keys, fields), keys, fields, extra_as_zero)
+
+
+def drift_of(pairs: DataFrame, keys: list[str], fields: list[str], extra_as_zero: bool = False) -> DataFrame:
+    """ledger_drift of rows that are paired already."""
+    kinds = {f.name: f.dataType for f in pairs.schema["d"].dataType.fields}
+    value = lambda f: F.when(F.col("d").isNull(), F.lit(0).cast(kinds[f])).otherwise(F.col(f"d.{f}")) if extra_as_zero and f != "overdrawn" else F.coalesce(F.col(f"d.{f}"), F.lit(False)) if extra_as_zero else F.col(f"d.{f}")
     differing = F.array_compact(F.array(*(F.when(~F.equal_null(value(f), F.col(f"s.{f}")), F.lit(f)) for f in fields)))
-    kind = F.when(F.col("stored").isNull(), "missing").when(F.col("derived").isNull() & F.lit(not extra_as_zero), "extra").when(F.size(differing) > 0, "differs")
-    return both.select(*keys, kind.alias("kind"), F.when(kind == "differs", F.array_join(differing, ",")).otherwise("").alias("fields")).where("kind IS NOT NULL")
+    kind = F.when(F.col("s").isNull(), "missing").when(F.col("d").isNull() & F.lit(not extra_as_zero), "extra").when(F.size(differing) > 0, "differs")
+    return pairs.select(*keys, kind.alias("kind"), F.when(kind == "differs", F.array_join(differing, ",")).otherwise("").alias("fields")).where("kind IS NOT NULL")
 
 
 def settle_stale(ledger: DataFrame, owners: DataFrame) -> DataFrame:
@@ -230,10 +244,10 @@ ZERO = (
 )
 
 
-def reconciliation_report(runs: DataFrame, responses: DataFrame, ledger: DataFrame, events: DataFrame, scopes: DataFrame, stored_scopes: DataFrame, minutes: DataFrame, stored_minutes: DataFrame) -> DataFrame:
+def reconciliation_report(runs: DataFrame, responses: DataFrame, ledger: DataFrame, events: DataFrame, scopes: DataFrame, minutes: DataFrame) -> DataFrame:
     """(check, n, must_be_zero): counts of what there is, of states and event types, and of all that ZERO names.
 
-    scopes and minutes are what the ledger gives (scope_rollup, minute_rollup), the stored ones what is written down.
+    scopes and minutes: what the ledger gives (scope_rollup, minute_rollup) and what is written down, as `paired` puts them together.
     """
     count, when = F.count(F.lit(1)), lambda c: F.count_if(F.expr(c))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -247,10 +261,10 @@ def reconciliation_report(runs: DataFrame, responses: DataFrame, ledger: DataFra
         ledger.agg(F.count_distinct("policy_id").alias("policies"), count.alias("reservations"), when("state IN ('reserved', 'send_started')").alias("active_reservations")),
         again(ledger, "operation_id").agg(when("n > 1").alias("duplicate_operations")),
         again(events, "event_key").agg(when("n > 1").alias("duplicate_event_keys")),
-        stored_scopes.agg(*(total(c).alias(f"scope_{c}") for c in ("active_reservations", *held)), when("overdrawn").alias("overdrawn_scopes")),
-        stored_minutes.agg(*(total(c).alias(f"minute_{c}") for c in held)),
-        ledger_drift(scopes, stored_scopes, ["scope_type", "scope_id"], FIELDS).agg(*kinds("scope")),
-        ledger_drift(minutes, stored_minutes, ["scope_type", "scope_id", "policy_id", "minute"], FIELDS[1:9]).agg(*kinds("minute")),
+        scopes.agg(*(total(f"s.{c}").alias(f"scope_{c}") for c in ("active_reservations", *held)), when("s.overdrawn").alias("overdrawn_scopes")),
+        minutes.agg(*(total(f"s.{c}").alias(f"minute_{c}") for c in held)),
+        drift_of(scopes, ["scope_type", "scope_id"], FIELDS).agg(*kinds("scope")),
+        drift_of(minutes, ["scope_type", "scope_id", "policy_id", "minute"], FIELDS[1:9]).agg(*kinds("minute")),
     ]
     long = [p.unpivot([], p.columns, "check", "n") for p in parts]
     long += [again(df, c).select(F.concat(F.lit(f"{name}_"), c).alias("check"), "n") for df, c, name in ((ledger, "state", "state"), (events, "event_type", "event"))]
